@@ -125,6 +125,14 @@ def crc_remainder(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def strings(df: DataFrame, *keep: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name pass by untouched."""
-    return df.select(*keep)
+def mapped(df: DataFrame, keep: list[str], read: list[str], run, extra: str) -> DataFrame:
+    """mapInPandas that passes `keep` columns through unchanged.
+
+    pandas has no null among integers, so kept columns travel as text and get their types back afterwards.  `run` yields
+    frames with the kept columns and those that `extra` (a DDL string) declares.
+    """
+    types = {c: df.schema[c].dataType for c in keep}
+    sent = df.select(*[F.col(c).cast("string").alias(c) for c in keep], *[c for c in read if c not in keep])
+    out = ", ".join([f"`{c}` string" for c in keep] + [extra])
+    made = sent.mapInPandas(run, out)
+    return made.select(*[F.col(c).cast(types[c]).alias(c) for c in keep], *[c for c in made.columns if c not in keep])

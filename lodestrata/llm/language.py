@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import broadcast_arrays, crc_remainder, load, materialize, mix64, steps
+from lodestrata.llm.common import broadcast_arrays, crc_remainder, load, mapped, materialize, mix64, steps
 
 GRAM = 4
 PROBES = 3
@@ -159,7 +159,6 @@ def identify(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> Data
     """
     langs, arrays = learn(labelled)
     shared = broadcast_arrays(documents.sparkSession, (MOST_CELLS * 8) * (1 + len(langs) // 64) + (1 << 20), **arrays)
-    schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = Filters(langs, **shared.value) if langs else None
@@ -174,7 +173,7 @@ def identify(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> Data
                     score = np.where(known, share, 0.0)
                 yield part[keep].assign(lang_pred=pred, score=score)
 
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
+    return mapped(documents, keep, ["text"], run, "lang_pred string, score double")
 
 
 def _paired(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.common import load
+from lodestrata.llm.common import load, mapped
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -292,7 +292,7 @@ def encode_digests(documents: DataFrame, model_path: str) -> DataFrame:
             rows = encoder.digests([t if isinstance(t, str) else "" for t in frame["text"]])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(documents, ["doc_id"], ["text"], run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
