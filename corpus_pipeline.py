@@ -24,3 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keep = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = quality.measure(docs, keep).where("kept").withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*docs.columns)
+
+
+STAGES = [("language", language_id), ("quality", quality_rules)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = load(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        path = work_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
