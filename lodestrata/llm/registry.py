@@ -1,12 +1,13 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import language, license_scan, packing, pieces, quality
+from lodestrata.llm import archive, language, license_scan, packing, pieces, quality
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_warc": archive.op2_warc,
     "op4_packing": packing.op4_packing,
     "op6_license": license_scan.op6_license,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
 }
-SQL = {"op6_license": license_scan.SQL, "op8_quality": quality.SQL}
+SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL}
