@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import archive, language, license_scan, packing, pieces, quality
+from lodestrata.llm import archive, language, license_scan, neardup, packing, pieces, quality
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -9,5 +9,6 @@ QUERIES = {
     "op6_license": license_scan.op6_license,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
+    "op10_neardup": neardup.op10_neardup,
 }
 SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL}
