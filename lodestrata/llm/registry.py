@@ -1,12 +1,14 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import archive, language, license_scan, neardup, packing, pieces, quality
+from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": archive.op2_warc,
+    "op3_scoring": scoring.op3_scoring,
     "op4_packing": packing.op4_packing,
     "op6_license": license_scan.op6_license,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
     "op10_neardup": neardup.op10_neardup,
