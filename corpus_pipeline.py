@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import language, packing, quality
+from lodestrata.llm import language, neardup, packing, quality, suffix_dedup
 from lodestrata.llm.common import load, work_path
 
 #: A document whose n-grams its best language holds to a smaller share than this has no language that is known here.
@@ -15,26 +15,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts without letters and unknown languages go."""
-    rows = language.identify(docs, docs, docs.columns)
-    return rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).drop("lang_pred", "score")
+    docs = docs.select(*COLUMNS)
+    rows = language.identify(docs, docs, COLUMNS)
+    return rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, with the lines that passed."""
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = quality.measure(docs, keep).where("kept").withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = quality.measure(docs.select(*COLUMNS), ["doc_id", "lang", "source"]).where("kept")
+    return rows.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
-STAGES = [("language", language_id), ("quality", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest id."""
+    staged = neardup.stage_rows(docs, COLUMNS)
+    keepers = neardup.near_duplicates(staged).where("keeper").select("_row")
+    return staged.join(keepers, "_row", "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document with a smaller id has too."""
+    staged = neardup.stage_rows(docs, COLUMNS)
+    kept = suffix_dedup.remove_repeats(staged, with_text=True).select("_row", "kept_text")
+    rows = staged.select("_row", "doc_id", "lang", "source").join(kept, "_row")
+    return rows.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    import public_tokenizers as tokenizers
+
+    return packing.pack(docs.select("doc_id", "text"), tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language", language_id),
+    ("quality", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", pack),
+]
+#: SQL has no form for most stages; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = load(spark, sf_dir, "documents").select(*COLUMNS)
+    docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = work_path(spark, f"stage-{name}")
+        path = work_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

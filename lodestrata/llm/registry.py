@@ -1,12 +1,13 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring
+from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": archive.op2_warc,
     "op3_scoring": scoring.op3_scoring,
     "op4_packing": packing.op4_packing,
+    "op5_suffix": suffix_dedup.op5_suffix,
     "op6_license": license_scan.op6_license,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_quality": quality.op8_quality,
