@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import language, neardup, packing, quality, suffix_dedup
-from lodestrata.llm.common import load, work_path
+from lodestrata.llm.common import load, materialize, work_path
 
 #: A document whose n-grams its best language holds to a smaller share than this has no language that is known here.
 LEAST_LANGUAGE_SHARE = 0.25
@@ -22,7 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, with the lines that passed."""
-    rows = quality.measure(docs.select(*COLUMNS), ["doc_id", "lang", "source"]).where("kept")
+    # written first: a filter pushed down to the scan would repeat the measures' nested expressions
+    rows = materialize(quality.measure(docs.select(*COLUMNS), ["doc_id", "lang", "source"]), "measured").where("kept")
     return rows.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 

@@ -38,13 +38,13 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wo
     n = len(h)
     code = np.zeros(n, np.uint64)
     left = words.first[words.doc + 1] - np.arange(n) if n else np.zeros(0, np.int64)  # words to the end of the text
-    power = np.uint64(1)
+    power = 1
     for k in range(WORDS):
         within = left > k
         part = np.zeros(n, np.uint64)
         part[: n - k] = h[k:] if k else h
-        code += np.where(within, part * power + np.uint64(k + 1), 0)
-        power = power * _C
+        code += np.where(within, part * np.uint64(power) + np.uint64(k + 1), 0)
+        power = power * int(_C) % (1 << 64)
     whole = (left >= WORDS) | (np.arange(n) == words.first[words.doc] if n else np.zeros(0, bool))
     code = mix64(code[whole]) >> np.uint64(64 - _HASH_BITS)
     doc = words.doc[whole]
