@@ -5,7 +5,7 @@ S with an L to their left.  The sorted S* suffixes induce the L suffixes, which
 runs bucket by bucket: a queue per first byte receives tuples (position, common prefix with the tuple before) in their final
 order, and goes to disk in chunks when the queues outgrow their memory.  The order of the S* suffixes comes from the string of
 their names, one recursion level down, where names are many and a priority queue with disk-backed runs takes the place of the
-buckets.  A tuple's common prefix is one more than the smallest value between the tuples that induced it and its predecessor.
+buckets; a string of names that fits in memory ends the recursion.  A tuple's common prefix is one more than the smallest value between the tuples that induced it and its predecessor.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Common-prefix values are exact up to here, which is all that a threshold below it needs.
-CAP = 200
+CAP = 64
 #: Tuples that queues hold in memory; the rest waits on disk.
 QUEUE_TUPLES = 4_000_000
+#: Strings of names up to this length end the recursion: they are sorted in memory.
+MEMORY_NAMES = 4_000_000
+#: Symbols (0 to 256, and one that stands after an end) that a 63-bit key holds.
+_PER_KEY, _AFTER = 7, 511
 
 
 class Scratch:
@@ -95,9 +99,43 @@ def _types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_of_names(names: np.ndarray, scratch: Scratch, limit: int = QUEUE_TUPLES) -> np.ndarray:
+def _refine(rank: np.ndarray, which: np.ndarray, key: np.ndarray) -> None:
+    """Split groups of equal rank by a key.  A rank is the number of smaller items; `which` holds whole groups."""
+    order = np.lexsort((key, rank[which]))
+    at, k = which[order], key[order]
+    r = rank[at]
+    new_group = np.concatenate([[True], r[1:] != r[:-1]])
+    new_key = new_group | np.concatenate([[True], k[1:] != k[:-1]])
+    here = np.arange(len(at))
+    group_start = np.maximum.accumulate(np.where(new_group, here, 0))
+    key_start = np.maximum.accumulate(np.where(new_key, here, 0))
+    rank[at] = r + key_start - group_start
+
+
+def _tied(rank: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
+
+
+def order_in_memory(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a string of names by doubling the length that ranks stand for, in tied groups only."""
+    n = len(names)
+    rank = np.zeros(n, np.int64)
+    _refine(rank, np.arange(n), names)
+    step = 1
+    while len(which := _tied(rank)):
+        after = which + step
+        _refine(rank, which, np.where(after < n, rank[np.minimum(after, n - 1)], -1))
+        step *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
+
+
+def order_of_names(names: np.ndarray, scratch: Scratch, limit: int = QUEUE_TUPLES, memory: int = MEMORY_NAMES) -> np.ndarray:
     """Suffix order of a string of names whose last name is unique and smallest where suffixes could otherwise tie."""
     n = len(names)
+    if n <= memory:
+        return order_in_memory(names) if n else np.zeros(0, np.int64)
     if n <= 1 or len(np.unique(names)) == n:
         return np.argsort(names, kind="stable")
     small = _types(names)
@@ -109,7 +147,7 @@ def order_of_names(names: np.ndarray, scratch: Scratch, limit: int = QUEUE_TUPLE
         pieces = [tuple(r[a : b + 1]) for a, b in zip(star.tolist(), ends, strict=True)]
         # the last piece runs to the end of the string, where no suffix equals it
         rank = {piece: i for i, piece in enumerate(sorted(set(pieces)))}
-        sorted_star = star[order_of_names(np.array([rank[p] for p in pieces], np.int64), scratch, limit)].tolist()
+        sorted_star = star[order_of_names(np.array([rank[p] for p in pieces], np.int64), scratch, limit, memory)].tolist()
     else:
         sorted_star = []
     # L from S* (and from the end of the string), smallest first; within a name L come before S
@@ -196,12 +234,12 @@ class _Buckets:
 class InducedSorter:
     """Suffixes of texts; each text is followed by a separator that is smaller than any byte and equal to no other."""
 
-    def __init__(self, texts: list[bytes], limit: int = QUEUE_TUPLES):
+    def __init__(self, texts: list[bytes], limit: int = QUEUE_TUPLES, memory: int = MEMORY_NAMES):
         joined = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
         t = joined.astype(np.int16) + 1
         ends = np.cumsum([len(x) + 1 for x in texts]) - 1 if texts else np.zeros(0, np.int64)
         t[ends] = 0
-        self.t, self.limit = t, limit
+        self.t, self.limit, self.memory = t, limit, memory
         # a separator sorts before the byte after it, so it is S; the byte before it is L
         self.small = _types(t)
         self.star = np.flatnonzero(self.small & np.concatenate([[len(t) > 0 and t[0] == 0], ~self.small[:-1]])) if len(t) else np.zeros(0, np.int64)
@@ -224,48 +262,38 @@ class InducedSorter:
         return out
 
     def _sorted_star(self, scratch: Scratch) -> np.ndarray:
-        star = self.star
-        by_symbol = star[np.argsort(self.t[star], kind="stable")]
-        order, _ = self._induce(by_symbol, None, scratch)
-        is_star = np.zeros(len(self.t), bool)
-        is_star[star] = True
-        substrings = order[is_star[order]]
-        # names: equal for equal substrings from one S* to the next; separators keep names of their own
-        following = np.full(len(self.t), len(self.t) - 1)
-        following[star[:-1]] = star[1:]
-        size = following[substrings] - substrings + 1
-        same = np.zeros(len(substrings), bool)
-        if len(substrings) > 1:
-            a, b = substrings[:-1], substrings[1:]
-            equal = (size[:-1] == size[1:]) & (self.t[a] != 0)
-            live = np.flatnonzero(equal)
-            k = 0
-            while len(live):
-                more = k < size[live]
-                live = live[more]
-                x, y = self.t[a[live] + k], self.t[b[live] + k]
-                # a substring that ends in a separator equals no other
-                bad = (x != y) | (x == 0)
-                equal[live[bad]] = False
-                live = live[~bad]
-                k += 1
-            same[1:] = equal
-        separators = self.t[substrings] == 0
-        name = np.empty(len(substrings), np.int64)
-        name[~separators] = np.cumsum(~same[~separators]) + len(substrings)
-        name[separators] = np.argsort(np.argsort(substrings[separators]))
-        at = np.empty(len(self.t), np.int64)
-        at[substrings] = name
-        reduced = at[star]
-        if len(np.unique(reduced)) == len(reduced):
-            return star[np.argsort(reduced, kind="stable")]
-        return star[order_of_names(reduced, scratch, self.limit)]
-
-    def _induce(self, seeds: np.ndarray, seed_lcp: np.ndarray | None, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+        """S* suffixes in order: their substrings up to the next S* are sorted and named, the string of names is sorted in turn."""
+        star, t = self.star, self.t
+        if not len(star):
+            return star
+        end = np.where(t[star] == 0, star, np.append(star[1:], len(t) - 1))  # a separator is told apart by its place alone
+        # the shorter of two substrings that agree so far ends in an S where the longer goes on with an L: it sorts after
+        rank = np.zeros(len(star), np.int64)
+        which, offset = np.arange(len(star)), 0
+        while len(which):
+            key = np.zeros(len(which), np.uint64)
+            for k in range(_PER_KEY):
+                at = star[which] + offset + k
+                key = (key << np.uint64(9)) | np.where(at <= end[which], t[np.minimum(at, len(t) - 1)], _AFTER).astype(np.uint64)
+            _refine(rank, which, key)
+            offset += _PER_KEY
+            longer = np.flatnonzero(end - star >= offset)
+            which = np.flatnonzero(np.isin(rank, rank[longer])) if len(longer) else longer
+            which = which[np.bincount(rank, minlength=len(rank))[rank[which]] > 1]
+        # separators differ by place, and so do substrings that end in one
+        closing = np.flatnonzero(t[end] == 0)
+        ties = np.flatnonzero(np.isin(rank, rank[closing]))
+        _refine(rank, ties, star[ties])
+        if not len(_tied(rank)):
+            out = np.empty(len(star), np.int64)
+            out[rank] = star
+            return out
+        return star[order_of_names(rank, scratch, self.limit, self.memory)]
+
+    def _induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes from the largest to the smallest where seeds are sorted, each with its common prefix with the one before."""
         t, small = self.t, self.small
         symbols = 257
-        with_lcp = seed_lcp is not None
         large = _Buckets(symbols, scratch, self.limit)
         kept = _Buckets(symbols, scratch, self.limit)
         first_seed = np.searchsorted(t[seeds], np.arange(symbols + 1))
@@ -282,17 +310,15 @@ class InducedSorter:
                 ok, symbol = ok[order], symbol[order]
                 head = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
                 tail = np.append(head[1:], len(ok)) - 1
-                value = np.zeros(len(ok), np.uint8)
-                if with_lcp:
-                    low = np.concatenate([[0], ok[:-1] + 1])
-                    low[head] = 0
-                    value = _RangeMin(lcp)(low, ok)
-                    value[head] = np.minimum(value[head], since[symbol[head]])
-                    value = np.minimum(value, CAP - 1) + np.uint8(1)
-                    value[head[~used[symbol[head]]]] = 0
+                low = np.concatenate([[0], ok[:-1] + 1])
+                low[head] = 0
+                value = _RangeMin(lcp)(low, ok)
+                value[head] = np.minimum(value[head], since[symbol[head]])
+                value = np.minimum(value, CAP - 1) + np.uint8(1)
+                value[head[~used[symbol[head]]]] = 0
                 for a, b in zip(head.tolist(), tail.tolist(), strict=True):
                     queue.append(int(symbol[a]), before[ok[a : b + 1]], value[a : b + 1])
-            if with_lcp and len(lcp):
+            if len(lcp):
                 since = np.minimum(since, lcp.min())
                 if len(ok):
                     rest = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
@@ -309,9 +335,8 @@ class InducedSorter:
                 push(large, position, lcp, lambda p, q: t[q] >= t[p])
             position = seeds[first_seed[c] : first_seed[c + 1]]
             if len(position):
-                lcp = seed_lcp[first_seed[c] : first_seed[c + 1]].copy() if with_lcp else np.zeros(len(position), np.uint8)
-                if with_lcp:
-                    lcp[0] = self._common(last, position[:1])[0] if last is not None else 0
+                lcp = seed_lcp[first_seed[c] : first_seed[c + 1]].copy()
+                lcp[0] = self._common(last, position[:1])[0] if last is not None else 0
                 push(large, position, lcp, lambda p, q: t[q] > t[p])
         since = np.zeros(symbols, np.uint8)
         used = np.zeros(symbols, bool)
@@ -334,13 +359,12 @@ class InducedSorter:
                 position = np.concatenate([p[0] for p in parts])[::-1]
                 up = np.concatenate([p[1] for p in parts])
                 lcp = np.append(up[1:], np.uint8(0))[::-1].copy()  # with the next larger one
-                lcp[0] = self._common(last, position[:1])[0] if with_lcp and last is not None else 0
+                lcp[0] = self._common(last, position[:1])[0] if last is not None else 0
                 out.append((position, lcp))
                 push(little, position, lcp, induced_from)
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        order, lcp = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-        return (order, lcp) if with_lcp else (order[::-1], lcp)
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all suffixes, the largest first, and each one's common prefix (up to CAP) with the one before."""
