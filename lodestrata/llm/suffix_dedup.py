@@ -69,8 +69,9 @@ class Block:
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data + np.uint64(1)) * up[:n], out=self.sums[1:])
-        key = mix64(self.hash(np.arange(n - GRAM + 1), GRAM))
-        least = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
+        key = mix64((self.sums[GRAM:] - self.sums[: n - GRAM + 1]) * self.down[: n - GRAM + 1])
+        least = key & np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(len(key), dtype=np.uint64)
         width = 1
         while 2 * width <= SPAN:
             least = np.minimum(least[:-width], least[width:])
@@ -79,7 +80,10 @@ class Block:
             least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
         size = self.ends - self.starts
         of = np.repeat(np.arange(len(size)), size)[: len(least)]
-        window = np.flatnonzero(np.arange(len(least)) + WINDOW <= self.ends[of])
+        inside = np.ones(len(least), bool)
+        for end in self.ends.tolist():  # windows that would cross the end of a document
+            inside[max(0, end - WINDOW + 1) : end] = False
+        window = np.flatnonzero(inside)
         if not len(window):
             return
         place = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
