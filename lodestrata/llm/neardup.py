@@ -3,9 +3,10 @@
 A text's five-word shingles, weighted by how often they occur, arrive as Poisson processes: each element's arrivals come at
 exponential steps scaled by its weight and hit random components; an element stops as soon as its next arrival lies beyond
 the largest minimum, for it can change nothing more.  Two signatures agree in a component with exactly the probability
-Jaccard similarity of the texts.  Bands of components make buckets; within a bucket, members are compared with a hub, and
-buckets whose members still lie in several classes get further hubs and then all remaining cross-class pairs, so that no
-link within a bucket is skipped.  Every compared pair is verified on its shingles.
+Jaccard similarity of the texts.  Bands of components make buckets; within a bucket, members are compared with a hub, the
+member that shares most buckets with others.  Buckets whose members still lie in several classes after some hubs are compared
+member by member, in blocks of bounded size, first by their signatures: texts of the required similarity agree in fewer than
+LEAST_AGREEING of 96 components with a chance of 3e-4.  Every link is verified on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Components are BANDS * ROWS; at a similarity of 0.8 a pair misses all buckets with a chance of 3e-6.
 BANDS, ROWS = 24, 4
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
+LEAST_AGREEING = 63
+#: Members of a block; two blocks are compared in one task's memory.
+BLOCK_MEMBERS = 512
 #: Bits of the filter that spares most rows the join with the rows to be compared: a fixed 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 _HASH_BITS = 44
@@ -107,21 +111,35 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def _sketch(staged: DataFrame) -> DataFrame:
-    """(_row, digest, buckets) of each text; no digest and no buckets where a text has no word."""
+    """(_row, digest, buckets, short) of each text, `short` being 16 bits of each component; no digest and no buckets without a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for part, texts in steps(iter([frame])):
                 doc, element, weight, words = shingles(texts)
-                buckets = bands(signatures(doc, element, weight, len(texts)))
+                signature = signatures(doc, element, weight, len(texts))
+                buckets, short = bands(signature), mix64(signature).astype(np.uint16)
                 digest = [hashlib.md5(words.hash[i:j].tobytes()).hexdigest() if j > i else None for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pd.DataFrame({"_row": part["_row"], "digest": digest, "buckets": [list(x) if d else [] for x, d in zip(buckets, digest, strict=True)]})
+                yield pd.DataFrame({"_row": part["_row"], "digest": digest, "buckets": [list(x) if d else [] for x, d in zip(buckets, digest, strict=True)], "short": [x.tobytes() for x in short]})
 
-    return staged.select("_row", "text").mapInPandas(run, "_row long, digest string, buckets array<long>")
+    return staged.select("_row", "text").mapInPandas(run, "_row long, digest string, buckets array<long>, short binary")
+
+
+def _packed(short: np.ndarray, weight: np.ndarray) -> bytes:
+    """Weights of distinct 32-bit shingles in order; nothing where all are 1."""
+    if weight.sum() == len(short):
+        return b"" if len(np.unique(short)) == len(short) else np.unique(short, return_counts=True)[1].astype(np.int32).tobytes()
+    distinct, back = np.unique(short, return_inverse=True)
+    return np.bincount(back, weights=weight, minlength=len(distinct)).astype(np.int32).tobytes()
+
+
+def _unpacked(s: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    short = np.frombuffer(s, np.uint32)
+    return short, np.frombuffer(n, np.int32) if n else np.ones(len(short), np.int32)
 
 
 def _weighted(staged: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(t, s, n): sorted shingles and weights, as bytes, of the rows in `wanted` (t)."""
+    """(t, s, n): sorted shingles (32 bits) and weights, as bytes, of the rows in `wanted` (t)."""
     cells = FILTER_BITS // 64
 
     def probe(x: np.ndarray) -> list[np.ndarray]:
@@ -148,8 +166,8 @@ def _weighted(staged: DataFrame, wanted: DataFrame) -> DataFrame:
                 doc, element, weight, _ = shingles(texts)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
                 yield pd.DataFrame({
-                    "t": part["_row"], "s": [element[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
-                    "n": [weight[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                    "t": part["_row"], "s": [np.unique(element[i:j].astype(np.uint32)).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                    "n": [_packed(element[i:j].astype(np.uint32), weight[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)],
                 })
 
     return staged.select("_row", "text").mapInPandas(run, "t long, s binary, n binary").join(wanted, "t", "left_semi")
@@ -161,7 +179,7 @@ def _verify(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             alike = [
-                probability_jaccard(np.frombuffer(s, np.uint64), np.frombuffer(n, np.int32), np.frombuffer(s2, np.uint64), np.frombuffer(n2, np.int32)) >= SIMILARITY - 1e-9
+                probability_jaccard(*_unpacked(s, n), *_unpacked(s2, n2)) >= SIMILARITY - 1e-9
                 for s, n, s2, n2 in zip(frame["s"], frame["n"], frame["s2"], frame["n2"], strict=True)
             ]
             yield frame.loc[alike, ["t", "u"]]
@@ -188,34 +206,84 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _in_blocks(members: DataFrame, short: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Links (t, u) between members (bucket, band, t, c) of a bucket that lie in two classes.
+
+    A bucket's members are dealt into blocks of about BLOCK_MEMBERS, and every two blocks meet in one group, so no group grows
+    with its bucket, and only links become rows.  Pairs whose signatures agree enough are verified, those that agree most
+    first; a pair is left out where links found in the group have united its classes, and in all but its first common bucket.
+    """
+    sizes = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("k")), "block-counts")
+    dealt = members.join(sizes, "bucket").join(short, "t").join(weighted, "t").withColumn("b", F.pmod(F.xxhash64("t"), F.col("k")).cast("int"))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("bucket", "band", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b", "t", "c", "short", "s", "n")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high, band = int(frame["low"].iloc[0]), int(frame["high"].iloc[0]), int(frame["band"].iloc[0])
+        a, b = frame[frame["b"] == low], frame[frame["b"] == high]
+        x, y = (np.frombuffer(b"".join(f["short"]), np.uint16).reshape(len(f), BANDS * ROWS) for f in (a, b))
+        ta, tb, ca, cb = a["t"].to_numpy(), b["t"].to_numpy(), a["c"].to_numpy(), b["c"].to_numpy()
+        agree = np.zeros((len(x), len(y)), np.uint8)
+        earlier = np.zeros((len(x), len(y)), bool)
+        for k in range(BANDS):
+            whole = np.ones((len(x), len(y)), bool)
+            for r in range(ROWS):
+                same = x[:, k * ROWS + r][:, None] == y[:, k * ROWS + r][None, :]
+                agree += same
+                whole &= same
+            if k < band:
+                earlier |= whole
+        i, j = np.nonzero((agree >= LEAST_AGREEING) & ~earlier & (ca[:, None] != cb[None, :]) & ((ta[:, None] < tb[None, :]) if low == high else True))
+        order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+        sa = [_unpacked(s, n) for s, n in zip(a["s"], a["n"], strict=True)]
+        sb = [_unpacked(s, n) for s, n in zip(b["s"], b["n"], strict=True)]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        links = []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, q = root(int(ca[x])), root(int(cb[y]))
+            if p != q and probability_jaccard(*sa[x], *sb[y]) >= SIMILARITY - 1e-9:
+                parent[p] = q
+                links.append((ta[x], tb[y]))
+        return pd.DataFrame(links, columns=["t", "u"], dtype="int64")
+
+    return met.groupBy("bucket", "low", "high").applyInPandas(compare, "t long, u long")
+
+
 def text_links(staged: DataFrame, sketched: DataFrame) -> DataFrame:
     """(t, c): each distinct text that shares a bucket, and its component; texts are named by a row (t)."""
     texts = sketched.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("t"))
-    named = materialize(sketched.select(F.col("_row").alias("t"), "buckets").join(texts.select("t"), "t", "left_semi").select("t", F.explode("buckets").alias("bucket")), "buckets")
-    shared = materialize(named.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "shared-buckets")
-    members = materialize(named.join(shared, "bucket"), "members")
-    nodes = materialize(members.select("t").distinct(), "nodes")
-    weighted = materialize(_weighted(staged, nodes), "weighted")
+    named = sketched.select(F.col("_row").alias("t"), "buckets", "short").join(texts.select("t"), "t", "left_semi")
+    named = materialize(named, "texts")
+    exploded = named.select("t", F.posexplode("buckets").alias("band", "bucket"))
+    shared = materialize(exploded.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "shared-buckets")
+    members = materialize(exploded.join(shared, "bucket"), "members")
+    nodes = materialize(members.groupBy("t").agg(F.sum("k").alias("weight")), "nodes")
+    weighted = materialize(_weighted(staged, nodes.select("t")), "weighted")
     labels = materialize(nodes.select("t", F.col("t").alias("c")), "labels")
     edges = None
     for step in range(HUB_ROUNDS + 1):
-        placed = materialize(members.join(labels, "t"), "placed")
-        hubs = placed.groupBy("bucket").agg(F.min(F.struct("t", "c")).alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        hubs = materialize(hubs.select("bucket", F.col("hub.t").alias("u"), F.col("hub.c").alias("uc")), "hubs")
+        placed = materialize(members.select("bucket", "band", "t").join(labels.join(nodes, "t"), "t"), "placed")
+        best = F.max(F.struct("weight", (-F.col("t")).alias("m"), "c")).alias("hub")
+        hubs = placed.groupBy("bucket").agg(best, F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+        hubs = materialize(hubs.select("bucket", (-F.col("hub.m")).alias("u"), F.col("hub.c").alias("uc")), "hubs")
         if hubs.isEmpty():
             break
         rest = placed.join(hubs, "bucket")
         if step < HUB_ROUNDS:
-            pairs = rest.where("c <> uc").select("t", "u").distinct()
-        else:  # what hubs could not settle: every pair of a bucket that lies in two classes
-            open_members = materialize(rest.select("bucket", "t", "c"), "open")
-            other = open_members.select("bucket", F.col("t").alias("u"), F.col("c").alias("uc"))
-            pairs = open_members.join(other, "bucket").where("u < t and c <> uc").select("t", "u").distinct()
-        found = materialize(_verify(materialize(pairs, "pairs"), weighted), "links")
+            pairs = materialize(rest.where("c <> uc").select("t", "u").distinct(), "pairs")
+            found = materialize(_verify(pairs, weighted), "links")
+        else:  # what hubs could not settle
+            found = materialize(_in_blocks(rest.select("bucket", "band", "t", "c"), named.select("t", "short"), weighted), "links")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(nodes, edges)
         # a hub has now been held against all members of its bucket
-        members = rest.where("t <> u").select("t", "bucket")
+        members = rest.where("t <> u").select("bucket", "band", "t")
     return labels
 
 
