@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -279,6 +280,14 @@ class Encoder:
         return out
 
 
+def _encoder(model_path: str) -> Encoder:
+    """The worker process's encoder, which its later tasks use again with the words it has learned."""
+    held = sys.__dict__.setdefault("_lodestrata_encoders", {})
+    if model_path not in held:
+        held[model_path] = Encoder(PieceModel(model_path))
+    return held[model_path]
+
+
 def encode_digests(documents: DataFrame, model_path: str) -> DataFrame:
     """Encode each document and decode its ids again.
 
@@ -287,7 +296,7 @@ def encode_digests(documents: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(PieceModel(model_path))
+        encoder = _encoder(model_path)
         for frame in batches:
             rows = encoder.digests([t if isinstance(t, str) else "" for t in frame["text"]])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
