@@ -25,11 +25,12 @@ def orphans(df: DataFrame, parents: DataFrame, child_key: str, parent_key: str)
     return df.where(F.col(child_key).isNotNull()).join(parents.select(F.col(parent_key).alias("_p")).distinct(), F.col(child_key) == F.col("_p"), "left_anti")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1, in_key_order: bool = True) -> DataFrame:
     """The next snapshot of a keyed table.
 
     Natural keys that exist keep their surrogate and take the source's values; new ones get surrogates above the largest; rows
     that the source lacks stay, or go if `delete_missing`, save the row at `never`.  `_action` tells insert, update, keep.
+    New surrogates follow the order of the keys, or without `in_key_order` that of buckets by hash, which many tasks number.
     """
     values = [c for c in source.columns if c not in keys]
     t = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(key_column).alias("_key"), *[F.col(v).alias(f"_t_{v}") for v in values])
@@ -38,8 +39,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: st
     joined = flagged.join(t, on, "full")
     top = target.agg(F.coalesce(F.max(F.when(F.col(key_column) > 0, F.col(key_column))), F.lit(0)).alias("_top"))
     fresh = joined.where("_key is null")
-    # numbers are given to new keys only, of which a load has few
-    fresh = fresh.crossJoin(F.broadcast(top)).withColumn("_key", F.col("_top") + F.row_number().over(Window.orderBy(*keys))).drop("_top").withColumn("_action", F.lit("insert"))
+    # numbers are given to new keys only
+    number = F.row_number().over(Window.orderBy(*keys)) if in_key_order else F.col("_number")
+    fresh = (fresh if in_key_order else numbered(fresh, keys)).crossJoin(F.broadcast(top)).withColumn("_key", F.col("_top") + number).drop("_top", "_number").withColumn("_action", F.lit("insert"))
     known = joined.where("_key is not null")
     changed = differs({v: F.col(v) for v in values}, {v: F.col(f"_t_{v}") for v in values})
     known = known.withColumn("_action", F.when(F.col("_in").isNull(), "keep").when(changed, "update").otherwise("keep"))
@@ -50,6 +52,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: st
     return rows.select(F.col("_key").alias(key_column), *[pick(c) for c in [*keys, *values]], "_action")
 
 
+def numbered(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+    """`_number` from 1 without gaps, the same on every run: rows are numbered within buckets of their keys' hash, and buckets
+    start where the ones before end.  Only the counts of `buckets` buckets meet in one task."""
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = df.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
+    return df.withColumn("_within", within).join(F.broadcast(starts), "_bucket").withColumn("_number", F.col("_start") + F.col("_within")).drop("_bucket", "_within", "_start")
+
+
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target and the source rows whose key it lacks."""
     return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))

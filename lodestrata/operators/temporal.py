@@ -26,22 +26,29 @@ def as_of(facts: DataFrame, versions: DataFrame, key: str, day: str, value: str,
     if not forgiving:
         joined = facts.join(v, (F.col(key) == F.col("_k")) & covers(F.col("_from"), F.col("_to"), F.col(day)), "left")
         return joined.withColumn(out, F.col("_v")).drop("_k", "_from", "_to", "_v") if out not in facts.columns else joined.drop(out).withColumnRenamed("_v", out).drop("_k", "_from", "_to")
-    # one row per key with all its versions: the fallback needs no second join
+    # the fallback is a row per key, so the second join adds no rows
     latest = v.groupBy("_k").agg(F.max_by("_v", "_from").alias("_last"))
     joined = facts.join(v, (F.col(key) == F.col("_k")) & covers(F.col("_from"), F.col("_to"), F.col(day)), "left").drop("_k", "_from", "_to")
     joined = joined.join(latest, F.col(key) == F.col("_k"), "left")
     return joined.withColumn(out, F.coalesce("_v", "_last")).drop("_k", "_v", "_last")
 
 
-def overlapping(versions: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Versions that start before an earlier-starting one of the same key ends.
+def overlap_flag(key: str, start: str, end: str) -> Column:
+    """True for a version that starts before an earlier-starting one of the same key ends, else false.
 
-    A running maximum of the ends before, per key, finds them with one sort and no self-join.
+    A running maximum of the ends before, per key, finds them with one sort and no self-join.  Null keys and null starts
+    overlap nothing.
     """
-    far = F.to_date(F.lit("9999-12-31"))
+    day = F.col(start).cast("date")
+    until = F.when(day.isNotNull(), F.coalesce(F.col(end).cast("date"), F.to_date(F.lit("9999-12-31"))))
     # frames by value leave out versions with the same start, which do not overlap each other here
-    before = F.max(F.coalesce(F.col(end).cast("date"), far)).over(Window.partitionBy(key).orderBy(F.unix_date(F.col(start).cast("date"))).rangeBetween(Window.unboundedPreceding, -1))
-    return versions.withColumn("_before", before).where(F.col(start).cast("date") < F.col("_before")).drop("_before")
+    before = F.max(until).over(Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.col(key).isNotNull() & (day < before), F.lit(False))
+
+
+def overlapping(versions: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Versions for which `overlap_flag` holds."""
+    return versions.withColumn("_overlap", overlap_flag(key, start, end)).where("_overlap").drop("_overlap")
 
 
 def level_series(spans: DataFrame, start: str, end: str, amount: Column, points: DataFrame, point: str) -> DataFrame:
@@ -58,15 +65,17 @@ def level_series(spans: DataFrame, start: str, end: str, amount: Column, points:
     return line.withColumn("level", level).where("_point = 1").select(F.col("_at").alias(point), F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def near_pairs(events: DataFrame, key: str, at: str, event_id: str, seconds: int, differ: str) -> DataFrame:
-    """For each event the nearest earlier one of the same key, at most `seconds` before, whose `differ` is another.
+def near_pairs(events: DataFrame, key: str, at: str, event_id: str, seconds: int, differ: str, later_where: Column | None = None) -> DataFrame:
+    """For each event (of those where `later_where` holds) the nearest earlier one of the same key, at most `seconds` before,
+    whose `differ` is another.  Nulls in any of these columns pair with nothing.
 
     Time is cut into buckets of the interval's length and each event meets its own and the previous bucket only, so a key
     with very many events does not meet itself as a whole.
     """
-    base = events.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(event_id).alias("_id"), F.col(differ).alias("_d")).withColumn("_s", F.unix_micros(F.col("_at").cast("timestamp")))
+    is_later = F.lit(True) if later_where is None else F.coalesce(later_where, F.lit(False))
+    base = events.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(event_id).alias("_id"), F.col(differ).alias("_d"), is_later.alias("_later")).withColumn("_s", F.unix_micros(F.col("_at").cast("timestamp")))
     step = seconds * 1_000_000
-    later = base.withColumn("_b", F.floor(F.col("_s") / step))
+    later = base.where("_later").withColumn("_b", F.floor(F.col("_s") / step))
     earlier = base.select("_key", F.col("_at").alias("_at0"), F.col("_id").alias("_id0"), F.col("_d").alias("_d0"), F.col("_s").alias("_s0"), F.explode(F.array(F.floor(F.col("_s") / step), F.floor(F.col("_s") / step) + 1)).alias("_b"))
     close = (F.col("_s0") < F.col("_s")) & (F.col("_s") - F.col("_s0") <= step) & (F.col("_d") != F.col("_d0"))
     pairs = later.join(earlier, ["_key", "_b"]).where(close)
