@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans.queries import QUERIES, SQL
+from lodestrata.plans import queries, star_queries
+
+QUERIES, SQL = {**queries.QUERIES, **star_queries.QUERIES}, {**queries.SQL, **star_queries.SQL}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
