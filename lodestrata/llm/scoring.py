@@ -4,7 +4,9 @@ Every byte is coded as eight binary decisions, each made in its own context tree
 Krichevsky-Trofimov estimate; a context's weighted probability mixes its own estimate with the product of its children, half
 and half, from the longest context up to none.  Training counts byte n-grams over all training texts (node counts are sums of
 them); the trained tree's predictive probability of every byte in every seen context is then tabulated once, and a text's
-score is a sum of table entries.  Texts start in a context of zero bytes and end with the byte 0xFF, which UTF-8 never holds.
+score is a sum of table entries.  The driver holds the tree of contexts up to two bytes, which no input makes larger than
+those 65793 contexts; contexts of full length are counted out and tabulated in parts, and the tables lie in a work table.
+Tables of the most frequent ones travel to every task; the bytes of all others are joined with theirs.  Texts start in a context of zero bytes and end with the byte 0xFF, which UTF-8 never holds.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import Words, broadcast_arrays, crc_remainder, load, mapped, materialize, steps
 
-#: Bytes of context.  The driver builds the tree of a depth only while its contexts number at most MOST_CONTEXTS; beyond
-#: that a shallower tree is built, so that what is broadcast stays below MOST_CONTEXTS * 1 KB.
+#: Bytes of context, at every size of the input.
 DEPTH = 3
-MOST_CONTEXTS = 100_000
+#: The most frequent contexts of full length, whose tables (1 KB each) travel to every task; those of all others are joined.
+HEAD_CONTEXTS = 1 << 16
+#: Parts in which contexts of full length are tabulated, by their last DEPTH - 1 bytes: at most 256 of those in a part.
+PARTS = 256
 #: The most frequent words travel to every task (16 bytes each); all others are joined.
 HEAD_WORDS = 1 << 19
 TEXT_END = 255
@@ -104,111 +108,131 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+def _nodes(at: np.ndarray, byte: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seen nodes of `size` contexts (256 * context + the bits of the byte decided so far, from 1 to 255), their zeros and ones."""
+    z, o = np.zeros(size * 256), np.zeros(size * 256)
+    for bit in range(8):
+        prefix = (1 << bit) | (byte >> (8 - bit))
+        one = (byte >> (7 - bit)) & 1 == 1
+        np.add.at(z, (at * 256 + prefix)[~one], counts[~one])
+        np.add.at(o, (at * 256 + prefix)[one], counts[one])
+    seen = np.flatnonzero(z + o)
+    return seen, z[seen], o[seen]
+
+
+def _byte_logs(predicted: np.ndarray) -> np.ndarray:
+    """log10 P(byte) from the probabilities of a one in every node."""
+    out = np.zeros(predicted.shape)
+    byte = np.arange(256)
+    for bit in range(8):
+        one = predicted[:, (1 << bit) | (byte >> (8 - bit))]
+        out += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, one, 1 - one))
+    return out.astype(np.float32)
+
+
 class ContextTree:
-    """Tables of log10 P(byte | context) of a trained tree: `keys[d]` the contexts of d bytes, `logs[d]` (contexts, 256)."""
+    """Tables of log10 P(byte | context) of a trained tree: `keys[d]` the contexts of d bytes, `logs[d]` (contexts, 256).
+
+    `below` holds nodes (256 * context + bits) of the longest contexts here, sorted, and the sums of the weighted log
+    probabilities of their children, where the tree goes on; without it the tree ends here.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, below: tuple[np.ndarray, np.ndarray] | None = None):
         self.depth = depth
-        context = [grams >> np.uint64(8)] * (depth + 1)
-        for d in range(depth, -1, -1):
-            context[d] = (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
         byte = (grams & np.uint64(255)).astype(np.int64)
-        # nodes: a context and the bits of the byte decided so far, as a number from 1 to 255
-        self.keys, nodes, zeros, ones = [], [], [], []
+        self.keys, self.nodes, self.zeros, self.ones = [], [], [], []
         for d in range(depth + 1):
-            key = np.unique(context[d])
+            context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
+            key = np.unique(context)
             self.keys.append(key)
-            at = np.searchsorted(key, context[d])
-            z, o = np.zeros(len(key) * 256), np.zeros(len(key) * 256)
-            for bit in range(8):
-                prefix = (1 << bit) | (byte >> (8 - bit))
-                one = (byte >> (7 - bit)) & 1 == 1
-                np.add.at(z, (at * 256 + prefix)[~one], counts[~one])
-                np.add.at(o, (at * 256 + prefix)[one], counts[one])
-            seen = np.flatnonzero(z + o)
-            nodes.append(seen)
-            zeros.append(z[seen])
-            ones.append(o[seen])
-            del z, o
+            for held, part in zip((self.nodes, self.zeros, self.ones), _nodes(np.searchsorted(key, context), byte, counts, len(key)), strict=True):
+                held.append(part)
         # from the longest context up: own estimate and children, half and half; own[d] is the weight of the own estimate
-        own: list[np.ndarray] = [np.ones(0)] * (depth + 1)
-        below = None
+        self.own: list[np.ndarray] = [np.ones(0)] * (depth + 1)
+        children = None
+        if below is not None:
+            children = np.zeros(len(self.nodes[depth]))
+            node = np.searchsorted(self.keys[depth], (below[0] // 256).astype(np.uint64)) * 256 + below[0] % 256
+            children[np.searchsorted(self.nodes[depth], node)] = below[1]
         for d in range(depth, -1, -1):
-            kt = _log_kt(zeros[d], ones[d])
-            if below is None:
+            kt = _log_kt(self.zeros[d], self.ones[d])
+            if children is None:
                 weighted = kt
-                own[d] = np.ones(len(kt))
+                self.own[d] = np.ones(len(kt))
             else:
-                weighted = np.logaddexp(kt, below) + np.log(0.5)
-                own[d] = np.exp(kt + np.log(0.5) - weighted)
+                weighted = np.logaddexp(kt, children) + np.log(0.5)
+                self.own[d] = np.exp(kt + np.log(0.5) - weighted)
             if d:
                 parent_key = self.keys[d] & np.uint64((1 << (8 * (d - 1))) - 1)
-                parent = np.searchsorted(self.keys[d - 1], parent_key)[nodes[d] // 256] * 256 + nodes[d] % 256
-                below = np.bincount(np.searchsorted(nodes[d - 1], parent), weights=weighted, minlength=len(nodes[d - 1]))
+                parent = np.searchsorted(self.keys[d - 1], parent_key)[self.nodes[d] // 256] * 256 + self.nodes[d] % 256
+                children = np.bincount(np.searchsorted(self.nodes[d - 1], parent), weights=weighted, minlength=len(self.nodes[d - 1]))
         self.logs = []
-        upper = None
         for d in range(depth + 1):
+            # contexts whose longer contexts were never seen (at the full depth: none is longer): a node below decides nothing
             table = np.zeros((len(self.keys[d]), 256), np.float32)
-            for begin in range(0, len(table), 4096):
-                rows = np.arange(begin, min(begin + 4096, len(table)))
-                table[rows] = self._table(rows, d, nodes, zeros, ones, own)
+            for rows in self._steps(d):
+                fixed, share = self._mixed(rows, d)
+                table[rows] = _byte_logs(fixed + share * 0.5)
             self.logs.append(table)
-            upper = table
-        del upper
 
-    def _table(self, rows: np.ndarray, d: int, nodes: list, zeros: list, ones: list, own: list) -> np.ndarray:
-        """log10 P(byte) of contexts of depth d whose longer contexts were never seen (at the full depth: none is longer)."""
-        predicted = np.full((len(rows), 256), 0.5)  # an unseen node below decides nothing
+    def _steps(self, d: int) -> Iterator[np.ndarray]:
+        for begin in range(0, len(self.keys[d]), 4096):
+            yield np.arange(begin, min(begin + 4096, len(self.keys[d])))
+
+    def _mixed(self, rows: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """(fixed, share): with p predicted by longer contexts, a node of these contexts of depth d predicts fixed + share * p."""
+        fixed, share = np.zeros((len(rows), 256)), np.ones((len(rows), 256))
         for level in range(d, -1, -1):
             key = self.keys[d][rows] & np.uint64((1 << (8 * level)) - 1)
-            place = np.searchsorted(self.keys[level], key)
-            kt = np.full((len(rows), 256), 0.5)
-            weight = np.full((len(rows), 256), 1.0 if level == self.depth else 0.5)
-            distinct, back = np.unique(place, return_inverse=True)
-            low = np.searchsorted(nodes[level], distinct * 256)
-            high = np.searchsorted(nodes[level], distinct * 256 + 256)
-            k, w = np.full((len(distinct), 256), 0.5), weight[: len(distinct)].copy()
-            size = high - low
+            distinct, back = np.unique(np.searchsorted(self.keys[level], key), return_inverse=True)
+            low = np.searchsorted(self.nodes[level], distinct * 256)
+            size = np.searchsorted(self.nodes[level], distinct * 256 + 256) - low
+            # an unseen node predicts one half, and so do all below it
+            kt, weight = np.full((len(distinct), 256), 0.5), np.full((len(distinct), 256), 0.5)
             flat = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             row = np.repeat(np.arange(len(distinct)), size)
-            column = nodes[level][flat] % 256
-            k[row, column] = (ones[level][flat] + 0.5) / (zeros[level][flat] + ones[level][flat] + 1)
-            w[row, column] = own[level][flat]
-            kt, weight = k[back], w[back]
-            predicted = weight * kt + (1 - weight) * predicted
-        out = np.zeros((len(rows), 256))
-        byte = np.arange(256)
-        for bit in range(8):
-            one = predicted[:, (1 << bit) | (byte >> (8 - bit))]
-            out += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, one, 1 - one))
-        return out.astype(np.float32)
+            column = self.nodes[level][flat] % 256
+            kt[row, column] = (self.ones[level][flat] + 0.5) / (self.zeros[level][flat] + self.ones[level][flat] + 1)
+            weight[row, column] = self.own[level][flat]
+            kt, weight = kt[back], weight[back]
+            fixed = weight * kt + (1 - weight) * fixed
+            share = (1 - weight) * share
+        return fixed, share
+
+    def mixtures(self) -> dict[str, np.ndarray]:
+        """What the longest contexts here do with what still longer ones predict, see _mixed."""
+        fixed, share = np.zeros((2, len(self.keys[self.depth]), 256))
+        for rows in self._steps(self.depth):
+            fixed[rows], share[rows] = self._mixed(rows, self.depth)
+        return {"keys": self.keys[self.depth], "fixed": fixed, "share": share}
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {f"{name}{d}": a for name, tables in (("keys", self.keys), ("logs", self.logs)) for d, a in enumerate(tables)}
 
 
-def score_texts(texts: list[bytes], model: dict[str, np.ndarray], depth: int) -> np.ndarray:
-    """log10 probability of each text with its end."""
+def score_bytes(texts: list[bytes], model: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, value, far): each coded byte's (context, byte) code, log10 probability by the longest context that the model
+    holds, and whether the model lacks its full context."""
     code = _grams(texts, depth)
     context, byte = code >> np.uint64(8), (code & np.uint64(255)).astype(np.int64)
     value = np.zeros(len(code))
     open_at = np.arange(len(code))
-    for d in range(depth, -1, -1):  # the longest context that training saw
+    far = np.zeros(len(code), bool)
+    for d in range(depth, -1, -1):
         if not len(open_at):
             break
         keys, logs = model[f"keys{d}"], model[f"logs{d}"]
-        if not len(keys):
-            continue
-        wanted = context[open_at] & np.uint64((1 << (8 * d)) - 1)
-        distinct, back = (wanted, slice(None)) if d == 0 else _places(wanted)
-        at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-        found = (keys[at] == distinct)[back]
-        value[open_at[found]] = logs[at[back][found], byte[open_at[found]]]
-        open_at = open_at[~found]
+        if len(keys):
+            wanted = context[open_at] & np.uint64((1 << (8 * d)) - 1)
+            distinct, back = (wanted, slice(None)) if d == 0 else _places(wanted)
+            at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            found = (keys[at] == distinct)[back]
+            value[open_at[found]] = logs[at[back][found], byte[open_at[found]]]
+            open_at = open_at[~found]
+        if d == depth:
+            far[open_at] = True
     value[open_at] = 8 * np.log10(0.5)  # nothing was learned
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    sums = np.concatenate([[0.0], np.cumsum(value)])
-    return np.diff(sums[np.concatenate([[0], ends])])
+    return code, value, far
 
 
 def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,21 +246,67 @@ def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_inverse=True)
 
 
-def build_tree(counts: DataFrame, depth: int = DEPTH) -> ContextTree:
-    """The tree of the counted n-grams, as deep as `depth` and MOST_CONTEXTS allow."""
+def _longest(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, n, nodes, zeros, ones) of the contexts of full length in some rows (key, n) of n-gram counts."""
+    frame = frame.sort_values("key")
+    grams, n = frame["key"].to_numpy().view(np.uint64), frame["n"].to_numpy().astype(np.float64)
+    context, at = np.unique(grams >> np.uint64(8), return_inverse=True)
+    return context, np.bincount(at, weights=n, minlength=len(context)), *_nodes(at, (grams & np.uint64(255)).astype(np.int64), n, len(context))
+
+
+def build_tree(counts: DataFrame) -> tuple[ContextTree, DataFrame]:
+    """The tree of the counted n-grams: contexts of up to DEPTH - 1 bytes, and the table (context, n, logs) of those of DEPTH."""
+    spark = counts.sparkSession
+    suffix = np.uint64((1 << (8 * (DEPTH - 1))) - 1)
     grams = counts.where("kind = 1").select("key", "n")
-    while depth > 0:
-        shift = 8 * (DEPTH + 1)
-        mask = (1 << min(8 * (depth + 1), shift)) - 1
-        shorter = grams.select(F.col("key").bitwiseAND(F.lit(mask)).alias("key"), "n")
-        if shorter.select(F.shiftright("key", 8).alias("c")).distinct().count() <= MOST_CONTEXTS:
-            break
-        depth -= 1
-    mask = (1 << (8 * (depth + 1))) - 1
+    grams = grams.withColumn("part", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(int(suffix)))), F.lit(PARTS)).cast("int"))
+
+    def children(frame: pd.DataFrame) -> pd.DataFrame:
+        context, _, nodes, zeros, ones = _longest(frame)
+        parent = ((context & suffix) * np.uint64(256)).view(np.int64)[nodes // 256] + nodes % 256
+        node, back = np.unique(parent, return_inverse=True)
+        return pd.DataFrame({"node": node, "weighted": np.bincount(back, weights=_log_kt(zeros, ones), minlength=len(node))})
+
+    below = grams.groupBy("part").applyInPandas(children, "node long, weighted double").toArrow()
+    node, weighted = below.column("node").to_numpy(), below.column("weighted").to_numpy()
+    order = np.argsort(node)
+    mask = (1 << (8 * DEPTH)) - 1
     rows = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64)
+    by_key = np.argsort(key)
+    tree = ContextTree(key[by_key], n[by_key], DEPTH - 1, (node[order], weighted[order]))
+    shared = broadcast_arrays(spark, 256 ** (DEPTH - 1) * (2 * 2048 + 8), **tree.mixtures())
+
+    def tabulate(frame: pd.DataFrame) -> pd.DataFrame:
+        context, n, nodes, zeros, ones = _longest(frame)
+        mixed = shared.value
+        parent = np.searchsorted(mixed["keys"], context & suffix)
+        logs = np.zeros((len(context), 256), np.float32)
+        for begin in range(0, len(context), 4096):
+            to = min(begin + 4096, len(context))
+            low, high = np.searchsorted(nodes, (begin * 256, to * 256))
+            predicted = np.full((to - begin, 256), 0.5)
+            predicted.reshape(-1)[nodes[low:high] - begin * 256] = (ones[low:high] + 0.5) / (zeros[low:high] + ones[low:high] + 1)
+            at = parent[begin:to]
+            logs[begin:to] = _byte_logs(mixed["fixed"][at] + mixed["share"][at] * predicted)
+        return pd.DataFrame({"context": context.view(np.int64), "n": n.astype(np.int64), "logs": list(logs)})
+
+    return tree, materialize(grams.groupBy("part").applyInPandas(tabulate, "context long, n long, logs array<float>"), "tables")
+
+
+def _head(tables: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame | None]:
+    """The HEAD_CONTEXTS most frequent contexts with their tables, and the table of all others, if there are any."""
+    last = tables.select("n", "context").orderBy(F.desc("n"), "context").limit(HEAD_CONTEXTS + 1).toArrow()
+    rest = None
+    if last.num_rows > HEAD_CONTEXTS:
+        n, context = (last.column(c)[HEAD_CONTEXTS - 1].as_py() for c in ("n", "context"))
+        inside = (F.col("n") > n) | ((F.col("n") == n) & (F.col("context") <= context))
+        tables, rest = tables.where(inside), tables.where(~inside)
+    rows = tables.select("context", "logs").toArrow()
+    key = rows.column("context").to_numpy().view(np.uint64)
+    logs = rows.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, 256)
     order = np.argsort(key)
-    return ContextTree(key[order], n[order], depth)
+    return {f"keys{DEPTH}": key[order], f"logs{DEPTH}": logs[order]}, rest
 
 
 def score(documents: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
@@ -252,14 +322,16 @@ def score(documents: DataFrame, training: DataFrame, keep: list[str]) -> DataFra
     ends = totals.get(2, (0, 0))[0] or 0
     tokens = totals.get(0, (0, 0))[0] + ends
     distinct = totals.get(0, (0, 0))[1] + (ends > 0)
-    tree = build_tree(counts)
-    depth = tree.depth
+    tree, tables = build_tree(counts)
+    head, rest = _head(tables)
+    joins = rest is not None
     words = counts.where("kind = 0").select("key", "n")
     top = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
     head_key, head_n = top.column("key").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(head_key)
-    shared = broadcast_arrays(spark, (MOST_CONTEXTS * 2) * 1100 + 16 * HEAD_WORDS, head_key=head_key[order], head_n=head_n[order], **tree.arrays())
-    del tree
+    limit = (HEAD_CONTEXTS + 2 * 256 ** (DEPTH - 1)) * 1032 + 16 * HEAD_WORDS
+    shared = broadcast_arrays(spark, limit, head_key=head_key[order], head_n=head_n[order], **tree.arrays(), **head)
+    del tree, head
     log_total = float(np.log10(tokens + distinct + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,30 +344,51 @@ def score(documents: DataFrame, training: DataFrame, keep: list[str]) -> DataFra
             known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
             logs = np.where(known, np.log10(np.where(known, n[at] if len(keys) else 0, 0) + 1.0) - log_total, 0.0)
             end_log = float(np.log10(ends + 1)) - log_total
-            rest = np.flatnonzero(~known)
-            cut = np.searchsorted(w.doc[rest], np.arange(len(texts) + 1))
-            tail = hashes[rest]
-            scores = score_texts(texts, model, depth)
+            unknown = np.flatnonzero(~known)
+            cut = np.searchsorted(w.doc[unknown], np.arange(len(texts) + 1))
+            tail = hashes[unknown]
+            code, value, far = score_bytes(texts, model, DEPTH)
+            coded = np.array([len(t) + 1 for t in texts])
+            far &= joins  # where the model holds every context, what it lacks was never seen
+            doc = np.repeat(np.arange(len(texts), dtype=np.uint64), coded)
+            pair, first, times = np.unique((doc[far] << np.uint64(8 * DEPTH + 8)) | code[far], return_index=True, return_counts=True)
+            low = value[far][first]
+            value[far] = 0
+            ends_at = np.concatenate([[0], np.cumsum(coded)])
+            scores = np.diff(np.concatenate([[0.0], np.cumsum(value)])[ends_at])
+            gram = (pair & np.uint64((1 << (8 * DEPTH + 8)) - 1)).view(np.int64)
+            far_cut = np.searchsorted(pair, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(8 * DEPTH + 8))
+            spans = list(zip(far_cut[:-1], far_cut[1:], strict=True))
             yield part.drop(columns="text").assign(
                 n_tokens=w.per_doc + 1,
                 _known=np.bincount(w.doc, weights=known, minlength=len(texts)).astype(np.int64) + int(ends > 0),
                 _base=np.bincount(w.doc, weights=logs, minlength=len(texts)) + end_log,
-                score=scores,
-                bits_per_byte=-scores * np.log2(10) / np.array([len(t) + 1 for t in texts]),
+                _score=scores,
+                _coded=coded,
                 _tail=[tail[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                _far=[gram[i:j] for i, j in spans],
+                _times=[times[i:j] for i, j in spans],
+                _low=[low[i:j] for i, j in spans],
             )
 
-    extra = "n_tokens long, _known long, _base double, score double, bits_per_byte double, _tail array<long>"
+    extra = "n_tokens long, _known long, _base double, _score double, _coded long, _tail array<long>, _far array<long>, _times array<long>, _low array<double>"
     scored = mapped(documents.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], ["text"], run, extra)
     scored = materialize(scored, "scored")
     tail = scored.select("_row", F.explode("_tail").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("k"))
     looked = tail.join(words, "key", "left").groupBy("_row").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - log_total)).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("m")
     )
-    rows = scored.drop("_tail").join(looked, "_row", "left")
+    rows = scored.drop("_tail", "_far", "_times", "_low").join(looked, "_row", "left").withColumn("score", F.col("_score"))
+    if joins:
+        far = scored.select("_row", F.explode(F.arrays_zip("_far", "_times", "_low")).alias("x")).select("_row", "x.*")
+        far = far.select("_row", F.shiftright("_far", 8).alias("context"), (F.col("_far").bitwiseAND(F.lit(255)) + 1).cast("int").alias("place"), "_times", "_low")
+        log = F.coalesce(F.element_at("logs", F.col("place")).cast("double"), F.col("_low"))  # no table: the context was never seen
+        far = far.join(rest.select("context", "logs"), "context", "left").select("_row", (F.col("_times") * log).alias("f")).groupBy("_row").agg(F.sum("f").alias("f"))
+        rows = rows.join(far, "_row", "left").withColumn("score", F.col("_score") + F.coalesce("f", F.lit(0.0)))
     return rows.select(
         *keep, "n_tokens", (F.col("_known") + F.coalesce("m", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+        (F.col("_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
+        (-F.col("score") * float(np.log2(10)) / F.col("_coded")).alias("bits_per_byte"),
     )
 
 

@@ -87,6 +87,27 @@ def test_context_tree_is_a_distribution_and_scores(spark, docs, none):
     assert scoring.score(docs, none, ["doc_id"]).first().train_tokens == 0
 
 
+@pytest.mark.parametrize("most", [40, 1 << 16])
+def test_scores_keep_their_depth_whatever_the_number_of_contexts(spark, docs, monkeypatch, most):
+    for name in ("MOST_CONTEXTS", "HEAD_CONTEXTS"):
+        monkeypatch.setattr(scoring, name, most, raising=False)
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    training = rows.where("doc_id % 3 != 2")
+    texts = [(r.text or "").encode() for r in training.collect()]
+    grams, n = np.unique(scoring._grams(texts, 3), return_counts=True)
+    assert len(np.unique(grams >> np.uint64(8))) > 40
+    tree = scoring.ContextTree(grams, n.astype(float), 3)
+    tables = [dict(zip(keys.tolist(), logs, strict=True)) for keys, logs in zip(tree.keys, tree.logs, strict=True)]
+    got = {r.doc_id: r for r in scoring.score(rows, training, ["doc_id"]).collect()}
+    for r in rows.collect():
+        want, data = 0.0, b"\0\0\0" + (r.text or "").encode() + b"\xff"
+        for i in range(3, len(data)):
+            contexts = [int.from_bytes(data[i - d : i], "big") for d in range(4)]
+            want += next(float(tables[d][contexts[d]][data[i]]) for d in (3, 2, 1, 0) if contexts[d] in tables[d])
+        assert abs(got[r.doc_id].score - want) < 1e-3 + 1e-6 * abs(want)
+        assert abs(got[r.doc_id].bits_per_byte + want * np.log2(10) / (len(data) - 3)) < 1e-3
+
+
 def test_packing_places_every_id_once(spark, docs, none):
     from tokenizers import Tokenizer
 
