@@ -5,8 +5,8 @@ exponential steps scaled by its weight and hit random components; an element sto
 the largest minimum, for it can change nothing more.  Two signatures agree in a component with exactly the probability
 Jaccard similarity of the texts.  Bands of components make buckets; within a bucket, members are compared with a hub, the
 member that shares most buckets with others.  Buckets whose members still lie in several classes after some hubs are compared
-member by member, in blocks of bounded size, first by their signatures: texts of the required similarity agree in fewer than
-LEAST_AGREEING of 96 components with a chance of 3e-4.  Every link is verified on the shingles of both texts.
+member by member, in blocks of bounded size, first by an upper bound of their similarity, which no pair of the required
+similarity fails.  Every link is verified on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ SIMILARITY = 0.8
 #: Components are BANDS * ROWS; at a similarity of 0.8 a pair misses all buckets with a chance of 3e-6.
 BANDS, ROWS = 24, 4
 HUB_ROUNDS = 3
-LEAST_AGREEING = 63
 #: Members of a block; two blocks are compared in one task's memory.
 BLOCK_MEMBERS = 512
 #: Bits of the filter that spares most rows the join with the rows to be compared: a fixed 8 MB, whatever the input.
@@ -110,6 +109,35 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1.0 / (above / x + below / y)))
 
 
+def most_alike(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Upper bound of the probability Jaccard similarity of texts that share elements of weight `xs` and `ys` (of 1); what it is
+    where all weights of a text are equal.
+
+    The term of a shared d is 1 / sum over d' of max(a(d')/a(d), b(d')/b(d)).  Elements of one text alone add (1-xs)/a(d) and
+    (1-ys)/b(d) to that sum, shared ones at least xs/a(d), so the term is at most 1 / (1/a(d) + (1-ys)/b(d)).  That is concave
+    and homogeneous in a(d) and b(d), so the sum of the terms is at most its value at their sums, xs and ys.
+    """
+    return np.where(xs * ys > 0, xs * ys / np.maximum(xs + ys - xs * ys, 1e-300), 0.0)
+
+
+def _sharing(a: list, b: list, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text of `a` with wanted pairs: its number, those of its wanted texts of `b`, and most_alike of each; texts are (shingles, weights)."""
+    short, weight = np.concatenate([x[0] for x in b]), np.concatenate([x[1] / max(1, x[1].sum()) for x in b])
+    size = np.array([len(x[0]) for x in b])
+    owner = np.repeat(np.arange(len(b)), size)
+    order = np.argsort(short, kind="stable")
+    short, weight, owner = short[order], weight[order], owner[order]
+    for i in np.flatnonzero(wanted.any(axis=1)).tolist():
+        s, n = a[i]
+        low, high = np.searchsorted(short, s, "left"), np.searchsorted(short, s, "right")
+        times = high - low
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        xs = np.bincount(owner[at], weights=np.repeat(n / max(1, n.sum()), times), minlength=len(b))
+        ys = np.bincount(owner[at], weights=weight[at], minlength=len(b))
+        j = np.flatnonzero(wanted[i])
+        yield i, j, most_alike(xs[j], ys[j])
+
+
 def _sketch(staged: DataFrame) -> DataFrame:
     """(_row, digest, buckets, short) of each text, `short` being 16 bits of each component; no digest and no buckets without a word."""
 
@@ -210,8 +238,8 @@ def _in_blocks(members: DataFrame, short: DataFrame, weighted: DataFrame) -> Dat
     """Links (t, u) between members (bucket, band, t, c) of a bucket that lie in two classes.
 
     A bucket's members are dealt into blocks of about BLOCK_MEMBERS, and every two blocks meet in one group, so no group grows
-    with its bucket, and only links become rows.  Pairs whose signatures agree enough are verified, those that agree most
-    first; a pair is left out where links found in the group have united its classes, and in all but its first common bucket.
+    with its bucket, and only links become rows.  Pairs that can be alike (most_alike) are verified, those whose signatures
+    agree most first; a pair is left out where links found in the group have united its classes, and in all but its first common bucket.
     """
     sizes = materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("k")), "block-counts")
     dealt = members.join(sizes, "bucket").join(short, "t").join(weighted, "t").withColumn("b", F.pmod(F.xxhash64("t"), F.col("k")).cast("int"))
@@ -233,10 +261,15 @@ def _in_blocks(members: DataFrame, short: DataFrame, weighted: DataFrame) -> Dat
                 whole &= same
             if k < band:
                 earlier |= whole
-        i, j = np.nonzero((agree >= LEAST_AGREEING) & ~earlier & (ca[:, None] != cb[None, :]) & ((ta[:, None] < tb[None, :]) if low == high else True))
-        order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+        wanted = ~earlier & (ca[:, None] != cb[None, :]) & ((ta[:, None] < tb[None, :]) if low == high else True)
         sa = [_unpacked(s, n) for s, n in zip(a["s"], a["n"], strict=True)]
         sb = [_unpacked(s, n) for s, n in zip(b["s"], b["n"], strict=True)]
+        pairs = [np.zeros((2, 0), np.int64)]
+        for row, columns, bound in _sharing(sa, sb, wanted):
+            columns = columns[bound >= SIMILARITY - 1e-6]
+            pairs.append(np.stack([np.full(len(columns), row), columns]))
+        i, j = np.concatenate(pairs, axis=1)
+        order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:

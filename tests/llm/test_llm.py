@@ -283,6 +283,26 @@ def test_near_duplicates_against_brute_force(spark, docs, none, monkeypatch):
     assert neardup.near_duplicates(neardup.stage_rows(none, ["doc_id", "text"])).collect() == []
 
 
+def test_no_pair_alike_is_above_its_bound():
+    r = np.random.default_rng(7)
+    for k in range(300):
+        a, b = (np.flatnonzero(r.random(60) < r.choice([0.3, 0.9])).astype(np.uint32) for _ in range(2))
+        wa, wb = ((r.integers(1, 5, len(x)) if k % 2 else np.ones(len(x), int)) for x in (a, b))
+        want = neardup.probability_jaccard(a, wa, b, wb)
+        ((_, _, bound),) = neardup._sharing([(a, wa)], [(b, wb)], np.ones((1, 1), bool))
+        assert bound[0] >= want - 1e-9 and (k % 2 or abs(bound[0] - want) < 1e-9)
+
+
+def test_pairs_in_blocks_are_verified_however_signatures_agree(spark):
+    # one pair at similarity 39/41, signatures that share the bucket's band and no other component, and a pair that is not alike
+    sets = {1: range(40), 2: range(1, 41), 3: range(500, 540)}
+    short = {t: np.r_[np.arange(4), 10 * t + 1000 * np.arange(1, 93) % 60000].astype(np.uint16) for t in sets}
+    members = spark.createDataFrame([(9, 0, t, t) for t in sets], "bucket long, band int, t long, c long")
+    signed = spark.createDataFrame([(t, bytearray(x.tobytes())) for t, x in short.items()], "t long, short binary")
+    weighted = spark.createDataFrame([(t, bytearray(np.array(x, np.uint32).tobytes()), bytearray()) for t, x in sets.items()], "t long, s binary, n binary")
+    assert [(r.t, r.u) for r in neardup._in_blocks(members, signed, weighted).collect()] == [(1, 2)]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
