@@ -2,11 +2,15 @@
 
 Every byte is coded as eight binary decisions, each made in its own context tree over the preceding bytes.  A node holds a
 Krichevsky-Trofimov estimate; a context's weighted probability mixes its own estimate with the product of its children, half
-and half, from the longest context up to none.  Training counts byte n-grams over all training texts (node counts are sums of
-them); the trained tree's predictive probability of every byte in every seen context is then tabulated once, and a text's
-score is a sum of table entries.  The driver holds the tree of contexts up to two bytes, which no input makes larger than
-those 65793 contexts; contexts of full length are counted out and tabulated in parts, and the tables lie in a work table.
-Tables of the most frequent ones travel to every task; the bytes of all others are joined with theirs.  Texts start in a context of zero bytes and end with the byte 0xFF, which UTF-8 never holds.
+and half, from the longest context up to none.  Model and base both read the text with A-Z in lower case.  Texts start in a
+context of zero bytes and end with the byte 0xFF, which UTF-8 never holds.
+
+Distinct byte n-grams of all texts, with their counts in training texts (none for some), lie in a table of parts; a part holds
+whole subtrees of contexts that share their last CUTS[0] bytes.  Each part is reduced on its own to the nodes at that length,
+these meet again by their last CUTS[1] bytes, and so on; only nodes of one byte of context, 65280 at most, reach the driver.
+On the way back every node passes down what shorter contexts predict, until each n-gram has its log probability.  A text's
+score is the sum over its n-grams: the most frequent ones travel to every task, the others are looked up in their parts.  All
+tables hold packed arrays, so that what is shuffled are a few large rows.
 """
 
 from __future__ import annotations
@@ -15,378 +19,422 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Words, broadcast_arrays, crc_remainder, load, mapped, materialize, steps
+from lodestrata.llm.common import _LOWER, Words, broadcast_arrays, crc_remainder, load, mapped, materialize, mix64, steps
 
 #: Bytes of context, at every size of the input.
-DEPTH = 3
-#: The most frequent contexts of full length, whose tables (1 KB each) travel to every task; those of all others are joined.
-HEAD_CONTEXTS = 1 << 16
-#: Parts in which contexts of full length are tabulated, by their last DEPTH - 1 bytes: at most 256 of those in a part.
-PARTS = 256
-#: The most frequent words travel to every task (16 bytes each); all others are joined.
-HEAD_WORDS = 1 << 19
-TEXT_END = 255
-#: Entries a training task holds before it sends them on.
-HELD = 4_000_000
-
-
-def _joined(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after `depth` zero bytes and before the end byte, and where coded bytes stand."""
+DEPTH = 6
+#: Lengths of context at which subtrees are cut into parts.
+CUTS = (4, 2, 1)
+#: Text bytes for one part of the tables.
+PART_BYTES = 8 << 20
+#: The most frequent n-grams and words, which travel to every task (16 bytes each); all others are looked up in their parts.
+HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 19
+#: Coded bytes that one vectorised step handles, and distinct entries that a training task holds before it sends them on.
+RUN_BYTES, HELD = 4 << 20, 4_000_000
+WORD, GRAM, TEXT = 0, 1, 2
+_HALF = float(np.log(0.5))
+#: log gamma(k + 1/2) and log gamma(k + 1) for small k.
+_SMALL = 1 << 12
+_LG_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))]) + 0.5 * np.log(np.pi)
+_LG_WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _SMALL)))])
+
+
+def grams(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, text) of every coded byte, in runs: the byte lowest, before it the context, the nearest byte lowest."""
     lead = b"\0" * depth
-    data = np.frombuffer(b"".join(lead + t + b"\xff" for t in texts), np.uint8)
-    lengths = np.array([len(t) + depth + 1 for t in texts], np.int64)
-    start = np.cumsum(lengths) - lengths
-    coded = np.ones(len(data), bool)
-    for i in range(depth):
-        coded[start + i] = False
-    return data, np.flatnonzero(coded)
-
-
-def _grams(texts: list[bytes], depth: int) -> np.ndarray:
-    """(context, byte) codes of every coded byte, the byte lowest."""
-    data, at = _joined(texts, depth)
-    code = np.zeros(len(at), np.uint64)
-    for i in range(depth, -1, -1):
-        code = (code << np.uint64(8)) | data[at - i]
-    return code
-
-
-def training_counts(training: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): counts of word hashes (kind 0) and byte n-grams (kind 1) of all texts; kind 2 counts texts."""
-
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        key = np.concatenate([p[0] for p in parts])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], np.concatenate([p[1] for p in parts])[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[first], np.add.reduceat(n, first) if len(first) else n
-
-    def frames(kind: int, parts: list) -> Iterator[pd.DataFrame]:
-        if parts:
-            key, n = merged(parts)
-            for at in range(0, len(key), 500_000):
-                yield pd.DataFrame({"kind": kind, "key": key[at : at + 500_000].view(np.int64), "n": n[at : at + 500_000]})
+    data = _LOWER[np.frombuffer(b"".join(lead + t + b"\xff" for t in texts), np.uint8)]
+    coded = np.array([len(t) + 1 for t in texts], np.int64)
+    ends = np.cumsum(coded)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, RUN_BYTES):
+        at = np.arange(begin, min(begin + RUN_BYTES, int(ends[-1])))
+        text = np.searchsorted(ends, at, "right")
+        at += (text + 1) * depth
+        code = np.zeros(len(at), np.uint64)
+        for i in range(depth, -1, -1):
+            code = (code << np.uint64(8)) | data[at - i]
+        yield code, text
+
+
+def _cuts(depth: int) -> tuple[int, ...]:
+    if not 2 <= depth <= 6:
+        raise ValueError("contexts have 2 to 6 bytes")
+    return tuple(c for c in CUTS if c < depth)
+
+
+def _part(key: np.ndarray, cut: int, parts: int) -> np.ndarray:
+    """Part of each key (n-gram or node): by the last `cut` bytes of its context."""
+    context = (key >> np.uint64(8)) & np.uint64((1 << (8 * cut)) - 1)
+    return (mix64(context + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+
+
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    sorted_part = part[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
+    for a, b in zip(first, [*first[1:], len(order)], strict=True):
+        yield int(sorted_part[a]), order[a:b]
+
+
+def _array(values, kind) -> np.ndarray:
+    """Packed arrays of several rows as one."""
+    return np.frombuffer(b"".join(bytes(v) for v in values), kind)
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their two counts."""
+    key, n, m = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[first], np.add.reduceat(n[order], first), np.add.reduceat(m[order], first)) if len(first) else (key, n, m)
+
+
+def _octave(m: np.ndarray) -> np.ndarray:
+    """A count's quarter octave, by which the most frequent keys are told from the others."""
+    return np.floor(4 * np.log2(np.maximum(m, 1))).astype(np.int64)
+
+
+def counted(documents: DataFrame, parts: int, depth: int) -> DataFrame:
+    """(kind, part, size, n_sum, octaves, key, n, m) of `documents` (text, _train): packed sorted keys with their counts in
+    training texts (n) and in all texts (m), for words of training texts and n-grams of all; kind TEXT counts training texts."""
+
+    def pieces(kind: int, held: list) -> pd.DataFrame:
+        key, n, m = _merged(held)
+        part = _part(key, _cuts(depth)[0], parts) if kind == GRAM else (key % np.uint64(parts)).astype(np.int64)
+        return pd.DataFrame([(kind, p, key[at].tobytes(), n[at].tobytes(), m[at].tobytes()) for p, at in _split(part)], columns=["kind", "part", "key", "n", "m"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {WORD: [], GRAM: []}
         rows = 0
-        for _, texts in steps(batches):
-            rows += len(texts)
-            for kind, keys in ((0, Words(texts).hash), (1, _grams(texts, depth))):
-                key, n = np.unique(keys, return_counts=True)
-                held[kind].append((key, n.astype(np.int64)))
-                if len(held[kind]) >= 8:
-                    held[kind] = [merged(held[kind])]
-                if sum(len(p[0]) for p in held[kind]) > HELD:
-                    yield from frames(kind, held[kind])
-                    held[kind] = []
-        for kind, parts in held.items():
-            yield from frames(kind, parts)
-        yield pd.DataFrame({"kind": [2], "key": [0], "n": [rows]})
-
-    counted = training.select("text").mapInPandas(run, "kind int, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+        def add(kind: int, key: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
+            held[kind].append((key, n, m))
+            if len(held[kind]) >= 8:
+                held[kind] = [_merged(held[kind])]
+            if sum(len(p[0]) for p in held[kind]) > HELD:
+                yield pieces(kind, held[kind])
+                held[kind] = []
+
+        for part, texts in steps(batches):
+            train = part["_train"].to_numpy(dtype=bool)
+            chosen = [t for t, used in zip(texts, train, strict=True) if used]
+            rows += len(chosen)
+            key, n = np.unique(Words(chosen).hash, return_counts=True)
+            yield from add(WORD, key, n.astype(np.int64), n.astype(np.int64))
+            for code, text in grams(texts, depth):
+                key, m = np.unique((code << np.uint64(1)) | train[text].astype(np.uint64), return_counts=True)
+                m = m.astype(np.int64)
+                yield from add(GRAM, key >> np.uint64(1), m * (key & np.uint64(1)).astype(np.int64), m)
+        for kind, rest in held.items():
+            if rest:
+                yield pieces(kind, rest)
+        one = np.array([rows], np.int64).tobytes()
+        yield pd.DataFrame({"kind": [TEXT], "part": [0], "key": [np.zeros(1, np.uint64).tobytes()], "n": [one], "m": [one]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        key, n, m = _merged([(_array(frame["key"], np.uint64), _array(frame["n"], np.int64), _array(frame["m"], np.int64))])
+        return pd.DataFrame({
+            "kind": frame["kind"].iloc[:1], "part": frame["part"].iloc[:1], "size": [len(key)], "n_sum": [int(n.sum())], "octaves": [np.bincount(_octave(m), minlength=256)],
+            "key": [key.tobytes()], "n": [n.tobytes()], "m": [m.tobytes()],
+        })
+
+    sent = documents.select("text", "_train").mapInPandas(run, "kind int, part long, key binary, n binary, m binary")
+    return sent.groupBy("kind", "part").applyInPandas(merge, "kind int, part long, size long, n_sum long, octaves array<long>, key binary, n binary, m binary")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for x >= 0.5, by recurrence up to 8 and Stirling's series from there."""
-    x = x.astype(np.float64)
-    shift = np.zeros_like(x)
-    x = x.copy()
-    for _ in range(8):
-        low = x < 8
-        shift[low] -= np.log(x[low])
-        x[low] += 1
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    """Stirling's series, for large x."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def _table(k: np.ndarray, offset: float, small: np.ndarray) -> np.ndarray:
+    out = small[np.minimum(k, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(k >= _SMALL)
+    out[large] = _log_gamma(k[large] + offset)
+    return out
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the KT block probability of so many zeros and ones, in any order."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return _table(zeros, 0.5, _LG_HALF) + _table(ones, 0.5, _LG_HALF) - _table(zeros + ones, 1.0, _LG_WHOLE) - np.log(np.pi)
+
+
+class Leaves:
+    """Nodes of the longest contexts from sorted (context, byte) codes: `key` is 256 * context + the bits of the byte decided so
+    far, from 1 to 255; `at[bit]` is each code's node."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        key, total, ones, self.at, self.code = [], [], [], [], code
+        count, used = n.astype(np.float64), 0
+        for bit in range(8):
+            run = code >> np.uint64(8 - bit)
+            new = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            key.append((code[first] & ~np.uint64(255)) | np.uint64(1 << bit) | ((code[first] & np.uint64(255)) >> np.uint64(8 - bit)))
+            one = count * ((code >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+            total.append(np.add.reduceat(count, first) if len(first) else count)
+            ones.append(np.add.reduceat(one, first) if len(first) else one)
+            self.at.append(np.cumsum(new) - 1 + used)
+            used += len(first)
+        self.key, self.total, self.ones = np.concatenate(key), np.concatenate(total), np.concatenate(ones)
+
+    def logs(self, one: np.ndarray) -> np.ndarray:
+        """log10 probability of each code's byte, from the nodes' probabilities of a one."""
+        out = np.zeros(len(self.code))
+        for bit in range(8):
+            p = one[self.at[bit]]
+            out += np.log10(np.where((self.code >> np.uint64(7 - bit)) & np.uint64(1) == 1, p, 1 - p))
+        return out
+
+
+def _parents(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes with one byte of context less than the nodes of `key`, and each one's place among them."""
+    return np.unique(key & np.uint64((1 << (8 * depth)) - 1), return_inverse=True)
+
+
+class Subtree:
+    """Nodes with contexts of `depth` bytes and all nodes above them, up to contexts of `top` bytes (`key` and so on).
+
+    `below` is the sum of the children's weighted log probabilities; None where contexts end.  A node that only texts outside
+    training pass has no counts: its weighted log probability is 0, so it changes nothing above it, and it predicts one half.
+    """
 
+    def __init__(self, key: np.ndarray, total: np.ndarray, ones: np.ndarray, below: np.ndarray | None, depth: int, top: int):
+        self.levels = []
+        while True:
+            kt = _log_kt(total - ones, ones)
+            weighted = kt if below is None else np.logaddexp(kt, below) + _HALF
+            own = np.ones(len(kt)) if below is None else np.exp(kt + _HALF - weighted)  # weight of the own estimate
+            back = None
+            if depth > top:
+                parent, back = _parents(key, depth)
+            self.levels.append((back, own, (ones + 0.5) / (total + 1)))
+            if depth == top:
+                break
+            total, ones, below = (np.bincount(back, weights=x, minlength=len(parent)) for x in (total, ones, weighted))
+            key, depth = parent, depth - 1
+        self.key, self.total, self.ones, self.weighted = key, total, ones, weighted
+
+    def predict(self, fixed: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fixed, share) at the longest contexts: with p predicted by still longer ones, a node predicts fixed + share * p.
+        Given are those of the contexts next shorter than the top ones, in the order of `key`."""
+        for back, own, ratio in reversed(self.levels):
+            if back is not None:
+                fixed, share = fixed[back], share[back]
+            fixed, share = fixed + share * own * ratio, share * (1 - own)
+        return fixed, share
 
-def _nodes(at: np.ndarray, byte: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seen nodes of `size` contexts (256 * context + the bits of the byte decided so far, from 1 to 255), their zeros and ones."""
-    z, o = np.zeros(size * 256), np.zeros(size * 256)
-    for bit in range(8):
-        prefix = (1 << bit) | (byte >> (8 - bit))
-        one = (byte >> (7 - bit)) & 1 == 1
-        np.add.at(z, (at * 256 + prefix)[~one], counts[~one])
-        np.add.at(o, (at * 256 + prefix)[one], counts[one])
-    seen = np.flatnonzero(z + o)
-    return seen, z[seen], o[seen]
 
+_NODES = "part long, origin long, key binary, total binary, ones binary, weighted binary"
+_PASSED = "part long, key binary, fixed binary, share binary"
 
-def _byte_logs(predicted: np.ndarray) -> np.ndarray:
-    """log10 P(byte) from the probabilities of a one in every node."""
-    out = np.zeros(predicted.shape)
-    byte = np.arange(256)
-    for bit in range(8):
-        one = predicted[:, (1 << bit) | (byte >> (8 - bit))]
-        out += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, one, 1 - one))
-    return out.astype(np.float32)
 
+def _above(frame: pd.DataFrame, depth: int, top: int) -> tuple[Subtree, np.ndarray, np.ndarray]:
+    """The tree above some packed nodes of `depth` + 1 bytes of context, those nodes' keys, and the place of each one's parent."""
+    key = _array(frame["key"], np.uint64)
+    total, ones, weighted = (_array(frame[c], np.float64) for c in ("total", "ones", "weighted"))
+    parent, back = _parents(key, depth + 1)
+    sums = (np.bincount(back, weights=x, minlength=len(parent)) for x in (total, ones, weighted))
+    return Subtree(parent, *sums, depth, top), key, back
 
-class ContextTree:
-    """Tables of log10 P(byte | context) of a trained tree: `keys[d]` the contexts of d bytes, `logs[d]` (contexts, 256).
 
-    `below` holds nodes (256 * context + bits) of the longest contexts here, sorted, and the sums of the weighted log
-    probabilities of their children, where the tree goes on; without it the tree ends here.
-    """
+def _passed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(_array(frame["key"], np.uint64))
+    return _array(frame["fixed"], np.float64)[order], _array(frame["share"], np.float64)[order]
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, below: tuple[np.ndarray, np.ndarray] | None = None):
-        self.depth = depth
-        byte = (grams & np.uint64(255)).astype(np.int64)
-        self.keys, self.nodes, self.zeros, self.ones = [], [], [], []
-        for d in range(depth + 1):
-            context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
-            key = np.unique(context)
-            self.keys.append(key)
-            for held, part in zip((self.nodes, self.zeros, self.ones), _nodes(np.searchsorted(key, context), byte, counts, len(key)), strict=True):
-                held.append(part)
-        # from the longest context up: own estimate and children, half and half; own[d] is the weight of the own estimate
-        self.own: list[np.ndarray] = [np.ones(0)] * (depth + 1)
-        children = None
-        if below is not None:
-            children = np.zeros(len(self.nodes[depth]))
-            node = np.searchsorted(self.keys[depth], (below[0] // 256).astype(np.uint64)) * 256 + below[0] % 256
-            children[np.searchsorted(self.nodes[depth], node)] = below[1]
-        for d in range(depth, -1, -1):
-            kt = _log_kt(self.zeros[d], self.ones[d])
-            if children is None:
-                weighted = kt
-                self.own[d] = np.ones(len(kt))
-            else:
-                weighted = np.logaddexp(kt, children) + np.log(0.5)
-                self.own[d] = np.exp(kt + np.log(0.5) - weighted)
-            if d:
-                parent_key = self.keys[d] & np.uint64((1 << (8 * (d - 1))) - 1)
-                parent = np.searchsorted(self.keys[d - 1], parent_key)[self.nodes[d] // 256] * 256 + self.nodes[d] % 256
-                children = np.bincount(np.searchsorted(self.nodes[d - 1], parent), weights=weighted, minlength=len(self.nodes[d - 1]))
-        self.logs = []
-        for d in range(depth + 1):
-            # contexts whose longer contexts were never seen (at the full depth: none is longer): a node below decides nothing
-            table = np.zeros((len(self.keys[d]), 256), np.float32)
-            for rows in self._steps(d):
-                fixed, share = self._mixed(rows, d)
-                table[rows] = _byte_logs(fixed + share * 0.5)
-            self.logs.append(table)
-
-    def _steps(self, d: int) -> Iterator[np.ndarray]:
-        for begin in range(0, len(self.keys[d]), 4096):
-            yield np.arange(begin, min(begin + 4096, len(self.keys[d])))
-
-    def _mixed(self, rows: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """(fixed, share): with p predicted by longer contexts, a node of these contexts of depth d predicts fixed + share * p."""
-        fixed, share = np.zeros((len(rows), 256)), np.ones((len(rows), 256))
-        for level in range(d, -1, -1):
-            key = self.keys[d][rows] & np.uint64((1 << (8 * level)) - 1)
-            distinct, back = np.unique(np.searchsorted(self.keys[level], key), return_inverse=True)
-            low = np.searchsorted(self.nodes[level], distinct * 256)
-            size = np.searchsorted(self.nodes[level], distinct * 256 + 256) - low
-            # an unseen node predicts one half, and so do all below it
-            kt, weight = np.full((len(distinct), 256), 0.5), np.full((len(distinct), 256), 0.5)
-            flat = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            row = np.repeat(np.arange(len(distinct)), size)
-            column = self.nodes[level][flat] % 256
-            kt[row, column] = (self.ones[level][flat] + 0.5) / (self.zeros[level][flat] + self.ones[level][flat] + 1)
-            weight[row, column] = self.own[level][flat]
-            kt, weight = kt[back], weight[back]
-            fixed = weight * kt + (1 - weight) * fixed
-            share = (1 - weight) * share
-        return fixed, share
 
-    def mixtures(self) -> dict[str, np.ndarray]:
-        """What the longest contexts here do with what still longer ones predict, see _mixed."""
-        fixed, share = np.zeros((2, len(self.keys[self.depth]), 256))
-        for rows in self._steps(self.depth):
-            fixed[rows], share[rows] = self._mixed(rows, self.depth)
-        return {"keys": self.keys[self.depth], "fixed": fixed, "share": share}
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {f"{name}{d}": a for name, tables in (("keys", self.keys), ("logs", self.logs)) for d, a in enumerate(tables)}
-
-
-def score_bytes(texts: list[bytes], model: dict[str, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, value, far): each coded byte's (context, byte) code, log10 probability by the longest context that the model
-    holds, and whether the model lacks its full context."""
-    code = _grams(texts, depth)
-    context, byte = code >> np.uint64(8), (code & np.uint64(255)).astype(np.int64)
-    value = np.zeros(len(code))
-    open_at = np.arange(len(code))
-    far = np.zeros(len(code), bool)
-    for d in range(depth, -1, -1):
-        if not len(open_at):
-            break
-        keys, logs = model[f"keys{d}"], model[f"logs{d}"]
-        if len(keys):
-            wanted = context[open_at] & np.uint64((1 << (8 * d)) - 1)
-            distinct, back = (wanted, slice(None)) if d == 0 else _places(wanted)
-            at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-            found = (keys[at] == distinct)[back]
-            value[open_at[found]] = logs[at[back][found], byte[open_at[found]]]
-            open_at = open_at[~found]
-        if d == depth:
-            far[open_at] = True
-    value[open_at] = 8 * np.log10(0.5)  # nothing was learned
-    return code, value, far
-
-
-def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and each code's place among them, through a table where codes are short."""
-    if len(codes) and int(codes.max()) < 1 << 24:
-        table = np.zeros(1 << 24, np.int32)
-        table[codes.astype(np.int64)] = 1
-        distinct = np.flatnonzero(table)
-        table[distinct] = np.arange(len(distinct), dtype=np.int32)
-        return distinct.astype(np.uint64), table[codes.astype(np.int64)]
-    return np.unique(codes, return_inverse=True)
-
-
-def _longest(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context, n, nodes, zeros, ones) of the contexts of full length in some rows (key, n) of n-gram counts."""
-    frame = frame.sort_values("key")
-    grams, n = frame["key"].to_numpy().view(np.uint64), frame["n"].to_numpy().astype(np.float64)
-    context, at = np.unique(grams >> np.uint64(8), return_inverse=True)
-    return context, np.bincount(at, weights=n, minlength=len(context)), *_nodes(at, (grams & np.uint64(255)).astype(np.int64), n, len(context))
-
-
-def build_tree(counts: DataFrame) -> tuple[ContextTree, DataFrame]:
-    """The tree of the counted n-grams: contexts of up to DEPTH - 1 bytes, and the table (context, n, logs) of those of DEPTH."""
+def _addressed_back(frame: pd.DataFrame, key: np.ndarray, back: np.ndarray, fixed: np.ndarray, share: np.ndarray) -> pd.DataFrame:
+    """What parents pass to the nodes of `frame`, packed as the nodes came, for the part each row came from."""
+    out, at = [], 0
+    for origin, packed in zip(frame["origin"], frame["key"], strict=True):
+        to = at + len(packed) // 8
+        out.append((origin, key[at:to].tobytes(), fixed[back[at:to]].tobytes(), share[back[at:to]].tobytes()))
+        at = to
+    return pd.DataFrame(out, columns=["part", "key", "fixed", "share"])
+
+
+def predictions(counts: DataFrame, parts: int, depth: int) -> DataFrame:
+    """(kind, part, key, value, m): log10 P(byte | context) of every counted n-gram."""
     spark = counts.sparkSession
-    suffix = np.uint64((1 << (8 * (DEPTH - 1))) - 1)
-    grams = counts.where("kind = 1").select("key", "n")
-    grams = grams.withColumn("part", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(int(suffix)))), F.lit(PARTS)).cast("int"))
-
-    def children(frame: pd.DataFrame) -> pd.DataFrame:
-        context, _, nodes, zeros, ones = _longest(frame)
-        parent = ((context & suffix) * np.uint64(256)).view(np.int64)[nodes // 256] + nodes % 256
-        node, back = np.unique(parent, return_inverse=True)
-        return pd.DataFrame({"node": node, "weighted": np.bincount(back, weights=_log_kt(zeros, ones), minlength=len(node))})
-
-    below = grams.groupBy("part").applyInPandas(children, "node long, weighted double").toArrow()
-    node, weighted = below.column("node").to_numpy(), below.column("weighted").to_numpy()
-    order = np.argsort(node)
-    mask = (1 << (8 * DEPTH)) - 1
-    rows = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64)
-    by_key = np.argsort(key)
-    tree = ContextTree(key[by_key], n[by_key], DEPTH - 1, (node[order], weighted[order]))
-    shared = broadcast_arrays(spark, 256 ** (DEPTH - 1) * (2 * 2048 + 8), **tree.mixtures())
-
-    def tabulate(frame: pd.DataFrame) -> pd.DataFrame:
-        context, n, nodes, zeros, ones = _longest(frame)
-        mixed = shared.value
-        parent = np.searchsorted(mixed["keys"], context & suffix)
-        logs = np.zeros((len(context), 256), np.float32)
-        for begin in range(0, len(context), 4096):
-            to = min(begin + 4096, len(context))
-            low, high = np.searchsorted(nodes, (begin * 256, to * 256))
-            predicted = np.full((to - begin, 256), 0.5)
-            predicted.reshape(-1)[nodes[low:high] - begin * 256] = (ones[low:high] + 0.5) / (zeros[low:high] + ones[low:high] + 1)
-            at = parent[begin:to]
-            logs[begin:to] = _byte_logs(mixed["fixed"][at] + mixed["share"][at] * predicted)
-        return pd.DataFrame({"context": context.view(np.int64), "n": n.astype(np.int64), "logs": list(logs)})
-
-    return tree, materialize(grams.groupBy("part").applyInPandas(tabulate, "context long, n long, logs array<float>"), "tables")
-
-
-def _head(tables: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame | None]:
-    """The HEAD_CONTEXTS most frequent contexts with their tables, and the table of all others, if there are any."""
-    last = tables.select("n", "context").orderBy(F.desc("n"), "context").limit(HEAD_CONTEXTS + 1).toArrow()
-    rest = None
-    if last.num_rows > HEAD_CONTEXTS:
-        n, context = (last.column(c)[HEAD_CONTEXTS - 1].as_py() for c in ("n", "context"))
-        inside = (F.col("n") > n) | ((F.col("n") == n) & (F.col("context") <= context))
-        tables, rest = tables.where(inside), tables.where(~inside)
-    rows = tables.select("context", "logs").toArrow()
-    key = rows.column("context").to_numpy().view(np.uint64)
-    logs = rows.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, 256)
+    cuts = _cuts(depth)
+    sizes = [parts, *[max(1, min(256**c, parts >> (3 * i))) for i, c in enumerate(cuts[1:], 1)]]
+    counted_grams = counts.where(F.col("kind") == GRAM).select("part", "key", "n", "m")
+
+    def addressed(tree: Subtree, origin: int, stage: int) -> pd.DataFrame:
+        following = _part(tree.key, cuts[stage + 1], sizes[stage + 1]) if stage + 1 < len(cuts) else np.zeros(len(tree.key), np.int64)
+        columns = (tree.key, tree.total, tree.ones, tree.weighted)
+        return pd.DataFrame([(p, origin, *(x[at].tobytes() for x in columns)) for p, at in _split(following)], columns=["part", "origin", "key", "total", "ones", "weighted"])
+
+    def leaves(key: bytes, n: bytes) -> tuple[Leaves, Subtree]:
+        found = Leaves(np.frombuffer(key, np.uint64), np.frombuffer(n, np.int64))
+        return found, Subtree(found.key, found.total, found.ones, None, depth, cuts[0])
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for part, key, n in zip(frame["part"], frame["key"], frame["n"], strict=True):
+                yield addressed(leaves(key, n)[1], part, 0)
+
+    ups = [materialize(counted_grams.select("part", "key", "n").mapInPandas(lowest, _NODES), "nodes")]
+
+
+    def climb(stage: int):
+        return lambda frame: addressed(_above(frame, cuts[stage - 1] - 1, cuts[stage])[0], int(frame["part"].iloc[0]), stage)
+
+    for stage in range(1, len(cuts)):
+        ups.append(materialize(ups[-1].groupBy("part").applyInPandas(climb(stage), _NODES), "nodes"))
+    # contexts of one byte: at most 256 of 255 nodes each
+    last = ups[-1].select("origin", "key", "total", "ones", "weighted").toPandas()
+    tree, key, back = _above(last, cuts[-1] - 1, 0)
+    down = _addressed_back(last, key, back, *tree.predict(np.zeros(len(tree.key)), np.ones(len(tree.key))))
+    down = spark.createDataFrame([(int(r.part), r.key, r.fixed, r.share) for r in down.itertuples()], _PASSED)
+
+    def descend(stage: int):
+        def run(frame: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+            tree, key, back = _above(frame, cuts[stage - 1] - 1, cuts[stage])
+            return _addressed_back(frame, key, back, *tree.predict(*_passed(given)))
+
+        return run
+
+    for stage in range(len(cuts) - 1, 0, -1):
+        down = materialize(ups[stage - 1].groupBy("part").cogroup(down.groupBy("part")).applyInPandas(descend(stage), _PASSED), "passed")
+
+    def finish(frame: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part, key, n, m in zip(frame["part"], frame["key"], frame["n"], frame["m"], strict=True):
+            found, tree = leaves(key, n)
+            out.append((GRAM, part, key, found.logs(tree.predict(*_passed(given))[0]).tobytes(), m))
+        return pd.DataFrame(out, columns=["kind", "part", "key", "value", "m"])
+
+    return counted_grams.groupBy("part").cogroup(down.groupBy("part")).applyInPandas(finish, "kind int, part long, key binary, value binary, m binary")
+
+
+def _head(tables: DataFrame, counts: DataFrame, kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of the most frequent keys of a kind: whole quarter octaves of counts, as many as stay below `limit`."""
+    rows = counts.where(F.col("kind") == kind).select(F.posexplode("octaves").alias("octave", "n")).groupBy("octave").agg(F.sum("n").alias("n"))
+    least, total = 1 << 20, 0
+    for r in sorted(rows.where("n > 0").collect(), key=lambda r: -r.octave):  # at most 256
+        total += r.n
+        if total > limit:
+            break
+        least = r.octave
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for key, value, m in zip(frame["key"], frame["value"], frame["m"], strict=True):
+                often = _octave(np.frombuffer(m, np.int64)) >= least
+                yield pd.DataFrame({"key": [np.frombuffer(key, np.uint64)[often].tobytes()], "value": [np.frombuffer(value, np.float64)[often].tobytes()]})
+
+    found = tables.where(F.col("kind") == kind).select("key", "value", "m").mapInPandas(pick, "key binary, value binary").toArrow()
+    key, value = (_array((x.as_py() for x in found.column(c)), t) for c, t in (("key", np.uint64), ("value", np.float64)))
     order = np.argsort(key)
-    return {f"keys{DEPTH}": key[order], f"logs{DEPTH}": logs[order]}, rest
+    return key[order], value[order]
+
 
+def _looked_up(wanted: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of keys (0 where there is none), and which were found; `key` is sorted."""
+    if not len(key):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    found = key[at] == wanted
+    return np.where(found, value[at], 0.0), found
 
-def score(documents: DataFrame, training: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document.
 
-    Null texts are empty: one end token.  Without training texts every count is zero and every bit is even.  Words are told
-    apart by 64-bit hashes.  Repeated rows are scored alike; other columns are not read.
+def score(documents: DataFrame, training: Column, keep: list[str], depth: int | None = None) -> DataFrame:
+    """`keep` columns, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of `documents` (text).
+
+    The rows where `training` holds (null: does not) teach; all rows are scored.  Null and empty texts are one end token.
+    Without training texts every count is zero and every bit is even.  Words are told apart by 64-bit hashes.  Repeated rows
+    teach as often as they stand there and are scored alike; other columns are not read, whatever their names.  A long text is
+    coded in runs of RUN_BYTES, with its context; memory for its words grows with its length (about 60 bytes a byte).
     """
-    spark = documents.sparkSession
-    counts = materialize(training_counts(training), "counts")
-    totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    totals = {r["kind"]: (r["n"], r["v"]) for r in totals}
-    ends = totals.get(2, (0, 0))[0] or 0
-    tokens = totals.get(0, (0, 0))[0] + ends
-    distinct = totals.get(0, (0, 0))[1] + (ends > 0)
-    tree, tables = build_tree(counts)
-    head, rest = _head(tables)
-    joins = rest is not None
-    words = counts.where("kind = 0").select("key", "n")
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toArrow()
-    head_key, head_n = top.column("key").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(head_key)
-    limit = (HEAD_CONTEXTS + 2 * 256 ** (DEPTH - 1)) * 1032 + 16 * HEAD_WORDS
-    shared = broadcast_arrays(spark, limit, head_key=head_key[order], head_n=head_n[order], **tree.arrays(), **head)
-    del tree, head
+    depth = DEPTH if depth is None else depth
+    rows = documents.select(*keep, *[c for c in ["text"] if c not in keep], F.coalesce(training, F.lit(False)).alias("_train"))
+    parts = max(8, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    counts = materialize(counted(rows, parts, depth), "counts")
+    totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n_sum").alias("n"), F.sum("size").alias("v")).collect()}
+    ends = totals.get(TEXT, (0, 0))[0] or 0
+    tokens = totals.get(WORD, (0, 0))[0] + ends
+    distinct = totals.get(WORD, (0, 0))[1] + (ends > 0)
     log_total = float(np.log10(tokens + distinct + 1))
 
+    def word_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            n = [np.frombuffer(x, np.int64).astype(np.float64).tobytes() for x in frame["n"]]
+            yield frame[["kind", "part", "key"]].assign(value=n, m=frame["n"])
+
+    words = counts.where(F.col("kind") == WORD).select("kind", "part", "key", "n").mapInPandas(word_values, "kind int, part long, key binary, value binary, m binary")
+    tables = materialize(words.unionByName(predictions(counts, parts, depth)), "tables")
+    heads = [_head(tables, counts, kind, limit) for kind, limit in ((WORD, HEAD_WORDS), (GRAM, HEAD_GRAMS))]
+    shared = broadcast_arrays(documents.sparkSession, 16 * (HEAD_WORDS + HEAD_GRAMS), word=heads[0][0], n=heads[0][1], gram=heads[1][0], log=heads[1][1])
+    del heads
+    cut = _cuts(depth)[0]
+    pieces_type = "array<struct<kind:int,part:bigint,row:binary,key:binary>>"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        keys, n = model["head_key"], model["head_n"]
         for part, texts in steps(batches):
+            ids = part["_row"].to_numpy().astype(np.int64)
             w = Words(texts)
-            hashes = w.hash.view(np.int64)
-            at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-            known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            logs = np.where(known, np.log10(np.where(known, n[at] if len(keys) else 0, 0) + 1.0) - log_total, 0.0)
-            end_log = float(np.log10(ends + 1)) - log_total
-            unknown = np.flatnonzero(~known)
-            cut = np.searchsorted(w.doc[unknown], np.arange(len(texts) + 1))
-            tail = hashes[unknown]
-            code, value, far = score_bytes(texts, model, DEPTH)
-            coded = np.array([len(t) + 1 for t in texts])
-            far &= joins  # where the model holds every context, what it lacks was never seen
-            doc = np.repeat(np.arange(len(texts), dtype=np.uint64), coded)
-            pair, first, times = np.unique((doc[far] << np.uint64(8 * DEPTH + 8)) | code[far], return_index=True, return_counts=True)
-            low = value[far][first]
-            value[far] = 0
-            ends_at = np.concatenate([[0], np.cumsum(coded)])
-            scores = np.diff(np.concatenate([[0.0], np.cumsum(value)])[ends_at])
-            gram = (pair & np.uint64((1 << (8 * DEPTH + 8)) - 1)).view(np.int64)
-            far_cut = np.searchsorted(pair, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(8 * DEPTH + 8))
-            spans = list(zip(far_cut[:-1], far_cut[1:], strict=True))
-            yield part.drop(columns="text").assign(
+            n, known = _looked_up(w.hash, model["word"], model["n"])
+            logs = np.where(known, np.log10(n + 1.0) - log_total, 0.0)
+            sent = [(WORD, p, ids[w.doc[~known][at]], w.hash[~known][at]) for p, at in _split((w.hash[~known] % np.uint64(parts)).astype(np.int64))]
+            scores = np.zeros(len(texts))
+            for code, text in grams(texts, depth):
+                each, back = np.unique(code, return_inverse=True)
+                value, held = _looked_up(each, model["gram"], model["log"])
+                scores += np.bincount(text, weights=value[back], minlength=len(texts))
+                far = np.flatnonzero(~held[back])
+                code, text = code[far], text[far]
+                sent += [(GRAM, p, ids[text[at]], code[at]) for p, at in _split(_part(code, cut, parts))]
+            pieces = [None] * len(texts)
+            pieces[0] = [{"kind": k, "part": p, "row": r.tobytes(), "key": x.tobytes()} for k, p, r, x in sent] or None
+            yield part[[*keep, "_row"]].assign(
                 n_tokens=w.per_doc + 1,
                 _known=np.bincount(w.doc, weights=known, minlength=len(texts)).astype(np.int64) + int(ends > 0),
-                _base=np.bincount(w.doc, weights=logs, minlength=len(texts)) + end_log,
+                _base=np.bincount(w.doc, weights=logs, minlength=len(texts)) + float(np.log10(ends + 1)) - log_total,
                 _score=scores,
-                _coded=coded,
-                _tail=[tail[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)],
-                _far=[gram[i:j] for i, j in spans],
-                _times=[times[i:j] for i, j in spans],
-                _low=[low[i:j] for i, j in spans],
+                _coded=np.array([len(t) + 1 for t in texts]),
+                _pieces=pieces,
             )
 
-    extra = "n_tokens long, _known long, _base double, _score double, _coded long, _tail array<long>, _far array<long>, _times array<long>, _low array<double>"
-    scored = mapped(documents.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], ["text"], run, extra)
+    extra = f"n_tokens long, _known long, _base double, _score double, _coded long, _pieces {pieces_type}"
+    scored = mapped(rows.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], ["text"], run, extra)
     scored = materialize(scored, "scored")
-    tail = scored.select("_row", F.explode("_tail").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("k"))
-    looked = tail.join(words, "key", "left").groupBy("_row").agg(
-        F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - log_total)).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("m")
-    )
-    rows = scored.drop("_tail", "_far", "_times", "_low").join(looked, "_row", "left").withColumn("score", F.col("_score"))
-    if joins:
-        far = scored.select("_row", F.explode(F.arrays_zip("_far", "_times", "_low")).alias("x")).select("_row", "x.*")
-        far = far.select("_row", F.shiftright("_far", 8).alias("context"), (F.col("_far").bitwiseAND(F.lit(255)) + 1).cast("int").alias("place"), "_times", "_low")
-        log = F.coalesce(F.element_at("logs", F.col("place")).cast("double"), F.col("_low"))  # no table: the context was never seen
-        far = far.join(rest.select("context", "logs"), "context", "left").select("_row", (F.col("_times") * log).alias("f")).groupBy("_row").agg(F.sum("f").alias("f"))
-        rows = rows.join(far, "_row", "left").withColumn("score", F.col("_score") + F.coalesce("f", F.lit(0.0)))
-    return rows.select(
-        *keep, "n_tokens", (F.col("_known") + F.coalesce("m", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+    asked = scored.where("_pieces is not null").select(F.col("_row").alias("step"), F.explode("_pieces").alias("x")).select("step", "x.*")
+
+    def answer(wanted: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wanted):
+            kind = int(wanted["kind"].iloc[0])
+            key, value = (_array(table[c], t) for c, t in (("key", np.uint64), ("value", np.float64)))
+            for step, row, each in zip(wanted["step"], wanted["row"], wanted["key"], strict=True):
+                rows, back = np.unique(np.frombuffer(row, np.int64), return_inverse=True)
+                got, found = _looked_up(np.frombuffer(each, np.uint64), key, value)
+                if kind == WORD:
+                    got = np.log10(got + 1.0) - log_total
+                sums = np.bincount(back, weights=got, minlength=len(rows))
+                hits = np.bincount(back, weights=found, minlength=len(rows))
+                out.append((step, kind, rows.tobytes(), sums.tobytes(), hits.tobytes()))
+        return pd.DataFrame(out, columns=["step", "kind", "row", "sums", "hits"])
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        row = _array(frame["row"], np.int64)
+        kind = np.repeat(frame["kind"].to_numpy(), [len(x) // 8 for x in frame["row"]])
+        ids, back = np.unique(row, return_inverse=True)
+        sums, hits = _array(frame["sums"], np.float64), _array(frame["hits"], np.float64)
+        add = lambda x, k: np.bincount(back, weights=np.where(kind == k, x, 0.0), minlength=len(ids))
+        return pd.DataFrame({"_row": ids, "b": add(sums, WORD), "k": add(hits, WORD).astype(np.int64), "f": add(sums, GRAM)})
+
+    answered = asked.groupBy("kind", "part").cogroup(tables.select("kind", "part", "key", "value").groupBy("kind", "part")).applyInPandas(answer, "step long, kind int, row binary, sums binary, hits binary")
+    looked = answered.groupBy("step").applyInPandas(total, "_row long, b double, k long, f double")
+    done = scored.drop("_pieces").join(looked, "_row", "left").withColumn("score", F.col("_score") + F.coalesce("f", F.lit(0.0)))
+    return done.select(
+        *keep, "n_tokens", (F.col("_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
         (-F.col("score") * float(np.log2(10)) / F.col("_coded")).alias("bits_per_byte"),
     )
@@ -395,4 +443,4 @@ def score(documents: DataFrame, training: DataFrame, keep: list[str]) -> DataFra
 def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     documents = documents.withColumn("held_out", F.coalesce(crc_remainder(F.col("doc_id"), 7) == 2, F.lit(False)))
-    return score(documents, documents.where("not held_out"), ["doc_id", "held_out"])
+    return score(documents, ~F.col("held_out"), ["doc_id", "held_out"])

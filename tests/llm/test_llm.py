@@ -1,7 +1,10 @@
 """The training-data operators against brute force, the libraries they stand for, and odd rows."""
 
+import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -74,38 +77,72 @@ def test_archive_round_trip(spark, tmp_path):
             assert payload == b""
 
 
-def test_context_tree_is_a_distribution_and_scores(spark, docs, none):
-    texts = [t.encode() for t in TEXTS if t]
-    grams, n = np.unique(scoring._grams(texts, 3), return_counts=True)
-    tree = scoring.ContextTree(grams, n.astype(float), 3)
-    for table in tree.logs:
-        assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    got = scoring.score(docs, docs.where("doc_id != 8"), ["doc_id"]).collect()
+def brute_scores(rows, depth):
+    """(n_tokens, n_known, train_tokens, base, score) by the definitions, node by node; rows are (text, whether it teaches)."""
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    data = [((t or "").encode().translate(lower), used) for t, used in rows]
+    coded = lambda t: [((b"\0" * depth + t + b"\xff")[i : i + depth], (t + b"\xff")[i]) for i in range(len(t) + 1)]
+    n, children = {}, {}
+    for t, used in data:
+        for context, byte in coded(t) if used else []:
+            for bit in range(8):
+                prefix, one = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
+                for d in range(depth + 1):
+                    node = (context[depth - d :], prefix)
+                    n.setdefault(node, [0, 0])[one] += 1
+                    if d:
+                        children.setdefault((node[0][1:], prefix), set()).add(node)
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    weighted = {}
+    for node in sorted(n, key=lambda x: -len(x[0])):
+        own = kt(*n[node])
+        weighted[node] = own if len(node[0]) == depth else np.logaddexp(own, sum(weighted[c] for c in children[node])) + math.log(0.5)
+
+    def log_byte(context, byte):
+        out = 0.0
+        for bit in range(8):
+            prefix, one, p = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1, 0.5
+            for d in range(depth, -1, -1):
+                node = (context[depth - d :], prefix)
+                z, o = n.get(node, (0, 0))
+                own = 1.0 if d == depth else math.exp(kt(z, o) + math.log(0.5) - weighted[node]) if node in n else 0.5
+                p = own * (o + 0.5) / (z + o + 1) + (1 - own) * p
+            out += math.log10(p if one else 1 - p)
+        return out
+
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t, _ in data]
+    count = collections.Counter(w for ws, (_, used) in zip(words, data, strict=True) if used for w in ws)
+    ends = sum(used for _, used in data)
+    total, distinct = sum(count.values()) + ends, len(count) + (ends > 0)
+    base = lambda c: math.log10((c + 1) / (total + distinct + 1))
+    return [
+        (len(ws) + 1, sum(count[w] > 0 for w in ws) + (ends > 0), total, sum(base(count[w]) for w in ws) + base(ends), sum(log_byte(*x) for x in coded(t)))
+        for ws, (t, _) in zip(words, data, strict=True)
+    ]
+
+
+@pytest.mark.parametrize(("head", "part", "run", "depth"), [(1 << 19, 8 << 20, 4 << 20, 6), (40, 200, 300, 6), (0, 1, 1, 2), (40, 200, 300, 3)])
+def test_scores_against_brute_force(spark, none, monkeypatch, head, part, run, depth):
+    for name, value in (("HEAD_GRAMS", head), ("HEAD_WORDS", head // 10), ("PART_BYTES", part), ("RUN_BYTES", run), ("HELD", 10 * head + 50)):
+        monkeypatch.setattr(scoring, name, value)
+    texts = [prose(1, 3), prose(1, 3), prose(1, 3).upper(), "", None, " ", "a", "\u00e9\n\n\u00fcx \x00 \U0001f9ff ABC", prose(2, 4), "held out words unseen", "zq" * 40, prose(1, 3) + " held out"]
+    rows = [(i, t, i % 4 != 1, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, used boolean, _row long")
+    got = {r.doc_id: r for r in scoring.score(df, scoring.F.col("used"), ["doc_id"], depth).collect()}
+    for (i, t, _, _), want in zip(rows, brute_scores([(t, used) for _, t, used, _ in rows], depth), strict=True):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
+        assert abs(r.base_score - want[3]) < 1e-6 and abs(r.score - want[4]) < 1e-6 * max(1, abs(want[4]))
+        assert abs(r.bits_per_byte + want[4] * math.log2(10) / (len((t or "").encode()) + 1)) < 1e-6
+
+
+def test_scores_of_odd_rows(spark, docs, none):
+    got = scoring.score(docs, scoring.F.expr("doc_id != 8"), ["doc_id"]).collect()
     assert len(got) == docs.count() and all(r.n_known <= r.n_tokens for r in got)
     assert [r.n_tokens for r in got if r.doc_id == 4] == [1]
-    assert scoring.score(none, none, ["doc_id"]).collect() == []
-    assert scoring.score(docs, none, ["doc_id"]).first().train_tokens == 0
-
-
-@pytest.mark.parametrize("most", [40, 1 << 16])
-def test_scores_keep_their_depth_whatever_the_number_of_contexts(spark, docs, monkeypatch, most):
-    for name in ("MOST_CONTEXTS", "HEAD_CONTEXTS"):
-        monkeypatch.setattr(scoring, name, most, raising=False)
-    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    training = rows.where("doc_id % 3 != 2")
-    texts = [(r.text or "").encode() for r in training.collect()]
-    grams, n = np.unique(scoring._grams(texts, 3), return_counts=True)
-    assert len(np.unique(grams >> np.uint64(8))) > 40
-    tree = scoring.ContextTree(grams, n.astype(float), 3)
-    tables = [dict(zip(keys.tolist(), logs, strict=True)) for keys, logs in zip(tree.keys, tree.logs, strict=True)]
-    got = {r.doc_id: r for r in scoring.score(rows, training, ["doc_id"]).collect()}
-    for r in rows.collect():
-        want, data = 0.0, b"\0\0\0" + (r.text or "").encode() + b"\xff"
-        for i in range(3, len(data)):
-            contexts = [int.from_bytes(data[i - d : i], "big") for d in range(4)]
-            want += next(float(tables[d][contexts[d]][data[i]]) for d in (3, 2, 1, 0) if contexts[d] in tables[d])
-        assert abs(got[r.doc_id].score - want) < 1e-3 + 1e-6 * abs(want)
-        assert abs(got[r.doc_id].bits_per_byte + want * np.log2(10) / (len(data) - 3)) < 1e-3
+    assert scoring.score(none, scoring.F.lit(True), ["doc_id"]).collect() == []
+    untaught = scoring.score(docs, scoring.F.lit(None).cast("boolean"), ["doc_id"]).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.bits_per_byte - 8) < 1e-9 for r in untaught)
 
 
 def test_packing_places_every_id_once(spark, docs, none):
