@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
 from lodestrata.llm.suffix_sort import InducedSorter
@@ -240,24 +241,67 @@ def test_license_scan_finds_phrases_and_templates(spark, docs, none):
     assert license_scan.scan(none, ["doc_id"]).collect() == []
 
 
+def digests_of(text, long_line=1000):
+    """Spark's 64-bit digests of a text's paragraphs."""
+    pieces = [p for line in text.split("\n") for p in (re.split(r"(?<=[.!?\u2026\u061f\u0964]\s)|(?<=[\u3002\uff01\uff1f])", line) if len(line) > long_line else [line])]
+    return {xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces if p}
+
+
+def inverted(fingerprint):
+    """The digests that a fingerprint names, by peeling each of its parts."""
+    size, *parts = fingerprint.split("|")
+    found, signed = set(), lambda x: x - (1 << 64) if x >> 63 else x
+    for part in parts:
+        name, _, listed = part.partition(":")
+        level = int(name.split(".")[0])
+        cells = {int(i): [int(n), int(k, 16), int(c, 16)] for i, n, k, c in (x.split(",") for x in listed.split(";"))}
+        while cells:
+            i = next(i for i, (n, k, c) in cells.items() if n == 1 and xxhash.xxh64_intdigest(b"check", xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)) == c)
+            _, k, c = cells[i]
+            found.add(k)
+            for t in range(3):
+                cell = t * 8 + xxhash.xxh64_intdigest((level * 3 + t).to_bytes(4, "little"), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)) % 8
+                cells[cell] = [cells[cell][0] - 1, cells[cell][1] ^ k, cells[cell][2] ^ c]
+                if cells[cell] == [0, 0, 0]:
+                    del cells[cell]
+    assert len(found) == int(size)
+    return found
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints_tell_the_likeness_of_paragraphs(spark, none):
     r = random.Random(3)
     texts = ["\n".join(str(r.randrange(40)) for _ in range(r.choice([0, 1, 5, 60, 300]))) for _ in range(40)]
+    texts += ["\n".join(str(r.randrange(9000)) for _ in range(3000)), "\n".join(str(r.randrange(9000)) for _ in range(3000)), prose(5, 60).replace("\n", " "), prose(5, 70)]
     rows = list(enumerate(texts))
     got = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    lines = lambda t: {x for x in t.split("\n") if x}
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, t in rows:
         after = texts[(i + 1) % len(texts)]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
-        assert abs(got[i].near_edited - alike(lines(t), lines(edited))) < 1e-9 and abs(got[i].near_next - alike(lines(t), lines(after))) < 1e-9
+        own, other, following = inverted(got[i].fingerprint), inverted(got[i].edited_fingerprint), inverted(got[(i + 1) % len(texts)].fingerprint)
+        assert own == digests_of(t) and other == digests_of(edited)
+        # from the fingerprints alone
+        assert abs(got[i].near_edited - alike(own, other)) < 1e-9 and abs(got[i].near_next - alike(own, following)) < 1e-9
+    assert got[42].near_edited > 0.3  # one long line
     odd = spark.createDataFrame([(1, None), (1, None), (None, "x"), (2, "x"), (2, "y")], "doc_id long, text string")
     assert fingerprint.fingerprints(odd).count() == 5
+    clash = spark.createDataFrame([(1, "x", 1, [1], "k"), (2, "y", 2, [2], "k")], "doc_id long, text string, _row long, _a array<long>, _k string")
+    assert fingerprint.fingerprints(clash).count() == 2
     assert fingerprint.fingerprints(none).collect() == []
 
 
+def test_fingerprints_of_texts_with_very_many_lines(spark):
+    texts = ["\n".join(f"line {k} of {i}" for k in range(200_000)) for i in range(2)] + ["one line"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df).select("doc_id", "near_edited", "near_next").collect()}
+    assert got[0].near_next == 0 and abs(got[0].near_edited - 1 / 3) < 0.01 and got[2].near_next == 0
+
+
 def test_quality_rules(spark, docs, none):
     got = {r.doc_id: r for r in quality.measure(docs, ["doc_id"]).collect()}
     assert got[0].kept and got[8].kept and not got[4].kept and got[4].n_words == 0
