@@ -17,17 +17,28 @@ STEP_BYTES = 4 << 20
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
 
+#: Temporary folders of sessions on one machine, by application.
+_OWN: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the test data, read by Spark's own reader whatever store the path names."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a session on one machine gets a temporary folder; on a cluster that folder would be another one on
+    every machine, and reads would silently miss rows, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     return base.rstrip("/")
 
 
@@ -54,14 +65,16 @@ def broadcast_arrays(spark: SparkSession, limit: int, **arrays: np.ndarray):
 def steps(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     """Cut batches into runs of rows whose texts hold about `limit` bytes; yields the rows and their UTF-8 texts (null: empty)."""
     for frame in batches:
-        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame[column]]
-        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
-        at = 0
-        while at < len(texts):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            yield frame.iloc[at:to], texts[at:to]
-            at = to
+        at, size, texts = 0, 0, []
+        for i, value in enumerate(frame[column]):
+            text = value.encode("utf-8", "surrogatepass") if isinstance(value, str) else b""
+            if texts and size + len(text) > limit:
+                yield frame.iloc[at:i], texts
+                at, size, texts = i, 0, []
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield frame.iloc[at:], texts
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -33,7 +33,7 @@ PART_BYTES = 8 << 20
 #: The most frequent n-grams and words, which travel to every task (16 bytes each); all others are looked up in their parts.
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 19
 #: Coded bytes that one vectorised step handles, and distinct entries that a training task holds before it sends them on.
-RUN_BYTES, HELD = 4 << 20, 4_000_000
+RUN_BYTES, HELD = 1 << 20, 1_000_000
 WORD, GRAM, TEXT = 0, 1, 2
 _HALF = float(np.log(0.5))
 #: log gamma(k + 1/2) and log gamma(k + 1) for small k.
@@ -80,18 +80,29 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(sorted_part[a]), order[a:b]
 
 
+def _packed(array: np.ndarray) -> bytes:
+    """An array of 8-byte numbers, byte by byte: first all highest bytes.  Sorted keys and small counts so compress well."""
+    return array.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+
+
 def _array(values, kind) -> np.ndarray:
     """Packed arrays of several rows as one."""
-    return np.frombuffer(b"".join(bytes(v) for v in values), kind)
+    parts = [np.frombuffer(v, np.uint8).reshape(8, -1)[::-1].T.reshape(-1) for v in values]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kind)
 
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their two counts."""
-    key, n, m = (np.concatenate([p[i] for p in parts]) for i in range(3))
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key, m = (np.concatenate([p[i] for p in parts]) for i in range(2))
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, m = key[order], m[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return (key[first], np.add.reduceat(n[order], first), np.add.reduceat(m[order], first)) if len(first) else (key, n, m)
+    return (key[first], np.add.reduceat(m, first)) if len(first) else (key, m)
+
+
+def _rotated(code: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Codes with their `low` lowest bits moved above the `high` others: in this order a part's codes differ little."""
+    return ((code & np.uint64((1 << low) - 1)) << np.uint64(high)) | (code >> np.uint64(low))
 
 
 def _octave(m: np.ndarray) -> np.ndarray:
@@ -103,47 +114,58 @@ def counted(documents: DataFrame, parts: int, depth: int) -> DataFrame:
     """(kind, part, size, n_sum, octaves, key, n, m) of `documents` (text, _train): packed sorted keys with their counts in
     training texts (n) and in all texts (m), for words of training texts and n-grams of all; kind TEXT counts training texts."""
 
+    low, high = 8 * (_cuts(depth)[0] + 1), 8 * (depth - _cuts(depth)[0])
+
     def pieces(kind: int, held: list) -> pd.DataFrame:
-        key, n, m = _merged(held)
-        part = _part(key, _cuts(depth)[0], parts) if kind == GRAM else (key % np.uint64(parts)).astype(np.int64)
-        return pd.DataFrame([(kind, p, key[at].tobytes(), n[at].tobytes(), m[at].tobytes()) for p, at in _split(part)], columns=["kind", "part", "key", "n", "m"])
+        key, m = _merged(held)
+        if kind == GRAM:  # the lowest bit tells whether a count is of training texts
+            part = _part(key >> np.uint64(1), _cuts(depth)[0], parts)
+            key = (_rotated(key >> np.uint64(1), low, high) << np.uint64(1)) | (key & np.uint64(1))
+            order = np.argsort(key)
+            key, m, part = key[order], m[order], part[order]
+        else:
+            part = (key % np.uint64(parts)).astype(np.int64)
+        return pd.DataFrame([(kind, p, _packed(key[at]), _packed(m[at])) for p, at in _split(part)], columns=["kind", "part", "key", "m"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {WORD: [], GRAM: []}
         rows = 0
 
-        def add(kind: int, key: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-            held[kind].append((key, n, m))
-            if len(held[kind]) >= 8:
+        def add(kind: int, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+            key, m = np.unique(keys, return_counts=True)
+            held[kind].append((key, m.astype(np.int64)))
+            if sum(len(p[0]) for p in held[kind][1:]) > HELD // 2:
                 held[kind] = [_merged(held[kind])]
-            if sum(len(p[0]) for p in held[kind]) > HELD:
-                yield pieces(kind, held[kind])
-                held[kind] = []
+                if len(held[kind][0][0]) > HELD:
+                    yield pieces(kind, held[kind])
+                    held[kind] = []
 
-        for part, texts in steps(batches):
+        for part, texts in steps(batches, limit=RUN_BYTES):
             train = part["_train"].to_numpy(dtype=bool)
             chosen = [t for t, used in zip(texts, train, strict=True) if used]
             rows += len(chosen)
-            key, n = np.unique(Words(chosen).hash, return_counts=True)
-            yield from add(WORD, key, n.astype(np.int64), n.astype(np.int64))
+            yield from add(WORD, Words(chosen).hash)
             for code, text in grams(texts, depth):
-                key, m = np.unique((code << np.uint64(1)) | train[text].astype(np.uint64), return_counts=True)
-                m = m.astype(np.int64)
-                yield from add(GRAM, key >> np.uint64(1), m * (key & np.uint64(1)).astype(np.int64), m)
+                yield from add(GRAM, (code << np.uint64(1)) | train[text].astype(np.uint64))
         for kind, rest in held.items():
             if rest:
                 yield pieces(kind, rest)
-        one = np.array([rows], np.int64).tobytes()
-        yield pd.DataFrame({"kind": [TEXT], "part": [0], "key": [np.zeros(1, np.uint64).tobytes()], "n": [one], "m": [one]})
+        yield pd.DataFrame({"kind": [TEXT], "part": [0], "key": [_packed(np.zeros(1, np.uint64))], "m": [_packed(np.array([rows], np.int64))]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        key, n, m = _merged([(_array(frame["key"], np.uint64), _array(frame["n"], np.int64), _array(frame["m"], np.int64))])
+        key, m = _merged([(_array(frame["key"], np.uint64), _array(frame["m"], np.int64))])
+        n = m
+        if frame["kind"].iloc[0] == GRAM:
+            taught = key & np.uint64(1) == 1
+            code = _rotated(key >> np.uint64(1), high, low)
+            key, back = np.unique(code, return_inverse=True)
+            n, m = (np.bincount(back, weights=x, minlength=len(key)).astype(np.int64) for x in (np.where(taught, m, 0), m))
         return pd.DataFrame({
             "kind": frame["kind"].iloc[:1], "part": frame["part"].iloc[:1], "size": [len(key)], "n_sum": [int(n.sum())], "octaves": [np.bincount(_octave(m), minlength=256)],
-            "key": [key.tobytes()], "n": [n.tobytes()], "m": [m.tobytes()],
+            "key": [_packed(key)], "n": [_packed(n)], "m": [_packed(m)],
         })
 
-    sent = documents.select("text", "_train").mapInPandas(run, "kind int, part long, key binary, n binary, m binary")
+    sent = documents.select("text", "_train").mapInPandas(run, "kind int, part long, key binary, m binary")
     return sent.groupBy("kind", "part").applyInPandas(merge, "kind int, part long, size long, n_sum long, octaves array<long>, key binary, n binary, m binary")
 
 
@@ -234,13 +256,12 @@ _NODES = "part long, origin long, key binary, total binary, ones binary, weighte
 _PASSED = "part long, key binary, fixed binary, share binary"
 
 
-def _above(frame: pd.DataFrame, depth: int, top: int) -> tuple[Subtree, np.ndarray, np.ndarray]:
-    """The tree above some packed nodes of `depth` + 1 bytes of context, those nodes' keys, and the place of each one's parent."""
-    key = _array(frame["key"], np.uint64)
+def _above(frame: pd.DataFrame, depth: int, top: int) -> tuple[Subtree, np.ndarray]:
+    """The tree above some packed nodes of `depth` + 1 bytes of context, and the place of each one's parent."""
     total, ones, weighted = (_array(frame[c], np.float64) for c in ("total", "ones", "weighted"))
-    parent, back = _parents(key, depth + 1)
+    parent, back = _parents(_array(frame["key"], np.uint64), depth + 1)
     sums = (np.bincount(back, weights=x, minlength=len(parent)) for x in (total, ones, weighted))
-    return Subtree(parent, *sums, depth, top), key, back
+    return Subtree(parent, *sums, depth, top), back
 
 
 def _passed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +269,12 @@ def _passed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _array(frame["fixed"], np.float64)[order], _array(frame["share"], np.float64)[order]
 
 
-def _addressed_back(frame: pd.DataFrame, key: np.ndarray, back: np.ndarray, fixed: np.ndarray, share: np.ndarray) -> pd.DataFrame:
+def _addressed_back(frame: pd.DataFrame, back: np.ndarray, fixed: np.ndarray, share: np.ndarray) -> pd.DataFrame:
     """What parents pass to the nodes of `frame`, packed as the nodes came, for the part each row came from."""
     out, at = [], 0
     for origin, packed in zip(frame["origin"], frame["key"], strict=True):
         to = at + len(packed) // 8
-        out.append((origin, key[at:to].tobytes(), fixed[back[at:to]].tobytes(), share[back[at:to]].tobytes()))
+        out.append((origin, packed, _packed(fixed[back[at:to]]), _packed(share[back[at:to]])))
         at = to
     return pd.DataFrame(out, columns=["part", "key", "fixed", "share"])
 
@@ -268,10 +289,10 @@ def predictions(counts: DataFrame, parts: int, depth: int) -> DataFrame:
     def addressed(tree: Subtree, origin: int, stage: int) -> pd.DataFrame:
         following = _part(tree.key, cuts[stage + 1], sizes[stage + 1]) if stage + 1 < len(cuts) else np.zeros(len(tree.key), np.int64)
         columns = (tree.key, tree.total, tree.ones, tree.weighted)
-        return pd.DataFrame([(p, origin, *(x[at].tobytes() for x in columns)) for p, at in _split(following)], columns=["part", "origin", "key", "total", "ones", "weighted"])
+        return pd.DataFrame([(p, origin, *(_packed(x[at]) for x in columns)) for p, at in _split(following)], columns=["part", "origin", "key", "total", "ones", "weighted"])
 
     def leaves(key: bytes, n: bytes) -> tuple[Leaves, Subtree]:
-        found = Leaves(np.frombuffer(key, np.uint64), np.frombuffer(n, np.int64))
+        found = Leaves(_array([key], np.uint64), _array([n], np.int64))
         return found, Subtree(found.key, found.total, found.ones, None, depth, cuts[0])
 
     def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,14 +310,14 @@ def predictions(counts: DataFrame, parts: int, depth: int) -> DataFrame:
         ups.append(materialize(ups[-1].groupBy("part").applyInPandas(climb(stage), _NODES), "nodes"))
     # contexts of one byte: at most 256 of 255 nodes each
     last = ups[-1].select("origin", "key", "total", "ones", "weighted").toPandas()
-    tree, key, back = _above(last, cuts[-1] - 1, 0)
-    down = _addressed_back(last, key, back, *tree.predict(np.zeros(len(tree.key)), np.ones(len(tree.key))))
+    tree, back = _above(last, cuts[-1] - 1, 0)
+    down = _addressed_back(last, back, *tree.predict(np.zeros(len(tree.key)), np.ones(len(tree.key))))
     down = spark.createDataFrame([(int(r.part), r.key, r.fixed, r.share) for r in down.itertuples()], _PASSED)
 
     def descend(stage: int):
         def run(frame: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            tree, key, back = _above(frame, cuts[stage - 1] - 1, cuts[stage])
-            return _addressed_back(frame, key, back, *tree.predict(*_passed(given)))
+            tree, back = _above(frame, cuts[stage - 1] - 1, cuts[stage])
+            return _addressed_back(frame, back, *tree.predict(*_passed(given)))
 
         return run
 
@@ -307,7 +328,7 @@ def predictions(counts: DataFrame, parts: int, depth: int) -> DataFrame:
         out = []
         for part, key, n, m in zip(frame["part"], frame["key"], frame["n"], frame["m"], strict=True):
             found, tree = leaves(key, n)
-            out.append((GRAM, part, key, found.logs(tree.predict(*_passed(given))[0]).tobytes(), m))
+            out.append((GRAM, part, key, _packed(found.logs(tree.predict(*_passed(given))[0])), m))
         return pd.DataFrame(out, columns=["kind", "part", "key", "value", "m"])
 
     return counted_grams.groupBy("part").cogroup(down.groupBy("part")).applyInPandas(finish, "kind int, part long, key binary, value binary, m binary")
@@ -326,8 +347,8 @@ def _head(tables: DataFrame, counts: DataFrame, kind: int, limit: int) -> tuple[
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for key, value, m in zip(frame["key"], frame["value"], frame["m"], strict=True):
-                often = _octave(np.frombuffer(m, np.int64)) >= least
-                yield pd.DataFrame({"key": [np.frombuffer(key, np.uint64)[often].tobytes()], "value": [np.frombuffer(value, np.float64)[often].tobytes()]})
+                often = _octave(_array([m], np.int64)) >= least
+                yield pd.DataFrame({"key": [_packed(_array([key], np.uint64)[often])], "value": [_packed(_array([value], np.float64)[often])]})
 
     found = tables.where(F.col("kind") == kind).select("key", "value", "m").mapInPandas(pick, "key binary, value binary").toArrow()
     key, value = (_array((x.as_py() for x in found.column(c)), t) for c, t in (("key", np.uint64), ("value", np.float64)))
@@ -364,7 +385,7 @@ def score(documents: DataFrame, training: Column, keep: list[str], depth: int |
 
     def word_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            n = [np.frombuffer(x, np.int64).astype(np.float64).tobytes() for x in frame["n"]]
+            n = [_packed(_array([x], np.int64).astype(np.float64)) for x in frame["n"]]
             yield frame[["kind", "part", "key"]].assign(value=n, m=frame["n"])
 
     words = counts.where(F.col("kind") == WORD).select("kind", "part", "key", "n").mapInPandas(word_values, "kind int, part long, key binary, value binary, m binary")
@@ -377,30 +398,43 @@ def score(documents: DataFrame, training: Column, keep: list[str], depth: int |
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for part, texts in steps(batches):
-            ids = part["_row"].to_numpy().astype(np.int64)
-            w = Words(texts)
-            n, known = _looked_up(w.hash, model["word"], model["n"])
-            logs = np.where(known, np.log10(n + 1.0) - log_total, 0.0)
-            sent = [(WORD, p, ids[w.doc[~known][at]], w.hash[~known][at]) for p, at in _split((w.hash[~known] % np.uint64(parts)).astype(np.int64))]
-            scores = np.zeros(len(texts))
-            for code, text in grams(texts, depth):
-                each, back = np.unique(code, return_inverse=True)
-                value, held = _looked_up(each, model["gram"], model["log"])
-                scores += np.bincount(text, weights=value[back], minlength=len(texts))
-                far = np.flatnonzero(~held[back])
-                code, text = code[far], text[far]
-                sent += [(GRAM, p, ids[text[at]], code[at]) for p, at in _split(_part(code, cut, parts))]
-            pieces = [None] * len(texts)
-            pieces[0] = [{"kind": k, "part": p, "row": r.tobytes(), "key": x.tobytes()} for k, p, r, x in sent] or None
-            yield part[[*keep, "_row"]].assign(
-                n_tokens=w.per_doc + 1,
-                _known=np.bincount(w.doc, weights=known, minlength=len(texts)).astype(np.int64) + int(ends > 0),
-                _base=np.bincount(w.doc, weights=logs, minlength=len(texts)) + float(np.log10(ends + 1)) - log_total,
-                _score=scores,
-                _coded=np.array([len(t) + 1 for t in texts]),
-                _pieces=pieces,
-            )
+        for frame in batches:
+            done, sent = [], []
+            for part, texts in steps(iter([frame]), limit=RUN_BYTES):
+                ids = part["_row"].to_numpy().astype(np.int64)
+                w = Words(texts)
+                n, known = _looked_up(w.hash, model["word"], model["n"])
+                logs = np.where(known, np.log10(n + 1.0) - log_total, 0.0)
+                sent.append((WORD, ids[w.doc[~known]], w.hash[~known]))
+                scores = np.zeros(len(texts))
+                for code, text in grams(texts, depth):
+                    each, back = np.unique(code, return_inverse=True)
+                    value, held = _looked_up(each, model["gram"], model["log"])
+                    scores += np.bincount(text, weights=value[back], minlength=len(texts))
+                    far = np.flatnonzero(~held[back])
+                    sent.append((GRAM, ids[text[far]], code[far]))
+                done.append(part[[*keep, "_row"]].assign(
+                    n_tokens=w.per_doc + 1,
+                    _known=np.bincount(w.doc, weights=known, minlength=len(texts)).astype(np.int64) + int(ends > 0),
+                    _base=np.bincount(w.doc, weights=logs, minlength=len(texts)) + float(np.log10(ends + 1)) - log_total,
+                    _score=scores,
+                    _coded=np.array([len(t) + 1 for t in texts]),
+                ))
+            if done:
+                rows = pd.concat(done, ignore_index=True)
+                rows["_pieces"] = pd.Series([asked_for(sent)] + [None] * (len(rows) - 1), dtype=object)
+                yield rows
+
+    def asked_for(sent: list) -> list[dict]:
+        """What a batch must look up elsewhere, by kind and part, in the order of the keys."""
+        out = []
+        for kind in (WORD, GRAM):
+            row, key = (np.concatenate([x[i] for x in sent if x[0] == kind]) for i in (1, 2))
+            order = np.argsort(key, kind="stable")
+            row, key = row[order], key[order]
+            part = _part(key, cut, parts) if kind == GRAM else (key % np.uint64(parts)).astype(np.int64)
+            out += [{"kind": kind, "part": p, "row": _packed(row[at]), "key": _packed(key[at])} for p, at in _split(part)]
+        return out
 
     extra = f"n_tokens long, _known long, _base double, _score double, _coded long, _pieces {pieces_type}"
     scored = mapped(rows.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], ["text"], run, extra)
@@ -413,20 +447,20 @@ def score(documents: DataFrame, training: Column, keep: list[str], depth: int |
             kind = int(wanted["kind"].iloc[0])
             key, value = (_array(table[c], t) for c, t in (("key", np.uint64), ("value", np.float64)))
             for step, row, each in zip(wanted["step"], wanted["row"], wanted["key"], strict=True):
-                rows, back = np.unique(np.frombuffer(row, np.int64), return_inverse=True)
-                got, found = _looked_up(np.frombuffer(each, np.uint64), key, value)
+                rows, back = np.unique(_array([row], np.int64), return_inverse=True)
+                got, found = _looked_up(_array([each], np.uint64), key, value)
                 if kind == WORD:
                     got = np.log10(got + 1.0) - log_total
                 sums = np.bincount(back, weights=got, minlength=len(rows))
-                hits = np.bincount(back, weights=found, minlength=len(rows))
-                out.append((step, kind, rows.tobytes(), sums.tobytes(), hits.tobytes()))
+                hits = np.bincount(back, weights=found, minlength=len(rows)).astype(np.int64)
+                out.append((step, kind, _packed(rows), _packed(sums), _packed(hits)))
         return pd.DataFrame(out, columns=["step", "kind", "row", "sums", "hits"])
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         row = _array(frame["row"], np.int64)
         kind = np.repeat(frame["kind"].to_numpy(), [len(x) // 8 for x in frame["row"]])
         ids, back = np.unique(row, return_inverse=True)
-        sums, hits = _array(frame["sums"], np.float64), _array(frame["hits"], np.float64)
+        sums, hits = _array(frame["sums"], np.float64), _array(frame["hits"], np.int64)
         add = lambda x, k: np.bincount(back, weights=np.where(kind == k, x, 0.0), minlength=len(ids))
         return pd.DataFrame({"_row": ids, "b": add(sums, WORD), "k": add(hits, WORD).astype(np.int64), "f": add(sums, GRAM)})
 
