@@ -3,14 +3,15 @@
 A batch's distinct words are laid out as one flat array of symbols.  Each round looks up the rank of every adjacent pair,
 takes the minimum per word (a segmented reduction), merges all leftmost non-overlapping occurrences of that minimum in
 every word at once and compacts the array, until no pair has a rank.  Where a merge would make a pair that ranks before
-the one being merged, that word takes only its leftmost merge in the round, which is the library's own order.
+the one being merged, that word takes only its leftmost merge in the round, which is the library's own order.  A word needs as
+many rounds as it has different merges, so words above LONG_WORD symbols (text without spaces) are merged with a heap instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Distinct words kept with their ids between batches; the store is emptied when it is full.
 CACHE_WORDS = 400_000
 NO_RANK = np.int64(1 << 40)
+#: Symbols of a word up to which rounds over arrays cost less than a heap, which is linear but for a logarithm.
+LONG_WORD = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -100,6 +103,7 @@ class PieceModel:
         self.pair_merged = np.array(merged, np.int32)[at]
         self.pair_ranks = np.array(ranks, np.int64)[at]
         self.size = size
+        self.merges: dict[int, tuple[int, int]] = {}
         inner = {c for t in (self.pieces[i] for i in normal) if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             self.words = re.compile(r"(?s).+")  # pieces cross words: a text is one word
@@ -116,6 +120,33 @@ class PieceModel:
         hit = self.pair_keys[at] == keys
         return np.where(hit, self.pair_ranks[at], NO_RANK), np.where(hit, self.pair_merged[at], -1)
 
+    def _finish(self, symbols: np.ndarray) -> np.ndarray:
+        """All merges of one word, best rank first and leftmost first among equals."""
+        if not self.merges:
+            self.merges.update(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist(), strict=True), strict=True))
+        s: list[int | None] = symbols.tolist()
+        n = len(s)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and s[i] >= 0 and s[j] >= 0 and (found := self.merges.get(s[i] * self.size + s[j])):
+                heapq.heappush(heap, (found[0], i, s[i], s[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, left, right, merged = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != left or j >= n or s[j] != right:
+                continue
+            s[i], s[j], after[i] = merged, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return np.array([x for x in s if x is not None], np.int64)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (its spaces already written as the space symbol), by merge rounds over all words at once."""
         chars = "".join(words)
@@ -131,6 +162,13 @@ class PieceModel:
         lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
+        ends = np.cumsum(lengths)
+        for w in np.flatnonzero(lengths > LONG_WORD).tolist():
+            done_symbol.append(self._finish(symbol[ends[w] - lengths[w] : ends[w]]))
+            done_word.append(np.full(len(done_symbol[-1]), w))
+        if done_word:
+            keep = np.repeat(lengths <= LONG_WORD, lengths)
+            symbol, word = symbol[keep], word[keep]
         while len(symbol) > 1:
             rank, merged = self._pairs(symbol[:-1], symbol[1:])
             rank[word[:-1] != word[1:]] = NO_RANK
@@ -280,12 +318,14 @@ class Encoder:
         return out
 
 
+#: The worker process's encoders, which its later tasks use again with the words they have learned.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _encoder(model_path: str) -> Encoder:
-    """The worker process's encoder, which its later tasks use again with the words it has learned."""
-    held = sys.__dict__.setdefault("_lodestrata_encoders", {})
-    if model_path not in held:
-        held[model_path] = Encoder(PieceModel(model_path))
-    return held[model_path]
+    if model_path not in _ENCODERS:
+        _ENCODERS[model_path] = Encoder(PieceModel(model_path))
+    return _ENCODERS[model_path]
 
 
 def encode_digests(documents: DataFrame, model_path: str) -> DataFrame:
