@@ -9,7 +9,6 @@ the highest wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +21,23 @@ from lodestrata.llm.common import broadcast_arrays, crc_remainder, load, mapped,
 GRAM = 4
 PROBES = 3
 SHARE = 0.25
-LEAST = 2
-#: Cells a distinct n-gram gets, and the most cells: 8 bytes each for up to 64 languages, so 128 MB at most.
+#: An n-gram must make up this share of a language's n-grams, so a filter holds a million at most; every n-gram of a language
+#: with less text than that counts.
+LEAST_RATE = 1e-6
+#: Cells a distinct n-gram gets, and the most cells of all languages together: 8 bytes each, so 128 MB.
 CELLS_PER_GRAM, MOST_CELLS = 8, 1 << 24
+#: Cells that travel to the driver as one row.
+BLOCK_CELLS = 1 << 16
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 
 
+def has_letter(text) -> bool:
+    return isinstance(text, str) and any(map(str.isalpha, text))
+
+
 def _lower(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(text=[t.lower() if isinstance(t, str) else "" for t in frame["text"]])
 
@@ -116,7 +122,7 @@ class Filters:
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Filters of all languages.  Driver memory: the cells, bounded by MOST_CELLS, and n-grams in language-sized parts."""
+    """Filters of all languages.  The driver holds their cells, MOST_CELLS at most, which arrive in blocks; more labels share them."""
     counts = materialize(gram_counts(labelled), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
@@ -127,13 +133,14 @@ def learn(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     members = (
         rates.groupBy("gram")
         .agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("each"))
-        .select("gram", F.explode(F.filter("each", lambda x: (x["rate"] >= SHARE * F.col("top")) & (x["n"] >= LEAST))).alias("x"))
+        .select("gram", F.explode(F.filter("each", lambda x: (x["rate"] >= SHARE * F.col("top")) & (x["rate"] >= LEAST_RATE))).alias("x"))
         .select("gram", "x.lang")
     )
     number = {lang: i for i, lang in enumerate(langs)}
     distinct = counts.select(F.approx_count_distinct("gram", 0.02)).first()[0]
-    size = min(MOST_CELLS, 1 << max(10, int(CELLS_PER_GRAM * distinct).bit_length()))
-    # each task sets the bits of its n-grams; cells arrive as (plane, cell, bits) and are joined by OR
+    planes = 1 + (len(langs) - 1) // 64
+    size = min(MOST_CELLS >> (planes - 1).bit_length(), 1 << max(10, int(CELLS_PER_GRAM * distinct).bit_length()))
+    # each task sets the bits of its n-grams; they meet by blocks of cells, which arrive packed
     index = F.create_map(*[x for k, v in number.items() for x in (F.lit(k), F.lit(v))])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,11 +149,18 @@ def learn(labelled: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
             for cell in _cells(frame["gram"].to_numpy(), size):
                 yield pd.DataFrame({"plane": lang // 64, "cell": cell, "bits": (np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64)})
 
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["block"].iloc[0])
+        cells = np.zeros(min(size, BLOCK_CELLS), np.uint64)
+        np.bitwise_or.at(cells, frame["cell"].to_numpy() - block * BLOCK_CELLS, frame["bits"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"plane": frame["plane"].iloc[:1], "block": [block], "cells": [cells.tobytes()]})
+
     placed = members.select("gram", index[F.col("lang")].cast("long").alias("i")).mapInPandas(place, "plane long, cell long, bits long")
-    cells = np.zeros((1 + (len(langs) - 1) // 64, size), np.uint64)
-    for batch in placed.groupBy("plane", "cell").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
-        plane, cell, bits = (batch.column(i).to_numpy() for i in range(3))
-        cells[plane, cell] = bits.view(np.uint64)
+    placed = placed.withColumn("block", F.floor(F.col("cell") / BLOCK_CELLS)).groupBy("plane", "block").applyInPandas(joined, "plane long, block long, cells binary")
+    cells = np.zeros((planes, size), np.uint64)
+    for row in placed.toLocalIterator():
+        part = np.frombuffer(row.cells, np.uint64)
+        cells[row.plane, row.block * BLOCK_CELLS : row.block * BLOCK_CELLS + len(part)] = part
     weight = np.array([totals[x] for x in langs], float)
     return langs, {"cells": cells, "weight": weight / weight.sum()}
 
@@ -158,7 +172,7 @@ def identify(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> Data
     read in `labelled` alone.  Repeated rows give repeated rows.
     """
     langs, arrays = learn(labelled)
-    shared = broadcast_arrays(documents.sparkSession, (MOST_CELLS * 8) * (1 + len(langs) // 64) + (1 << 20), **arrays)
+    shared = broadcast_arrays(documents.sparkSession, MOST_CELLS * 8 + 8 * len(langs) + 1024, **arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = Filters(langs, **shared.value) if langs else None
@@ -166,7 +180,7 @@ def identify(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> Data
             for part, lowered in _paired(frame):
                 pred = np.full(len(part), UNDETERMINED, object)
                 score = np.zeros(len(part))
-                known = np.array([bool(isinstance(t, str) and _LETTER.search(t)) for t in part["text"]], bool)
+                known = np.array([has_letter(t) for t in part["text"]], bool)
                 if filters is not None and known.any():
                     best, share = filters.predict(lowered)
                     pred = np.where(known, np.array(langs, object)[best], UNDETERMINED)
