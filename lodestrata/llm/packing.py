@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import load, mapped, mix64, steps
+from lodestrata.llm.common import load, mapped, materialize, mix64, steps
 
 LENGTH = 1024
 DIMENSIONS, BITS = 3, 16
@@ -25,6 +25,8 @@ GRAM = 4
 END_ID = 0
 #: tiktoken's regular expressions recurse, so longer texts go to the slower library.
 LONG_TEXT = 200_000
+#: Text bytes that a stretch of the curve, one task's work, should hold.
+STRETCH_BYTES = 32 << 20
 #: Grid steps for one unit of a projection's mean; projections of real text lie well within +-0.2.
 SCALE = 2.5
 
@@ -156,14 +158,14 @@ class Packer:
 def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents (doc_id, text).
 
-    Null texts are empty: one end id.  Repeated rows are documents of their own; null ids stay null.  Every stretch of the
+    Null and empty texts: one end id.  A text above LONG_TEXT characters goes to the slower library as a whole.  Repeated rows are documents of their own; null ids stay null.  Every stretch of the
     curve numbers its sequences from its partition's own range, so no global count is needed.
     """
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for part, texts in steps(iter([frame])):
-                yield part.assign(text=part["text"].fillna(""), _key=curve_keys(texts))
+                yield part.assign(text=part["text"].fillna(""), _key=curve_keys(texts), _bytes=[len(t) for t in texts])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = ByteTokenizer(json_path, ranks_path, pattern)
@@ -175,10 +177,13 @@ def pack(documents: DataFrame, json_path: str, ranks_path: str | None = None, pa
         packer.finish()
         yield packer.take()
 
-    keyed = mapped(documents.select("doc_id", "text"), ["doc_id", "text"], [], key, "_key long")
+    keyed = mapped(documents.select("doc_id", "text"), ["doc_id", "text"], [], key, "_key long, _bytes long")
     # ties on the curve, such as groups of copies, are dealt by id and text, so no key lands in one task
-    order = ["_key", "doc_id", F.xxhash64("text")]
-    sorted_along = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = materialize(keyed.withColumn("_tie", F.xxhash64("text")), "keyed")  # the range sort reads keys twice and makes them once
+    stretches = (keyed.agg(F.sum("_bytes")).first()[0] or 0) // STRETCH_BYTES
+    order = ["_key", "doc_id", "_tie"]
+    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), stretches)
+    sorted_along = keyed.drop("_bytes").repartitionByRange(n, *order).sortWithinPartitions(*order)
     pieces = mapped(sorted_along, ["doc_id"], ["text"], run, "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
+from lodestrata.llm import archive, common, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
 from lodestrata.llm.suffix_sort import InducedSorter
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -47,6 +47,8 @@ def test_pieces_match_the_library(spark, docs, none):
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
     r = random.Random(5)
     texts = [t or "" for t in TEXTS] + ["".join(r.choice("aabbde then\n\té=-▁1🧿") for _ in range(r.randrange(40))) for _ in range(500)] + ["a" * 3000]
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(1 << 20))
+    texts += [letters[:300], letters[:5000], "ab" * 2000 + letters[:900], prose(7, 20) + letters[:3000], letters]  # the last: a megabyte without a space
     for text, got in zip(texts, pieces.Encoder(model).digests(texts), strict=True):
         ids = sp.encode(text, add_eos=True)
         assert got == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
@@ -146,6 +148,16 @@ def test_scores_of_odd_rows(spark, docs, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.bits_per_byte - 8) < 1e-9 for r in untaught)
 
 
+def test_work_folder_is_shared_or_refused(spark):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x")))
+    alone = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]", applicationId="y"))
+    assert common.shared_dir(alone) == common.shared_dir(alone)
+
+
 def test_packing_places_every_id_once(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -174,6 +186,19 @@ def test_packing_places_every_id_once(spark, docs, none):
     assert packing.pack(none, *args).collect() == []
 
 
+def test_tokens_on_both_sides_of_the_limit(monkeypatch):
+    p = tokenizers_files
+    r = random.Random(8)
+    texts = [prose(4, 60), "a" * 3000, " " * 3000, "\n\t x" * 700, "".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x3000), r.randrange(0x1F300, 0x1F600)])) for _ in range(4000)), "don't '' 12345 _-_" * 200]
+    args = (p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    fast = [packing.ByteTokenizer(*args)(t) for t in texts]
+    monkeypatch.setattr(packing, "LONG_TEXT", 100)
+    assert all((packing.ByteTokenizer(*args)(t) == ids).all() for t, ids in zip(texts, fast, strict=True))
+    monkeypatch.undo()
+    long = " ".join([prose(6, 40)] * 200)  # above the limit as it stands
+    assert len(long) > packing.LONG_TEXT and (packing.ByteTokenizer(*args)(long) == packing.ByteTokenizer(args[0], None, None)(long)).all()
+
+
 def test_hilbert_neighbours_touch():
     side = 8
     points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
@@ -312,6 +337,31 @@ def test_quality_rules(spark, docs, none):
     assert quality.measure(none, ["doc_id"]).collect() == []
 
 
+def test_masks_count_languages_one_by_one():
+    r, size = random.Random(2), 1 << 12
+    texts = [prose(i, 6).encode() for i in range(12)] + [b"", b"xy"]
+    langs = [set(r.sample(sorted(set(language._grams(texts)[0].tolist())), 60)) for _ in range(70)]
+    cells = np.zeros((2, size), np.uint64)
+    for i, held in enumerate(langs):
+        for probe in language._cells(np.array(sorted(held), np.uint32), size):
+            np.bitwise_or.at(cells[i // 64], probe, np.uint64(1 << (i % 64)))
+    best, share = language.Filters([str(i) for i in range(70)], cells, np.arange(70) / 70).predict(texts)
+    for text, found, score in zip(texts, best, share, strict=True):
+        gram = language._grams([text])[0]
+        wanted = []
+        for i in range(70):
+            bit = lambda c: int(cells[i // 64][c]) >> (i % 64) & 1  # noqa: E731, B023
+            held = sum(all(bit(int(p[0])) for p in language._cells(np.array([g]), size)) for g in gram)
+            assert held >= sum(int(g) in langs[i] for g in gram)  # a filter holds what it was given
+            rate = (sum(bit(c) for c in range(size)) / size) ** language.PROBES
+            wanted.append(min(1, max(0, (held - rate * len(gram)) / max(len(gram) * (1 - rate), 1e-9))))
+        assert abs(score - max(wanted)) < 1e-6 and wanted[found] >= max(wanted) - 1e-6
+
+
+def test_texts_without_a_letter_have_no_language():
+    assert not any(map(language.has_letter, [None, "", " 1_2", "\u00b2\u00bd\u2460", "\U0001f9ff"])) and all(map(language.has_letter, ["a", "\u00e9", "\u4e2d", "1\u0431"]))
+
+
 def test_language_on_held_out_texts(spark, docs, none):
     words = {"en": "the of and tion ing with that".split(), "de": "der und ung schen nicht ein zu".split(), "fr": "le des eaux ment que tion pour".split()}
     rows = [(i, prose(i, 4, words[lang]), lang) for i, lang in ((k, list(words)[k % 3]) for k in range(120))]
