@@ -5,13 +5,15 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from lodestrata.llm import archive, common, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
+from lodestrata.llm import archive, common, fingerprint, language, license_scan, neardup, packing, pieces, quality, registry, scoring, suffix_dedup
 from lodestrata.llm.suffix_sort import InducedSorter
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -259,13 +261,44 @@ def test_license_scan_finds_phrases_and_templates(spark, docs, none):
     r = got[10]
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (9, 3, 3, 7, "mit")
     assert got[4].n_words == 0 and got[4].first_word is None and got[0].score == 0
-    notice = license_scan.TEMPLATES[6][1].replace("binary", "object")
+    text = next(t for label, t in license_scan.TEMPLATES if label == "bsd")
+    notice = text.replace("binary", "object")
     one = license_scan.scan(spark.createDataFrame([(1, "x\n" + notice)], "doc_id long, text string"), ["doc_id"]).first()
-    words = license_scan.template_words(license_scan.TEMPLATES[6][1])
+    words = license_scan.template_words(text)
     assert one.labels == "bsd" and one.base_labels == "" and abs(one.score - (len(words) - 1) / len(words)) < 1e-9
     assert license_scan.scan(none, ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("width", [60, 72, 80, 10_000])
+def test_wrapped_licenses_are_found(spark, width):
+    body = prose(11, 60).split(". ")
+    rows = [(i, "\n".join([*body[: 7 * i % 40], *textwrap.wrap(" ".join(text.split()), width), "", *body[7 * i % 40 :]])) for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1, (label, got[i])
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_operators_give_the_rows_of_their_sql(spark, name, tmp_path):
+    """On odd rows: nulls, ties, repeated rows, wrapped licenses and long texts."""
+    license_text = "\n".join(textwrap.wrap(" ".join(license_scan.TEMPLATES[1][1].split()), 60))
+    texts = [*TEXTS, license_text, LONG + "\n" + license_text, LONG.replace(". ", ".\n"), prose(21, 200), "\n".join(["home | news | sport | about", "Read more: https://a.b/c", "x"] * 400), "mit  LICENSE\ncc by cc by"]
+    documents = [(i, t, "en") for i, t in enumerate(texts)] + [(3, "", None), (None, LONG, None), (0, texts[0], "en")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    pages = [(i, f"u{i}", t) for i, t in enumerate([*texts, LONG * 2, LONG * 2, None])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    registry.QUERIES[name](spark, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/out")
+    con.sql(f"CREATE TABLE s AS SELECT * FROM '{tmp_path}/out/*.parquet'")
+    con.sql(f"CREATE TABLE o AS {registry.SQL[name]}")
+    c = ", ".join(sorted(r[0] for r in con.sql("DESCRIBE o").fetchall()))
+    assert con.sql(f"SELECT {c} FROM o EXCEPT ALL SELECT {c} FROM s").fetchall() == []
+    assert con.sql(f"SELECT {c} FROM s EXCEPT ALL SELECT {c} FROM o").fetchall() == []
+
+
 def digests_of(text, long_line=1000):
     """Spark's 64-bit digests of a text's paragraphs."""
     pieces = [p for line in text.split("\n") for p in (re.split(r"(?<=[.!?\u2026\u061f\u0964]\s)|(?<=[\u3002\uff01\uff1f])", line) if len(line) > long_line else [line])]
