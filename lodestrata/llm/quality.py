@@ -1,14 +1,18 @@
 """Operator 8: quality rules that clean a text line by line and then judge how much is left.  Native expressions only.
 
-Each non-blank line is held against four rules: it ends in closing punctuation or holds the end of a sentence, it is no navigation bar, it holds few symbols
-and little shouting, and it holds no boilerplate phrase.  A line that fails, or that equals an earlier line, is removed.
-A document is kept where the base rules pass and the lines left hold at least half of the characters.
+Each non-blank line is held against four rules.  It ends in closing punctuation or holds the end of a sentence, in any of
+several scripts.  It is no navigation: it has fewer than three bars between items, and fewer than a third of its words are
+addresses.  It holds few symbols and little shouting.  It is no boilerplate: it holds none of the fixed phrases, and fewer than a
+quarter of its words are terms of site furniture.  A line that fails, or that equals an earlier line, is removed.  A document is
+kept where the base rules pass and the lines left hold at least half of the characters.
 
 Everything is computed within a row, so nothing is shuffled and no group can grow hot.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +20,17 @@ from lodestrata.llm.common import load
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-CLOSING = [".", "!", "?", "…", '"', "”", "»", ")"]
-SENTENCE_ENDS = [". ", "! ", "? "]
+# Marks that close a sentence or a quotation, ends of sentences within a line, bars of navigation, parts of
+# addresses, phrases and terms of site furniture.
+CLOSING = [".", "!", "?", "…", '"', "”", "»", ")", "。", "！", "？", "」", "』", "）", "؟", "۔", "।", "॥", "။", "។", "።"]
+SENTENCE_ENDS = [". ", "! ", "? ", "。", "！", "？", "؟ ", "। "]
+BARS = [" | ", " · ", " • ", " › ", " » "]
+ADDRESSES = ["://", "www."]
 BOILERPLATE = ["lorem ipsum", "enable javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "click here", "sign up for our newsletter"]
+TERMS = [
+    "cookie", "privacy", "newsletter", "subscribe", "copyright", "©", "login", "sitemap", "javascript", "datenschutz", "impressum", "anmelden", "abonnieren",
+    "confidentialité", "connexion", "abonnez", "mentions légales", "privacidad", "suscríbete", "aviso legal", "iniciar sesión",
+]
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -32,25 +44,29 @@ def _symbols(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
 
 
-def _line_passes(line: Column, any_symbol: Column, any_boilerplate: Column) -> Column:
-    """The four rules for one trimmed line; the two flags of the whole text spare most lines the slower ones."""
+def _sum(counts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, counts)
+
+
+def _any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _line_passes(line: Column, any_symbol: Column, any_bar: Column, any_term: Column) -> Column:
+    """The four rules for one trimmed line; the flags of the whole text spare most lines the slower ones."""
     words = _count(line, " ") + 1
-    closed = F.substring(line, -1, 1).isin(CLOSING)
-    for mark in SENTENCE_ENDS:
-        closed = closed | F.contains(line, F.lit(mark))
-    navigation = any_symbol & (_count(line, " | ") >= 3)
+    closed = F.substring(line, -1, 1).isin(CLOSING) | _any(line, SENTENCE_ENDS)
+    navigation = any_bar & ((_sum([_count(line, p) for p in BARS]) >= 3) | (_sum([_count(line, p) for p in ADDRESSES]) * 3 >= words))
     symbols = any_symbol & (_symbols(line) * 10 > words)
     shouting = _count(line, "!!") * 10 > words
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(F.lower(line), F.lit(p))
-    return closed & ~navigation & ~symbols & ~shouting & ~(any_boilerplate & phrase)
+    furniture = any_term & (_any(F.lower(line), BOILERPLATE) | (_sum([_count(F.lower(line), p) for p in TERMS]) * 4 >= words))
+    return closed & ~navigation & ~symbols & ~shouting & ~furniture
 
 
 def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` columns, the base measures, `base_failed`, `kept` and `clean_text` of every document.
 
-    Null and empty texts have no words and fail; repeated rows give repeated rows; other columns are not read.  Windows of
+    Null and empty texts have no words and fail; a long text is measured like any other, as a whole; repeated rows give repeated rows; other columns are not read.  Windows of
     words are compared by 64-bit hashes.  Own columns start with an underscore until the end, so `keep` may hold any other name.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -82,10 +98,7 @@ def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
         F.transform(at, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda s, x: s + x
     )
     any_symbol = F.col("n_symbols") > 0
-    any_boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        any_boilerplate = any_boilerplate | F.contains(F.lower("_text"), F.lit(phrase))
-    rows = rows.select("*", any_boilerplate.alias("_phrase"))
+    rows = rows.select("*", _any(F.col("_text"), BARS + ADDRESSES).alias("_bar"), _any(F.lower("_text"), BOILERPLATE + TERMS).alias("_term"))
     rows = rows.select(
         *keep,
         "_lines",
@@ -94,7 +107,7 @@ def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size("_distinct")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.filter("_distinct", lambda x: _line_passes(F.btrim(x, F.lit(SPACES)), any_symbol, F.col("_phrase"))).alias("_clean"),
+        F.filter("_distinct", lambda x: _line_passes(F.btrim(x, F.lit(SPACES)), any_symbol, F.col("_bar"), F.col("_term"))).alias("_clean"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), F.length(F.array_join("_lines", "")).alias("_all"), F.length(F.array_join("_clean", "")).alias("_left"))
@@ -112,6 +125,10 @@ def _sql_list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def _sql_count(text: str, parts: list[str]) -> str:
+    return "(" + " + ".join(f"(length({text}) - length(replace({text}, '{p}', ''))) // {len(p)}" for p in parts) + ")"
+
+
 _SQL_ENDS = " OR ".join(f"contains(x, '{p}')" for p in SENTENCE_ENDS)
 _SQL_BOILERPLATE = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
 _SQL_X, _SQL_T = (f"translate({c}, '{SYMBOLS}', '')" for c in "xt")
@@ -129,10 +146,10 @@ lx AS (SELECT rid, line, c, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D
 ly AS (SELECT rid, line, c, x, length(x) - length(replace(x, ' ', '')) + 1 AS nw FROM lx),
 lz AS (SELECT rid, length(line) AS n, c,
         (right(x, 1) IN ({_sql_list(CLOSING)}) OR {_SQL_ENDS})
-        AND (length(x) - length(replace(x, ' | ', ''))) / 3 < 3
+        AND {_sql_count("x", BARS)} < 3 AND {_sql_count("x", ADDRESSES)} * 3 < nw
         AND (length(x) - length({_SQL_X})) * 10 <= nw
         AND (length(x) - length(replace(x, '!!', ''))) / 2 * 10 <= nw
-        AND NOT ({_SQL_BOILERPLATE}) AS ok FROM ly),
+        AND NOT ({_SQL_BOILERPLATE}) AND {_sql_count("lower(x)", TERMS)} * 4 < nw AS ok FROM ly),
 j AS (SELECT rid, sum(n * c) AS all_chars, sum(CASE WHEN ok THEN n ELSE 0 END) AS left_chars, sum(c - 1) AS dups FROM lz GROUP BY rid),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
         length(array_to_string(ws, ''))::BIGINT AS word_chars,

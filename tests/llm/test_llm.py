@@ -368,6 +368,10 @@ def test_quality_rules(spark, docs, none):
     assert rows[0].n_dup_lines == 4 and not rows[0].kept and rows[0].clean_text == "One line of text that ends as it should."
     assert rows[1].n_repeat_words == 44 and rows[1].base_failed  # the last word, with its stop, stands in no repeated window
     assert quality.measure(none, ["doc_id"]).collect() == []
+    good = ["Ein Satz endet hier.", "これは文です。", "यह एक वाक्य है।", "هل هذا سؤال؟", "See https://a.b/c for more on this and that, it says."]
+    bad = ["no end of a sentence", "https://a.b www.c.d here.", "a › b › c › d.", "Datenschutz und Impressum.", "Subscribe to our newsletter now!", "x | y | z | w.", "STOP!! NOW!! HERE.", "# # # and % &."]
+    lines = quality.measure(spark.createDataFrame([(1, "\n".join(good + bad)), (2, "\n".join(good * 2 + bad[:1])), (3, prose(1, 30_000))], "doc_id long, text string"), ["doc_id"]).collect()
+    assert lines[0].clean_text.split("\n") == good and lines[1].n_dup_lines == 5 and lines[2].kept and len(lines[2].clean_text) > 1 << 20
 
 
 def test_masks_count_languages_one_by_one():
