@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 
 #: Temporary folders of sessions on one machine, by application.
 _OWN: dict[str, str] = {}
+#: Paths made inside work_tables, by block.
+_TRACKED: list[list[str]] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,14 +47,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table in the shared folder."""
-    return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    for paths in _TRACKED:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def work_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Work tables that are made inside go at the end, but for those given to what this yields; what is computed from the
+    others must be written by then."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df.work_path)
+        return df
+
+    _TRACKED.append(paths)
+    try:
+        yield keep
+    finally:
+        _TRACKED.remove(paths)
+        drop_paths(spark, paths)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        p = hadoop.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.work_path = path
+    return table
 
 
 def broadcast_arrays(spark: SparkSession, limit: int, **arrays: np.ndarray):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Words, broadcast_arrays, load, materialize, mix64, steps
+from lodestrata.llm.common import Words, broadcast_arrays, load, materialize, mix64, steps, work_tables
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -289,7 +289,7 @@ def _in_blocks(members: DataFrame, short: DataFrame, weighted: DataFrame) -> Dat
 
 
 def text_links(staged: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(t, c): each distinct text that shares a bucket, and its component; texts are named by a row (t)."""
+    """(t, c, links): each distinct text that shares a bucket, its component and the verified links it has; texts are named by a row (t)."""
     texts = sketched.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("t"))
     named = sketched.select(F.col("_row").alias("t"), "buckets", "short").join(texts.select("t"), "t", "left_semi")
     named = materialize(named, "texts")
@@ -317,7 +317,10 @@ def text_links(staged: DataFrame, sketched: DataFrame) -> DataFrame:
         labels = components(nodes, edges)
         # a hub has now been held against all members of its bucket
         members = rest.where("t <> u").select("bucket", "band", "t")
-    return labels
+    if edges is None:
+        return labels.withColumn("links", F.lit(0).cast("long"))
+    ends = edges.unionByName(edges.select(F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
+    return labels.join(ends.groupBy("t").agg(F.count("*").alias("links")), "t", "left")
 
 
 def stage_rows(documents: DataFrame, columns: list[str]) -> DataFrame:
@@ -326,24 +329,26 @@ def stage_rows(documents: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def near_duplicates(staged: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(_row, id, class_id, keeper, class_size): one row per staged row.
+    """(_row, id, class_id, keeper, class_size, links): one row per staged row.
 
+    `links` counts the verified links of the row's text that made its class: enough to hold the class together, not all.
     class_id is the smallest id of the class, keeper marks the class's row with the smallest id (ties: the first row).
     Texts with the same words, in A-Z lower case, are one text.  Null, empty and wordless texts are classes of their own.
     A class whose ids are all null has a null class_id.
     """
-    sketched = materialize(_sketch(staged), "sketches")
-    texts = materialize(sketched.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("t")), "texts")
-    labels = text_links(staged, sketched)
-    ids = sketched.select("_row", "digest").join(staged.select("_row", F.col(id_column).alias("_id")), "_row")
-    named = ids.join(texts, "digest", "left").join(labels, "t", "left")
-    named = materialize(named.select("_row", "_id", F.coalesce("c", "t", "_row").alias("c")), "named")
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    first = materialize(named.groupBy("c").agg(F.min(order).alias("first"), F.count("*").alias("class_size")), "classes")
+    with work_tables(staged.sparkSession) as keep:
+        sketched = materialize(_sketch(staged), "sketches")
+        texts = materialize(sketched.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("t")), "texts")
+        labels = text_links(staged, sketched)
+        ids = sketched.select("_row", "digest").join(staged.select("_row", F.col(id_column).alias("_id")), "_row")
+        named = ids.join(texts, "digest", "left").join(labels, "t", "left")
+        named = keep(materialize(named.select("_row", "_id", F.coalesce("c", "t", "_row").alias("c"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "named"))
+        order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
+        first = keep(materialize(named.groupBy("c").agg(F.min(order).alias("first"), F.count("*").alias("class_size")), "classes"))
     rows = named.join(first, "c")
-    return rows.select("_row", F.col("_id").alias(id_column), F.col("first.i").alias("class_id"), (F.col("_row") == F.col("first.r")).alias("keeper"), "class_size")
+    return rows.select("_row", F.col("_id").alias(id_column), F.col("first.i").alias("class_id"), (F.col("_row") == F.col("first.r")).alias("keeper"), "class_size", "links")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = stage_rows(load(spark, sf_dir, "documents"), ["doc_id", "text"])
-    return near_duplicates(staged).select("doc_id", "class_id", "class_size")
+    return near_duplicates(staged).select("doc_id", "class_id", "class_size", "links")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import load, materialize, mix64
+from lodestrata.llm.common import load, materialize, mix64, work_tables
 from lodestrata.llm.suffix_sort import InducedSorter
 
 WINDOW = 50
@@ -310,6 +310,17 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", with_text: b
     """
     spark = documents.sparkSession
     blocks, name = _blocks(documents, id_column)
+    try:
+        with work_tables(spark) as keep:
+            done = keep(_removed(blocks, with_text)).withColumn("_id", F.col("_id").cast("long"))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return done if with_text else done.drop("kept_text")
+
+
+def _removed(blocks: DataFrame, with_text: bool) -> DataFrame:
+    """The written result of remove_repeats, from the table of blocks."""
+    spark = blocks.sparkSession
     total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total * 8 // (SPAN + 1) // BUCKET_BYTES)
     shared = materialize(_shared_keys(blocks, buckets), "shared")
@@ -336,10 +347,7 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", with_text: b
                 yield pd.DataFrame(out, columns=["_row", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     joined = blocks.join(answers, "block", "left").select("data", "ends", "rows", "ids", "answers")
-    done = materialize(joined.mapInPandas(cut, "_row long, _id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "kept")
-    done = done.withColumn("_id", F.col("_id").cast("long"))
-    spark.sql(f"DROP TABLE {name}")
-    return done if with_text else done.drop("kept_text")
+    return materialize(joined.mapInPandas(cut, "_row long, _id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "kept")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

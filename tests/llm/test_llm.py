@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
@@ -422,33 +423,80 @@ def test_probability_jaccard_and_signatures():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
 
-def test_near_duplicates_against_brute_force(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)  # so that the block-wise rest takes part
+def brute_classes(rows):
+    """({id: smallest id of its class}, linked pairs of different texts) by the exact probability Jaccard similarity of all pairs that share a shingle."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = {}
+    for i, t in rows:
+        words = tuple(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)))
+        texts.setdefault(words or i, []).append(i)
+    keys = [w for w in texts if isinstance(w, tuple)]
+    sets = [collections.Counter(w[k : k + 5] for k in range(max(1, len(w) - 4))) for w in keys]
+    holders, parent, links = {}, list(range(len(keys))), []
+    for k, shingles in enumerate(sets):
+        for x in shingles:
+            holders.setdefault(x, []).append(k)
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k, shingles in enumerate(sets):
+        shared = collections.Counter(j for x in shingles for j in holders[x] if j < k)
+        for j, n in shared.items():
+            if n < 0.3 * min(len(shingles), len(sets[j])):  # far below: the similarity is at most what either text's weight can share
+                continue
+            number = {x: i for i, x in enumerate(shingles.keys() | sets[j].keys())}
+            a, b = ((np.array([number[x] for x in s]), np.array(list(s.values()))) for s in (shingles, sets[j]))
+            a, b = ((x[np.argsort(x)], n[np.argsort(x)]) for x, n in (a, b))
+            if neardup.probability_jaccard(*a, *b) >= 0.8 - 1e-9:
+                links.append((keys[j], keys[k]))
+                parent[max(find(j), find(k))] = min(find(j), find(k))
+    smallest = {}
+    for k, w in enumerate(keys):
+        smallest[find(k)] = min(smallest.get(find(k), 1 << 60), *texts[w])
+    out = {i: smallest[find(k)] for k, w in enumerate(keys) for i in texts[w]}
+    return {**{i: i for w, ids in texts.items() if not isinstance(w, tuple) for i in ids}, **out}, links
+
+
+def near_rows():
     r = random.Random(4)
     base = prose(50, 30, "alpha beta gamma delta kappa lambda sigma omega theta zeta".split()).split()
     rows = []
-    for i in range(60):
+    for i in range(90):
         words = list(base)
-        for _ in range(r.choice([0, 1, 2, 8])):
+        for _ in range(r.choice([0, 1, 2, 8, 30])):
             words[r.randrange(len(words))] = f"w{i}"
-        rows.append((i, " ".join(words)))
-    rows += [(100 + i, prose(i + 200, 20)) for i in range(10)] + [(200, None), (201, "")]
-    shingle = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").split()] for k in range(max(0, len(w) - 4))}
-    sets, parent = [shingle(t) for _, t in rows], list(range(len(rows)))
-    find = lambda i: i if parent[i] == i else find(parent[i])
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
+        rows.append((i, " ".join(words) + " so it goes and so it goes again" * r.choice([0, 0, 5])))
+    return rows + [(100 + i, prose(i + 200, 20)) for i in range(10)] + [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a b c")]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])  # with few rounds the block-wise rest takes part; 3 is the default
+def test_near_duplicates_against_brute_force(spark, docs, none, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+    if rounds == 0:
+        monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 7)
+    rows = near_rows()
     staged = neardup.stage_rows(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"])
-    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(staged).collect()}
-    # words of the base repeat, so weighted and plain similarity may differ near the threshold
-    same = sum(got[d] == rows[find(i)][0] for i, (d, _) in enumerate(rows))
-    assert same >= len(rows) - 2
-    odd = neardup.near_duplicates(neardup.stage_rows(docs, ["doc_id", "text"])).collect()
-    assert len(odd) == docs.count() and {x.class_id for x in odd if x.doc_id in (0, 1, 2)} == {0}
-    assert neardup.near_duplicates(neardup.stage_rows(none, ["doc_id", "text"])).collect() == []
+    got = neardup.near_duplicates(staged).collect()
+    want, _ = brute_classes(rows)
+    assert {x.doc_id: x.class_id for x in got} == want
+    for x in got:  # a class of several texts is held together by links
+        assert (x.links > 0) == (len({" ".join((t or "").lower().split()) for i, t in rows if want[i] == want[x.doc_id]}) > 1)
+    if rounds == 3:
+        odd = neardup.near_duplicates(neardup.stage_rows(docs, ["doc_id", "text"])).collect()
+        assert len(odd) == docs.count() and {x.class_id for x in odd if x.doc_id in (0, 1, 2)} == {0}
+        assert neardup.near_duplicates(neardup.stage_rows(none, ["doc_id", "text"])).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_no_link_of_the_documents_is_lost(spark):
+    """All documents of a table at default settings: every class is that of brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want, links = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in neardup.op10_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert links and got == want
 
 
 def test_no_pair_alike_is_above_its_bound():
