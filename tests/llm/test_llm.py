@@ -228,17 +228,24 @@ def test_induced_sorting_against_brute_force(seed):
         assert lcp[i] == m
 
 
-def brute_repeats(rows):
-    out, smaller = {}, {}
+def brute_gone(rows):
+    """Of each row (id, bytes), which bytes go."""
+    smaller = {}
     for doc, data in rows:
         for i in range(len(data) - 49):
             w = data[i : i + 50]
             smaller[w] = min(smaller.get(w, doc), doc)
-    for k, (doc, data) in enumerate(rows):
+    for doc, data in rows:
         gone = bytearray(len(data))
         for i in range(len(data) - 49):
             if smaller[data[i : i + 50]] < doc:
                 gone[i : i + 50] = b"\1" * 50
+        yield gone
+
+
+def brute_repeats(rows):
+    out = {}
+    for k, ((doc, data), gone) in enumerate(zip(rows, brute_gone(rows), strict=True)):
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         out[k] = (len(data), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
     return out
@@ -519,10 +526,51 @@ def test_pairs_in_blocks_are_verified_however_signatures_agree(spark):
     assert [(r.t, r.u) for r in neardup._in_blocks(members, signed, weighted).collect()] == [(1, 2)]
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on a fixture whose lines are known to pass or fail: what is left of each text, and where its ids are packed."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    rows = [(i, prose(i, 12), "en", "s", 1) for i in range(30)] + [(100, prose(3, 12), "en", "s", 1), (101, "### $$$", None, None, None), (102, None, None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    german = "der und ung schen nicht ein zu mit auf lich".split()
+    passage = prose(77, 12)
+    bad = ["home | news | sport | about | login", "no closing mark here", "### $$$ %%% &&&.", "Subscribe to our newsletter now!"]
+    rows = []  # (id, lines that pass, lines that fail, language)
+    for i in range(40):
+        lines = [prose(1000 * i + k, 3, german if i % 4 == 0 else "the a of on and in was tion ing ent er re st nd hat shed".split()) for k in range(5)]
+        if i % 5 == 1:
+            lines.insert(2, passage)  # shared by kept documents
+        rows.append((i, lines, bad[: i % 4] if i % 3 else [], "de" if i % 4 == 0 else "en"))
+    rows += [(100 + i, list(rows[i][1]), [], rows[i][3]) for i in range(5)]  # copies
+    for i in range(5):  # near copies: one word changed
+        words = rows[10 + i][1][0].split(" ")
+        words[5] = "changed"
+        rows.append((200 + i, [" ".join(words), *rows[10 + i][1][1:]], [], rows[10 + i][3]))
+    texts = {}
+    for i, good, failing, _ in rows:
+        lines = failing[:1] + good + failing[1:]
+        texts[i] = ("\n".join(lines), "\n".join(x for x in lines if x in good))
+    table = [(i, texts[i][0], lang, "s", len(texts[i][0]), "x") for i, _, _, lang in rows]
+    table += [(300, "12 34 ### $$$", None, None, None, None), (301, None, None, None, None, None), (302, "", "en", "s", 0, None), (303, "\n".join(bad * 6), "en", "s", 0, None), (304, "\u4e00\u4e8c\u4e09\u3002 " * 30, None, None, None, None)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, _row string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    assert {r.doc_id for r in got} == set(range(30))
+
+    cleaned = [(i, texts[i][1]) for i in sorted(texts)]  # languages and rules: the rows from 300 on go
+    keep = brute_classes(cleaned)[0]
+    kept = [(i, t.encode()) for i, t in cleaned if keep[i] == i]
+    assert {i for i, _ in kept} == set(range(40))
+    tokenizer = Tokenizer.from_file(tokenizers_files.path("byte_bpe_50k.json"))
+    assert {x.doc_id for x in got} == {i for i, _ in kept}
+    for (i, _), gone in zip(kept, brute_gone(kept), strict=True):
+        text = bytes(b for b, g in zip(kept[[k for k, _ in kept].index(i)][1], gone, strict=True) if not g).decode("utf-8", "ignore")
+        ids, at = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4"), 0
+        for x in sorted((x for x in got if x.doc_id == i), key=lambda x: x.start):
+            assert (x.start, x.doc_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + x.length].tobytes()))
+            at += x.length
+        assert at == len(ids)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
