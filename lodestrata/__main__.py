@@ -1,4 +1,4 @@
-"""Command line: generate, catalog, load, build, score, status, report, parity."""
+"""Command line: generate, catalog, migrate, load, build, score, status, report, drift, parity."""
 
 from __future__ import annotations
 
@@ -29,6 +29,12 @@ def _parser() -> argparse.ArgumentParser:
         if name == "report":
             s.add_argument("name")
             s.add_argument("--group", action="append", default=[], help="read as a member of this group")
+    s = c.add_parser("migrate", help="apply numbered SQL files")
+    s.add_argument("--store", required=True)
+    s.add_argument("--folder", required=True)
+    s = c.add_parser("drift", help="compare declared tables with those of a store")
+    s.add_argument("--store", required=True)
+    s.add_argument("--sql", help="a file with CREATE TABLE statements; without it landed datasets are compared with the registry")
     s = c.add_parser("parity", help="compare the reports of two stores")
     s.add_argument("--store", required=True)
     s.add_argument("--other", required=True)
@@ -47,8 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from lodestrata.operators import tables
-    from lodestrata.plans import policy, rules, views, warehouse
-    from lodestrata.sources import extract, generate
+    from lodestrata.plans import checks, policy, rules, views, warehouse
+    from lodestrata.sources import extract, generate, migrate
     from lodestrata.sources.store import Store
 
     spark = SparkSession.builder.appName("lodestrata").getOrCreate()
@@ -74,6 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"landing {store.history(extract.AREA)}, warehouse {store.history(warehouse.AREA)}")
         if (runs := store.log(warehouse.RUNS)) is not None:
             runs.orderBy("started_at").show(50, truncate=False)
+            print("latest run:", warehouse.latest_run(store))
     elif args.command == "score":
         t = store.read(warehouse.AREA)
         seeded = extract.injections(spark, extract.read_manifest(args.extract))
@@ -84,15 +91,30 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "report":
         t = store.read(warehouse.AREA)
         frame = policy.read(t, policy.principal(*args.group), args.name) if args.group else views.VIEWS[args.name](t)
-        frame.show(100, truncate=False)
+        (views.ordered(args.name, frame) if args.name in views.VIEWS else frame).show(100, truncate=False)
     elif args.command == "parity":
         mine, other = store.read(warehouse.AREA), Store(spark, args.other).read(warehouse.AREA)
-        differ = 0
-        for name, view in views.VIEWS.items():
-            counts = {r.side: r.row_count for r in tables.compare(view(mine), view(other)).collect()}
-            differ += counts["left_only"] + counts["right_only"]
-            print(name, counts)
-        return 1 if differ else 0
+        results = {name: tables.parity(view(mine), view(other)) for name, view in views.VIEWS.items()}
+        for name, result in results.items():
+            print(f"{name:<32} {'match' if result.ok else 'MISMATCH':<9} {result.rows[0]} and {result.rows[1]} rows, {result.differing} differ{'' if result.same_columns else ', other columns'}")
+            for left, right in result.diffs:
+                print(f"    {left} | {right}")
+        return 0 if all(r.ok for r in results.values()) else 1
+    elif args.command == "migrate":
+        try:
+            print(", ".join(f"{m.version} {m.name}" for m in migrate.run(store, args.folder)) or "nothing to apply")
+        except migrate.MigrationError as problem:
+            print(problem, file=sys.stderr)
+            return 1
+    elif args.command == "drift":
+        if args.sql:
+            with open(args.sql, encoding="utf-8") as f:
+                declared, found = checks.declared_in(f.read()), store.read(warehouse.AREA)
+        else:
+            declared, found = {n: list(d.columns) for n, d in registry.DATASETS.items()}, store.read(extract.AREA)
+        problems = checks.drift(declared, {n: df.columns for n, df in found.items()})
+        print("\n".join(problems) or "no drift")
+        return 1 if problems else 0
     return 0
 
 

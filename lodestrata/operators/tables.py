@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +26,12 @@ def orphans(df: DataFrame, parents: DataFrame, child_key: str, parent_key: str)
     return df.where(F.col(child_key).isNotNull()).join(parents.select(F.col(parent_key).alias("_p")).distinct(), F.col(child_key) == F.col("_p"), "left_anti")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1, in_key_order: bool = True) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1, in_key_order: bool = False) -> DataFrame:
     """The next snapshot of a keyed table.
 
     Natural keys that exist keep their surrogate and take the source's values; new ones get surrogates above the largest; rows
     that the source lacks stay, or go if `delete_missing`, save the row at `never`.  `_action` tells insert, update, keep.
-    New surrogates follow the order of the keys, or without `in_key_order` that of buckets by hash, which many tasks number.
+    New surrogates follow the order of buckets by the keys' hash, which many tasks number, or with `in_key_order` that of the keys.
     """
     values = [c for c in source.columns if c not in keys]
     t = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(key_column).alias("_key"), *[F.col(v).alias(f"_t_{v}") for v in values])
@@ -62,6 +63,19 @@ def numbered(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
     return df.withColumn("_within", within).join(F.broadcast(starts), "_bucket").withColumn("_number", F.col("_start") + F.col("_within")).drop("_bucket", "_within", "_start")
 
 
+def rank_over(df: DataFrame, value: str, weight: str, out: str, stretches: int = 256) -> DataFrame:
+    """Adds `out`: one more than the `weight` of rows with a larger `value`; nulls come last.  Values are distinct.
+
+    Values are cut into stretches by quantiles; each stretch is summed in a task of its own, and only the stretches' sums meet.
+    """
+    bounds = df.agg(F.percentile_approx(value, [i / stretches for i in range(1, stretches)], 10 * stretches).alias("_bounds"))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("_stretch", F.when(F.col(value).isNull(), stretches).otherwise(F.size(F.filter("_bounds", lambda b: b > F.col(value))))).drop("_bounds")
+    before = lambda w: F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_stretch").agg(F.sum(weight).alias(weight)).select("_stretch", before(Window.orderBy("_stretch")).alias("_start"))
+    within = before(Window.partitionBy("_stretch").orderBy(F.desc_nulls_last(value)))
+    return placed.withColumn("_within", within).join(F.broadcast(starts), "_stretch").withColumn(out, F.col("_start") + F.col("_within") + 1).drop("_stretch", "_within", "_start")
+
+
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target and the source rows whose key it lacks."""
     return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
@@ -74,7 +88,7 @@ def month_spine(bounds: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, tolerance_digits: int = 2) -> DataFrame:
-    """(side, rows): rows of one side that the other lacks, as multisets; decimals and doubles are rounded first."""
+    """(side, row_count): rows of one side that the other lacks, as multisets of values rounded first; see `parity` for a tolerance."""
 
     def rounded(df: DataFrame) -> DataFrame:
         number = lambda kind: kind in ("double", "float") or kind.startswith("decimal")
@@ -85,6 +99,54 @@ def compare(left: DataFrame, right: DataFrame, tolerance_digits: int = 2) -> Dat
     return reduce(DataFrame.unionAll, [df.agg(F.count("*").alias("row_count")).select(F.lit(side).alias("side"), "row_count") for side, df in sides])
 
 
+@dataclass(frozen=True)
+class Parity:
+    """How two tables compare: columns that are not the same end the comparison; diffs are pairs of rows (None: no such row)."""
+
+    same_columns: bool
+    rows: tuple[int, int]
+    differing: int = 0
+    diffs: tuple[tuple[dict | None, dict | None], ...] = ()
+
+    @property
+    def ok(self) -> bool:
+        return self.same_columns and self.rows[0] == self.rows[1] and not self.differing
+
+
+def paired(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(left, right): pairs of rows that differ, as structs; numbers with a fraction may be `tolerance` apart, null is like null only.
+
+    Rows that agree in all other columns are paired in the order of those numbers, nulls first, so no task sorts a whole table.
+    """
+    fraction = lambda kind: kind in ("double", "float") or kind.startswith("decimal")
+    numbers = [c for c, kind in left.dtypes if fraction(kind)]
+    exact = [c for c in left.columns if c not in numbers]
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        w = Window.partitionBy(*[F.col(c) for c in exact]).orderBy(*[F.asc_nulls_first(c) for c in numbers] or [F.lit(0)])
+        return df.select(F.struct(*left.columns).alias(side), F.row_number().over(w).alias(f"_{side}"))
+
+    a, b = placed(left, "left"), placed(right, "right")
+    on = [F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}")) for c in exact] + [F.col("_left") == F.col("_right")]
+    both = a.join(b, reduce(lambda x, y: x & y, on), "full")
+    near = lambda x, y: x.eqNullSafe(y) | F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= tolerance + 1e-12, F.lit(False))
+    alike = reduce(lambda x, y: x & y, [near(F.col(f"left.{c}"), F.col(f"right.{c}")) for c in numbers], F.col("left").isNotNull() & F.col("right").isNotNull())
+    return both.where(~alike).select("left", "right")
+
+
+def parity(left: DataFrame, right: DataFrame, tolerance: float = 0.01, most: int = 8) -> Parity:
+    """Compares two tables: columns with their order, row counts, and rows; at most `most` differing pairs are reported, the
+    first in the order of the left row's columns, nulls first."""
+    counts = (left.count(), right.count())
+    if left.columns != right.columns:
+        return Parity(False, counts)
+    found = paired(left, right, tolerance)
+    order = [F.asc_nulls_first(F.coalesce(f"left.{c}", f"right.{c}")) for c in left.columns]
+    shown = found.orderBy(*order).limit(most).collect()
+    as_dict = lambda row: row.asDict() if row is not None else None
+    return Parity(True, counts, found.count(), tuple((as_dict(r["left"]), as_dict(r["right"])) for r in shown))
+
+
 def scorecard(seeded: DataFrame, detected: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Per rule: seeded, detected, matched, missed, false positives and recall of distinct keys."""
     s = seeded.select(*keys).distinct().withColumn("_s", F.lit(1))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestrata.operators import tables, temporal
 
@@ -30,6 +32,30 @@ def parent_of(column: str) -> tuple[str, str] | None:
     return next(((table, key) for key, table in _PARENTS.items() if column == key or column.endswith("_" + key)), None)
 
 
+def drift(declared: Mapping[str, list[str]], found: Mapping[str, list[str]]) -> list[str]:
+    """What differs between declared and found tables: names, missing and undeclared columns, and their order."""
+    out = [f"{t}: not declared" for t in sorted(set(found) - set(declared))] + [f"{t}: not there" for t in sorted(set(declared) - set(found))]
+    for t in sorted(set(declared) & set(found)):
+        missing, more = [c for c in declared[t] if c not in found[t]], [c for c in found[t] if c not in declared[t]]
+        out += [f"{t}.{c}: not there" for c in missing] + [f"{t}.{c}: not declared" for c in more]
+        if not missing and not more and declared[t] != found[t]:
+            out.append(f"{t}: columns are in another order")
+    return out
+
+
+def declared_in(sql: str) -> dict[str, list[str]]:
+    """Columns of each CREATE TABLE in a text of SQL statements; the column list is read by Spark's own parser."""
+    out = {}
+    plain = re.sub(r"--[^\n]*", "", sql)
+    for found in re.finditer(r"(?i)\bcreate\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.]+)\s*\(", plain):
+        depth, end = 1, found.end()
+        while depth and end < len(plain):
+            depth += {"(": 1, ")": -1}.get(plain[end], 0)
+            end += 1
+        out[found.group(1).split(".")[-1]] = StructType.fromDDL(plain[found.end() : end - 1]).names
+    return out
+
+
 def violations(t: Tables) -> dict[str, DataFrame]:
     """A query by invariant; each has rows only where the invariant does not hold.  Tables that are not given are not checked."""
     out = {}
@@ -48,6 +74,7 @@ def violations(t: Tables) -> dict[str, DataFrame]:
     if "dim_employee" in t:
         people = t["dim_employee"]
         out["dim_employee: versions do not overlap"] = temporal.overlapping(people, "employee_id", "valid_from", "valid_to")
+        out["dim_employee: valid_to is after valid_from"] = people.where("valid_to <= valid_from")
         out["dim_employee: one version is current"] = people.groupBy("employee_id").agg(F.count_if("is_current").alias("n")).where("n <> 1")
     if "dq_exception" in t:
         labels = F.col("severity").isin("error", "warning") & F.col("disposition").isin("rejected", "repaired", "flagged")

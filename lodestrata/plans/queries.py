@@ -88,9 +88,7 @@ def sales_pipeline(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = o.withColumn("running", F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("amount").over(Window.partitionBy("o_custkey")))
     # a rank over rows equals one plus the rows with a larger total: totals are few beside rows, so only they are ranked
-    totals = o.groupBy("total").agg(F.count("*").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = totals.select(F.col("total"), (F.coalesce(above, F.lit(0)) + 1).alias("pipeline_rank"))
+    ranks = tables.rank_over(o.groupBy("total").agg(F.count("*").alias("n")), "total", "n", "pipeline_rank").drop("n")
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return o.join(ranks, "total").join(c, "o_custkey").select("o_custkey", "c_name", "o_orderkey", F.col("running").cast("double").alias("running"), F.col("total").cast("double").alias("total"), "pipeline_rank")
 
@@ -245,13 +243,13 @@ def _target(spark, sf_dir):
 SELECT t.key::BIGINT AS key, t.nat_key, coalesce(s.segment, t.segment) AS segment, CASE WHEN s.nat_key IS NULL OR s.segment = t.segment THEN 'keep' ELSE 'update' END AS action FROM t LEFT JOIN s USING (nat_key) UNION ALL SELECT key, nat_key, segment, 'insert' FROM n""")
 def merge_upsert(spark, sf_dir):
     t, s = _target(spark, sf_dir)
-    return tables.upsert(t, s, ["nat_key"], "key").select(F.col("key").cast("long").alias("key"), "nat_key", "segment", F.col("_action").alias("action"))
+    return tables.upsert(t, s, ["nat_key"], "key", in_key_order=True).select(F.col("key").cast("long").alias("key"), "nat_key", "segment", F.col("_action").alias("action"))
 
 
 @query(f"""WITH {_TARGET} SELECT t.key::BIGINT AS key, nat_key, s.segment FROM t JOIN s USING (nat_key) UNION ALL SELECT (SELECT max(key) FROM t) + row_number() OVER (ORDER BY nat_key), nat_key, segment FROM s WHERE nat_key NOT IN (SELECT nat_key FROM t)""")
 def merge_reconcile(spark, sf_dir):
     t, s = _target(spark, sf_dir)
-    return tables.upsert(t, s, ["nat_key"], "key", delete_missing=True).select(F.col("key").cast("long").alias("key"), "nat_key", "segment")
+    return tables.upsert(t, s, ["nat_key"], "key", delete_missing=True, in_key_order=True).select(F.col("key").cast("long").alias("key"), "nat_key", "segment")
 
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 <> 0""")

@@ -148,12 +148,12 @@ def _impossible_travel(t: Tables) -> DataFrame:
     return _found(pairs, "sec_access_event", "@employee_id", " was in another region at event ", "@anchor_id", " less than an hour before")
 
 
-def exceptions(t: Tables, codes: list[str] | None = None) -> DataFrame:
-    """(dataset, rule_code, severity, disposition, target_key, detail, detected_at) of all rules, or of those named."""
+def exceptions(t: Tables, codes: list[str] | None = None, run: int | None = None) -> DataFrame:
+    """(run_id, dataset, rule_code, severity, disposition, target_key, detail, detected_at) of all rules, or of those named."""
     found = []
     for rule in [RULES[c] for c in codes or sorted(RULES)]:
         labels = {"dataset": rule.dataset, "rule_code": rule.code, "severity": rule.severity, "disposition": rule.disposition}
-        found.append(rule.find(t).select(*[F.lit(v).alias(k) for k, v in labels.items()], "target_key", "detail"))
+        found.append(rule.find(t).select(F.lit(run).cast("int").alias("run_id"), *[F.lit(v).alias(k) for k, v in labels.items()], "target_key", "detail"))
     return reduce(DataFrame.unionByName, found).withColumn("detected_at", F.current_timestamp())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import UNKNOWN_KEY, ratio
-from lodestrata.operators import temporal
+from lodestrata.operators import tables, temporal
 
 Tables = Mapping[str, DataFrame]
 
@@ -70,9 +70,8 @@ def sales_pipeline_by_rep(t: Tables) -> DataFrame:
     owner = Window.partitionBy("owner_employee_key")
     o = o.withColumn("cumulative_pipeline_usd", F.sum("amount_usd").over(_so_far(owner.orderBy("created_date", "opportunity_id")))).withColumn("total_open_pipeline_usd", F.sum("amount_usd").over(owner))
     # a row's rank is one more than the rows with larger totals; totals are far fewer than rows, and null ones come last
-    totals = o.groupBy("total_open_pipeline_usd").agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.orderBy(F.desc_nulls_last("total_open_pipeline_usd")).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = totals.select(F.col("total_open_pipeline_usd").alias("_total"), (F.coalesce(above, F.lit(0)) + 1).alias("pipeline_rank"))
+    totals = o.groupBy(F.col("total_open_pipeline_usd").alias("_total")).agg(F.count("*").alias("_n"))
+    ranks = tables.rank_over(totals, "_total", "_n", "pipeline_rank").drop("_n")
     return o.join(ranks, F.col("total_open_pipeline_usd").eqNullSafe(F.col("_total"))).select(
         "owner_employee_id", "owner_name", "region", "opportunity_id", "account_name", "created_date", "stage", "amount_usd", "cumulative_pipeline_usd", "total_open_pipeline_usd", "pipeline_rank",
     )
@@ -140,10 +139,24 @@ VIEWS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+#: The order in which each report is shown; the last column makes it total where rows tie.
+ORDER = {
+    "rpt_headcount_trend": ["department_code", "month_start"], "rpt_attrition_by_department": ["attrition_rank", "department_code"],
+    "rpt_sales_pipeline_by_rep": ["pipeline_rank", "created_date", "opportunity_id"], "rpt_revenue_trend": ["month_end"],
+    "rpt_product_usage_trend": ["product_code", "full_date"], "rpt_ai_cost_by_department": ["fiscal_period", "department_rank_in_month", "department_code"],
+    "rpt_budget_variance": ["department_code", "fiscal_period"],
+}
+
+
+def ordered(name: str, report: DataFrame) -> DataFrame:
+    """A report's rows in its order, nulls last."""
+    return report.orderBy(*[F.asc_nulls_last(c) for c in ORDER[name]])
+
+
 def create(t: Tables) -> None:
-    """Temporary views of all reports."""
+    """Temporary views of all reports, in order."""
     for name, view in VIEWS.items():
-        view(t).createOrReplaceTempView(name)
+        ordered(name, view(t)).createOrReplaceTempView(name)
 
 
 def measures(views: Mapping[str, DataFrame]) -> DataFrame:

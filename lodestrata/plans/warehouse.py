@@ -180,10 +180,31 @@ FACTS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+#: Columns that each fact's files are ranges of and sorted by; the last makes ties of a hot key fall into many files.
+ORDER = {
+    "fact_compensation": ["employee_key", "compensation_id"], "fact_performance_review": ["employee_key", "review_id"], "fact_subscription": ["account_key", "subscription_id"],
+    "fact_invoice": ["account_key", "subscription_id", "invoice_id"], "fact_opportunity": ["account_key", "owner_employee_key", "opportunity_id"],
+    "fact_usage_daily": ["date_key", "account_key", "product_key"], "fact_ai_usage": ["date_key", "employee_key", "event_id"], "fact_access_event": ["date_key", "employee_key", "event_id"],
+    "fact_gl_actual": ["department_key", "fiscal_period", "actual_id"], "fact_budget": ["department_key", "fiscal_period", "budget_id"], "dq_exception": ["rule_code", "target_key"],
+}
+
+
 class BuildError(Exception):
     """The new version breaks an invariant; the previous one stays current."""
 
 
+def latest_run(store: Store) -> dict | None:
+    """The last run's log entry with its exceptions by rule, if it succeeded; None before the first run."""
+    runs = store.log(RUNS)
+    last = runs.orderBy(F.desc("version"), F.desc("started_at")).limit(1).collect() if runs is not None else []
+    if not last:
+        return None
+    found = {}
+    if last[0].status == "succeeded":
+        found = {r.rule_code: r.n for r in store.read(AREA, last[0].version)["dq_exception"].groupBy("rule_code").agg(F.count("*").alias("n")).collect()}
+    return {**last[0].asDict(), "exceptions": found}
+
+
 def build(spark: SparkSession, store: Store, lenient: bool = False) -> int:
     """Build the current landing into a new version of the warehouse and return its number.
 
@@ -197,13 +218,13 @@ def build(spark: SparkSession, store: Store, lenient: bool = False) -> int:
     try:
         t: dict[str, DataFrame] = conform(store.read(extract.AREA, landings[-1]), lenient)
         before = store.read(AREA)
-        keep = lambda name, df: t.__setitem__(name, store.write(AREA, version, name, df))
+        keep = lambda name, df: t.__setitem__(name, store.write(AREA, version, name, df, ORDER.get(name)))
         keep("dim_date", calendar(spark))
         for name in DIMENSIONS:
             keep(name, dimension(name, t, before.get(name)))
         for name, fact in FACTS.items():
             keep(name, fact(t))
-        keep("dq_exception", rules.exceptions(t))
+        keep("dq_exception", rules.exceptions(t, run=version))
         if broken := checks.broken(t):
             raise BuildError("; ".join(f"{name}: {n} rows" for name, n in broken.items()))
         store.publish(AREA, version)

@@ -8,7 +8,7 @@ import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.registry import DATASETS, TIERS
@@ -38,11 +38,12 @@ def write_dataset(df: DataFrame, name: str, folder: str) -> dict:
     # later columns break ties of the key, so the file is the same on every run
     order = [*d.key, *[c for c in d.columns if c not in d.key]]
     part, path = os.path.join(folder, f".{name}"), os.path.join(folder, f"{name}.csv")
-    text.orderBy(*order).coalesce(1).write.mode("overwrite").csv(f"file://{os.path.abspath(part)}", header=True, emptyValue="", lineSep="\n")
+    counted = Observation(name)
+    text.orderBy(*order).coalesce(1).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").csv(f"file://{os.path.abspath(part)}", header=True, emptyValue="", lineSep="\n")
     (written,) = glob.glob(f"{part}/part-*.csv")
     os.replace(written, path)
     shutil.rmtree(part)
-    return {"dataset": name, "path": f"{name}.csv", "rows": df.count(), "bytes": os.path.getsize(path), "sha256": sha256_of(path)}
+    return {"dataset": name, "path": f"{name}.csv", "rows": counted.get["n"], "bytes": os.path.getsize(path), "sha256": sha256_of(path)}
 
 
 def write_manifest(folder: str, files: list[dict], injections: list[dict], **inputs) -> dict:

@@ -16,7 +16,7 @@ from lodestrata.sources import extract
 from lodestrata.sources.registry import DATASETS
 
 VERSION = "1"
-DEFAULT_SEED, DEFAULT_DAY = 20260723, dt.date(2026, 6, 30)
+DEFAULT_SEED, DEFAULT_DAY = 1789, dt.date(2026, 6, 30)
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class World:
     def __init__(self, spark: SparkSession, scale: Scale, seed: int, day: dt.date):
         self.spark, self.scale, self.seed = spark, scale, seed
         self.day = F.lit(day.isoformat()).cast("date")
-        self.people = self._people().cache()
+        self.people = self._people()
         self.tables = {name: build() for name, build in {
             "hr_employee_history": self._history, "hr_compensation": self._compensation, "hr_performance_review": self._reviews, "crm_account": self._accounts,
             "crm_subscription": self._subscriptions, "crm_opportunity": self._opportunities, "crm_invoice": self._invoices, "usage_daily": self._usage,

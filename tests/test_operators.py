@@ -1,7 +1,15 @@
 """Operators on small hand-made tables."""
 
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+
 from lodestrata.functions import typed
 from lodestrata.operators import governance, tables, temporal
+from lodestrata.plans import checks
+from lodestrata.sources import migrate, reports
+from lodestrata.sources.store import Store
 
 
 def rows(df):
@@ -23,7 +31,7 @@ def test_equal_starts_do_not_overlap(spark):
 def test_upsert_keeps_surrogates_and_the_unknown_member(spark):
     target = spark.sql("SELECT * FROM VALUES (-1L, 'unknown', 'x'), (1L, 'a', 'old'), (2L, 'b', 'same'), (3L, 'gone', 'y') AS t(key, id, name)")
     source = spark.sql("SELECT * FROM VALUES ('a', 'new'), ('b', 'same'), ('c', CAST(NULL AS STRING)) AS t(id, name)")
-    assert rows(tables.upsert(target, source, ["id"], "key", delete_missing=True).select("key", "id", "_action")) == [(-1, "unknown", "keep"), (1, "a", "update"), (2, "b", "keep"), (4, "c", "insert")]
+    assert rows(tables.upsert(target, source, ["id"], "key", delete_missing=True, in_key_order=True).select("key", "id", "_action")) == [(-1, "unknown", "keep"), (1, "a", "update"), (2, "b", "keep"), (4, "c", "insert")]
     assert len(tables.upsert(target, source, ["id"], "key").collect()) == 5
 
 
@@ -42,3 +50,75 @@ def test_compare_and_lenient_types(spark):
     assert rows(tables.compare(a, b)) == [("both", 2), ("left_only", 1), ("right_only", 1)]
     t = spark.sql("SELECT * FROM VALUES ('1'), (''), ('x') AS t(v)")
     assert [r.v for r in t.select(typed("v", "int", lenient=True)).collect()] == [1, None, None]
+
+
+def test_rank_over_stretches(spark):
+    values = [(i % 97 * 1.5, 1 + i % 3) for i in range(97)] + [(None, 2)]
+    df = spark.createDataFrame(values, "value double, n long")
+    for stretches in (2, 8, 256):
+        for r in tables.rank_over(df, "value", "n", "place", stretches).collect():
+            assert r.place == 1 + sum(n for v, n in values if v is not None and (r.value is None or v > r.value))
+    assert tables.rank_over(df.limit(0), "value", "n", "place").collect() == []
+
+
+def test_parity_with_a_tolerance(spark):
+    a = spark.sql("SELECT * FROM VALUES (1, 'a', 1.004D), (1, 'a', 2D), (2, NULL, CAST(NULL AS DOUBLE)), (3, 'c', 5D), (4, 'd', 1D) AS t(k, s, x)")
+    b = spark.sql("SELECT * FROM VALUES (1, 'a', 2.006D), (1, 'a', 1.006D), (2, NULL, NULL), (3, 'c', 5.02D), (5, 'd', 1D) AS t(k, s, x)")
+    assert tables.parity(a, a).ok
+    p = tables.parity(a, b)
+    assert not p.ok and p.same_columns and p.rows == (5, 5) and p.differing == 3
+    assert p.diffs[0] == ({"k": 3, "s": "c", "x": 5.0}, {"k": 3, "s": "c", "x": 5.02}) and p.diffs[1][1] is None and p.diffs[2][0] is None
+    assert len(tables.parity(a, b, most=1).diffs) == 1 and tables.parity(a, b, most=1).differing == 3
+    assert not tables.parity(a, b.select("s", "k", "x")).same_columns
+    assert not tables.parity(a, a.limit(4)).ok
+
+
+def test_drift_and_declared_columns():
+    declared = checks.declared_in("""-- a comment, with (brackets
+        CREATE TABLE IF NOT EXISTS w.a (x INT NOT NULL, y DECIMAL(12, 2) COMMENT 'y, of (x)', z STRING) USING parquet; CREATE OR REPLACE TABLE b (k BIGINT);""")
+    assert declared == {"a": ["x", "y", "z"], "b": ["k"]}
+    assert checks.drift(declared, declared) == []
+    assert checks.drift(declared, {"a": ["y", "x", "z"], "c": []}) == ["c: not declared", "b: not there", "a: columns are in another order"]
+    assert checks.drift({"a": ["x", "y"]}, {"a": ["x", "w"]}) == ["a.y: not there", "a.w: not declared"]
+
+
+def test_reports_of_other_systems(spark, tmp_path):
+    view = "rpt_revenue_trend"
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.sql("SELECT 1 AS n, CAST(2.5 AS DECIMAL(12, 2)) AS v").write.format("jdbc").options(url=url, dbtable=view).save()
+    assert [tuple(r) for r in reports.from_jdbc(spark, url, view, "APP").collect()] == [(1, Decimal("2.50"))]
+    columns = [{"name": "d", "type_name": "DATE"}, {"name": "n", "type_name": "LONG"}, {"name": "v", "type_name": "DECIMAL"}, {"name": "b", "type_name": "BOOLEAN"}]
+    answer = {"status": {"state": "SUCCEEDED"}, "manifest": {"schema": {"columns": columns}, "total_chunk_count": 1}, "result": {"data_array": [["2024-01-31", "7", "1.25", "true"], [None, None, None, None]]}}
+    sent = []
+    got = reports.from_statements(spark, lambda body: sent.append(body) or answer, "w", view)
+    assert [tuple(r) for r in got.collect()] == [(dt.date(2024, 1, 31), 7, Decimal("1.25"), True), (None,) * 4] and view in sent[0]["statement"]
+    for broken in ({"status": {"state": "FAILED"}}, {**answer, "manifest": {**answer["manifest"], "total_chunk_count": 2}}, {**answer, "manifest": {"schema": {"columns": [{"name": "x", "type_name": "MAP"}]}}}):
+        with pytest.raises(reports.SourceError):
+            reports.from_statements(spark, lambda body, broken=broken: broken, "w", view)
+    with pytest.raises(reports.SourceError):
+        reports.from_jdbc(spark, url, "users; drop table x")
+
+
+def test_migrations_run_once_and_never_change(spark, tmp_path):
+    store, folder = Store(spark, f"file://{tmp_path}/store"), tmp_path / "sql"
+    folder.mkdir()
+    (folder / "001_first.sql").write_text("-- makes; a view\nCREATE OR REPLACE TEMP VIEW migrated AS SELECT 1 AS n;\n")
+    assert [m.version for m in migrate.run(store, str(folder))] == ["001"] and spark.table("migrated").first().n == 1
+    assert migrate.run(store, str(folder)) == []
+    (folder / "001_first.sql").write_bytes((folder / "001_first.sql").read_bytes().replace(b"\n", b"\r\n"))
+    (folder / "002_broken.sql").write_text("SELECT 1; SELECT no_such_column;")
+    with pytest.raises(Exception, match="no_such_column"):
+        migrate.run(store, str(folder))
+    assert [m.version for m in migrate.pending(store, migrate.discover(str(folder)))] == ["002"]
+    (folder / "001_first.sql").write_text("SELECT 2")
+    with pytest.raises(migrate.MigrationError, match="changed"):
+        migrate.run(store, str(folder))
+    (folder / "001_first.sql").rename(folder / "003_first.sql")
+    with pytest.raises(migrate.MigrationError, match="without a file"):
+        migrate.run(store, str(folder))
+    (folder / "003_other.sql").write_text("SELECT 1")
+    with pytest.raises(migrate.MigrationError, match="number 003"):
+        migrate.discover(str(folder))
+    (folder / "x.sql").write_text("")
+    with pytest.raises(migrate.MigrationError):
+        migrate.discover(str(folder))
