@@ -112,55 +112,68 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) ->
 _USAGE_KEY = "concat_ws('|', usage_date, account_id, product_code)"
 _HR_KEY = "concat_ws('|', employee_id, valid_from)"
 _REGION = "CASE WHEN source_country IN ('US', 'CA') THEN 'Americas' WHEN source_country = 'GB' THEN 'EMEA' END"
+_NULL = "coalesce({0}::VARCHAR, 'null')"
+_COST = "CASE model WHEN 'atlas-large' THEN {0} WHEN 'orion-lite' THEN {1} WHEN 'orion-pro' THEN {2} END::DECIMAL(8, 4)"
+# code: (dataset, severity, disposition, key, detail, rows, names)
 _RULE_SQL = {
-    "HR_OVERLAPPING_SPAN": (f"SELECT {_HR_KEY} AS target_key FROM overlapped", "overlapped"),
-    "HR_ORPHAN_MANAGER": (f"SELECT {_HR_KEY} AS target_key FROM hr_employee_history WHERE manager_id NOT IN (SELECT employee_id FROM hr_employee_history)", "hr_employee_history"),
-    "HR_MISSING_TERMINATION_REASON": (f"SELECT {_HR_KEY} AS target_key FROM hr_employee_history WHERE termination_date IS NOT NULL AND termination_reason IS NULL", "hr_employee_history"),
-    "HR_SALARY_OUTLIER": ("SELECT compensation_id AS target_key FROM hr_compensation WHERE annual_salary_usd::DOUBLE > 5 * (SELECT quantile_cont(annual_salary_usd::DOUBLE, 0.5) FROM hr_compensation)", "hr_compensation"),
-    "CRM_DUPLICATE_ACCOUNT": ("SELECT account_id AS target_key FROM crm_account GROUP BY account_id HAVING count(*) > 1", "crm_account"),
-    "CRM_ORPHAN_OPPORTUNITY": ("SELECT opportunity_id AS target_key FROM crm_opportunity WHERE account_id NOT IN (SELECT account_id FROM crm_account)", "crm_opportunity", "crm_account"),
-    "CRM_CLOSED_BEFORE_CREATED": ("SELECT opportunity_id AS target_key FROM crm_opportunity WHERE close_date < created_date", "crm_opportunity"),
-    "CRM_NEGATIVE_INVOICE": ("SELECT invoice_id AS target_key FROM crm_invoice WHERE amount_usd < 0 AND coalesce(status, '') NOT ILIKE '%credit%'", "crm_invoice"),
-    "USAGE_DUPLICATE_EVENT": (f"SELECT {_USAGE_KEY} AS target_key FROM usage_daily GROUP BY usage_date, account_id, product_code HAVING count(*) > 1", "usage_daily"),
-    "USAGE_UNKNOWN_ACCOUNT": (f"SELECT DISTINCT {_USAGE_KEY} AS target_key FROM usage_daily WHERE account_id NOT IN (SELECT account_id FROM crm_account)", "usage_daily", "crm_account"),
-    "USAGE_NEGATIVE_SESSIONS": (f"SELECT {_USAGE_KEY} AS target_key FROM usage_daily WHERE sessions < 0", "usage_daily"),
-    "AI_COST_MISMATCH": ("""SELECT event_id AS target_key FROM (SELECT *, prompt_tokens * (CASE model WHEN 'atlas-large' THEN 0.003 WHEN 'orion-lite' THEN 0.0004 WHEN 'orion-pro' THEN 0.005 END) / 1000
-        + completion_tokens * (CASE model WHEN 'atlas-large' THEN 0.015 WHEN 'orion-lite' THEN 0.0016 WHEN 'orion-pro' THEN 0.02 END) / 1000 AS e FROM ai_usage_event) WHERE abs(cost_usd - e) > 0.10 * e""", "ai_usage_event"),
-    "AI_UNKNOWN_MODEL": ("SELECT event_id AS target_key FROM ai_usage_event WHERE model NOT IN ('atlas-large', 'atlas-mini', 'orion-pro', 'orion-lite')", "ai_usage_event"),
-    "SEC_MISSING_ACTOR": ("SELECT event_id AS target_key FROM sec_access_event WHERE employee_id IS NULL", "sec_access_event"),
-    "SEC_LOGIN_AFTER_TERMINATION": ("""SELECT s.event_id AS target_key FROM sec_access_event s JOIN dim_employee p ON p.employee_id = s.employee_id AND is_current WHERE action = 'LOGIN' AND result = 'SUCCESS' AND event_ts::DATE >= termination_date
+    "HR_OVERLAPPING_SPAN": ("hr_employee_history", "error", "rejected", _HR_KEY, "'starts on ' || valid_from || ', before an earlier span ends'", "FROM overlapped", "overlapped"),
+    "HR_ORPHAN_MANAGER": ("hr_employee_history", "warning", "repaired", _HR_KEY, "'no such manager as ' || manager_id", "FROM hr_employee_history WHERE manager_id NOT IN (SELECT employee_id FROM hr_employee_history)", "hr_employee_history"),
+    "HR_MISSING_TERMINATION_REASON": ("hr_employee_history", "warning", "flagged", _HR_KEY, "'terminated on ' || termination_date || ' without a reason'", "FROM hr_employee_history WHERE termination_date IS NOT NULL AND termination_reason IS NULL", "hr_employee_history"),
+    "HR_SALARY_OUTLIER": ("hr_compensation", "error", "flagged", "compensation_id", "'salary ' || annual_salary_usd || ' where the median is ' || m", "FROM hr_compensation, (SELECT quantile_cont(annual_salary_usd::DOUBLE, 0.5) AS m FROM hr_compensation) WHERE annual_salary_usd::DOUBLE > 5 * m", "hr_compensation"),
+    "CRM_DUPLICATE_ACCOUNT": ("crm_account", "error", "rejected", "account_id", "count(*) || ' rows with this key'", "FROM crm_account GROUP BY account_id HAVING count(*) > 1", "crm_account"),
+    "CRM_ORPHAN_OPPORTUNITY": ("crm_opportunity", "error", "rejected", "opportunity_id", "'no such account as ' || account_id", "FROM crm_opportunity WHERE account_id NOT IN (SELECT account_id FROM crm_account)", "crm_opportunity", "crm_account"),
+    "CRM_CLOSED_BEFORE_CREATED": ("crm_opportunity", "error", "flagged", "opportunity_id", "'closed on ' || close_date || ', created on ' || created_date", "FROM crm_opportunity WHERE close_date < created_date", "crm_opportunity"),
+    "CRM_NEGATIVE_INVOICE": ("crm_invoice", "error", "flagged", "invoice_id", f"'amount ' || amount_usd || ' with status ' || {_NULL.format('status')}", "FROM crm_invoice WHERE amount_usd < 0 AND coalesce(status, '') NOT ILIKE '%credit%'", "crm_invoice"),
+    "USAGE_DUPLICATE_EVENT": ("usage_daily", "error", "rejected", _USAGE_KEY, "count(*) || ' rows with this key'", "FROM usage_daily GROUP BY usage_date, account_id, product_code HAVING count(*) > 1", "usage_daily"),
+    "USAGE_UNKNOWN_ACCOUNT": ("usage_daily", "error", "rejected", _USAGE_KEY, "'no such account as ' || account_id", "FROM (SELECT DISTINCT usage_date, account_id, product_code FROM usage_daily) WHERE account_id NOT IN (SELECT account_id FROM crm_account)", "usage_daily", "crm_account"),
+    "USAGE_NEGATIVE_SESSIONS": ("usage_daily", "error", "flagged", _USAGE_KEY, "sessions || ' sessions'", "FROM usage_daily WHERE sessions < 0", "usage_daily"),
+    "AI_COST_MISMATCH": ("ai_usage_event", "error", "flagged", "event_id", "'cost ' || cost_usd || ' where tokens make ' || e", f"""FROM (SELECT *, ((prompt_tokens * {_COST.format(0.003, 0.0004, 0.005)} + completion_tokens * {_COST.format(0.015, 0.0016, 0.02)})::DECIMAL(30, 10) / 1000)::DECIMAL(30, 9) AS e
+        FROM ai_usage_event) WHERE abs(cost_usd - e) > 0.10 * e""", "ai_usage_event"),
+    "AI_UNKNOWN_MODEL": ("ai_usage_event", "warning", "flagged", "event_id", "'model ' || model || ' is not approved'", "FROM ai_usage_event WHERE model NOT IN ('atlas-large', 'atlas-mini', 'orion-pro', 'orion-lite')", "ai_usage_event"),
+    "SEC_MISSING_ACTOR": ("sec_access_event", "error", "flagged", "event_id", "action || ' on ' || system || ' by nobody'", "FROM sec_access_event WHERE employee_id IS NULL", "sec_access_event"),
+    "SEC_LOGIN_AFTER_TERMINATION": ("sec_access_event", "error", "flagged", "s.event_id", "'login on ' || event_ts::DATE || ' after leaving on ' || termination_date", """FROM sec_access_event s JOIN dim_employee p ON p.employee_id = s.employee_id AND is_current WHERE action = 'LOGIN' AND result = 'SUCCESS' AND event_ts::DATE >= termination_date
         AND NOT EXISTS (SELECT 1 FROM dim_employee v WHERE v.employee_id = s.employee_id AND v.valid_from <= s.event_ts::DATE AND (v.valid_to IS NULL OR s.event_ts::DATE < v.valid_to))""", "sec_access_event", "dim_employee"),
-    "SEC_IMPOSSIBLE_TRAVEL": (f"""SELECT DISTINCT l.event_id AS target_key FROM (SELECT *, {_REGION} AS region FROM sec_access_event) l JOIN (SELECT *, {_REGION} AS region FROM sec_access_event) e
-        ON e.employee_id = l.employee_id AND e.event_ts < l.event_ts AND l.event_ts <= e.event_ts + INTERVAL 1 HOUR AND e.region <> l.region WHERE l.action = 'LOGIN' AND l.result = 'SUCCESS'""", "sec_access_event"),
-    "FIN_ORPHAN_COST_CENTER": ("SELECT DISTINCT actual_id AS target_key FROM fin_actual WHERE cost_center NOT IN (SELECT cost_center FROM dim_department WHERE cost_center IS NOT NULL)", "fin_actual", "dim_department"),
-    "FIN_CLOSED_PERIOD_POSTING": (f"SELECT actual_id AS target_key FROM fin_actual WHERE fiscal_period <> {_PERIOD.format('posting_date')}", "fin_actual"),
-    "FIN_UNAUTHORISED_APPROVER": ("SELECT budget_id AS target_key FROM fin_budget WHERE approved_by NOT IN (SELECT employee_id FROM dim_employee)", "fin_budget", "dim_employee"),
+    "SEC_IMPOSSIBLE_TRAVEL": ("sec_access_event", "error", "flagged", "event_id", "employee_id || ' was in another region at event ' || anchor || ' less than an hour before'", f"""FROM (SELECT l.event_id, l.employee_id, e.event_id AS anchor FROM (SELECT *, {_REGION} AS region FROM sec_access_event) l JOIN (SELECT *, {_REGION} AS region FROM sec_access_event) e
+        ON e.employee_id = l.employee_id AND e.event_ts < l.event_ts AND l.event_ts <= e.event_ts + INTERVAL 1 HOUR AND e.region <> l.region WHERE l.action = 'LOGIN' AND l.result = 'SUCCESS'
+        QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY e.event_ts DESC, e.event_id DESC) = 1)""", "sec_access_event"),
+    "FIN_ORPHAN_COST_CENTER": ("fin_actual", "error", "flagged", "actual_id", "'no department has cost centre ' || cost_center", "FROM (SELECT DISTINCT actual_id, cost_center FROM fin_actual) WHERE cost_center NOT IN (SELECT cost_center FROM dim_department WHERE cost_center IS NOT NULL)", "fin_actual", "dim_department"),
+    "FIN_CLOSED_PERIOD_POSTING": ("fin_actual", "error", "flagged", "actual_id", "'posted on ' || posting_date || ' to ' || fiscal_period", f"FROM fin_actual WHERE fiscal_period <> {_PERIOD.format('posting_date')}", "fin_actual"),
+    "FIN_UNAUTHORISED_APPROVER": ("fin_budget", "error", "flagged", "budget_id", "'approved by ' || approved_by || ', who is not an employee'", "FROM (SELECT DISTINCT budget_id, approved_by FROM fin_budget) WHERE approved_by NOT IN (SELECT employee_id FROM dim_employee)", "fin_budget", "dim_employee"),
 }
 
 
 def _rule_query(code: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rules.RULES[code].find(star(spark, sf_dir)).select("target_key")
+    """The rule's exceptions as they are written to dq_exception, but for the run and the time."""
+    return lambda spark, sf_dir: rules.exceptions(star(spark, sf_dir), [code]).drop("run_id", "detected_at")
 
 
-for _code, (_select, *_names) in _RULE_SQL.items():
-    _add("rule_" + _code.lower(), _rule_query(_code), _with(_select, *_names))
-
-
-_DIMENSION_COLUMNS = {
-    "dim_department": ["department_code", "department_name", "cost_center"],
-    "dim_employee": ["employee_id", "valid_from", "valid_to", "is_current", "full_name", "manager_employee_id", "department_code", "termination_date"],
-    "dim_account": ["account_id", "account_name", "segment", "is_active"],
-    "dim_product": ["product_code", "product_name"],
-}
+for _code, (_dataset, _severity, _disposition, _key, _detail, _rows, *_names) in _RULE_SQL.items():
+    _labels = f"'{_dataset}' AS dataset, '{_code}' AS rule_code, '{_severity}' AS severity, '{_disposition}' AS disposition"
+    _add("rule_" + _code.lower(), _rule_query(_code), _with(f"SELECT {_labels}, {_key} AS target_key, {_detail} AS detail {_rows}", *_names))
 
 
 def _dimension_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All columns but the surrogate key, of which the rows are counted: every row has one of its own, from 1 on."""
     key = warehouse.DIMENSIONS[name][1]
-    return lambda spark, sf_dir: warehouse.dimension(name, landed(spark, sf_dir)).where(F.col(key) != -1).select(*_DIMENSION_COLUMNS[name])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = warehouse.dimension(name, landed(spark, sf_dir))
+        number = rows.agg(F.countDistinct(key).alias("keys"), F.min(key).alias("least_key"), F.max(key).alias("largest_key"))
+        return rows.where(F.col(key) != -1).drop(key).crossJoin(F.broadcast(number))
+
+    return run
 
 
-for _name, _columns in _DIMENSION_COLUMNS.items():
-    _add(_name, _dimension_query(_name), _with(f"SELECT {', '.join(_columns)} FROM {_name}", _name))
+_HR = "valid_from, valid_to, first_name, last_name, work_email, region, location, department_code, department_name, job_level, job_title, employment_type, change_reason, hire_date, termination_date, termination_reason"
+_DIMENSION_SQL = {
+    "dim_department": ("department_code, department_name, cost_center", "dim_department"),
+    "dim_employee": (f"employee_id, {_HR}, row_number() OVER (PARTITION BY employee_id ORDER BY valid_from DESC) = 1 AS is_current, first_name || ' ' || last_name AS full_name, CASE WHEN manager_id IN (SELECT employee_id FROM hr_employee_history) THEN manager_id END AS manager_employee_id", "hr_employee_history ANTI JOIN overlapped USING (employee_id, valid_from)"),
+    "dim_account": ("account_id, account_name, region, segment, industry, created_date, owner_employee_id, status, churn_date, churn_date IS NULL AS is_active", "crm_account WHERE true QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY account_name, created_date) = 1"),
+    "dim_product": ("product_code, product_name", "dim_product"),
+}
+for _name, (_columns, _from) in _DIMENSION_SQL.items():
+    _sql = f"SELECT r.*, n + 1 AS keys, -1::BIGINT AS least_key, n AS largest_key FROM (SELECT {_columns} FROM {_from}) r, (SELECT count(*) AS n FROM (SELECT 1 FROM {_from}))"
+    _add(_name, _dimension_query(_name), _with(_sql, _name, "overlapped", "crm_account"))
 
 
 def _version(person: str, day: str) -> str:
@@ -169,57 +182,63 @@ def _version(person: str, day: str) -> str:
     return f"coalesce({strict}, (SELECT max(v.valid_from) FROM dim_employee v WHERE v.employee_id = s.{person}))"
 
 
-# fact: (columns of its own, {person's key: start of the version's name}, dataset, {the start's name: (person, day)})
+# fact: (dataset, columns of its own, {date key: day}, {person's key: (person, day, whether an unknown one has a key)}, other dimensions by natural key, rows)
+_KNOWN = "WHERE account_id IN (SELECT account_id FROM crm_account)"
 _FACTS = {
-    "fact_compensation": (["compensation_id", "annual_salary_usd"], {"employee_key": "version"}, "hr_compensation", ("employee_id", "effective_from")),
-    "fact_performance_review": (["review_id"], {"reviewer_employee_key": "version"}, "hr_performance_review", ("reviewer_id", "submitted_date")),
-    "fact_ai_usage": (["event_id", "cost_usd"], {"employee_key": "version"}, "ai_usage_event", ("employee_id", "event_ts")),
-    "fact_access_event": (["event_id", "action"], {"employee_key": "version"}, "sec_access_event", ("employee_id", "event_ts")),
-    "fact_gl_actual": (["actual_id", "amount_usd"], {"posted_by_employee_key": "version"}, "fin_actual", ("posted_by", "posting_date")),
-    "fact_budget": (["budget_id", "budget_usd"], {"approved_by_employee_key": "version"}, "fin_budget", ("approved_by", "approved_date")),
-}
+    "fact_compensation": ("hr_compensation", "compensation_id, pay_grade, annual_salary_usd, bonus_target_pct, equity_units, currency, change_reason", {"date_key": "effective_from"}, {"employee_key": ("employee_id", "effective_from", True)}, [], ""),
+    "fact_performance_review": ("hr_performance_review", "review_id, review_period, rating, rating_label, promotion_recommended", {"date_key": "submitted_date"}, {"employee_key": ("employee_id", "submitted_date", True), "reviewer_employee_key": ("reviewer_id", "submitted_date", False)}, [], ""),
+    "fact_subscription": ("crm_subscription", "subscription_id, seats, arr_usd, billing_frequency", {"start_date_key": "start_date", "end_date_key": "end_date"}, {}, ["account", "product"], ""),
+    "fact_invoice": ("crm_invoice", "invoice_id, subscription_id, amount_usd, currency, status", {"issue_date_key": "issue_date", "due_date_key": "due_date", "paid_date_key": "paid_date"}, {}, ["account"], ""),
+    "fact_opportunity": ("crm_opportunity", "opportunity_id, opportunity_type, stage, amount_usd, probability_pct, is_won", {"created_date_key": "created_date", "close_date_key": "close_date"}, {"owner_employee_key": ("owner_employee_id", "created_date", True)}, ["account", "product"], _KNOWN),
+    "fact_usage_daily": ("usage_daily", "active_users, sessions, api_calls, storage_gb, avg_latency_ms, error_count", {"date_key": "usage_date"}, {}, ["account", "product"], f"{_KNOWN} QUALIFY row_number() OVER (PARTITION BY usage_date, account_id, product_code ORDER BY active_users, sessions, api_calls, storage_gb, avg_latency_ms, error_count) = 1"),
+    "fact_ai_usage": ("ai_usage_event", "event_id, employee_id, event_ts, model, feature, prompt_tokens, completion_tokens, cost_usd, latency_ms, flagged_by_policy", {"date_key": "event_ts"}, {"employee_key": ("employee_id", "event_ts", True)}, ["department"], ""),
+    "fact_access_event": ("sec_access_event", "event_id, employee_id, event_ts, system, action, resource, source_ip, source_country, result, mfa_used", {"date_key": "event_ts"}, {"employee_key": ("employee_id", "event_ts", True)}, ["department"], ""),
+    "fact_gl_actual": ("fin_actual", "actual_id, fiscal_period, gl_account, gl_account_name, amount_usd, vendor, description", {"date_key": "posting_date"}, {"posted_by_employee_key": ("posted_by", "posting_date", True)}, ["department"], ""),
+    "fact_budget": ("fin_budget", "budget_id, fiscal_period, fiscal_year, fiscal_quarter, gl_account, gl_account_name, budget_usd", {"approved_date_key": "approved_date"}, {"approved_by_employee_key": ("approved_by", "approved_date", True)}, ["department"], ""),
+}
+_FRACTIONS = ("_usd", "_pct", "_gb")
 
 
 def _fact_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The fact with its person's key turned back into the start of the version; numbers as doubles."""
-    columns, keys, _, _ = _FACTS[name]
+    """All columns of the fact, with keys turned back into what they stand for: a person's id and the start of the version, the
+    natural key of other dimensions; numbers with a fraction as doubles."""
+    _, columns, days, people, dims, _ = _FACTS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = star(spark, sf_dir, (name,))
-        f = t[name]
-        for key, out in keys.items():
-            people = t["dim_employee"].where("employee_key <> -1").select(F.col("employee_key").alias("_k"), F.col("valid_from").alias(out))
-            f = f.join(people, F.col(key) == F.col("_k"), "left")
-        number = lambda c: F.col(c).cast("double").alias(c) if c.endswith("_usd") else F.col(c)
-        return f.select(*[number(c) for c in columns], *keys.values())
+        f, out = t[name], []
+        if sorted(f.columns) != sorted([*columns.split(", "), *days, *people, *[f"{d}_key" for d in dims]]):
+            raise ValueError(f"{name} has other columns: {f.columns}")
+        for key in people:
+            versions = t["dim_employee"].select(F.col("employee_key").alias("_k"), F.col("employee_id").alias(f"{key}_id"), F.col("valid_from").alias(f"{key}_from"))
+            f = f.join(versions, F.col(key) == F.col("_k"), "left").drop("_k")
+            out += [f"{key}_id", f"{key}_from"]
+        for d in dims:
+            natural = warehouse.DIMENSIONS[f"dim_{d}"][2][0]
+            f = f.join(t[f"dim_{d}"].select(F.col(f"{d}_key").alias("_k"), F.col(natural).alias(f"{d}_of")), F.col(f"{d}_key") == F.col("_k"), "left").drop("_k")
+            out.append(f"{d}_of")
+        number = lambda c: F.col(c).cast("double").alias(c) if c.endswith(_FRACTIONS) else F.col(c)
+        return f.select(*[number(c) for c in columns.split(", ")], *days, *out)
 
     return run
 
 
-for _name, (_columns, _keys, _dataset, (_person, _day)) in _FACTS.items():
-    _own = ", ".join(f"s.{c}::DOUBLE AS {c}" if c.endswith("_usd") else f"s.{c}" for c in _columns)
-    _add(_name, _fact_query(_name), _with(f"SELECT {_own}, {_version(_person, _day)} AS version FROM {_dataset} s", _dataset, "dim_employee"))
-
-_add(
-    "fact_usage_daily",
-    lambda spark, sf_dir: (lambda t: t["fact_usage_daily"].join(t["dim_account"].select("account_key", "account_id"), "account_key").select("date_key", "account_id", "product_key", "active_users", "sessions"))(star(spark, sf_dir, ("fact_usage_daily",))).drop("product_key"),
-    _with("SELECT strftime(usage_date, '%Y%m%d')::INTEGER AS date_key, account_id, active_users, sessions FROM usage_daily WHERE account_id IN (SELECT account_id FROM crm_account) QUALIFY row_number() OVER (PARTITION BY usage_date, account_id, product_code ORDER BY active_users, sessions) = 1", "usage_daily", "crm_account"),
-)
-_add(
-    "fact_subscription",
-    lambda spark, sf_dir: (lambda t: t["fact_subscription"].join(t["dim_account"].select("account_key", "account_id"), "account_key").select("subscription_id", "account_id", "start_date_key", "end_date_key"))(star(spark, sf_dir, ("fact_subscription",))),
-    _with("SELECT subscription_id, coalesce(a.account_id, 'UNKNOWN') AS account_id, strftime(start_date, '%Y%m%d')::INTEGER AS start_date_key, strftime(end_date, '%Y%m%d')::INTEGER AS end_date_key FROM crm_subscription s LEFT JOIN dim_account a ON a.account_id = s.account_id", "crm_subscription", "dim_account"),
-)
-_add(
-    "fact_invoice",
-    lambda spark, sf_dir: (lambda t: t["fact_invoice"].join(t["dim_account"].select("account_key", "account_id"), "account_key").select("invoice_id", "account_id", "paid_date_key", F.col("amount_usd").cast("double").alias("amount_usd")))(star(spark, sf_dir, ("fact_invoice",))),
-    _with("SELECT invoice_id, coalesce(a.account_id, 'UNKNOWN') AS account_id, strftime(paid_date, '%Y%m%d')::INTEGER AS paid_date_key, amount_usd::DOUBLE AS amount_usd FROM crm_invoice s LEFT JOIN dim_account a ON a.account_id = s.account_id", "crm_invoice", "dim_account"),
-)
-_add(
-    "fact_opportunity",
-    lambda spark, sf_dir: (lambda t: t["fact_opportunity"].join(t["dim_employee"].select(F.col("employee_key").alias("owner_employee_key"), F.col("valid_from").alias("version")), "owner_employee_key").select("opportunity_id", "version", "stage"))(star(spark, sf_dir, ("fact_opportunity",))),
-    _with(f"SELECT opportunity_id, coalesce({_version('owner_employee_id', 'created_date')}, DATE '1900-01-01') AS version, stage FROM crm_opportunity s WHERE account_id IN (SELECT account_id FROM crm_account)", "crm_opportunity", "crm_account", "dim_employee"),
-)
+def _fact_sql(name: str) -> str:
+    dataset, columns, days, people, dims, rows = _FACTS[name]
+    out = [f"s.{c}::DOUBLE AS {c}" if c.endswith(_FRACTIONS) else f"s.{c}" for c in columns.split(", ")]
+    out += [f"strftime(s.{day}, '%Y%m%d')::INTEGER AS {key}" for key, day in days.items()]
+    for key, (person, day, unknown) in people.items():
+        start = _version(person, day)
+        who, first = ("'UNKNOWN'", "DATE '1900-01-01'") if unknown else ("NULL", "NULL")
+        out += [f"CASE WHEN {start} IS NULL THEN {who} ELSE s.{person} END AS {key}_id", f"coalesce({start}, {first}) AS {key}_from"]
+    for d in dims:
+        natural = f"{d}_id" if d == "account" else f"{d}_code"
+        out.append(f"CASE WHEN s.{natural} IN (SELECT {natural} FROM dim_{d}) THEN s.{natural} ELSE 'UNKNOWN' END AS {d}_of")
+    return _with(f"SELECT {', '.join(out)} FROM (SELECT * FROM {dataset} {rows}) s", dataset, "crm_account", "dim_employee", *[f"dim_{d}" for d in dims])
+
+
+for _name in _FACTS:
+    _add(_name, _fact_query(_name), _fact_sql(_name))
 
 
 def _view_query(name: str, facts: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
@@ -247,13 +266,54 @@ _VIEWS = {
         q AS (SELECT *, sum(amount_usd) OVER (PARTITION BY who, version ORDER BY created_date, opportunity_id ROWS UNBOUNDED PRECEDING) AS running, sum(amount_usd) OVER (PARTITION BY who, version) AS total FROM p)
         SELECT who AS owner_employee_id, owner_name, region, opportunity_id, account_name, created_date, stage, amount_usd::DOUBLE AS amount_usd, running::DOUBLE AS cumulative_pipeline_usd, total::DOUBLE AS total_open_pipeline_usd, rank() OVER (ORDER BY total DESC) AS pipeline_rank FROM q""", "crm_opportunity", "dim_account", "dim_employee"),
 }
+_VIEWS["rpt_attrition_by_department"] = ((), """, b AS (SELECT max(valid_from) AS d1, (max(valid_from) - INTERVAL 12 MONTH)::DATE AS d0 FROM dim_employee),
+    s AS (SELECT department_code, count(DISTINCT employee_id) AS n FROM dim_employee, b WHERE valid_from <= d0 AND (valid_to IS NULL OR d0 < valid_to) GROUP BY 1),
+    e AS (SELECT department_code, count(DISTINCT employee_id) AS n FROM dim_employee, b WHERE valid_from <= d1 AND (valid_to IS NULL OR d1 < valid_to) GROUP BY 1),
+    l AS (SELECT department_code, count(DISTINCT employee_id) AS n FROM dim_employee, b WHERE is_current AND termination_date BETWEEN d0 AND d1 GROUP BY 1),
+    a AS (SELECT coalesce(s.department_code, e.department_code) AS department_code, (coalesce(s.n, 0) + coalesce(e.n, 0)) / 2.0 AS v FROM s FULL JOIN e ON s.department_code = e.department_code),
+    r AS (SELECT department_code, department_name, coalesce(l.n, 0) AS k, v, 100.0 * coalesce(l.n, 0) / v AS rate FROM a JOIN dim_department USING (department_code) LEFT JOIN l USING (department_code))
+    SELECT department_code, department_name, k AS trailing_12mo_terminations, round(v, 1)::DOUBLE AS avg_headcount, round(rate, 1)::DOUBLE AS attrition_rate_pct, rank() OVER (ORDER BY rate DESC NULLS LAST) AS attrition_rank FROM r""", "dim_employee", "dim_department")
+_VIEWS["rpt_product_usage_trend"] = (("fact_usage_daily",), """, f AS (SELECT usage_date, coalesce(p.product_code, 'UNKNOWN') AS product_code, coalesce(p.product_name, 'Unknown Product') AS product_name, active_users, sessions
+    FROM (SELECT * FROM usage_daily WHERE account_id IN (SELECT account_id FROM crm_account) QUALIFY row_number() OVER (PARTITION BY usage_date, account_id, product_code ORDER BY active_users, sessions) = 1) u LEFT JOIN dim_product p ON p.product_code = u.product_code),
+    g AS (SELECT usage_date AS full_date, product_code, product_name, sum(active_users)::BIGINT AS active_users, sum(sessions)::BIGINT AS sessions FROM f GROUP BY ALL)
+    SELECT *, round(avg(active_users) OVER (PARTITION BY product_code ORDER BY full_date ROWS 6 PRECEDING), 1) AS active_users_7day_avg, active_users - lag(active_users, 7) OVER (PARTITION BY product_code ORDER BY full_date) AS active_users_change_vs_last_week FROM g""", "usage_daily", "crm_account", "dim_product")
 for _name, (_facts, _select, *_names) in _VIEWS.items():
     _add(_name, _view_query(_name, _facts), _with("", *_names).rstrip() + _select)
 
 
-def _secured_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = policy.secure(star(spark, sf_dir, ("fact_ai_usage",)), policy.governance.Principal(scopes={"grp_urgent": {"1-URGENT"}}, groups=("grp_urgent",)))
-    return t["fact_ai_usage"].select("event_id", "employee_id", "flagged_by_policy", "model")
+# What a manager of one department and an analyst without any scope see of the governed tables: rows by department, masked
+# columns as nulls.  {table: (dataset, key, columns, masks, how a row belongs to a department)}
+_BY_CODE = "department_code IN (SELECT department_code FROM dim_department WHERE department_name = '1-URGENT')"
+_BY_PERSON = "(SELECT department_name FROM dim_employee v WHERE v.employee_id = s.employee_id AND v.valid_from = {0}) = '1-URGENT'"
+_GOVERNED = {
+    "fact_ai_usage": ("ai_usage_event", "event_id, model", {"employee_id": "VARCHAR", "flagged_by_policy": "BOOLEAN"}, _BY_CODE),
+    "fact_access_event": ("sec_access_event", "event_id, action, system", {"employee_id": "VARCHAR", "source_ip": "VARCHAR"}, _BY_CODE),
+    "fact_gl_actual": ("fin_actual", "actual_id, fiscal_period", {}, _BY_CODE),
+    "fact_budget": ("fin_budget", "budget_id, fiscal_period", {}, _BY_CODE),
+    "fact_compensation": ("hr_compensation", "compensation_id, pay_grade", {"annual_salary_usd": "DOUBLE", "bonus_target_pct": "DOUBLE", "equity_units": "INTEGER"}, _BY_PERSON.format(_version("employee_id", "effective_from"))),
+    "fact_performance_review": ("hr_performance_review", "review_id, review_period", {"rating": "SMALLINT", "rating_label": "VARCHAR", "promotion_recommended": "BOOLEAN"}, _BY_PERSON.format(_version("employee_id", "submitted_date"))),
+    "dim_employee": ("dim_employee", "employee_id, valid_from, department_name", {"termination_reason": "VARCHAR", "job_level": "SMALLINT"}, "true"),
+}
+
+
+def _governed_query(name: str, *groups: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A governed table for a principal; groups and capabilities are the policy's own, departments those of the stand-ins."""
+    _, columns, masks, _ = _GOVERNED[name]
+    who = policy.governance.Principal(scopes={**policy.SCOPES, "grp_dept_manager_engineering": {"1-URGENT"}}, capabilities=policy.CAPABILITIES, groups=groups)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = policy.secure(star(spark, sf_dir, (name,) if name in warehouse.FACTS else ()), who)[name]
+        t = t.where("employee_key <> -1") if name == "dim_employee" else t
+        number = lambda c: F.col(c).cast("double").alias(c) if c.endswith(_FRACTIONS) else F.col(c)
+        return t.select(*columns.split(", "), *[number(c) for c in masks])
+
+    return run
 
 
-_add("secured_fact", _secured_cost, _with("SELECT event_id, NULL::VARCHAR AS employee_id, NULL::BOOLEAN AS flagged_by_policy, model FROM ai_usage_event WHERE department_code = '1'", "ai_usage_event"))
+for _name, (_dataset, _columns, _masks, _where) in _GOVERNED.items():
+    _from = "hr_employee_history ANTI JOIN overlapped USING (employee_id, valid_from)" if _dataset == "dim_employee" else f"{_dataset} s"
+    _needs = ["dim_department", "dim_employee", "overlapped"] + ([_dataset] if _dataset in SOURCES else [])
+    _hidden = "".join(f", NULL::{kind} AS {c}" for c, kind in _masks.items())
+    _add(f"manager_{_name}", _governed_query(_name, "grp_dept_manager_engineering"), _with(f"SELECT {_columns}{_hidden} FROM {_from} WHERE {_where}", *_needs))
+    _shown = "".join(f", {c}::{kind} AS {c}" for c, kind in _masks.items())
+    _add(f"analyst_{_name}", _governed_query(_name, "grp_hr_analyst", "grp_total_rewards", "grp_security"), _with(f"SELECT {_columns}{_shown} FROM {_from}", *_needs))
