@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import _LOWER, Words, broadcast_arrays, crc_remainder, load, mapped, materialize, mix64, steps
+from lodestrata.llm.common import _LOWER, Words, broadcast_arrays, crc_remainder, load, mapped, materialize, mix64, steps, work_tables
 
 #: Bytes of context, at every size of the input.
 DEPTH = 6
@@ -33,7 +34,7 @@ PART_BYTES = 8 << 20
 #: The most frequent n-grams and words, which travel to every task (16 bytes each); all others are looked up in their parts.
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 19
 #: Coded bytes that one vectorised step handles, and distinct entries that a training task holds before it sends them on.
-RUN_BYTES, HELD = 1 << 20, 1_000_000
+RUN_BYTES, HELD = 1 << 19, 700_000
 WORD, GRAM, TEXT = 0, 1, 2
 _HALF = float(np.log(0.5))
 #: log gamma(k + 1/2) and log gamma(k + 1) for small k.
@@ -81,13 +82,18 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _packed(array: np.ndarray) -> bytes:
-    """An array of 8-byte numbers, byte by byte: first all highest bytes.  Sorted keys and small counts so compress well."""
-    return array.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+    """An array of 8-byte numbers, compressed byte by byte, all highest bytes first: sorted keys and small counts shrink well."""
+    planes = array.view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+    return len(array).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _count(packed: bytes) -> int:
+    return int.from_bytes(packed[:8], "little")
 
 
 def _array(values, kind) -> np.ndarray:
     """Packed arrays of several rows as one."""
-    parts = [np.frombuffer(v, np.uint8).reshape(8, -1)[::-1].T.reshape(-1) for v in values]
+    parts = [np.frombuffer(pa.decompress(memoryview(v)[8:], 8 * _count(v), codec="zstd"), np.uint8).reshape(8, -1)[::-1].T.reshape(-1) for v in values if _count(v)]
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kind)
 
 
@@ -273,7 +279,7 @@ def _addressed_back(frame: pd.DataFrame, back: np.ndarray, fixed: np.ndarray, sh
     """What parents pass to the nodes of `frame`, packed as the nodes came, for the part each row came from."""
     out, at = [], 0
     for origin, packed in zip(frame["origin"], frame["key"], strict=True):
-        to = at + len(packed) // 8
+        to = at + _count(packed)
         out.append((origin, packed, _packed(fixed[back[at:to]]), _packed(share[back[at:to]])))
         at = to
     return pd.DataFrame(out, columns=["part", "key", "fixed", "share"])
@@ -389,7 +395,8 @@ def score(documents: DataFrame, training: Column, keep: list[str], depth: int |
             yield frame[["kind", "part", "key"]].assign(value=n, m=frame["n"])
 
     words = counts.where(F.col("kind") == WORD).select("kind", "part", "key", "n").mapInPandas(word_values, "kind int, part long, key binary, value binary, m binary")
-    tables = materialize(words.unionByName(predictions(counts, parts, depth)), "tables")
+    with work_tables(documents.sparkSession) as held:
+        tables = held(materialize(words.unionByName(predictions(counts, parts, depth)), "tables"))
     heads = [_head(tables, counts, kind, limit) for kind, limit in ((WORD, HEAD_WORDS), (GRAM, HEAD_GRAMS))]
     shared = broadcast_arrays(documents.sparkSession, 16 * (HEAD_WORDS + HEAD_GRAMS), word=heads[0][0], n=heads[0][1], gram=heads[1][0], log=heads[1][1])
     del heads
@@ -458,7 +465,7 @@ def score(documents: DataFrame, training: Column, keep: list[str], depth: int |
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         row = _array(frame["row"], np.int64)
-        kind = np.repeat(frame["kind"].to_numpy(), [len(x) // 8 for x in frame["row"]])
+        kind = np.repeat(frame["kind"].to_numpy(), [_count(x) for x in frame["row"]])
         ids, back = np.unique(row, return_inverse=True)
         sums, hits = _array(frame["sums"], np.float64), _array(frame["hits"], np.int64)
         add = lambda x, k: np.bincount(back, weights=np.where(kind == k, x, 0.0), minlength=len(ids))
