@@ -263,6 +263,32 @@ def test_repeats_against_brute_force(spark, none):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_repeats_in_documents_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    long = prose(31, 200)
+    rows = [(4, long), (1, long[3000:3400]), (2, long[3350:9000] + "x" + long[100:400]), (3, prose(32, 5)), (9, long), (7, "z" + long[5000:5049]), (8, "z" + long[5000:5050])]
+    clash = "_row long, doc_id long, text string, _id string, block long, data string"
+    df = spark.createDataFrame([(i, d, t, "x", 1, "y") for i, (d, t) in enumerate(rows)], clash)
+    got = {x._row: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats([(d, t.encode()) for d, t in rows])
+
+
+def test_archive_of_odd_tables(spark, tmp_path):
+    schema = "page_id long, url string, html string, digest string, payload string, owner long"
+    for k, rows in enumerate(([], [(None, None, "x" * 1200, "d", "p", 1), (None, "u", "x" * 1200, "d", "p", 1), (3, "u", "x" * 1200, None, None, None), (3, "u", "x" * 1200, "d", "p", 9)])):
+        path = f"file://{tmp_path}/{k}"
+        archive.write_archive(spark.createDataFrame(rows, schema), path)
+        got = archive.archived_pages(spark, path).collect()
+        assert len(got) == len(rows)
+        assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == ([("3", "response", None)] * 2 + [("None", "revisit", 3)] * 2 if rows else [])
+    data = "\x00\r\n\r\nWARC/1.1\r\n" * 90
+    path = f"file://{tmp_path}/binary"
+    archive.write_archive(spark.createDataFrame([(1, "u", data)], "page_id long, url string, html string"), path)
+    (record,) = archive.parse_records(bytes(archive.record_bytes(archive.read_archive(spark, path)).first().record))
+    assert record[1].split(b"\r\n\r\n", 1)[1] == data.encode()
+
+
 def test_license_scan_finds_phrases_and_templates(spark, docs, none):
     got = {r.doc_id: r for r in license_scan.scan(docs, ["doc_id"]).collect()}
     assert len(license_scan.scan(docs, ["doc_id"]).collect()) == docs.count()
