@@ -7,11 +7,12 @@ equal windows together without sorting all suffixes of the corpus in one place,
 the 32-byte strings in it, the one with the smallest hash.  Equal windows have equal minimizers at equal places.
 
 1. Each block tells, per minimizer, a 32-bit key within its bucket; buckets answer which keys occur in two documents.
-2. Each block tells, for those, a hash of the whole stretch of windows that the minimizer stands for, and the document.  Equal
-   stretches hold equal windows, so a stretch that a smaller document has too goes whole; of minimizers with only one
-   distinct stretch nothing is left to decide.
+2. Each block tells, for those, a hash of each distinct stretch of windows that a minimizer stands for, and its smallest
+   document there.  Equal stretches hold equal windows, so a stretch that a smaller document has too goes whole; of minimizers
+   with only one distinct stretch nothing is left to decide.
 3. Stretches that remain, the smallest document's copy of each, go to their bucket's shard as bytes.  There a suffix array
-   with common-prefix values (suffix_sort) groups equal windows and finds each group's smallest document.
+   with common-prefix values (suffix_sort) groups equal windows and finds each group's smallest document.  A minimizer that stands
+   in very many different stretches is split: each of its windows, once a block, goes to one of SHARDS shards by its own hash.
 
 Blocks then remove what was answered.  Step 2 only unites rows that are equal as a whole; every comparison of windows in
 different surroundings is made by the suffix array.
@@ -36,6 +37,8 @@ GRAM = 32
 SPAN = WINDOW - GRAM + 1
 #: Text bytes of a block (a longer document is a block of its own) and key bytes that a bucket should hold.
 BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
+#: Different stretches from which on a minimizer is split, and the shards that it is split into.
+SPLIT_STRETCHES, SHARDS = 4096, 1024
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 
@@ -102,6 +105,23 @@ class Block:
         size = self.high[which] + WINDOW - self.low[which]
         return mix64(self.hash(self.low[which], size) + mix64((size * 256 + self.at[which] - self.low[which]).astype(np.uint64)))
 
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, minimizer, hash) of all windows of some minimizers, in order."""
+        n = self.high[which] - self.low[which] + 1
+        of = np.repeat(np.arange(len(which)), n)
+        start = self.low[which][of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return start, of, mix64(self.hash(start, WINDOW))
+
+
+def _firsts(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, later): for each entry the place of the entry of equal value with the smallest document (of those the first), and
+    whether its own document is larger."""
+    order = np.lexsort((doc, value))
+    new = np.concatenate([[True], value[order][1:] != value[order][:-1]]) if len(order) else np.zeros(0, bool)
+    first = np.empty(len(order), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    return first, doc > doc[first]
+
 
 def _bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((key >> np.uint64(32)) * np.uint64(0x85EBCA6B) % np.uint64(buckets)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -181,36 +201,40 @@ def _per_block(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("answers"))
 
 
-def _chosen(block: Block, answers, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, minimizers) of a block whose keys were answered to be shared, in the block's order within a bucket."""
+def _chosen(block: Block, answers, buckets: int) -> tuple[list[tuple[int, slice]], np.ndarray]:
+    """Minimizers of a block whose keys were answered to be shared, bucket by bucket, in the block's order within a bucket."""
     bucket, key = _bucket(block.key, buckets)
     shared = {int(a["bucket"]): np.frombuffer(a["keys"], np.uint32) for a in answers}
+    parts, chosen, n = [], [np.zeros(0, np.int64)], 0
     for number, at in _by_bucket(bucket):
         if number in shared:
             at = at[np.isin(key[at], shared[number], assume_unique=False)]
             if len(at):
-                yield number, at
+                parts.append((number, slice(n, n + len(at))))
+                chosen.append(at)
+                n += len(at)
+    return parts, np.concatenate(chosen)
 
 
-#: What happens to a minimizer's windows: nothing, all go, or the suffix array decides.
-STAY, GO, ASK = 0, 1, 2
+#: What happens to a minimizer's windows: nothing, all go, or the suffix array decides, of stretches or of single windows.
+STAY, GO, ASK, SPLIT = 0, 1, 2, 3
 
 
 def _verdicts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, keys, verdicts): what happens to the shared minimizers of a block's bucket, in the block's order."""
+    """(block, bucket, keys, verdicts): what happens to the distinct stretches of a block's bucket, in the block's order."""
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _Powers()
         for frame in batches:
             for block, data, ends, ids, answers in zip(frame["block"], frame["data"], frame["ends"], frame["ids"], frame["answers"], strict=True):
                 b = Block(data, ends, powers)
-                docs = np.frombuffer(ids, np.int64)
                 known = {int(a["bucket"]): a["keys"] for a in answers}
-                rows = []
-                for number, at in _chosen(b, answers, buckets):
-                    key = _bucket(b.key[at], buckets)[1]
-                    rows.append((block, number, known[number], key.tobytes(), b.stretch(at).tobytes(), docs[b.doc[at]].tobytes()))
-                yield pd.DataFrame(rows, columns=["block", "bucket", "keys", "key", "stretch", "doc"])
+                parts, at = _chosen(b, answers, buckets)
+                key, stretch, doc = _bucket(b.key[at], buckets)[1], b.stretch(at), np.frombuffer(ids, np.int64)[b.doc[at]]
+                first, later = _firsts(stretch, doc)
+                head = first == np.arange(len(at))
+                rows = [(block, n, known[n], key[s][head[s]].tobytes(), stretch[s][head[s]].tobytes(), doc[s][head[s]].tobytes(), bool(later[s].any())) for n, s in parts]
+                yield pd.DataFrame(rows, columns=["block", "bucket", "keys", "key", "stretch", "doc", "later"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         size = [len(k) // 4 for k in frame["key"]]
@@ -222,22 +246,37 @@ def _verdicts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         head = np.flatnonzero(new_stretch)
         least = np.repeat(sorted_doc[head], np.diff(np.append(head, len(order))))
         first = np.flatnonzero(new_key)
-        several = np.repeat(np.add.reduceat(new_stretch.astype(np.int64), first) > 1, np.diff(np.append(first, len(order))))
+        stretches = np.repeat(np.add.reduceat(new_stretch.astype(np.int64), first), np.diff(np.append(first, len(order))))
         verdict = np.empty(len(order), np.uint8)
-        verdict[order] = np.where(sorted_doc > least, GO, np.where(several, ASK, STAY))
+        verdict[order] = np.where(sorted_doc > least, GO, np.where(stretches == 1, STAY, np.where(stretches < SPLIT_STRETCHES, ASK, SPLIT)))
         cut = np.concatenate([[0], np.cumsum(size)])
         rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": frame["keys"], "verdicts": [verdict[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
-        return rows[[bool(verdict[a:b].any()) for a, b in zip(cut[:-1], cut[1:], strict=True)]]
+        return rows[[bool(verdict[a:b].any() or later) for a, b, later in zip(cut[:-1], cut[1:], frame["later"], strict=True)]]
 
-    told = blocks.select("block", "ids", "ends", "data").join(_per_block(shared, "bucket", "keys"), "block").mapInPandas(tell, "block long, bucket long, keys binary, key binary, stretch binary, doc binary")
+    told = blocks.select("block", "ids", "ends", "data").join(_per_block(shared, "bucket", "keys"), "block")
+    told = told.mapInPandas(tell, "block long, bucket long, keys binary, key binary, stretch binary, doc binary, later boolean")
     return told.groupBy("bucket").applyInPandas(answer, "block long, bucket long, keys binary, verdicts binary")
 
 
-def _asked(block: Block, answers, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, minimizers, verdicts) of a block."""
+def _asked(block: Block, ids: bytes, answers, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, minimizers, verdicts) of a block; a stretch that a smaller document of the block has goes."""
     verdicts = {int(a["bucket"]): np.frombuffer(a["verdicts"], np.uint8) for a in answers}
-    for number, at in _chosen(block, answers, buckets):
-        yield number, at, verdicts[number]
+    parts, at = _chosen(block, answers, buckets)
+    first, later = _firsts(block.stretch(at), np.frombuffer(ids, np.int64)[block.doc[at]]) if len(at) else (at, at)
+    told = np.zeros(len(at), np.uint8)
+    for number, s in parts:
+        told[s][first[s] == np.arange(s.start, s.stop)] = verdicts[number]
+    verdict = np.where(later, GO, told[first])
+    for number, s in parts:
+        yield number, at[s], verdict[s]
+
+
+def _single(block: Block, ids: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of minimizers that are split: (start, shard, the window's first place, whether a smaller document of the block
+    has it, document); shards from 1 on."""
+    start, of, value = block.windows(at)
+    doc = np.frombuffer(ids, np.int64)[block.doc[at]][of]
+    return start, (value % np.uint64(SHARDS)).astype(np.int64) + 1, *_firsts(value, doc), doc
 
 
 def shard_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -257,7 +296,8 @@ def shard_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
 
 def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, windows): for the minimizers with ASK, in order, a bit per window that goes."""
+    """(block, bucket, shard, windows): for the minimizers with ASK (shard 0) and the single windows of those with SPLIT (other
+    shards), in order, a bit per window that goes."""
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _Powers()
@@ -266,38 +306,53 @@ def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> Dat
                 b = Block(data, ends, powers)
                 docs = np.frombuffer(ids, np.int64)
                 rows = []
-                for number, at, verdict in _asked(b, answers, buckets):
-                    at = at[verdict == ASK]
-                    if len(at):
-                        rows.append((block, number, [data[i : j + WINDOW] for i, j in zip(b.low[at], b.high[at], strict=True)], docs[b.doc[at]].tobytes()))
-                yield pd.DataFrame(rows, columns=["block", "bucket", "texts", "doc"])
+                for number, at, verdict in _asked(b, ids, answers, buckets):
+                    asked, split = at[verdict == ASK], at[verdict == SPLIT]
+                    if len(asked):
+                        rows.append((block, number, 0, [data[i : j + WINDOW] for i, j in zip(b.low[asked], b.high[asked], strict=True)], docs[b.doc[asked]].tobytes()))
+                    if len(split):
+                        start, shard, first, _, doc = _single(b, ids, split)
+                        head = first == np.arange(len(start))
+                        for k, w in _by_bucket(np.where(head, shard, 0)):
+                            if k:
+                                rows.append((block, number, k, [data[i : i + WINDOW] for i in start[w]], doc[w].tobytes()))
+                yield pd.DataFrame(rows, columns=["block", "bucket", "shard", "texts", "doc"])
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         texts = [bytes(x) for row in frame["texts"] for x in row]
         docs = np.frombuffer(b"".join(frame["doc"]), np.int64)
         bits = np.array([int(np.dot(g, 1 << np.arange(len(g)))) for g in shard_windows(texts, docs)], np.uint32)
         cut = np.concatenate([[0], np.cumsum([len(row) for row in frame["texts"]])])
-        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "windows": [bits[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "shard": frame["shard"], "windows": [bits[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
     told = blocks.select("block", "ids", "ends", "data").join(_per_block(verdicts, "bucket", "keys", "verdicts"), "block")
-    told = told.mapInPandas(tell, "block long, bucket long, texts array<binary>, doc binary")
-    return told.groupBy("bucket").applyInPandas(decide, "block long, bucket long, windows binary")
+    told = told.mapInPandas(tell, "block long, bucket long, shard long, texts array<binary>, doc binary")
+    return told.groupBy("bucket", "shard").applyInPandas(decide, "block long, bucket long, shard long, windows binary")
 
 
-def _covered(block: Block, answers, buckets: int) -> np.ndarray:
+def _covered(block: Block, ids: bytes, answers, buckets: int) -> np.ndarray:
     """True for each byte of the block that goes."""
     edge = np.zeros(len(block.data) + 1, np.int32)
-    windows = {int(a["bucket"]): np.frombuffer(a["windows"], np.uint32) for a in answers if a["windows"] is not None}
-    for number, at, verdict in _asked(block, answers, buckets):
-        whole = at[verdict == GO]
+    windows = {(int(a["bucket"]), int(w["shard"])): np.frombuffer(w["windows"], np.uint32) for a in answers if a["windows"] is not None for w in a["windows"]}
+
+    def go(start: np.ndarray) -> None:
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + WINDOW, -1)
+
+    for number, at, verdict in _asked(block, ids, answers, buckets):
+        whole, asked, split = (at[verdict == v] for v in (GO, ASK, SPLIT))
         np.add.at(edge, block.low[whole], 1)
         np.add.at(edge, block.high[whole] + WINDOW, -1)
-        asked = at[verdict == ASK]
         if len(asked):
             for k in range(SPAN):
-                start = block.low[asked[(windows[number] >> np.uint32(k)) & np.uint32(1) == 1]] + k
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + WINDOW, -1)
+                go(block.low[asked[(windows[number, 0] >> np.uint32(k)) & np.uint32(1) == 1]] + k)
+        if len(split):
+            start, shard, first, later, _ = _single(block, ids, split)
+            told = np.zeros(len(start), bool)
+            for k, w in _by_bucket(np.where(first == np.arange(len(start)), shard, 0)):
+                if k:
+                    told[w] = windows[number, k] == 1
+            go(start[later | told[first]])
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -326,6 +381,7 @@ def _removed(blocks: DataFrame, with_text: bool) -> DataFrame:
     shared = materialize(_shared_keys(blocks, buckets), "shared")
     verdicts = materialize(_verdicts(blocks, shared, buckets), "verdicts")
     windows = materialize(_window_answers(blocks, verdicts, buckets), "windows")
+    windows = windows.groupBy("block", "bucket").agg(F.collect_list(F.struct("shard", "windows")).alias("windows"))
     answers = _per_block(verdicts.join(windows, ["block", "bucket"], "left"), "bucket", "keys", "verdicts", "windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +389,7 @@ def _removed(blocks: DataFrame, with_text: bool) -> DataFrame:
         for frame in batches:
             for data, ends, rows, ids, found in zip(frame["data"], frame["ends"], frame["rows"], frame["ids"], frame["answers"], strict=True):
                 b = Block(data, ends, powers) if found is not None and len(found) else None
-                gone = _covered(b, found, buckets) if b is not None else None
+                gone = _covered(b, ids, found, buckets) if b is not None else None
                 out = []
                 start = 0
                 for row, doc, end in zip(np.frombuffer(rows, np.int64).tolist(), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist(), strict=True):

@@ -251,7 +251,10 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeats_against_brute_force(spark, none):
+@pytest.mark.parametrize("split", [2, 4096])  # with 2 every minimizer in several stretches is split
+def test_repeats_against_brute_force(spark, none, monkeypatch, split):
+    monkeypatch.setattr(suffix_dedup, "SPLIT_STRETCHES", split)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000 if split == 2 else 1 << 20)
     r = random.Random(9)
     pool = [prose(i, 3) for i in range(6)] + ["a" * 120, "é" * 70]
     rows = [(d, "".join(r.choice(pool)[r.randrange(20) :] for _ in range(r.randrange(4)))) for d in range(60)]
