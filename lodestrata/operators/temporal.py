@@ -69,15 +69,25 @@ def near_pairs(events: DataFrame, key: str, at: str, event_id: str, seconds: int
     """For each event (of those where `later_where` holds) the nearest earlier one of the same key, at most `seconds` before,
     whose `differ` is another.  Nulls in any of these columns pair with nothing.
 
-    Time is cut into buckets of the interval's length and each event meets its own and the previous bucket only, so a key
-    with very many events does not meet itself as a whole.
+    Time is cut into buckets of the interval's length, and each event stands in its own bucket and, as an earlier one only, in the
+    next.  Within a key's bucket nothing is paired: the last earlier event is the anchor if it differs, and otherwise the last event
+    before the run of like events that it ends.  So a key with very many events in one hour costs a sort.
     """
     is_later = F.lit(True) if later_where is None else F.coalesce(later_where, F.lit(False))
-    base = events.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(event_id).alias("_id"), F.col(differ).alias("_d"), is_later.alias("_later")).withColumn("_s", F.unix_micros(F.col("_at").cast("timestamp")))
+    base = events.select(F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_s"), F.col(event_id).alias("_id"), F.col(differ).alias("_d"), is_later.alias("_later"))
+    base = base.where("_key is not null and _s is not null and _id is not null and _d is not null")
     step = seconds * 1_000_000
-    later = base.where("_later").withColumn("_b", F.floor(F.col("_s") / step))
-    earlier = base.select("_key", F.col("_at").alias("_at0"), F.col("_id").alias("_id0"), F.col("_d").alias("_d0"), F.col("_s").alias("_s0"), F.explode(F.array(F.floor(F.col("_s") / step), F.floor(F.col("_s") / step) + 1)).alias("_b"))
-    close = (F.col("_s0") < F.col("_s")) & (F.col("_s") - F.col("_s0") <= step) & (F.col("_d") != F.col("_d0"))
-    pairs = later.join(earlier, ["_key", "_b"]).where(close)
-    nearest = pairs.groupBy("_id").agg(F.max(F.struct("_s0", "_id0")).alias("n"), F.first("_key").alias("_key"))
-    return nearest.select(F.col("_id").alias(event_id), F.col("_key").alias(key), F.col("n._id0").alias("anchor_id"))
+    own = F.floor(F.col("_s") / step)
+    placed = base.select("*", F.explode(F.array(F.struct(own.alias("b"), F.col("_later").alias("asks")), F.struct((own + 1).alias("b"), F.lit(False).alias("asks")))).alias("x"))
+    placed = placed.select("_key", "_s", "_id", "_d", F.col("x.b").alias("_b"), F.col("x.asks").alias("_asks"))
+    event = F.struct("_s", "_id", "_d")
+    runs = Window.partitionBy("_key", "_b").orderBy("_s", "_id")
+    before = F.lag(event).over(runs)
+    placed = placed.withColumn("_before", before).withColumn("_ended", F.when(F.col("_before._d") != F.col("_d"), F.col("_before")))
+    placed = placed.withColumn("_other", F.last("_ended", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, 0)))
+    # strictly earlier: frames by value leave out events of the same instant
+    earlier = Window.partitionBy("_key", "_b").orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_last", F.max(F.struct("_s", "_id", "_d", "_other")).over(earlier)).where("_asks")
+    anchor = F.when(F.col("_last._d") != F.col("_d"), F.struct("_last._s", "_last._id", "_last._d")).otherwise(F.col("_last._other"))
+    placed = placed.withColumn("_anchor", anchor).where(F.col("_s") - F.col("_anchor._s") <= step)
+    return placed.select(F.col("_id").alias(event_id), F.col("_key").alias(key), F.col("_anchor._id").alias("anchor_id"))

@@ -1,9 +1,11 @@
 """Operators on small hand-made tables."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.functions import typed
 from lodestrata.operators import governance, tables, temporal
@@ -122,3 +124,16 @@ def test_migrations_run_once_and_never_change(spark, tmp_path):
     (folder / "x.sql").write_text("")
     with pytest.raises(migrate.MigrationError):
         migrate.discover(str(folder))
+
+
+def test_near_pairs_against_brute_force(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice("ab") if i % 50 else None, r.choice([r.randrange(4000), 60 * r.randrange(100)]), r.choice("xyz") if i % 31 else None, r.random() < 0.7) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, d string, asks boolean").withColumn("at", F.timestamp_seconds("s"))
+    got = {x.id: x.anchor_id for x in temporal.near_pairs(df, "k", "at", "id", 300, "d", F.col("asks")).collect()}
+    want = {}
+    for i, k, s, d, asks in rows:
+        found = [(s0, i0) for i0, k0, s0, d0, _ in rows if asks and k and d and d0 and k0 == k and s0 < s <= s0 + 300 and d0 != d]
+        if found:
+            want[i] = max(found)[1]
+    assert want and got == want
