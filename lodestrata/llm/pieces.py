@@ -22,8 +22,8 @@ from lodestrata.llm.common import load, mapped
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct words kept with their ids between batches; the store is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Distinct words kept with their ids between batches (about 300 bytes each); the store is emptied when it is full.
+CACHE_WORDS = 1_000_000
 NO_RANK = np.int64(1 << 40)
 #: Symbols of a word up to which rounds over arrays cost less than a heap, which is linear but for a logarithm.
 LONG_WORD = 256
@@ -98,12 +98,27 @@ class PieceModel:
                     keys.append(left * size + right)
                     merged.append(i)
                     ranks.append(order[self.scores[i]])
-        at = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.pair_keys = np.array(keys, np.int64)[at]
-        self.pair_merged = np.array(merged, np.int32)[at]
-        self.pair_ranks = np.array(ranks, np.int64)[at]
+        keys, merged, ranks = np.array(keys, np.int64), np.array(merged, np.int32), np.array(ranks, np.int64)
+        # pairs by open addressing: `slots` holds each pair's key, in the first free slot from its hash on
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        n_slots = 1 << int(64 - self.shift)
+        self.slots, self.slot_ranks, self.slot_merged = np.full(n_slots, -1, np.int64), np.full(n_slots, NO_RANK), np.full(n_slots, -1, np.int64)
+        left, place = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = left[self.slots[place[left]] == -1]
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.slots[place[put]], self.slot_ranks[place[put]], self.slot_merged[place[put]] = keys[put], ranks[put], merged[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            place[left] = (place[left] + 1) % n_slots
         self.size = size
         self.merges: dict[int, tuple[int, int]] = {}
+        # characters that are pieces, by code point; others become -1 - code point and are written as bytes in the end
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int64)
+        for t, i in self.ids.items():
+            if len(t) == 1:
+                self.symbol_of[ord(t)] = i
+        self.names = [str(i) for i in range(size)]
         inner = {c for t in (self.pieces[i] for i in normal) if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
             self.words = re.compile(r"(?s).+")  # pieces cross words: a text is one word
@@ -113,17 +128,26 @@ class PieceModel:
         self.decoded = [t.replace(SPACE, " ") if k == NORMAL else "" for t, k in zip(self.pieces, self.kinds, strict=True)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of each pair; NO_RANK where the pair does not merge."""
-        keys = np.where((left >= 0) & (right >= 0), left * np.int64(self.size) + right, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        hit = self.pair_keys[at] == keys
-        return np.where(hit, self.pair_ranks[at], NO_RANK), np.where(hit, self.pair_merged[at], -1)
+        keys = np.where((left >= 0) & (right >= 0), left * np.int64(self.size) + right, np.int64(-2))
+        at = self._slot(keys)
+        held = self.slots[at]
+        other = np.flatnonzero((held != keys) & (held != -1))
+        while len(other):  # the slot is another pair's: look into the next one
+            at[other] = (at[other] + 1) % len(self.slots)
+            held = self.slots[at[other]]
+            other = other[(held != keys[other]) & (held != -1)]
+        return self.slot_ranks[at], self.slot_merged[at]
 
     def _finish(self, symbols: np.ndarray) -> np.ndarray:
         """All merges of one word, best rank first and leftmost first among equals."""
         if not self.merges:
-            self.merges.update(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist(), strict=True), strict=True))
+            used = np.flatnonzero(self.slots >= 0)
+            self.merges.update(zip(self.slots[used].tolist(), zip(self.slot_ranks[used].tolist(), self.slot_merged[used].tolist(), strict=True), strict=True))
         s: list[int | None] = symbols.tolist()
         n = len(s)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -147,19 +171,11 @@ class PieceModel:
             offer(i, after[i])
         return np.array([x for x in s if x is not None], np.int64)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (its spaces already written as the space symbol), by merge rounds over all words at once."""
-        chars = "".join(words)
-        known: dict[str, int] = {}
-        unknown: list[str] = []
-        for c in set(chars):
-            if c in self.ids:
-                known[c] = self.ids[c]
-            else:
-                unknown.append(c)
-                known[c] = -len(unknown)
-        symbol = np.fromiter((known[c] for c in chars), np.int64, len(chars))
-        lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word (its spaces already written as the space symbol), by merge rounds over all words at once: the ids of
+        all words, characters without a piece as -1 - code point, and where each word's ids end."""
+        symbol = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
         ends = np.cumsum(lengths)
@@ -211,19 +227,11 @@ class PieceModel:
         done_word.append(word)
         symbol, word = np.concatenate(done_symbol), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        symbol, word = symbol[order].tolist(), word[order]
-        ends = np.searchsorted(word, np.arange(len(words)), "right").tolist()
-        out, begin = [], 0
-        for end in ends:
-            ids: list[int] = []
-            for s in symbol[begin:end]:
-                if s >= 0:
-                    ids.append(s)
-                else:
-                    ids += [self.byte_ids[b] for b in unknown[-s - 1].encode("utf-8", "surrogatepass")]
-            out.append(ids)
-            begin = end
-        return out
+        return symbol[order], np.searchsorted(word[order], np.arange(len(words)), "right")
+
+    def written(self, symbols: list[int]) -> list[int]:
+        """Ids with characters that have no piece as their bytes."""
+        return [i for s in symbols for i in ([s] if s >= 0 else [self.byte_ids[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")])]
 
     def split(self, text: str) -> list[str]:
         """Words that no piece crosses; their concatenation is the text with the dummy prefix."""
@@ -275,27 +283,36 @@ class Encoder:
 
     def __init__(self, model: PieceModel, cache_words: int = CACHE_WORDS):
         self.model, self.cache_words = model, cache_words
-        self.store: dict[str, tuple[str, int, str]] = {}
+        self.lines: dict[str, str] = {}  # a word's ids as text
+        self.texts: dict[str, str] = {}  # and what they decode to
 
     def learn(self, texts: list[list[str]]) -> None:
-        fresh: dict[str, None] = {}
-        for words in texts:
-            for w in words:
-                if w not in self.store:
-                    fresh[w] = None
-        if fresh:
-            if len(self.store) + len(fresh) > self.cache_words and self.store:
-                self.store.clear()
-                return self.learn(texts)
-            new = list(fresh)
-            for w, ids in zip(new, self.model.encode_words(new), strict=True):
-                self.store[w] = (" ".join(map(str, ids)), len(ids), self.model.decode_run(ids))
-        return None
+        fresh = set().union(*texts).difference(self.lines)
+        if not fresh:
+            return
+        if len(self.lines) + len(fresh) > self.cache_words and self.lines:
+            self.lines.clear()
+            self.texts.clear()
+            fresh = set().union(*texts)
+        words, model = list(fresh), self.model
+        symbol, ends = model.encode_words(words)
+        starts = np.concatenate([[0], ends[:-1]])
+        plain = (np.minimum.reduceat(symbol, starts) >= 0).tolist()
+        flat, names, decoded, begin = symbol.tolist(), model.names, model.decoded, 0
+        for w, end, whole in zip(words, ends.tolist(), plain, strict=True):
+            ids = flat[begin:end]
+            begin = end
+            if whole:
+                self.texts[w] = "".join([decoded[i] for i in ids])
+            else:
+                ids = model.written(ids)
+                self.texts[w] = model.decode_run(ids)
+            self.lines[w] = " ".join([names[i] for i in ids])
 
     def ids(self, text: str) -> list[int]:
         words = self.model.split(text)
         self.learn([words])
-        return [int(i) for w in words for i in self.store[w][0].split()] + [self.model.end_id]
+        return [int(i) for w in words for i in self.lines[w].split()] + [self.model.end_id]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, ids_sha256, decoded_sha256) of each text."""
@@ -307,13 +324,12 @@ class Encoder:
                 to += 1
             split = [self.model.split(t) for t in texts[at:to]]
             self.learn(split)
-            store, end = self.store, str(self.model.end_id)
+            line_of, text_of, end = self.lines.__getitem__, self.texts.__getitem__, str(self.model.end_id)
             for words in split:
-                got = [store[w] for w in words]
-                line = " ".join([g[0] for g in got] + [end])
-                text = "".join([g[2] for g in got])
+                line = " ".join([*map(line_of, words), end])
+                text = "".join(map(text_of, words))
                 text = text[1:] if text.startswith(" ") else text
-                out.append((sum([g[1] for g in got]) + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
+                out.append((line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
             at = to
         return out
 
