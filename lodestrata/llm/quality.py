@@ -2,9 +2,9 @@
 
 Each non-blank line is held against four rules.  It ends in closing punctuation or holds the end of a sentence, in any of
 several scripts.  It is no navigation: it has fewer than three bars between items, and fewer than a third of its words are
-addresses.  It holds few symbols and little shouting.  It is no boilerplate: it holds none of the fixed phrases, and fewer than a
-quarter of its words are terms of site furniture.  A line that fails, or that equals an earlier line, is removed.  A document is
-kept where the base rules pass and the lines left hold at least half of the characters.
+addresses.  It holds few symbols and little shouting.  It is no boilerplate: it holds none of the fixed phrases, and, up to
+FURNITURE_CHARS characters, fewer than a quarter of its words are terms of site furniture.  A line that fails, or that equals an
+earlier line, is removed.  A document is kept where the base rules pass and the lines left hold at least half of the characters.
 
 Everything is computed within a row, so nothing is shuffled and no group can grow hot.
 """
@@ -31,6 +31,8 @@ TERMS = [
     "cookie", "privacy", "newsletter", "subscribe", "copyright", "©", "login", "sitemap", "javascript", "datenschutz", "impressum", "anmelden", "abonnieren",
     "confidentialité", "connexion", "abonnez", "mentions légales", "privacidad", "suscríbete", "aviso legal", "iniciar sesión",
 ]
+#: Longer lines are not held against the terms.
+FURNITURE_CHARS = 80
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -52,14 +54,15 @@ def _any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
 
 
-def _line_passes(line: Column, any_symbol: Column, any_bar: Column, any_term: Column) -> Column:
+def _line_passes(line: Column, flags: dict[str, Column]) -> Column:
     """The four rules for one trimmed line; the flags of the whole text spare most lines the slower ones."""
     words = _count(line, " ") + 1
     closed = F.substring(line, -1, 1).isin(CLOSING) | _any(line, SENTENCE_ENDS)
-    navigation = any_bar & ((_sum([_count(line, p) for p in BARS]) >= 3) | (_sum([_count(line, p) for p in ADDRESSES]) * 3 >= words))
-    symbols = any_symbol & (_symbols(line) * 10 > words)
-    shouting = _count(line, "!!") * 10 > words
-    furniture = any_term & (_any(F.lower(line), BOILERPLATE) | (_sum([_count(F.lower(line), p) for p in TERMS]) * 4 >= words))
+    navigation = flags["bar"] & ((_sum([_count(line, p) for p in BARS]) >= 3) | (_sum([_count(line, p) for p in ADDRESSES]) * 3 >= words))
+    symbols = flags["symbol"] & (_symbols(line) * 10 > words)
+    shouting = flags["shout"] & (_count(line, "!!") * 10 > words)
+    # a line of many words is long, which is known at once, and furniture has few
+    furniture = flags["phrase"] & _any(F.lower(line), BOILERPLATE) | (F.length(line) <= FURNITURE_CHARS) & (_sum([_count(F.lower(line), p) for p in TERMS]) * 4 >= words)
     return closed & ~navigation & ~symbols & ~shouting & ~furniture
 
 
@@ -97,8 +100,9 @@ def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
     covered = F.aggregate(
         F.transform(at, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda s, x: s + x
     )
-    any_symbol = F.col("n_symbols") > 0
-    rows = rows.select("*", _any(F.col("_text"), BARS + ADDRESSES).alias("_bar"), _any(F.lower("_text"), BOILERPLATE + TERMS).alias("_term"))
+    rows = rows.select("*", F.lower("_text").alias("_lower"))
+    rows = rows.select("*", _any(F.col("_text"), BARS + ADDRESSES).alias("_bar"), F.contains("_text", F.lit("!!")).alias("_shout"), _any(F.col("_lower"), BOILERPLATE).alias("_phrase"))
+    flags = {"symbol": F.col("n_symbols") > 0, "bar": F.col("_bar"), "shout": F.col("_shout"), "phrase": F.col("_phrase")}
     rows = rows.select(
         *keep,
         "_lines",
@@ -107,7 +111,7 @@ def measure(documents: DataFrame, keep: list[str]) -> DataFrame:
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size("_distinct")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.filter("_distinct", lambda x: _line_passes(F.btrim(x, F.lit(SPACES)), any_symbol, F.col("_bar"), F.col("_term"))).alias("_clean"),
+        F.filter("_distinct", lambda x: _line_passes(F.btrim(x, F.lit(SPACES)), flags)).alias("_clean"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), F.length(F.array_join("_lines", "")).alias("_all"), F.length(F.array_join("_clean", "")).alias("_left"))
@@ -149,7 +153,7 @@ lz AS (SELECT rid, length(line) AS n, c,
         AND {_sql_count("x", BARS)} < 3 AND {_sql_count("x", ADDRESSES)} * 3 < nw
         AND (length(x) - length({_SQL_X})) * 10 <= nw
         AND (length(x) - length(replace(x, '!!', ''))) / 2 * 10 <= nw
-        AND NOT ({_SQL_BOILERPLATE}) AND {_sql_count("lower(x)", TERMS)} * 4 < nw AS ok FROM ly),
+        AND NOT ({_SQL_BOILERPLATE}) AND (length(x) > {FURNITURE_CHARS} OR {_sql_count("lower(x)", TERMS)} * 4 < nw) AS ok FROM ly),
 j AS (SELECT rid, sum(n * c) AS all_chars, sum(CASE WHEN ok THEN n ELSE 0 END) AS left_chars, sum(c - 1) AS dups FROM lz GROUP BY rid),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
         length(array_to_string(ws, ''))::BIGINT AS word_chars,
