@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
             print("latest run:", warehouse.latest_run(store))
     elif args.command == "score":
         t = store.read(warehouse.AREA)
-        seeded = extract.injections(spark, extract.read_manifest(args.extract))
+        seeded = extract.injections(spark, extract.read_manifest(spark, args.extract))
         card = rules.score(t["dq_exception"], seeded).orderBy("rule_code")
         card.show(50, truncate=False)
         if args.strict and card.where("missed > 0 or false_positives > 0 or not implemented").count():

@@ -59,27 +59,38 @@ def write_manifest(folder: str, files: list[dict], injections: list[dict], **inp
     return manifest
 
 
-def read_manifest(folder: str) -> dict:
-    path = os.path.join(folder, "manifest.json")
-    if not os.path.isfile(path):
+def uri(folder: str) -> str:
+    """A folder as Spark's readers name it: a path without a scheme is one of this machine."""
+    return folder.rstrip("/") if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest of an extract in any store that Spark reads."""
+    path = f"{uri(folder)}/manifest.json"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         raise LoadError(f"no manifest at {path}")
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
-def check(folder: str, manifest: dict) -> None:
-    """Every listed file is there, unaltered and of a known dataset, and no dataset is missing."""
+def check(spark: SparkSession, folder: str, manifest: dict) -> None:
+    """Every listed file is there, unaltered and of a known dataset, and no dataset is missing.
+
+    Files are hashed by tasks, each up to 2 GB, the most that Spark's binary reader takes.
+    """
     names = [f["dataset"] for f in manifest["files"]]
     if unknown := sorted(set(names) - set(DATASETS)):
         raise LoadError(f"unknown datasets: {', '.join(unknown)}")
     if missing := sorted(set(DATASETS) - set(names)):
         raise LoadError(f"datasets without a file: {', '.join(missing)}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(uri(folder))
+    found = {r.name: r.sha256 for r in files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256")).collect()}
     for f in manifest["files"]:
-        path = os.path.join(folder, f["path"])
-        if not os.path.isfile(path):
-            raise LoadError(f"{f['dataset']}: no file at {path}")
-        if sha256_of(path) != f["sha256"]:
-            raise LoadError(f"{f['dataset']}: {path} is not the file of the manifest")
+        name = f["path"].split("/")[-1]
+        if name not in found:
+            raise LoadError(f"{f['dataset']}: no file at {uri(folder)}/{f['path']}")
+        if found[name] != f["sha256"]:
+            raise LoadError(f"{f['dataset']}: {uri(folder)}/{f['path']} is not the file of the manifest")
 
 
 def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -93,13 +104,13 @@ def load(spark: SparkSession, folder: str, store: Store) -> int:
     All files or none become current.  Each file leaves a row in the audit log; counts that differ from the manifest's are an
     error, and the version is then not published.
     """
-    manifest = read_manifest(folder)
-    check(folder, manifest)
+    manifest = read_manifest(spark, folder)
+    check(spark, folder, manifest)
     version = store.begin(AREA)
     audit, wrong = [], []
     for f in manifest["files"]:
-        path = os.path.join(folder, f["path"])
-        loaded = store.write(AREA, version, f["dataset"], read_csv(spark, f["dataset"], f"file://{os.path.abspath(path)}")).count()
+        path = f"{uri(folder)}/{f['path']}"
+        loaded = store.write(AREA, version, f["dataset"], read_csv(spark, f["dataset"], path)).count()
         audit.append((version, f["dataset"], path, f["sha256"], f["bytes"], f["rows"], loaded, now()))
         if loaded != f["rows"]:
             wrong.append(f"{f['dataset']}: {loaded} rows, not {f['rows']}")

@@ -6,7 +6,9 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrata.operators import tables
 from lodestrata.plans import checks, policy, rules, views, warehouse
 from lodestrata.sources import extract, generate
 from lodestrata.sources.registry import DATASETS, TIERS
@@ -43,7 +45,7 @@ def test_registry_rejects_wrong_declarations():
 
 
 def test_every_seeded_defect_is_found_and_nothing_else(spark, folder, star):
-    manifest = extract.read_manifest(folder)
+    manifest = extract.read_manifest(spark, folder)
     assert {i["defect"] for i in manifest["injections"]} == set(rules.RULES)
     for r in rules.score(star["dq_exception"], extract.injections(spark, manifest)).collect():
         assert (r.missed, r.false_positives, r.recall, r.implemented) == (0, 0, 1.0, True), r
@@ -194,3 +196,29 @@ def test_personas(star):
         policy.read(star, who(), "rpt_revenue_trend")
     roles = policy.for_role({n: v(star) for n, v in views.VIEWS.items()}, "Engineering")
     assert {r.department_name for r in roles["rpt_headcount_trend"].select("department_name").distinct().collect()} == {"Engineering"}
+
+
+def test_reports_have_an_order_and_runs_a_last_one(spark, store, star):
+    for name, view in views.VIEWS.items():
+        rows = views.ordered(name, view(star)).collect()
+        keys = [tuple((r[c] is None, r[c]) for c in views.ORDER[name]) for r in rows]
+        assert rows and keys == sorted(keys) and len(set(keys)) == len(keys), name
+    views.create(star)
+    assert spark.table("rpt_revenue_trend").first().month_end == min(r.month_end for r in spark.table("rpt_revenue_trend").collect())
+    last = warehouse.latest_run(store)
+    found = store.read(warehouse.AREA)["dq_exception"]
+    assert last["status"] == "succeeded" and last["version"] == store.history(warehouse.AREA)[-1] and sum(last["exceptions"].values()) == found.count()
+    assert {r.run_id for r in found.select("run_id").distinct().collect()} == {last["version"]}
+
+
+def test_facts_lie_in_ranges(store, star):
+    """A filter on the first column of a fact's order needs only the files whose range holds the value."""
+    for name in ("fact_usage_daily", "fact_access_event"):
+        ranges = [(r.low, r.high) for r in star[name].groupBy(F.input_file_name().alias("f")).agg(F.min("date_key").alias("low"), F.max("date_key").alias("high")).orderBy("low").collect()]
+        assert all(a[1] <= b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))
+
+
+def test_parity_of_a_store_with_itself_and_drift(spark, store, star):
+    assert all(tables.parity(view(star), view(store.read(warehouse.AREA))).ok for view in list(views.VIEWS.values())[:2])
+    declared = {n: list(d.columns) for n, d in DATASETS.items()}
+    assert checks.drift(declared, {n: df.columns for n, df in store.read(extract.AREA).items()}) == []
