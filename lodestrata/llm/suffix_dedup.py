@@ -12,7 +12,8 @@ the 32-byte strings in it, the one with the smallest hash.  Equal windows have e
    with only one distinct stretch nothing is left to decide.
 3. Stretches that remain, the smallest document's copy of each, go to their bucket's shard as bytes.  There a suffix array
    with common-prefix values (suffix_sort) groups equal windows and finds each group's smallest document.  A minimizer that stands
-   in very many different stretches is split: each of its windows, once a block, goes to one of SHARDS shards by its own hash.
+   in more different stretches than a shard should hold is split: each of its windows, once a block, goes to one of as many
+   shards as it needs, by the window's own hash.
 
 Blocks then remove what was answered.  Step 2 only unites rows that are equal as a whole; every comparison of windows in
 different surroundings is made by the suffix array.
@@ -37,8 +38,8 @@ GRAM = 32
 SPAN = WINDOW - GRAM + 1
 #: Text bytes of a block (a longer document is a block of its own) and key bytes that a bucket should hold.
 BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
-#: Different stretches from which on a minimizer is split, and the shards that it is split into.
-SPLIT_STRETCHES, SHARDS = 4096, 1024
+#: Different stretches from which on a minimizer is split (about BUCKET_BYTES), and those whose single windows make a shard.
+SPLIT_STRETCHES, SHARD_STRETCHES = 1 << 16, 1 << 12
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 
@@ -216,7 +217,8 @@ def _chosen(block: Block, answers, buckets: int) -> tuple[list[tuple[int, slice]
     return parts, np.concatenate(chosen)
 
 
-#: What happens to a minimizer's windows: nothing, all go, or the suffix array decides, of stretches or of single windows.
+#: What happens to a minimizer's windows: nothing, all go, or the suffix array decides, of stretches or of single windows: SPLIT + k
+#: stands for 2**k shards.
 STAY, GO, ASK, SPLIT = 0, 1, 2, 3
 
 
@@ -247,8 +249,9 @@ def _verdicts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         least = np.repeat(sorted_doc[head], np.diff(np.append(head, len(order))))
         first = np.flatnonzero(new_key)
         stretches = np.repeat(np.add.reduceat(new_stretch.astype(np.int64), first), np.diff(np.append(first, len(order))))
+        shards = np.maximum(1, np.ceil(np.log2(stretches / SHARD_STRETCHES)))
         verdict = np.empty(len(order), np.uint8)
-        verdict[order] = np.where(sorted_doc > least, GO, np.where(stretches == 1, STAY, np.where(stretches < SPLIT_STRETCHES, ASK, SPLIT)))
+        verdict[order] = np.where(sorted_doc > least, GO, np.where(stretches == 1, STAY, np.where(stretches < SPLIT_STRETCHES, ASK, SPLIT + shards)))
         cut = np.concatenate([[0], np.cumsum(size)])
         rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": frame["keys"], "verdicts": [verdict[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
         return rows[[bool(verdict[a:b].any() or later) for a, b, later in zip(cut[:-1], cut[1:], frame["later"], strict=True)]]
@@ -271,12 +274,13 @@ def _asked(block: Block, ids: bytes, answers, buckets: int) -> Iterator[tuple[in
         yield number, at[s], verdict[s]
 
 
-def _single(block: Block, ids: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _single(block: Block, ids: bytes, at: np.ndarray, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of minimizers that are split: (start, shard, the window's first place, whether a smaller document of the block
     has it, document); shards from 1 on."""
     start, of, value = block.windows(at)
     doc = np.frombuffer(ids, np.int64)[block.doc[at]][of]
-    return start, (value % np.uint64(SHARDS)).astype(np.int64) + 1, *_firsts(value, doc), doc
+    shards = np.uint64(1) << (verdict - SPLIT).astype(np.uint64)
+    return start, (value % shards[of]).astype(np.int64) + 1, *_firsts(value, doc), doc
 
 
 def shard_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -307,11 +311,11 @@ def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> Dat
                 docs = np.frombuffer(ids, np.int64)
                 rows = []
                 for number, at, verdict in _asked(b, ids, answers, buckets):
-                    asked, split = at[verdict == ASK], at[verdict == SPLIT]
+                    asked, split = at[verdict == ASK], at[verdict >= SPLIT]
                     if len(asked):
                         rows.append((block, number, 0, [data[i : j + WINDOW] for i, j in zip(b.low[asked], b.high[asked], strict=True)], docs[b.doc[asked]].tobytes()))
                     if len(split):
-                        start, shard, first, _, doc = _single(b, ids, split)
+                        start, shard, first, _, doc = _single(b, ids, split, verdict[verdict >= SPLIT])
                         head = first == np.arange(len(start))
                         for k, w in _by_bucket(np.where(head, shard, 0)):
                             if k:
@@ -340,14 +344,14 @@ def _covered(block: Block, ids: bytes, answers, buckets: int) -> np.ndarray:
         np.add.at(edge, start + WINDOW, -1)
 
     for number, at, verdict in _asked(block, ids, answers, buckets):
-        whole, asked, split = (at[verdict == v] for v in (GO, ASK, SPLIT))
+        whole, asked, split = at[verdict == GO], at[verdict == ASK], at[verdict >= SPLIT]
         np.add.at(edge, block.low[whole], 1)
         np.add.at(edge, block.high[whole] + WINDOW, -1)
         if len(asked):
             for k in range(SPAN):
                 go(block.low[asked[(windows[number, 0] >> np.uint32(k)) & np.uint32(1) == 1]] + k)
         if len(split):
-            start, shard, first, later, _ = _single(block, ids, split)
+            start, shard, first, later, _ = _single(block, ids, split, verdict[verdict >= SPLIT])
             told = np.zeros(len(start), bool)
             for k, w in _by_bucket(np.where(first == np.arange(len(start)), shard, 0)):
                 if k:

@@ -251,9 +251,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("split", [2, 4096])  # with 2 every minimizer in several stretches is split
+@pytest.mark.parametrize("split", [2, 1 << 16])  # with 2 every minimizer in several stretches is split
 def test_repeats_against_brute_force(spark, none, monkeypatch, split):
     monkeypatch.setattr(suffix_dedup, "SPLIT_STRETCHES", split)
+    monkeypatch.setattr(suffix_dedup, "SHARD_STRETCHES", 3 if split == 2 else 1 << 12)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2000 if split == 2 else 1 << 20)
     r = random.Random(9)
     pool = [prose(i, 3) for i in range(6)] + ["a" * 120, "é" * 70]
