@@ -304,6 +304,5 @@ def generate(spark: SparkSession, folder: str, scale: str = "small", seed: int =
     world = World(spark, SCALES[scale], seed, day)
     tables, noted = Defects(world).all() if defects else (world.tables, [])
     files = [extract.write_dataset(tables[name], name, folder) for name in DATASETS]
-    world.people.unpersist()
     start = day - dt.timedelta(days=SCALES[scale].days)
     return extract.write_manifest(folder, files, noted, generator_version=VERSION, seed=seed, scale=scale, as_of_date=day.isoformat(), start_date=start.isoformat(), defects_enabled=defects)
