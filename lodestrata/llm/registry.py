@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import archive, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
+from lodestrata.llm import archive, filter_audit, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
     "op10_neardup": neardup.op10_neardup,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
-SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL}
+SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL, "op12_filter_audit": filter_audit.SQL}
