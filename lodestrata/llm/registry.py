@@ -1,6 +1,6 @@
 """Queries of this package by name, and the SQL that gives the same rows where SQL can."""
 
-from lodestrata.llm import archive, centroids, filter_audit, fingerprint, language, license_scan, neardup, packing, pieces, quality, scoring, suffix_dedup
+from lodestrata.llm import archive, centroids, filter_audit, fingerprint, language, license_scan, neardup, neighbours, packing, pieces, quality, scoring, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_language": language.op9_language,
     "op10_neardup": neardup.op10_neardup,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_centroids": centroids.op13_centroids,
 }
-SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL, "op12_filter_audit": filter_audit.SQL, "op13_centroids": centroids.SQL}
+SQL = {"op2_warc": archive.SQL, "op6_license": license_scan.SQL, "op8_quality": quality.SQL, "op11_neighbours": neighbours.SQL, "op12_filter_audit": filter_audit.SQL, "op13_centroids": centroids.SQL}

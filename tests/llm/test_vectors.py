@@ -1,13 +1,15 @@
 """Clustering and nearest neighbours against plain computations over all pairs."""
 
+import functools
 import hashlib
 import math
+import operator
 import random
 
 import numpy as np
 import pytest
 
-from lodestrata.llm import centroids
+from lodestrata.llm import centroids, neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cluster int, distance string, points string"
 DIMS = 64
@@ -90,3 +92,53 @@ def test_distances_are_exact_at_the_bounds():
         c = x[:4].astype(np.int64) * np.array([[1], [-1], [1], [-1]])
         want = [[sum((int(a) - int(b)) ** 2 for a, b in zip(p, m, strict=True)) for m in c] for p in x]
         assert centroids.squared(x, c).tolist() == want
+
+
+def plain_neighbours(rows, k=5):
+    """All pairs, in the operator's order of additions; equal (id, vector) rows once, shorter vectors ending in zeros."""
+    seen = sorted({(i, tuple(float(np.float32(x)) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
+    dims = max((len(v) for _, v in seen), default=0)
+    seen = [(i, v + (0.0,) * (dims - len(v))) for i, v in seen]
+    added = lambda a, b: functools.reduce(operator.add, (x * y for x, y in zip(a, b, strict=True)))
+    seen = sorted({(i, tuple(x + 0.0 for x in v)) for i, v in seen})
+    out = []
+    for i, v in seen:
+        if i % 50 == 0:
+            found = [(-(added(v, w) / (math.sqrt(added(v, v)) * math.sqrt(added(w, w)))), j) for j, w in seen if j != i]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["clustered", "apart", "scaled", "few", "same", "copies", "one shard"])
+def test_neighbours_are_those_of_all_pairs(spark, case):
+    x = {
+        "clustered": lambda: vectors(11, 1500, 0.05), "apart": lambda: vectors(12, 1200, 1.0, dims=16), "scaled": lambda: np.concatenate([vectors(13, 250), 2 * vectors(13, 250), np.float32(1e19) * vectors(13, 250)]),
+        "few": lambda: vectors(14, 7), "same": lambda: np.repeat(vectors(15, 2), 300, 0), "copies": lambda: np.concatenate([np.repeat(vectors(16, 1), 700, 0), vectors(17, 900)]), "one shard": lambda: vectors(18, 150),
+    }[case]()
+    rows, out = odd_rows(x)
+    rows += [(100, x[1].tolist()), (150, (-x[2]).tolist()), (3000, [0.5, -0.0]), (3050, [0.5, 0.0]), (3100, [0.0] * 8)]
+    got = neighbours.nearest(frame(spark, rows + out).repartition(3), neighbours.F.col("vec_id") % 50 == 0, piece=1 << 12 if case != "one shard" else 1 << 19, sample=1 << 14).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_neighbours(rows + out)
+
+
+def test_neighbours_of_nothing(spark):
+    asks = neighbours.F.col("vec_id") % 50 == 0
+    assert neighbours.nearest(frame(spark, []), asks).count() == 0
+    assert neighbours.nearest(frame(spark, [(0, None), (50, [0.0])]), asks).count() == 0
+    assert neighbours.nearest(frame(spark, [(0, [1.0]), (7, None)]), asks).count() == 0
+
+
+def test_larger_factors_search_less_and_keep_most(spark):
+    """The factor trades comparisons for recall; at one nothing is lost."""
+    points = neighbours.units(vectors(21, 6000, 0.25, 40, 24))
+    tree, order = neighbours.VantageTree.build(points, neighbours.LEAF)
+    asked = points[::50]
+    exact = np.argsort(-(asked @ points.T), axis=1)[:, :6]
+    looked, recall = [], []
+    for factor in (1.0, 1.5, 2.0, 4.0):
+        piece = neighbours.Piece(tree, points[order], order.astype(np.int64), np.ones(len(order), np.int32))
+        query, ids, _ = piece.search(asked, np.full(len(asked), -2.0), 6, factor)
+        looked.append(piece.looked / (len(asked) * len(points)))
+        recall.append(np.mean([len({*ids[query == i]} & {*exact[i]}) / 6 for i in range(len(asked))]))
+    assert recall[0] == 1 and recall[1] >= 0.9 and looked[0] < 0.9
+    assert looked == sorted(looked, reverse=True) and looked[3] < looked[0] / 2
