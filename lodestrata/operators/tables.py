@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import differs
+from lodestrata.operators import scan
 
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -63,17 +64,10 @@ def numbered(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
     return df.withColumn("_within", within).join(F.broadcast(starts), "_bucket").withColumn("_number", F.col("_start") + F.col("_within")).drop("_bucket", "_within", "_start")
 
 
-def rank_over(df: DataFrame, value: str, weight: str, out: str, stretches: int = 256) -> DataFrame:
-    """Adds `out`: one more than the `weight` of rows with a larger `value`; nulls come last.  Values are distinct.
-
-    Values are cut into stretches by quantiles; each stretch is summed in a task of its own, and only the stretches' sums meet.
-    """
-    bounds = df.agg(F.percentile_approx(value, [i / stretches for i in range(1, stretches)], 10 * stretches).alias("_bounds"))
-    placed = df.crossJoin(F.broadcast(bounds)).withColumn("_stretch", F.when(F.col(value).isNull(), stretches).otherwise(F.size(F.filter("_bounds", lambda b: b > F.col(value))))).drop("_bounds")
-    before = lambda w: F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = placed.groupBy("_stretch").agg(F.sum(weight).alias(weight)).select("_stretch", before(Window.orderBy("_stretch")).alias("_start"))
-    within = before(Window.partitionBy("_stretch").orderBy(F.desc_nulls_last(value)))
-    return placed.withColumn("_within", within).join(F.broadcast(starts), "_stretch").withColumn(out, F.col("_start") + F.col("_within") + 1).drop("_stretch", "_within", "_start")
+def rank_over(df: DataFrame, value: str, weight: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Adds `out`: one more than the `weight` of rows with a larger `value`; nulls come last.  Values are distinct."""
+    summed = scan.scan(df, [], [F.desc_nulls_last(value)], ranges, **{out: scan.total(F.col(weight))})
+    return summed.withColumn(out, F.col(out) - F.col(weight) + 1)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import scan
+from lodestrata.operators.work import work_table
+
 
 def with_valid_to(versions: DataFrame, key: str, start: str, end: str = "valid_to") -> DataFrame:
     """Each version ends where the key's next one starts."""
@@ -33,6 +36,27 @@ def as_of(facts: DataFrame, versions: DataFrame, key: str, day: str, value: str,
     return joined.withColumn(out, F.coalesce("_v", "_last")).drop("_k", "_v", "_last")
 
 
+def as_of_merge(facts: DataFrame, versions: DataFrame, key: str, day: str, value: str, start: str = "valid_from", end: str = "valid_to", forgiving: bool = False, out: str | None = None) -> DataFrame:
+    """`as_of` without a join: facts and versions of a key stand on one time line, and a fact takes the version that began last.
+
+    A join compares every fact of a key with every version of it.  This costs a sort, cut into ranges of key and time, so a key with
+    half of all rows and thousands of versions is many tasks; for keys of few versions `as_of` moves less.
+    """
+    out = out or value
+    moment = F.struct(F.col(start).alias("from"), F.col(end).alias("to"), F.col(value).alias("value"))
+    # a version that covers nothing would hide the one before it
+    real = versions.where(F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    begun = real.select(F.col(key).alias("_k"), F.col(start).alias("_at"), F.lit(0).alias("_fact"), moment.alias("_version"))
+    asked = facts.select(F.col(key).alias("_k"), F.col(day).alias("_at"), F.lit(1).alias("_fact"), F.struct(*facts.columns).alias("_row"))
+    line = scan.scan(begun.unionByName(asked, allowMissingColumns=True), ["_k"], [F.col("_at"), F.col("_fact")], _open=scan.latest(F.col("_version")))
+    found = F.when(F.col("_open.to").isNull() | (F.col("_at") < F.col("_open.to")), F.col("_open.value"))
+    line = line.where("_fact = 1").withColumn("_found", found)
+    if forgiving:
+        latest = versions.groupBy(F.col(key).alias("_l")).agg(F.max_by(value, start).alias("_last"))  # a row a key
+        line = line.join(latest, F.col("_k") == F.col("_l"), "left").withColumn("_found", F.coalesce("_found", "_last"))
+    return line.select(*[F.col(f"_row.{c}").alias(c) for c in facts.columns if c != out], F.col("_found").alias(out))
+
+
 def overlap_flag(key: str, start: str, end: str) -> Column:
     """True for a version that starts before an earlier-starting one of the same key ends, else false.
 
@@ -61,33 +85,42 @@ def level_series(spans: DataFrame, start: str, end: str, amount: Column, points:
     marks = points.select(F.col(point).alias("_at"), F.lit(None).cast(daily.schema["_delta"].dataType).alias("_delta"), F.lit(1).alias("_point"))
     # events of the same instant come first: a span covers its start and not its end
     line = daily.unionByName(marks)
-    level = F.sum("_delta").over(Window.orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0))
-    return line.withColumn("level", level).where("_point = 1").select(F.col("_at").alias(point), F.coalesce("level", F.lit(0)).alias("level"))
+    line = scan.scan(line, [], [F.col("_at"), F.col("_point")], level=scan.total(F.col("_delta")))
+    return line.where("_point = 1").select(F.col("_at").alias(point), F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def near_pairs(events: DataFrame, key: str, at: str, event_id: str, seconds: int, differ: str, later_where: Column | None = None) -> DataFrame:
+def near_pairs(events: DataFrame, key: str, at: str, event_id: str, seconds: int, differ: str, later_where: Column | None = None, show: tuple[str, ...] = ()) -> DataFrame:
     """For each event (of those where `later_where` holds) the nearest earlier one of the same key, at most `seconds` before,
-    whose `differ` is another.  Nulls in any of these columns pair with nothing.
+    whose `differ` is another: both ids, the whole minutes between, and the columns in `show` of both.  Nulls in key, time, id
+    or `differ` pair with nothing.
 
-    Time is cut into buckets of the interval's length, and each event stands in its own bucket and, as an earlier one only, in the
-    next.  Within a key's bucket nothing is paired: the last earlier event is the anchor if it differs, and otherwise the last event
-    before the run of like events that it ends.  So a key with very many events in one hour costs a sort.
+    Nothing is paired: the last earlier event is the anchor if it differs, and otherwise the last event before the run of like events
+    that it ends.  Keys are cut into ranges of time; the last event of a range and the one before its run are handed on to
+    the next range, so that a key with very many events, in one hour or over years, is many sorts.
     """
     is_later = F.lit(True) if later_where is None else F.coalesce(later_where, F.lit(False))
-    base = events.select(F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_s"), F.col(event_id).alias("_id"), F.col(differ).alias("_d"), is_later.alias("_later"))
+    shown = F.struct(F.lit(0).alias("_none"), *show)
+    base = events.select(F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_s"), F.col(event_id).alias("_id"), F.col(differ).alias("_d"), is_later.alias("_asks"), shown.alias("_x"))
     base = base.where("_key is not null and _s is not null and _id is not null and _d is not null")
-    step = seconds * 1_000_000
-    own = F.floor(F.col("_s") / step)
-    placed = base.select("*", F.explode(F.array(F.struct(own.alias("b"), F.col("_later").alias("asks")), F.struct((own + 1).alias("b"), F.lit(False).alias("asks")))).alias("x"))
-    placed = placed.select("_key", "_s", "_id", "_d", F.col("x.b").alias("_b"), F.col("x.asks").alias("_asks"))
-    event = F.struct("_s", "_id", "_d")
-    runs = Window.partitionBy("_key", "_b").orderBy("_s", "_id")
-    before = F.lag(event).over(runs)
-    placed = placed.withColumn("_before", before).withColumn("_ended", F.when(F.col("_before._d") != F.col("_d"), F.col("_before")))
+    event = F.struct("_s", "_id", "_d", "_x")
+    runs = Window.partitionBy("_scan_range", "_key").orderBy("_s", "_id")
+    # events of one instant lie in one range
+    placed = scan.in_ranges(base, ["_key"], [F.col("_s")]).withColumn("_before", F.lag(event).over(runs)).withColumn("_scan_row", F.row_number().over(runs))
+    placed = placed.withColumn("_ended", F.when(F.col("_before._d") != F.col("_d"), F.col("_before")))
     placed = placed.withColumn("_other", F.last("_ended", ignorenulls=True).over(runs.rowsBetween(Window.unboundedPreceding, 0)))
     # strictly earlier: frames by value leave out events of the same instant
-    earlier = Window.partitionBy("_key", "_b").orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_last", F.max(F.struct("_s", "_id", "_d", "_other")).over(earlier)).where("_asks")
-    anchor = F.when(F.col("_last._d") != F.col("_d"), F.struct("_last._s", "_last._id", "_last._d")).otherwise(F.col("_last._other"))
-    placed = placed.withColumn("_anchor", anchor).where(F.col("_s") - F.col("_anchor._s") <= step)
-    return placed.select(F.col("_id").alias(event_id), F.col("_key").alias(key), F.col("_anchor._id").alias("anchor_id"))
+    earlier = Window.partitionBy("_scan_range", "_key").orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_last", F.max_by(F.struct("_s", "_id", "_d", "_x", "_other"), F.struct("_s", "_id")).over(earlier))
+    placed = work_table(placed.drop("_before", "_ended"), "events")
+
+    def joined(before: tuple, own: tuple) -> tuple:
+        (last, other), (own_last, own_other) = before, own
+        return own_last, own_other or (last if last["_d"] != own_last["_d"] else other)
+
+    carried = scan.borders(placed, ["_key"], {"last": event, "other": F.col("_other")}, joined)
+    placed = scan.with_borders(placed.where("_asks"), carried, ["_key"])
+    over_border = F.when(F.col("_scan_before_last._d") != F.col("_d"), F.col("_scan_before_last")).otherwise(F.col("_scan_before_other"))
+    within = F.when(F.col("_last._d") != F.col("_d"), F.struct("_last._s", "_last._id", "_last._d", "_last._x")).otherwise(F.col("_last._other"))
+    placed = placed.withColumn("_anchor", F.coalesce(within, over_border)).withColumn("_gap", F.col("_s") - F.col("_anchor._s")).where(F.col("_gap") <= seconds * 1_000_000)
+    both = [c for name in show for c in (F.col(f"_x.{name}").alias(name), F.col(f"_anchor._x.{name}").alias(f"anchor_{name}"))]
+    return placed.select(F.col("_id").alias(event_id), F.col("_key").alias(key), F.col("_anchor._id").alias("anchor_id"), F.floor(F.col("_gap") / 60_000_000).alias("minutes"), *both)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import date_key, fiscal_period, fiscal_quarter, iso_day, ratio
-from lodestrata.operators import governance, tables, temporal
+from lodestrata.operators import governance, scan, selection, tables, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,8 +85,8 @@ SELECT o.o_custkey, c_name, o_orderkey, sum(amount) OVER (PARTITION BY o.o_custk
 FROM o JOIN t USING (o_custkey) JOIN customer ON c_custkey = o.o_custkey""")
 def sales_pipeline(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").where(~F.col("o_orderstatus").like("F%")).withColumn("amount", _money("o_totalprice"))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = o.withColumn("running", F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("amount").over(Window.partitionBy("o_custkey")))
+    o = scan.scan(o.select("o_custkey", "o_orderkey", "o_orderdate", "amount"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], running=scan.total(F.col("amount")))
+    o = o.join(o.groupBy("o_custkey").agg(F.sum("amount").alias("total")), "o_custkey")
     # a rank over rows equals one plus the rows with a larger total: totals are few beside rows, so only they are ranked
     ranks = tables.rank_over(o.groupBy("total").agg(F.count("*").alias("n")), "total", "n", "pipeline_rank").drop("n")
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
@@ -159,13 +159,13 @@ def _facts(spark, sf_dir):
 
 @query(f"""{_V}, {_FACTS} SELECT l_orderkey, l_linenumber, day, v.o_orderkey AS version FROM f LEFT JOIN v ON v.o_custkey = f.o_custkey AND valid_from <= day AND (valid_to IS NULL OR day < valid_to)""")
 def as_of_strict(spark, sf_dir):
-    return temporal.as_of(_facts(spark, sf_dir), _versions(spark, sf_dir), "o_custkey", "day", "o_orderkey", out="version").drop("o_custkey")
+    return temporal.as_of_merge(_facts(spark, sf_dir), _versions(spark, sf_dir), "o_custkey", "day", "o_orderkey", out="version").drop("o_custkey")
 
 
 @query(f"""{_V}, {_FACTS}, last AS (SELECT o_custkey, max_by(o_orderkey, valid_from) AS k FROM v GROUP BY o_custkey)
 SELECT l_orderkey, l_linenumber, day, coalesce(v.o_orderkey, last.k) AS version FROM f LEFT JOIN v ON v.o_custkey = f.o_custkey AND valid_from <= day AND (valid_to IS NULL OR day < valid_to) LEFT JOIN last ON last.o_custkey = f.o_custkey""")
 def as_of_forgiving(spark, sf_dir):
-    return temporal.as_of(_facts(spark, sf_dir), _versions(spark, sf_dir), "o_custkey", "day", "o_orderkey", forgiving=True, out="version").drop("o_custkey")
+    return temporal.as_of_merge(_facts(spark, sf_dir), _versions(spark, sf_dir), "o_custkey", "day", "o_orderkey", forgiving=True, out="version").drop("o_custkey")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts::DATE AS a, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts::DATE + (event_id % 3)::INTEGER END AS b FROM events)
@@ -179,7 +179,7 @@ def span_overlap(spark, sf_dir):
 @query("""WITH l AS (SELECT e.event_id, e.user_id, a.event_id AS anchor_id, row_number() OVER (PARTITION BY e.event_id ORDER BY a.ts DESC, a.event_id DESC) AS n FROM events e JOIN events a ON e.user_id = a.user_id AND a.ts < e.ts AND e.ts <= a.ts + INTERVAL 1 HOUR AND a.event_type <> e.event_type)
 SELECT event_id, user_id, anchor_id FROM l WHERE n = 1""")
 def impossible_travel(spark, sf_dir):
-    return temporal.near_pairs(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600, "event_type")
+    return temporal.near_pairs(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600, "event_type").drop("minutes")
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
@@ -209,10 +209,50 @@ def duplicate_grain(spark, sf_dir):
 @query("""SELECT o_orderkey, o_totalprice FROM orders CROSS JOIN (SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS m FROM orders) WHERE o_totalprice > 1.9 * m""")
 def median_outlier(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    # the exact median by counting distinct values, so that no task holds all of them
-    counts = o.where("o_totalprice is not null").groupBy("o_totalprice").agg(F.count("*").alias("n"))
-    m = counts.agg(F.expr("percentile(o_totalprice, 0.5, n)").alias("m"))
-    return o.crossJoin(F.broadcast(m)).where("o_totalprice > 1.9 * m").drop("m")
+    return o.where(F.col("o_totalprice") > 1.9 * F.lit(selection.percentiles(o, "o_totalprice", [0.5])[0]).cast("double"))
+
+
+_FRACTIONS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+@query(f"""SELECT unnest({_FRACTIONS}) AS fraction, unnest(quantile_cont(l_extendedprice, {_FRACTIONS})) AS price FROM lineitem""")
+def price_percentiles(spark, sf_dir):
+    l = _read(spark, sf_dir, "lineitem")
+    found = selection.percentiles(l, "l_extendedprice", _FRACTIONS)
+    # a row for each fraction asked for
+    return spark.createDataFrame(list(zip(_FRACTIONS, found, strict=True)), "fraction double, price double")
+
+
+@query("""SELECT o_orderkey, sum(o_totalprice::DECIMAL(14,2)) OVER w::DOUBLE AS so_far, lag(o_custkey) OVER w AS customer_before, row_number() OVER w AS number, max(o_totalprice) OVER w AS most, rank() OVER (ORDER BY o_orderpriority DESC) AS priority_rank
+FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def order_ledger(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    o = scan.scan(o, [], [F.col("o_orderdate"), F.col("o_orderkey")], so_far=scan.total(_money("o_totalprice")), customer_before=scan.previous(F.col("o_custkey")), number=scan.position(), most=scan.largest(F.col("o_totalprice")))
+    # priorities are few: their counts are scanned, not the rows
+    ranks = tables.rank_over(o.groupBy("o_orderpriority").agg(F.count("*").alias("n")), "o_orderpriority", "n", "priority_rank").drop("n")
+    return o.join(ranks, "o_orderpriority").select("o_orderkey", F.col("so_far").cast("double").alias("so_far"), "customer_before", "number", "most", "priority_rank")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag, sum(l_quantity::DECIMAL(14,2)) OVER w::DOUBLE AS quantity_so_far, lag(l_suppkey) OVER w AS supplier_before, rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS ship_rank
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)""")
+def return_ledger(spark, sf_dir):
+    # three keys for all rows
+    l = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate", "l_partkey", "l_suppkey")
+    l = scan.scan(l, ["l_returnflag"], [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], q=scan.total(_money("l_quantity")), supplier_before=scan.previous(F.col("l_suppkey")))
+    days = l.groupBy("l_returnflag", "l_shipdate").agg(F.count("*").alias("n"))
+    days = scan.scan(days, ["l_returnflag"], [F.col("l_shipdate")], upto=scan.total(F.col("n"))).select(F.col("l_returnflag").alias("_f"), F.col("l_shipdate").alias("_d"), (F.col("upto") - F.col("n") + 1).alias("ship_rank"))
+    return l.join(days, (F.col("l_returnflag") == F.col("_f")) & (F.col("l_shipdate") == F.col("_d"))).select("l_orderkey", "l_linenumber", "l_returnflag", F.col("q").cast("double").alias("quantity_so_far"), "supplier_before", "ship_rank")
+
+
+@query("""WITH p AS (SELECT o_orderstatus AS status, o_orderdate::DATE AS valid_from, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+v AS (SELECT *, lead(valid_from) OVER (PARTITION BY status ORDER BY valid_from) AS next, least(valid_from + 20, coalesce(lead(valid_from) OVER (PARTITION BY status ORDER BY valid_from), valid_from + 20)) AS valid_to FROM p),
+f AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_shipdate::DATE AS day FROM lineitem)
+SELECT l_orderkey, l_linenumber, day, CASE WHEN day < valid_to THEN k END AS version FROM f ASOF LEFT JOIN v ON v.status = l_linestatus AND v.valid_from <= f.day""")
+def as_of_hot_keys(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").alias("valid_from")).agg(F.max("o_orderkey").alias("k"))
+    v = temporal.with_valid_to(o, "status", "valid_from", "next").withColumn("valid_to", F.least(F.date_add("valid_from", 20), "next"))
+    f = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("status"), F.col("l_shipdate").cast("date").alias("day"))
+    return temporal.as_of_merge(f, v, "status", "day", "k", out="version").drop("status")
 
 
 _RATES = [("click", 0.5), ("view", 0.25), ("signup", 2.0), ("purchase", 1.0)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import fiscal_period
-from lodestrata.operators import tables, temporal
+from lodestrata.operators import selection, tables, temporal
 from lodestrata.sources.registry import DATASETS
 
 # Dollars for a thousand tokens of input and of output, by model.
@@ -115,10 +115,8 @@ def _overlapping_span(t: Tables) -> DataFrame:
 @_rule("HR_SALARY_OUTLIER", "hr_compensation", "error", "flagged")
 def _salary_outlier(t: Tables) -> DataFrame:
     pay = t["hr_compensation"]
-    # salaries repeat, so the exact median is taken over counts of them
-    counts = pay.where("annual_salary_usd is not null").groupBy("annual_salary_usd").agg(F.count("*").alias("_n"))
-    median = counts.agg(F.expr("percentile(annual_salary_usd, 0.5, _n)").alias("_median"))
-    rows = pay.crossJoin(F.broadcast(median)).where(F.col("annual_salary_usd").cast("double") > SALARY_MULTIPLE * F.col("_median"))
+    median = selection.percentiles(pay, "annual_salary_usd", [0.5])[0]
+    rows = pay.withColumn("_median", F.lit(median).cast("double")).where(F.col("annual_salary_usd").cast("double") > SALARY_MULTIPLE * F.col("_median"))
     return _found(rows, "hr_compensation", "salary ", "@annual_salary_usd", " where the median is ", "@_median")
 
 
@@ -144,8 +142,9 @@ def _login_after_termination(t: Tables) -> DataFrame:
 @_rule("SEC_IMPOSSIBLE_TRAVEL", "sec_access_event", "error", "flagged")
 def _impossible_travel(t: Tables) -> DataFrame:
     events = t["sec_access_event"].withColumn("_region", region_of(F.col("source_country")))
-    pairs = temporal.near_pairs(events.where("employee_id is not null and _region is not null"), "employee_id", "event_ts", "event_id", TRAVEL_SECONDS, "_region", F.expr(_LOGIN))
-    return _found(pairs, "sec_access_event", "@employee_id", " was in another region at event ", "@anchor_id", " less than an hour before")
+    pairs = temporal.near_pairs(events.where("employee_id is not null and _region is not null"), "employee_id", "event_ts", "event_id", TRAVEL_SECONDS, "_region", F.expr(_LOGIN), ("source_country", "_region"))
+    place = lambda prefix: ("@" + prefix + "source_country", " (", "@" + prefix + "_region", ")")
+    return _found(pairs, "sec_access_event", "@employee_id", " in ", *place(""), ", ", "@minutes", " min after event ", "@anchor_id", " in ", *place("anchor_"))
 
 
 def exceptions(t: Tables, codes: list[str] | None = None, run: int | None = None) -> DataFrame:

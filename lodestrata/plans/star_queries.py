@@ -133,7 +133,7 @@ _RULE_SQL = {
     "SEC_MISSING_ACTOR": ("sec_access_event", "error", "flagged", "event_id", "action || ' on ' || system || ' by nobody'", "FROM sec_access_event WHERE employee_id IS NULL", "sec_access_event"),
     "SEC_LOGIN_AFTER_TERMINATION": ("sec_access_event", "error", "flagged", "s.event_id", "'login on ' || event_ts::DATE || ' after leaving on ' || termination_date", """FROM sec_access_event s JOIN dim_employee p ON p.employee_id = s.employee_id AND is_current WHERE action = 'LOGIN' AND result = 'SUCCESS' AND event_ts::DATE >= termination_date
         AND NOT EXISTS (SELECT 1 FROM dim_employee v WHERE v.employee_id = s.employee_id AND v.valid_from <= s.event_ts::DATE AND (v.valid_to IS NULL OR s.event_ts::DATE < v.valid_to))""", "sec_access_event", "dim_employee"),
-    "SEC_IMPOSSIBLE_TRAVEL": ("sec_access_event", "error", "flagged", "event_id", "employee_id || ' was in another region at event ' || anchor || ' less than an hour before'", f"""FROM (SELECT l.event_id, l.employee_id, e.event_id AS anchor FROM (SELECT *, {_REGION} AS region FROM sec_access_event) l JOIN (SELECT *, {_REGION} AS region FROM sec_access_event) e
+    "SEC_IMPOSSIBLE_TRAVEL": ("sec_access_event", "error", "flagged", "event_id", "employee_id || ' in ' || country || ' (' || region || '), ' || minutes || ' min after event ' || anchor || ' in ' || anchor_country || ' (' || anchor_region || ')'", f"""FROM (SELECT l.event_id, l.employee_id, l.source_country AS country, l.region, floor(epoch(l.event_ts - e.event_ts) / 60)::BIGINT AS minutes, e.event_id AS anchor, e.source_country AS anchor_country, e.region AS anchor_region FROM (SELECT *, {_REGION} AS region FROM sec_access_event) l JOIN (SELECT *, {_REGION} AS region FROM sec_access_event) e
         ON e.employee_id = l.employee_id AND e.event_ts < l.event_ts AND l.event_ts <= e.event_ts + INTERVAL 1 HOUR AND e.region <> l.region WHERE l.action = 'LOGIN' AND l.result = 'SUCCESS'
         QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY e.event_ts DESC, e.event_id DESC) = 1)""", "sec_access_event"),
     "FIN_ORPHAN_COST_CENTER": ("fin_actual", "error", "flagged", "actual_id", "'no department has cost centre ' || cost_center", "FROM (SELECT DISTINCT actual_id, cost_center FROM fin_actual) WHERE cost_center NOT IN (SELECT cost_center FROM dim_department WHERE cost_center IS NOT NULL)", "fin_actual", "dim_department"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import UNKNOWN_KEY, ratio
-from lodestrata.operators import tables, temporal
+from lodestrata.operators import scan, tables, temporal
 
 Tables = Mapping[str, DataFrame]
 
@@ -67,8 +67,10 @@ def sales_pipeline_by_rep(t: Tables) -> DataFrame:
     people = t["dim_employee"].select(F.col("employee_key").alias("owner_employee_key"), F.col("employee_id").alias("owner_employee_id"), F.col("full_name").alias("owner_name"), "region")
     o = t["fact_opportunity"].where(~F.col("stage").like("Closed%"))
     o = o.join(people, "owner_employee_key").join(t["dim_account"].select("account_key", "account_name"), "account_key").join(days, "created_date_key")
-    owner = Window.partitionBy("owner_employee_key")
-    o = o.withColumn("cumulative_pipeline_usd", F.sum("amount_usd").over(_so_far(owner.orderBy("created_date", "opportunity_id")))).withColumn("total_open_pipeline_usd", F.sum("amount_usd").over(owner))
+    # an owner may have very many; the scan writes the joined rows, so totals and ranks do not join again
+    o = scan.scan(o, ["owner_employee_key"], [F.col("created_date"), F.col("opportunity_id")], cumulative_pipeline_usd=scan.total(F.col("amount_usd")))
+    sums = o.groupBy(F.col("owner_employee_key").alias("_owner")).agg(F.sum("amount_usd").alias("total_open_pipeline_usd"))
+    o = o.join(sums, F.col("owner_employee_key").eqNullSafe(F.col("_owner")))
     # a row's rank is one more than the rows with larger totals; totals are far fewer than rows, and null ones come last
     totals = o.groupBy(F.col("total_open_pipeline_usd").alias("_total")).agg(F.count("*").alias("_n"))
     ranks = tables.rank_over(totals, "_total", "_n", "pipeline_rank").drop("_n")
