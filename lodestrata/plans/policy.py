@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import governance
+from lodestrata.plans.lazy import LazyTables
 from lodestrata.plans.views import VIEWS
 
 Tables = Mapping[str, DataFrame]
@@ -62,21 +63,24 @@ def employee_department(t: Tables) -> DataFrame:
     return t["dim_employee"].select("employee_key", F.col("department_name").alias("_of")).join(names, F.col("_of") == F.col("_name"), "left").select("employee_key", "department_key")
 
 
-def secure(t: Tables, who: governance.Principal) -> dict[str, DataFrame]:
+def secure(t: Tables, who: governance.Principal) -> Tables:
     """All tables as the principal sees them: rows of their departments only, and masked columns as typed nulls.
 
     Keys of departments are joined by semi-join, so names are looked up when the plan runs and the filter stays in Spark.
     """
-    scope, out = who.departments(), {}
+    scope = who.departments()
     if scope is not governance.ALL:
         keys = t["dim_department"].where(F.col("department_name").isin(*sorted(scope)) if scope else F.lit(False)).select("department_key")
         people = employee_department(t).join(keys, "department_key", "left_semi").select("employee_key")
         allowed = {"department_key": keys, "employee_key": people}
-    for name, df in t.items():
+
+    def seen(name: str) -> DataFrame:
+        df = t[name]
         if scope is not governance.ALL and name in ROW_FILTERS:
             df = df.join(allowed[ROW_FILTERS[name]], ROW_FILTERS[name], "left_semi").select(*df.columns)
-        out[name] = governance.secure(df, who, None, MASKS.get(name, {}))
-    return out
+        return governance.secure(df, who, None, MASKS.get(name, {}))
+
+    return LazyTables({name: lambda _, name=name: seen(name) for name in t})
 
 
 def read(t: Tables, who: governance.Principal, name: str) -> DataFrame:

@@ -5,12 +5,14 @@ The stand-ins are SQL that Spark and DuckDB both read, so a query and its oracle
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.operators.work import work_table
 from lodestrata.plans import policy, rules, views, warehouse
+from lodestrata.plans.lazy import LazyTables
 from lodestrata.sources.registry import DATASETS
 
 _PERIOD = "concat('FY', year({0}), '-M', lpad(CAST(month({0}) AS STRING), 2, '0'))"
@@ -78,15 +80,13 @@ def landed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
-def star(spark: SparkSession, sf_dir: str, facts: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Stand-ins, dimensions, and the named facts; lazy, with keys that are the same wherever a plan repeats them."""
-    t = landed(spark, sf_dir)
-    t["dim_date"] = warehouse.calendar(spark)
+def star(spark: SparkSession, sf_dir: str, facts: tuple[str, ...] = ()) -> Mapping[str, DataFrame]:
+    """Stand-ins, dimensions, and the named facts; a dimension is written when it is first asked for, so no plan makes it twice."""
+    make = {name: lambda t, df=df: df for name, df in landed(spark, sf_dir).items()}
+    make["dim_date"] = lambda t: warehouse.calendar(spark)
     for name in warehouse.DIMENSIONS:
-        t[name] = warehouse.dimension(name, t)
-    for name in facts:
-        t[name] = warehouse.FACTS[name](t)
-    return t
+        make[name] = lambda t, name=name: work_table(warehouse.dimension(name, t), name)
+    return LazyTables({**make, **{name: warehouse.FACTS[name] for name in facts}})
 
 
 def _with(select: str, *names: str) -> str:
