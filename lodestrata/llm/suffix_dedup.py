@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import load, materialize, mix64, work_tables
+from lodestrata.llm.common import load, materialize, mix64, work_path, work_tables
 from lodestrata.llm.suffix_sort import InducedSorter
 
 WINDOW = 50
@@ -164,7 +164,8 @@ def _blocks(documents: DataFrame, id_column: str) -> tuple[DataFrame, str]:
     rows = documents.select("_row", F.col(id_column).cast("string").alias("_id"), "text")
     blocks = rows.mapInPandas(run, "block long, rows binary, ids binary, ends binary, data binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name, format="parquet")
+    # in the shared folder: the session's own warehouse may be another folder on every machine
+    blocks.write.options(compression="zstd", path=work_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name, format="parquet")
     return spark.table(name), name
 
 
@@ -368,12 +369,12 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", with_text: b
     characters that a removal cut.
     """
     spark = documents.sparkSession
-    blocks, name = _blocks(documents, id_column)
-    try:
-        with work_tables(spark) as keep:
+    with work_tables(spark) as keep:
+        blocks, name = _blocks(documents, id_column)
+        try:
             done = keep(_removed(blocks, with_text)).withColumn("_id", F.col("_id").cast("long"))
-    finally:
-        spark.sql(f"DROP TABLE {name}")
+        finally:
+            spark.sql(f"DROP TABLE {name}")
     return done if with_text else done.drop("kept_text")
 
 

@@ -43,6 +43,15 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_blocks_lie_in_the_shared_folder(spark, docs):
+    with common.work_tables(spark):
+        blocks, name = suffix_dedup._blocks(docs.withColumn("_row", suffix_dedup.F.monotonically_increasing_id()), "doc_id")
+        shared = common.shared_dir(spark).removeprefix("file://")
+        assert blocks.inputFiles() and all(f.removeprefix("file://").startswith(shared) for f in blocks.inputFiles())
+        spark.sql(f"DROP TABLE {name}")
+    assert not os.path.exists(os.path.dirname(blocks.inputFiles()[0].removeprefix("file://")))
+
+
 def test_pieces_match_the_library(spark, docs, none):
     import sentencepiece
 
