@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import differs
 from lodestrata.operators import scan
+from lodestrata.operators.work import work_table
 
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -22,28 +23,40 @@ def surplus(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def distinct_where(df: DataFrame, by: list[str], member: list[str], **conditions: Column) -> DataFrame:
+    """Per group, how many distinct members have a row for which each condition holds; members with a null do not count.
+
+    Each member's rows become one with a flag for each condition, in the tasks that read them and then once more where they
+    meet, so that several distinct counts cost one exchange of members and no copies of rows for each of them.
+    """
+    flags = {name: F.max(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()}
+    whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in member])
+    return df.groupBy(*by, *member).agg(*flags.values()).groupBy(*by).agg(*[F.count_if(F.col(name) & whole).alias(name) for name in conditions])
+
+
 def orphans(df: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows whose non-null key has no parent."""
     return df.where(F.col(child_key).isNotNull()).join(parents.select(F.col(parent_key).alias("_p")).distinct(), F.col(child_key) == F.col("_p"), "left_anti")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1, in_key_order: bool = False) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], key_column: str, delete_missing: bool = False, never: int = -1, in_key_order: bool = False, top: int | None = None) -> DataFrame:
     """The next snapshot of a keyed table.
 
     Natural keys that exist keep their surrogate and take the source's values; new ones get surrogates above the largest; rows
     that the source lacks stay, or go if `delete_missing`, save the row at `never`.  `_action` tells insert, update, keep.
-    New surrogates follow the order of buckets by the keys' hash, which many tasks number, or with `in_key_order` that of the keys.
+    New surrogates follow the order of buckets by the keys' hash, or with `in_key_order` that of the keys; many tasks number them.
+    `top`: the largest surrogate, where `target` is a part of the table.
     """
     values = [c for c in source.columns if c not in keys]
     t = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(key_column).alias("_key"), *[F.col(v).alias(f"_t_{v}") for v in values])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
     flagged = source.withColumn("_in", F.lit(True))
     joined = flagged.join(t, on, "full")
-    top = target.agg(F.coalesce(F.max(F.when(F.col(key_column) > 0, F.col(key_column))), F.lit(0)).alias("_top"))
-    fresh = joined.where("_key is null")
+    largest = target.agg(F.coalesce(F.max(F.when(F.col(key_column) > 0, F.col(key_column))), F.lit(0)).alias("_top")) if top is None else target.sparkSession.range(1).select(F.lit(top).alias("_top"))
     # numbers are given to new keys only
-    number = F.row_number().over(Window.orderBy(*keys)) if in_key_order else F.col("_number")
-    fresh = (fresh if in_key_order else numbered(fresh, keys)).crossJoin(F.broadcast(top)).withColumn("_key", F.col("_top") + number).drop("_top", "_number").withColumn("_action", F.lit("insert"))
+    fresh = joined.where("_key is null")
+    fresh = scan.scan(fresh, [], [F.asc_nulls_first(k) for k in keys], _number=scan.position()) if in_key_order else numbered(fresh, keys)
+    fresh = fresh.crossJoin(F.broadcast(largest)).withColumn("_key", F.col("_top") + F.col("_number")).drop("_top", "_number").withColumn("_action", F.lit("insert"))
     known = joined.where("_key is not null")
     changed = differs({v: F.col(v) for v in values}, {v: F.col(f"_t_{v}") for v in values})
     known = known.withColumn("_action", F.when(F.col("_in").isNull(), "keep").when(changed, "update").otherwise("keep"))
@@ -107,18 +120,22 @@ class Parity:
         return self.same_columns and self.rows[0] == self.rows[1] and not self.differing
 
 
+def _fraction(kind: str) -> bool:
+    return kind in ("double", "float") or kind.startswith("decimal")
+
+
 def paired(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """(left, right): pairs of rows that differ, as structs; numbers with a fraction may be `tolerance` apart, null is like null only.
 
-    Rows that agree in all other columns are paired in the order of those numbers, nulls first, so no task sorts a whole table.
+    Rows that agree in all other columns are paired in the order of those numbers, nulls first.  Places in that order are given by
+    a scan over ranges, so a table of such numbers alone is many tasks too.
     """
-    fraction = lambda kind: kind in ("double", "float") or kind.startswith("decimal")
-    numbers = [c for c, kind in left.dtypes if fraction(kind)]
+    numbers = [c for c, kind in left.dtypes if _fraction(kind)]
     exact = [c for c in left.columns if c not in numbers]
 
     def placed(df: DataFrame, side: str) -> DataFrame:
-        w = Window.partitionBy(*[F.col(c) for c in exact]).orderBy(*[F.asc_nulls_first(c) for c in numbers] or [F.lit(0)])
-        return df.select(F.struct(*left.columns).alias(side), F.row_number().over(w).alias(f"_{side}"))
+        rows = scan.scan(df, exact, [F.asc_nulls_first(c) for c in numbers] or [F.lit(0)], _place=scan.position())
+        return rows.select(F.struct(*left.columns).alias(side), F.col("_place").alias(f"_{side}"))
 
     a, b = placed(left, "left"), placed(right, "right")
     on = [F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}")) for c in exact] + [F.col("_left") == F.col("_right")]
@@ -128,13 +145,44 @@ def paired(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFr
     return both.where(~alike).select("left", "right")
 
 
+def unlike_ranges(left: DataFrame, right: DataFrame, ranges: int = 1024, within: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables that lie in ranges where the tables differ at all; of equal tables none.
+
+    Rows are dealt to ranges by the hash of the columns that must be equal, and a range is summed up by its count and two sums of
+    row hashes, which the order of rows does not change.  Ranges that differ are cut again, and the finer ones that differ
+    remain.  Rows stay where they are: only sums are exchanged, at most one for each range and task.
+    """
+    exact = [c for c, kind in left.dtypes if not _fraction(kind)]
+    coarse = F.pmod(F.xxhash64(*exact, F.lit(1)), F.lit(ranges)).cast("int")
+    fine = F.pmod(F.xxhash64(*exact, F.lit(2)), F.lit(within)).cast("int")
+    # a null leaves a hash as it is, so where nulls are is hashed too
+    row = lambda seed: F.xxhash64(F.array(*[F.col(c).isNull() for c in left.columns]), *left.columns, F.lit(seed)).cast("decimal(38,0)")
+
+    def differing(a: DataFrame, b: DataFrame, cuts: dict[str, Column]) -> DataFrame:
+        sums = lambda df, side: df.groupBy(*[c.alias(n) for n, c in cuts.items()]).agg(F.struct(F.count("*"), F.sum(row(3)), F.sum(row(4))).alias(side))
+        return sums(a, "a").join(sums(b, "b"), list(cuts), "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*cuts)
+
+    found = [r["_coarse"] for r in differing(left, right, {"_coarse": coarse}).collect()]  # `ranges` numbers at most
+    a, b = (df.where(coarse.isin(found) if found else F.lit(False)) for df in (left, right))
+    if not found:
+        return a, b
+    finer = work_table(differing(a, b, {"_coarse": coarse, "_fine": fine}), "unlike")
+    keep = lambda df: df.withColumns({"_coarse": coarse, "_fine": fine}).join(finer, ["_coarse", "_fine"], "left_semi").select(*left.columns)
+    return keep(a), keep(b)
+
+
+def unlike(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """`paired` over the ranges where the tables differ."""
+    return paired(*unlike_ranges(left, right), tolerance)
+
+
 def parity(left: DataFrame, right: DataFrame, tolerance: float = 0.01, most: int = 8) -> Parity:
     """Compares two tables: columns with their order, row counts, and rows; at most `most` differing pairs are reported, the
     first in the order of the left row's columns, nulls first."""
     counts = (left.count(), right.count())
     if left.columns != right.columns:
         return Parity(False, counts)
-    found = paired(left, right, tolerance)
+    found = unlike(left, right, tolerance)
     order = [F.asc_nulls_first(F.coalesce(f"left.{c}", f"right.{c}")) for c in left.columns]
     shown = found.orderBy(*order).limit(most).collect()
     as_dict = lambda row: row.asDict() if row is not None else None

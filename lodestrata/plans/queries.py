@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import date_key, fiscal_period, fiscal_quarter, iso_day, ratio
-from lodestrata.operators import governance, scan, selection, tables, temporal
+from lodestrata.operators import governance, merge, scan, selection, tables, temporal
+from lodestrata.operators.work import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,10 +73,9 @@ def attrition(spark, sf_dir):
     v = _versions(spark, sf_dir)
     bounds = F.broadcast(v.agg(F.max("valid_from").alias("d1")).withColumn("d0", F.add_months("d1", -12)))
     v = v.crossJoin(bounds)
-    people = lambda cond: F.countDistinct(F.when(cond, F.col("o_custkey")))
     on = lambda d: temporal.covers(F.col("valid_from"), F.col("valid_to"), F.col(d))
     # one pass instead of three aggregates and a full join: departments absent at both dates drop out
-    a = v.groupBy("dept").agg(people(on("d0")).alias("s"), people(on("d1")).alias("e"), people(F.col("valid_to").between(F.col("d0"), F.col("d1"))).alias("leavers")).where("s + e > 0")
+    a = tables.distinct_where(v, ["dept"], ["o_custkey"], s=on("d0"), e=on("d1"), leavers=F.col("valid_to").between(F.col("d0"), F.col("d1"))).where("s + e > 0")
     a = a.withColumn("avg_n", (F.col("s") + F.col("e")) / 2.0).withColumn("rate", ratio(100.0 * F.col("leavers"), F.col("avg_n")))
     return a.select("dept", "leavers", "avg_n", F.round("rate", 1).alias("rate_pct"), F.rank().over(Window.orderBy(F.desc_nulls_last("rate"))).cast("long").alias("rate_rank"))
 
@@ -275,7 +276,8 @@ _TARGET = "t AS (SELECT c_custkey AS nat_key, row_number() OVER (ORDER BY c_cust
 
 def _target(spark, sf_dir):
     c = _read(spark, sf_dir, "customer")
-    t = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("nat_key"), F.row_number().over(Window.orderBy("c_custkey")).alias("key"), F.when(F.col("c_custkey") % 7 == 0, "OLD").otherwise(F.col("c_mktsegment")).alias("segment"))
+    t = scan.scan(c.where("c_custkey % 3 <> 0"), [], [F.col("c_custkey")], key=scan.position())
+    t = t.select(F.col("c_custkey").alias("nat_key"), "key", F.when(F.col("c_custkey") % 7 == 0, "OLD").otherwise(F.col("c_mktsegment")).alias("segment"))
     return t, c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("nat_key"), F.col("c_mktsegment").alias("segment"))
 
 
@@ -292,6 +294,19 @@ def merge_reconcile(spark, sf_dir):
     return tables.upsert(t, s, ["nat_key"], "key", delete_missing=True, in_key_order=True).select(F.col("key").cast("long").alias("key"), "nat_key", "segment")
 
 
+@query(f"""WITH {_TARGET.replace("c_custkey % 5 <> 0", "c_custkey % 100 = 1")}
+SELECT CASE WHEN t.key IS NULL THEN -1 ELSE t.key END::BIGINT AS key, nat_key, coalesce(s.segment, t.segment) AS segment, (SELECT count(*) FROM s WHERE nat_key NOT IN (SELECT nat_key FROM t)) AS inserted,
+  (SELECT count(*) FROM s JOIN t USING (nat_key) WHERE s.segment <> t.segment) AS updated FROM t FULL JOIN s USING (nat_key)""")
+def merge_incremental(spark, sf_dir):
+    t, _ = _target(spark, sf_dir)
+    snapshot = merge.create(t, f"{shared_folder(spark)}/lodestrata/merge-{uuid.uuid4().hex}", ["nat_key"], "key", 32)
+    # one customer in a hundred, two thirds of them known
+    batch = _read(spark, sf_dir, "customer").where("c_custkey % 100 = 1").select(F.col("c_custkey").alias("nat_key"), F.col("c_mktsegment").alias("segment"))
+    done = merge.merge(snapshot, batch)
+    top = max(x.top for x in snapshot.held.values())
+    return done.snapshot.rows(spark).select(F.when(F.col("key") > top, -1).otherwise(F.col("key")).cast("long").alias("key"), "nat_key", "segment", F.lit(done.inserted).cast("long").alias("inserted"), F.lit(done.updated).cast("long").alias("updated"))
+
+
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 <> 0""")
 def insert_only_merge(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -320,6 +335,20 @@ def parity_compare(spark, sf_dir):
     return tables.compare(pick(l), pick(l.where("l_linenumber > 1")))
 
 
+_NEAR = "CASE WHEN l_orderkey % 997 = 0 THEN l_extendedprice + 0.02 WHEN l_orderkey % 7 = 0 THEN l_extendedprice + 0.004 ELSE l_extendedprice END"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, l_quantity, {_NEAR} AS l_extendedprice FROM lineitem WHERE l_orderkey % 1009 <> 5),
+x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_extendedprice) AS n FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_extendedprice) AS n FROM b)
+SELECT coalesce(x.l_orderkey, y.l_orderkey) AS l_orderkey, coalesce(x.l_linenumber, y.l_linenumber) AS l_linenumber, x.l_extendedprice AS left_price, y.l_extendedprice AS right_price FROM x FULL JOIN y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber AND x.n = y.n
+WHERE x.n IS NULL OR y.n IS NULL OR abs(x.l_quantity - y.l_quantity) > 0.01 OR abs(x.l_extendedprice - y.l_extendedprice) > 0.01""")
+def parity_tolerance(spark, sf_dir):
+    l = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    found = tables.unlike(l, l.where("l_orderkey % 1009 <> 5").withColumn("l_extendedprice", F.expr(_NEAR)))
+    either = lambda c: F.coalesce(f"left.{c}", f"right.{c}").alias(c)
+    return found.select(either("l_orderkey"), either("l_linenumber"), F.col("left.l_extendedprice").alias("left_price"), F.col("right.l_extendedprice").alias("right_price"))
+
+
 @query("""WITH s AS (SELECT DISTINCT event_type AS rule, user_id AS k FROM events WHERE value > 90), d AS (SELECT DISTINCT event_type AS rule, user_id AS k FROM events WHERE value > 85 AND event_id % 2 = 0),
 j AS (SELECT coalesce(s.rule, d.rule) AS rule, s.k AS sk, d.k AS dk FROM s FULL JOIN d ON s.rule = d.rule AND s.k = d.k)
 SELECT rule, count(sk) AS seeded, count(dk) AS detected, count(CASE WHEN sk IS NOT NULL AND dk IS NOT NULL THEN 1 END) AS matched, count(CASE WHEN dk IS NULL THEN 1 END) AS missed, count(CASE WHEN sk IS NULL THEN 1 END) AS false_positives,

@@ -49,10 +49,9 @@ def attrition_by_department(t: Tables) -> DataFrame:
     people = _known(t["dim_employee"], "employee_key")
     bounds = people.agg(F.max("valid_from").alias("_d1")).withColumn("_d0", F.add_months("_d1", -12))
     on = lambda day: temporal.covers(F.col("valid_from"), F.col("valid_to"), F.col(day))
-    distinct = lambda cond: F.countDistinct(F.when(cond, F.col("employee_id")))
     left = F.col("is_current") & F.col("termination_date").between(F.col("_d0"), F.col("_d1"))
     # one pass; a department without people at both ends has no row
-    n = people.crossJoin(F.broadcast(bounds)).groupBy("department_code").agg(distinct(on("_d0")).alias("_s"), distinct(on("_d1")).alias("_e"), distinct(left).alias("leavers")).where("_s + _e > 0")
+    n = tables.distinct_where(people.crossJoin(F.broadcast(bounds)), ["department_code"], ["employee_id"], _s=on("_d0"), _e=on("_d1"), leavers=left).where("_s + _e > 0")
     n = n.withColumn("_avg", ((F.col("_s") + F.col("_e")) / F.lit(2).cast("decimal(1,0)"))).withColumn("_rate", 100 * F.col("leavers") / F.col("_avg"))
     names = _known(t["dim_department"], "department_key").select("department_code", "department_name")
     return n.join(names, "department_code").select(
