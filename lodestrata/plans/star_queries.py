@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators.work import work_table
-from lodestrata.plans import policy, rules, views, warehouse
+from lodestrata.plans import policy, rules, sql_api, views, warehouse
 from lodestrata.plans.lazy import LazyTables
 from lodestrata.sources.registry import DATASETS
 
@@ -317,3 +317,52 @@ for _name, (_dataset, _columns, _masks, _where) in _GOVERNED.items():
     _add(f"manager_{_name}", _governed_query(_name, "grp_dept_manager_engineering"), _with(f"SELECT {_columns}{_hidden} FROM {_from} WHERE {_where}", *_needs))
     _shown = "".join(f", {c}::{kind} AS {c}" for c, kind in _masks.items())
     _add(f"analyst_{_name}", _governed_query(_name, "grp_hr_analyst", "grp_total_rewards", "grp_security"), _with(f"SELECT {_columns}{_shown} FROM {_from}", *_needs))
+
+
+def _sql_session(spark: SparkSession) -> SparkSession:
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
+
+
+def _sql_query(text: str, facts: tuple[str, ...], *groups: str) -> Callable[[SparkSession, str], DataFrame]:
+    """SQL text in a session of a principal's own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = _sql_session(spark)
+        who = policy.governance.Principal(scopes={**policy.SCOPES, "grp_dept_manager_engineering": {"1-URGENT"}}, capabilities=policy.CAPABILITIES, groups=groups)
+        sql_api.open_for(own, star(own, sf_dir, facts), who)
+        return own.sql(text)
+
+    return run
+
+
+def _sql_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _sql_session(spark)
+    t = star(own, sf_dir)
+    for name in ("dim_employee", "ai_usage_event"):
+        t[name].createOrReplaceTempView(name)
+    sql_api.lookups(own)
+    return own.sql("""SELECT event_id, s.valid_from AS strict_from, b.valid_from AS best_from FROM
+        (SELECT event_id, employee_key_as_of(employee_id, CAST(event_ts AS DATE)) AS strict_key, employee_key_best(employee_id, CAST(event_ts AS DATE)) AS best_key FROM ai_usage_event)
+        LEFT JOIN dim_employee s ON s.employee_key = strict_key LEFT JOIN dim_employee b ON b.employee_key = best_key""")
+
+
+_add("sql_lookups", _sql_lookups, _with(f"""SELECT event_id, (SELECT v.valid_from FROM dim_employee v WHERE v.employee_id = s.employee_id AND v.valid_from <= event_ts::DATE AND (v.valid_to IS NULL OR event_ts::DATE < v.valid_to)) AS strict_from,
+    {_version("employee_id", "event_ts::DATE")} AS best_from FROM ai_usage_event s""", "ai_usage_event", "dim_employee"))
+_COSTS = "model, count(*) AS n, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, count(employee_id) AS people, count(flagged_by_policy) AS flags"
+_add("sql_manager_ai_cost", _sql_query(f"SELECT {_COSTS} FROM fact_ai_usage GROUP BY model", ("fact_ai_usage",), "grp_dept_manager_engineering"),
+    _with(f"SELECT model, count(*) AS n, sum(cost_usd)::DOUBLE AS cost_usd, 0::BIGINT AS people, 0::BIGINT AS flags FROM ai_usage_event WHERE {_BY_CODE} GROUP BY model", "ai_usage_event", "dim_department"))
+_add("sql_security_ai_cost", _sql_query(f"SELECT {_COSTS} FROM fact_ai_usage GROUP BY model", ("fact_ai_usage",), "grp_security"), _with(f"SELECT {_COSTS} FROM ai_usage_event GROUP BY model", "ai_usage_event"))
+
+
+def _sql_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters and masks called by name, over all rows of a fact."""
+    own = _sql_session(spark)
+    t = star(own, sf_dir, ("fact_access_event",))
+    t["fact_access_event"].createOrReplaceTempView("events_of_all")
+    sql_api.policies(own, t, policy.governance.Principal(scopes={"m": {"1-URGENT"}, "n": {"2-HIGH"}, "x": policy.governance.ALL}, capabilities={"m": {"view_pii_network"}, "x": {"view_pii_identity"}}, groups=("m", "n")))
+    return own.sql("SELECT event_id, rf_department_key(department_key) AS own, mask_source_ip(source_ip) AS source_ip, mask_employee_identity(employee_id) AS who FROM events_of_all")
+
+
+_add("sql_policies", _sql_policies, _with("SELECT event_id, coalesce(department_code IN (SELECT department_code FROM dim_department WHERE department_name IN ('1-URGENT', '2-HIGH')), false) AS own, source_ip::VARCHAR AS source_ip, NULL::VARCHAR AS who FROM sec_access_event", "sec_access_event", "dim_department"))
