@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import date_key, fiscal_period, fiscal_quarter, iso_day, ratio
-from lodestrata.operators import governance, merge, scan, selection, tables, temporal
+from lodestrata.operators import governance, layout, merge, scan, selection, tables, temporal
 from lodestrata.operators.work import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,16 @@ def star_join(spark, sf_dir):
     return _read(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.sum(_money("o_totalprice")).cast("double").alias("total"))
 
 
+@query("""SELECT o_orderkey, o_custkey, count(*) AS items, sum(l_quantity::DECIMAL(14,2))::DOUBLE AS quantity, max(l_shipdate) AS last_ship FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def clustered_join(spark, sf_dir):
+    # laid out once, joined and grouped by the same key without an exchange
+    folder, n = f"{shared_folder(spark)}/lodestrata/clustered-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = layout.write(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), f"{folder}/orders", "o_orderkey", n)
+    l = layout.write(_read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_shipdate"), f"{folder}/lineitem", "o_orderkey", n)
+    joined = o.hint("merge").join(l, "o_orderkey").groupBy("o_orderkey", "o_custkey")
+    return joined.agg(F.count("*").alias("items"), F.sum(_money("l_quantity")).cast("double").alias("quantity"), F.max("l_shipdate").alias("last_ship"))
+
+
 _FACTS = "f AS (SELECT l_orderkey, l_linenumber, o_custkey, (l_shipdate + INTERVAL 400 DAY - INTERVAL 600 DAY * (l_linenumber % 2))::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 

@@ -189,6 +189,13 @@ ORDER = {
 }
 
 
+#: Columns of each fact that single rows are looked up by.
+IDS = {
+    "fact_subscription": ("subscription_id",), "fact_invoice": ("invoice_id", "subscription_id"), "fact_opportunity": ("opportunity_id",),
+    "fact_ai_usage": ("event_id",), "fact_access_event": ("event_id",), "fact_gl_actual": ("actual_id",), "dq_exception": ("target_key",),
+}
+
+
 class BuildError(Exception):
     """The new version breaks an invariant; the previous one stays current."""
 
@@ -218,7 +225,7 @@ def build(spark: SparkSession, store: Store, lenient: bool = False) -> int:
     try:
         t: dict[str, DataFrame] = conform(store.read(extract.AREA, landings[-1]), lenient)
         before = store.read(AREA)
-        keep = lambda name, df: t.__setitem__(name, store.write(AREA, version, name, df, ORDER.get(name)))
+        keep = lambda name, df: t.__setitem__(name, store.write(AREA, version, name, df, ORDER.get(name), IDS.get(name, ())))
         keep("dim_date", calendar(spark))
         for name in DIMENSIONS:
             keep(name, dimension(name, t, before.get(name)))

@@ -44,16 +44,16 @@ class Store:
         fs.mkdirs(p)
         return version
 
-    def write(self, area: str, version: int, table: str, df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    def write(self, area: str, version: int, table: str, df: DataFrame, order: list[str] | None = None, ids: tuple[str, ...] = ()) -> DataFrame:
         """Write a table of a version and read it back, which ends its lineage.
 
         With `order` files hold ranges of the first of these columns, sorted by all of them, so that a filter on it skips files
-        and row groups by their statistics, as an index would.
+        and row groups by their statistics, as an index would; `ids` get Bloom filters, for lookups of values that are in no order.
         """
         path = f"{self._path(area, version)}/{table}"
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in ids}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self, area: str, version: int) -> None:
