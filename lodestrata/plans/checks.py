@@ -6,11 +6,11 @@ import re
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestrata.operators import tables, temporal
+from lodestrata.operators import constraints, tables, temporal
 
 Tables = Mapping[str, DataFrame]
 
@@ -87,3 +87,42 @@ def broken(t: Tables) -> dict[str, int]:
     """Invariants that do not hold, with the rows that break them, found in one job."""
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in violations(t).items()]
     return {r.name: r.n for r in reduce(DataFrame.unionAll, counts).where("n > 0").collect()} if counts else {}
+
+
+class Batches:
+    """The invariants of keys, parents and versions, checked on each batch alone; what was accepted is kept by bucket under `path`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _history(self, table: str, key: list[str], columns: tuple[str, ...] = ()) -> constraints.History:
+        return constraints.History(self.spark, f"{self.path}/{table}/{'-'.join(key)}", key, columns)
+
+    def _spans(self) -> constraints.History:
+        return self._history("dim_employee", ["employee_id"], ("valid_from", "valid_to"))
+
+    def violations(self, batch: Tables, number: int) -> dict[str, DataFrame]:
+        """As `violations`, with rows that only the batch can be blamed for.  Parents are looked for in the batch's own tables too."""
+        out = {}
+        for name, df in batch.items():
+            for key in UNIQUE.get(name, []):
+                out[f"{name}: {', '.join(key)} is unique"] = constraints.repeated(df, self._history(name, key), number)
+            for column in df.columns if name.startswith("fact_") else []:
+                if not (parent := parent_of(column)):
+                    continue
+                missing = constraints.without_parent(df, column, self._history(parent[0], [parent[1]]), number)
+                if parent[0] in batch:
+                    missing = tables.orphans(missing, batch[parent[0]], column, parent[1])
+                out[f"{name}: {column} is in {parent[0]}"] = missing
+                if (name, column) not in OPTIONAL:
+                    out[f"{name}: {column} is not null"] = df.where(F.col(column).isNull()).select(column)
+        if "dim_employee" in batch:
+            out["dim_employee: versions do not overlap"] = constraints.overlapping(batch["dim_employee"], self._spans(), number, "employee_id", "valid_from", "valid_to")
+        return out
+
+    def accept(self, batch: Tables, number: int) -> None:
+        for name, df in batch.items():
+            for key in UNIQUE.get(name, []):
+                self._history(name, key).add(df, number)
+        if "dim_employee" in batch:
+            self._spans().add(batch["dim_employee"], number)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import date_key, fiscal_period, fiscal_quarter, iso_day, ratio
-from lodestrata.operators import governance, layout, merge, scan, selection, tables, temporal
-from lodestrata.operators.work import shared_folder
+from lodestrata.operators import constraints, governance, layout, merge, scan, selection, tables, temporal
+from lodestrata.operators.work import shared_folder, work_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,6 +188,21 @@ def span_overlap(spark, sf_dir):
     return temporal.overlapping(e, "user_id", "a", "b").select("event_id", "user_id")
 
 
+@query("""WITH s AS (SELECT event_id, user_id, ts::DATE AS a, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts::DATE + (event_id % 3)::INTEGER END AS b FROM events)
+SELECT user_id, a, b, count(*) AS n FROM (SELECT DISTINCT l.* FROM s l JOIN s e ON l.user_id = e.user_id AND e.a < l.a AND (e.b IS NULL OR l.a < e.b)) GROUP BY ALL""")
+def batch_overlaps(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").withColumn("a", F.col("ts").cast("date"))
+    e = e.select("event_id", "user_id", "a", F.when(F.col("event_id") % 11 != 0, F.date_add("a", (F.col("event_id") % 3).cast("int"))).alias("b"))
+    held = constraints.History(spark, f"{shared_folder(spark)}/lodestrata/spans-{uuid.uuid4().hex}", ["user_id"], ["a", "b"], 16)
+    found = []
+    # the events in three batches, each checked against those before it
+    for n in range(3):
+        batch = e.where(F.col("event_id") % 3 == n).select("user_id", "a", "b")
+        found.append(work_table(constraints.overlapping(batch, held, n, "user_id", "a", "b"), "overlaps"))
+        held.add(batch, n)
+    return reduce(DataFrame.unionByName, found).groupBy("user_id", "a", "b").agg(F.count("*").alias("n"))
+
+
 @query("""WITH l AS (SELECT e.event_id, e.user_id, a.event_id AS anchor_id, row_number() OVER (PARTITION BY e.event_id ORDER BY a.ts DESC, a.event_id DESC) AS n FROM events e JOIN events a ON e.user_id = a.user_id AND a.ts < e.ts AND e.ts <= a.ts + INTERVAL 1 HOUR AND a.event_type <> e.event_type)
 SELECT event_id, user_id, anchor_id FROM l WHERE n = 1""")
 def impossible_travel(spark, sf_dir):
