@@ -7,7 +7,10 @@ import hashlib
 import json
 import os
 import shutil
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from lodestrata.sources.store import Store, now
 
 AREA = "landing"
 AUDIT = "load_audit"
+#: Bytes of a file from which it is hashed as a stream, and datasets that are landed at a time.
+LARGE, AT_ONCE = 128 << 20, 8
 _AUDIT_SCHEMA = "version int, dataset string, path string, sha256 string, bytes long, rows_expected long, rows_loaded long, loaded_at timestamp_ntz"
 
 
@@ -73,18 +78,44 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
-def check(spark: SparkSession, folder: str, manifest: dict) -> None:
-    """Every listed file is there, unaltered and of a known dataset, and no dataset is missing.
+def digests(spark: SparkSession, folder: str, large: int = LARGE) -> dict[str, str]:
+    """SHA-256 of each CSV file by name, taken by tasks.
 
-    Files are hashed by tasks, each up to 2 GB, the most that Spark's binary reader takes.
+    Files above `large` bytes are read as streams, a few megabytes at a time, so they may be of any size; these must lie in a store that
+    Arrow can open (local, HDFS, S3, GCS).  Others are read by Spark's own binary reader in whatever store it knows.
     """
+
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in batches:
+            made = []
+            for path in frame["path"]:
+                store, at = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at, compression=None) as f:
+                    while chunk := f.read(4 << 20):
+                        digest.update(chunk)
+                made.append(digest.hexdigest())
+            yield frame.assign(sha256=made)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(uri(folder))
+    small = files.where(F.col("length") <= large).select("path", F.sha2("content", 256).alias("sha256"))
+    listed = [(r.path,) for r in files.where(F.col("length") > large).select("path").collect()]  # a row for each dataset's file
+    found = small.collect()
+    if listed:
+        found += spark.createDataFrame(listed, "path string").repartition(len(listed)).mapInPandas(streams, "path string, sha256 string").collect()
+    return {r.path.rsplit("/", 1)[-1]: r.sha256 for r in found}
+
+
+def check(spark: SparkSession, folder: str, manifest: dict) -> None:
+    """Every listed file is there, unaltered and of a known dataset, and no dataset is missing."""
     names = [f["dataset"] for f in manifest["files"]]
     if unknown := sorted(set(names) - set(DATASETS)):
         raise LoadError(f"unknown datasets: {', '.join(unknown)}")
     if missing := sorted(set(DATASETS) - set(names)):
         raise LoadError(f"datasets without a file: {', '.join(missing)}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(uri(folder))
-    found = {r.name: r.sha256 for r in files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256")).collect()}
+    found = digests(spark, folder)
     for f in manifest["files"]:
         name = f["path"].split("/")[-1]
         if name not in found:
@@ -107,13 +138,16 @@ def load(spark: SparkSession, folder: str, store: Store) -> int:
     manifest = read_manifest(spark, folder)
     check(spark, folder, manifest)
     version = store.begin(AREA)
-    audit, wrong = [], []
-    for f in manifest["files"]:
+
+    def land(f: dict) -> tuple:
         path = f"{uri(folder)}/{f['path']}"
         loaded = store.write(AREA, version, f["dataset"], read_csv(spark, f["dataset"], path)).count()
-        audit.append((version, f["dataset"], path, f["sha256"], f["bytes"], f["rows"], loaded, now()))
-        if loaded != f["rows"]:
-            wrong.append(f"{f['dataset']}: {loaded} rows, not {f['rows']}")
+        return (version, f["dataset"], path, f["sha256"], f["bytes"], f["rows"], loaded, now())
+
+    # most datasets are a few tasks: several at a time keep executors busy
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        audit = list(pool.map(land, manifest["files"]))
+    wrong = [f"{dataset}: {loaded} rows, not {expected}" for _, dataset, _, _, _, expected, loaded, _ in audit if loaded != expected]
     store.append(AUDIT, audit, _AUDIT_SCHEMA)
     if wrong:
         raise LoadError("; ".join(wrong))

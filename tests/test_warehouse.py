@@ -51,6 +51,24 @@ def test_every_seeded_defect_is_found_and_nothing_else(spark, folder, star):
         assert (r.missed, r.false_positives, r.recall, r.implemented) == (0, 0, 1.0, True), r
 
 
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    import hashlib
+
+    for name, size in (("small", 1000), ("large", (1 << 31) + 5)):
+        with open(tmp_path / f"{name}.csv", "wb") as f:
+            f.truncate(size)
+            f.seek(size - 3)
+            f.write(b"end")
+    whole = hashlib.sha256()
+    with open(tmp_path / "large.csv", "rb") as f:
+        while chunk := f.read(1 << 24):
+            whole.update(chunk)
+    want = {"small.csv": extract.sha256_of(str(tmp_path / "small.csv")), "large.csv": whole.hexdigest()}
+    assert extract.digests(spark, str(tmp_path)) == want
+    (tmp_path / "large.csv").unlink()
+    assert extract.digests(spark, str(tmp_path), large=10) == {"small.csv": want["small.csv"]}
+
+
 def test_clean_extract_has_no_exceptions_and_same_bytes_every_time(spark, tmp_path):
     a = generate.generate(spark, f"{tmp_path}/a", "small", seed=5, defects=False)
     assert a["injections"] == []
