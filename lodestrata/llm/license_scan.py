@@ -3,14 +3,16 @@
 Templates and text blocks are sets of words.  Blocks are runs of consecutive lines, half of each shared with the next, in
 lengths that fit the templates, so a notice is found however its lines are wrapped.  A block meets a template where it holds
 at least THRESHOLD of the template's words (containment).  Words are ordered by how often blocks hold them, rarest first; a
-block that meets the template holds one of the first |template| - need + 1 words of that order (prefix filter), has at least
-`need` words (length filter), and its first shared prefix word leaves enough template words after it (positional filter).  Only
-pairs that pass are counted out.  The text is read once; documents that as a whole hold too few of every template's words make
-no blocks.  The templates' words are a fixed, small set, so the join side that is broadcast has a proven bound.
+block that meets the template shares a word of both prefixes in that order with it (prefix filter), has at least `need` template
+words (length filter), and the first word that both prefixes hold leaves enough words after it in the template and in the block
+(positional filter).  Only pairs that pass are counted out.  The text is read once; documents without any word of the
+templates' prefixes make no blocks, and none is compared with all templates.  The templates' words are a fixed, small set, so the join
+side that is broadcast has a proven bound.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 
@@ -132,20 +134,33 @@ def _literals(words: list[str]) -> Column:
 
 
 def _line_words(lower: Column, words: Column) -> Column:
-    """Of each line, the distinct words that templates hold; null where the whole text holds too few words of every template."""
+    """Of each line, the distinct words that templates hold; null where the whole text holds too few of these, or none of the words
+    that a match must hold one of (see `probes`)."""
     vocabulary = _literals(sorted({w for _, text in TEMPLATES for w in template_words(text)}))
-    sets = F.array(*[F.struct(F.lit(_need(len(w))).alias("need"), _literals(w).alias("words")) for w in (template_words(text) for _, text in TEMPLATES)])
-    enough = lambda found: F.exists(sets, lambda t: F.size(F.array_intersect(found, t["words"])) >= t["need"])
     held = F.transform(F.split(lower, "\n", -1), lambda x: F.array_intersect(vocabulary, F.split(x, _GAP)))
+    least = min(least_need(n) for n in BLOCK_LINES if any(block_lines(text) == n for _, text in TEMPLATES))
     # let-binding: an array of one element, so that the words are looked up once
-    return F.get(F.transform(F.array(F.array_intersect(vocabulary, words)), lambda found: F.when((F.size(found) >= min(_need(len(template_words(x))) for _, x in TEMPLATES)) & enough(found), held)), 0)
+    return F.get(F.transform(F.array(F.array_intersect(vocabulary, words)), lambda found: F.when((F.size(found) >= least) & F.arrays_overlap(found, _literals(probes())), held)), 0)
+
+
+def probes() -> list[str]:
+    """The prefixes of all templates in an order that is known before texts are: words of fewest templates first, then longer words.
+
+    Prefixes of any one order do, and a text that meets a template holds a word of its prefix.
+    """
+    in_templates = collections.Counter(w for _, text in TEMPLATES for w in template_words(text))
+    out = set()
+    for _, text in TEMPLATES:
+        words = sorted(template_words(text), key=lambda w: (in_templates[w], -len(w), w))
+        out.update(words[: len(words) - _need(len(words)) + 1])
+    return sorted(out)
 
 
 def _blocks(held: Column) -> Column:
     """Blocks of all lengths: (lines, words), the words distinct; those with too few words for any template of that length go."""
 
     def of_length(lines: int) -> Column:
-        least = min(_need(len(template_words(text))) for _, text in TEMPLATES if block_lines(text) == lines)
+        least = least_need(lines)
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(held) - 1 - lines // 2), F.lit(lines // 2))
         words = F.transform(starts, lambda i: F.array_distinct(F.flatten(F.slice(held, i + 1, lines))))
         return F.transform(F.filter(words, lambda w: F.size(w) >= least), lambda w: F.struct(F.lit(lines).alias("lines"), w.alias("words")))
@@ -157,26 +172,55 @@ def _need(size: int) -> int:
     return math.ceil(THRESHOLD * size - 1e-9)
 
 
+def least_need(lines: int) -> int:
+    """The fewest words that any template of a block length needs."""
+    return min(_need(len(template_words(text))) for _, text in TEMPLATES if block_lines(text) == lines)
+
+
 def template_frame(spark: SparkSession) -> DataFrame:
     """(template, label, lines, word): bounded by TEMPLATES, about a thousand rows."""
     rows = [(i, label, block_lines(text), w) for i, (label, text) in enumerate(TEMPLATES) for w in template_words(text)]
     return spark.createDataFrame(rows, "template int, label string, lines int, word string")
 
 
-def matches(rows: DataFrame) -> DataFrame:
-    """(_row, label, score): every text block of `rows` (_row, lines, words) that meets a template, the best score per label."""
+def candidates(rows: DataFrame) -> DataFrame:
+    """(_row, label, words, ordered, size, need, held, position, place): a pair of a text block (_row, lines, words) and a template of
+    its length for each word that the prefixes of both hold.
+
+    The global order is rarest first, by the blocks that hold a word, ties by the word.  A block that meets a template shares `need`
+    words with it, so the first of these in the order is among the first size - need + 1 of the template and among the first
+    held - least + 1 of the block, where `held` is the block's number of template words and `least` the smallest need of its
+    length.  `position` and `place` are where the word stands in the template's and in the block's order.
+    """
     templates = template_frame(rows.sparkSession)
-    sizes = templates.groupBy("template").agg(F.count("*").alias("size")).withColumn("need", F.ceil(F.col("size") * THRESHOLD - 1e-9))
     counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    # the global order: rarest first, ties by the word; one row per template word, so both sides are bounded by TEMPLATES
     ranked = templates.join(F.broadcast(counted), "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    # a row for each word of TEMPLATES
+    order = [r.word for r in ranked.select("freq", "word").distinct().orderBy("freq", "word").collect()]
     whole = ranked.groupBy("template", "label", "lines").agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("ordered"))
-    whole = whole.join(F.broadcast(sizes), "template").select("template", "label", "lines", "size", "need", F.col("ordered.word").alias("ordered"))
-    prefix = whole.select("*", F.posexplode(F.slice("ordered", F.lit(1), (F.col("size") - F.col("need") + 1).cast("int"))).alias("position", "word"))
-    tokens = rows.select("_row", "lines", "words", F.explode("words").alias("word"))
-    pairs = tokens.join(F.broadcast(prefix), ["lines", "word"]).where(F.size("words") >= F.col("need"))  # length filter
-    pairs = pairs.where(F.col("size") - F.col("position") >= F.col("need"))  # positional filter: words left from this one on
-    # of the prefix words that the block holds, only the first one makes the pair
+    whole = whole.select("template", "label", "lines", F.size("ordered").alias("size"), F.ceil(F.size("ordered") * THRESHOLD - 1e-9).cast("int").alias("need"), F.col("ordered.word").alias("ordered"))
+    prefix = whole.select("*", F.posexplode(F.slice("ordered", F.lit(1), F.col("size") - F.col("need") + 1)).alias("position", "word"))
+    least = F.create_map(*[F.lit(x) for n in sorted({block_lines(t) for _, t in TEMPLATES}) for x in (n, least_need(n))])
+    # an intersection keeps the order of its first array
+    placed = rows.select("_row", "lines", F.array_intersect(_literals(order), "words").alias("words")).withColumn("held", F.size("words"))
+    tokens = placed.select("*", F.posexplode(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.col("held") - least[F.col("lines")] + 1))).alias("place", "word"))
+    return tokens.join(F.broadcast(prefix), ["lines", "word"])
+
+
+def long_enough(pairs: DataFrame) -> DataFrame:
+    """Length filter: the block holds as many template words as the template needs."""
+    return pairs.where(F.col("held") >= F.col("need"))
+
+
+def can_reach(pairs: DataFrame) -> DataFrame:
+    """Positional filter: this word and all that follow it in either order are enough."""
+    return pairs.where(F.least(F.col("size") - F.col("position"), F.col("held") - F.col("place")) >= F.col("need"))
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """(_row, label, score): every text block of `rows` (_row, lines, words) that meets a template, the best score per label."""
+    pairs = can_reach(long_enough(candidates(rows)))
+    # of the words that both prefixes hold, only the first one makes the pair
     first = F.size(F.array_intersect(F.slice("ordered", F.lit(1), F.col("position")), "words")) == 0
     pairs = pairs.where(first).withColumn("shared", F.size(F.array_intersect("ordered", "words"))).where("shared >= need")
     return pairs.groupBy("_row", "label").agg(F.max(F.col("shared") / F.col("size")).alias("score"))

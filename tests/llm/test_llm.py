@@ -52,6 +52,35 @@ def test_blocks_lie_in_the_shared_folder(spark, docs):
     assert not os.path.exists(os.path.dirname(blocks.inputFiles()[0].removeprefix("file://")))
 
 
+def test_license_filters_drop_pairs_and_lose_none(spark):
+    """Blocks of template words in every mixture: each filter drops pairs, and what is left is what all pairs give."""
+    r = random.Random(6)
+    words = sorted({w for _, text in license_scan.TEMPLATES for w in license_scan.template_words(text)})
+    lengths = sorted({license_scan.block_lines(text) for _, text in license_scan.TEMPLATES})
+    rows = []
+    for i in range(1500):
+        own = license_scan.template_words(r.choice(license_scan.TEMPLATES)[1])
+        held = {w for w in own if r.random() < r.choice([0.5, 0.82, 0.95])} | set(r.sample(words, r.randrange(0, 60)))
+        rows.append((i, r.choice(lengths), sorted(held)))
+    df = spark.createDataFrame(rows, "_row long, lines int, words array<string>")
+    pairs = license_scan.candidates(df)
+    counts = [pairs.count(), license_scan.long_enough(pairs).count(), license_scan.can_reach(license_scan.long_enough(pairs)).count()]
+    want = {}
+    for i, lines, held in rows:
+        for label, text in license_scan.TEMPLATES:
+            own = license_scan.template_words(text)
+            shared = len({*own} & {*held})
+            if license_scan.block_lines(text) == lines and shared >= 0.8 * len(own) - 1e-9:
+                want[i, label] = max(want.get((i, label), 0), shared / len(own))
+    assert {(x._row, x.label): x.score for x in license_scan.matches(df).collect()} == want and want
+    compared = sum(lines == license_scan.block_lines(text) for _, lines, _ in rows for _, text in license_scan.TEMPLATES)
+    distinct = pairs.select("_row", "label", "size").distinct().count()
+    assert distinct < compared and counts[0] > counts[1] > counts[2]
+    # a text that meets a template holds a word of its own prefix in any order
+    probes = {*license_scan.probes()}
+    assert all(len({*license_scan.template_words(text)} - probes) < license_scan._need(len(license_scan.template_words(text))) for _, text in license_scan.TEMPLATES)
+
+
 def test_pieces_match_the_library(spark, docs, none):
     import sentencepiece
 
