@@ -224,7 +224,7 @@ def _wide(column, dims: int) -> np.ndarray:
     return np.stack(list(column)) if len(column) else np.zeros((0, dims))
 
 
-def points_of(vectors: DataFrame, most: int) -> tuple[DataFrame, int]:
+def points_of(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, hash, vector) of vectors that take part, and their dimensions; a shorter vector ends in zeros."""
     kind = vectors.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -260,16 +260,16 @@ class Index:
         share = max(1, round(min(1.0, sample / max(n, 1)) * (1 << 20)))
         fitted = points.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < share).select("vector").limit(2 * sample).collect() if shards > 1 else []
         fitted = units(np.array([r.vector for r in fitted], np.float64)) if fitted else np.eye(1, dims)
-        self.top, _ = VantageTree.build(fitted, -(-len(fitted) // shards))
-        if shards > 1:
-            self._measure()
+        # `turn` deals points out, as the sample says; `top` tells how far a shard reaches, which all points say
+        self.turn, _ = VantageTree.build(fitted, -(-len(fitted) // shards))
+        self.top = self._measured() if shards > 1 else self.turn
         counts = {r["shard"]: r["n"] for r in self._placed().groupBy("shard").agg(F.count("*").alias("n")).collect()}
         self.pieces = [max(1, -(-counts.get(i, 0) // piece)) for i in range(len(self.top.left))]
         self.trees = self._grow()
 
-    def _measure(self) -> None:
-        """Rings of the tree over shards, from all points: an entry for each node, side and task comes together."""
-        top = self.top
+    def _measured(self) -> VantageTree:
+        """The tree over shards with rings of all points: an entry for each node, side and task comes together."""
+        top = self.turn
 
         def rings(batches):
             low, high = np.full((len(top.left), 2), np.inf), np.full((len(top.left), 2), -np.inf)
@@ -283,13 +283,11 @@ class Index:
         low, high = np.full((len(top.left), 2), np.inf), np.full((len(top.left), 2), -np.inf)
         for r in made.groupBy("node", "side").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
             low[r["node"], r["side"]], high[r["node"], r["side"]] = r["low"], r["high"]
-        # where points turn is the sample's business, how far they reach is that of all
-        self.turn = top
-        self.top = top.widened(low, high)
+        return top.widened(low, high)
 
     def _placed(self) -> DataFrame:
         """Points with their shard."""
-        turn = getattr(self, "turn", self.top)
+        turn = self.turn
 
         def place(batches):
             for frame in _parts(batches):
@@ -377,7 +375,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, factor: float = FACTOR
     An empty table gives no rows; other columns are not read.
     """
     spark, most = vectors.sparkSession, k + 1
-    rows, dims = points_of(vectors, most)
+    rows, dims = points_of(vectors)
     if not dims:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     points = distinct_points(rows, most)
