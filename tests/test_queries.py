@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import queries, star_queries
+from lodestrata.plans import queries, star_queries, warehouse
 
 QUERIES, SQL = {**queries.QUERIES, **star_queries.QUERIES}, {**queries.SQL, **star_queries.SQL}
 
@@ -14,6 +14,30 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_star(spark):
+    """Queries of one session share its dimensions, which are written once."""
+    make, made = star_queries.star, {}
+
+    def star(session, sf_dir, facts=()):
+        if session is not spark:
+            return make(session, sf_dir, facts)
+        if sf_dir not in made:
+            made[sf_dir] = make(session, sf_dir, tuple(warehouse.FACTS))
+        return made[sf_dir]
+
+    star_queries.star = star
+    yield
+    star_queries.star = make
+
+
+def test_a_star_writes_a_dimension_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(star_queries, "work_table", lambda df, name: written.append(name) or df)
+    t = star_queries.star(spark.newSession(), SF)
+    assert written == [] and t["dim_product"] is t["dim_product"] and written == ["dim_product"]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, name, tmp_path):
     con = duckdb.connect()
