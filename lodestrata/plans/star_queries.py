@@ -21,37 +21,37 @@ _DEPT = "substr(o_orderpriority, 1, 1)"
 # orders and line items are 5479 days later here, so that they lie in the calendar, which starts in 2010
 SOURCES = {
     "hr_employee_history": """SELECT concat('E', c) AS employee_id, d AS valid_from, CASE WHEN k % 9 = 0 THEN NULL ELSE d + CAST(k % 400 + 1 AS INT) END AS valid_to, concat('F', c) AS first_name,
-        CASE WHEN c % 10 = 0 THEN NULL ELSE concat('L', c) END AS last_name, 'x' AS work_email, 'EMEA' AS region, 'y' AS location, substr(p, 1, 1) AS department_code, p AS department_name, CAST(1 AS SMALLINT) AS job_level,
-        'z' AS job_title, concat('E', c + 1) AS manager_id, 'Full-time' AS employment_type, 'Hire' AS change_reason, d AS hire_date, CASE WHEN k % 4 = 0 THEN d + CAST(k % 400 + 1 AS INT) ELSE NULL END AS termination_date,
+        CASE WHEN c % 10 = 0 THEN NULL ELSE concat('L', c) END AS last_name, concat('e', c, '@example.com') AS work_email, CASE k % 3 WHEN 0 THEN 'EMEA' WHEN 1 THEN 'Americas' ELSE 'APAC' END AS region, concat('Site ', k % 12) AS location, substr(p, 1, 1) AS department_code, p AS department_name, CAST(k % 7 + 1 AS SMALLINT) AS job_level,
+        concat('Title ', k % 20) AS job_title, concat('E', c + 1) AS manager_id, CASE WHEN k % 6 = 0 THEN 'Contract' ELSE 'Full-time' END AS employment_type, CASE WHEN k % 2 = 0 THEN 'Hire' ELSE 'Transfer' END AS change_reason, d AS hire_date, CASE WHEN k % 4 = 0 THEN d + CAST(k % 400 + 1 AS INT) ELSE NULL END AS termination_date,
         CASE WHEN k % 8 = 0 THEN 'Left' ELSE NULL END AS termination_reason
         FROM (SELECT o_custkey AS c, (CAST(o_orderdate AS DATE) + 5479) AS d, min(o_orderkey) AS k, max(o_orderpriority) AS p FROM {orders} GROUP BY 1, 2) AS v""",
-    "hr_compensation": """SELECT concat('C', o_orderkey) AS compensation_id, concat('E', o_custkey) AS employee_id, (CAST(o_orderdate AS DATE) + 5479) AS effective_from, 'G' AS pay_grade,
-        CAST(o_totalprice * (CASE WHEN o_orderkey % 500 = 0 THEN 10 ELSE 1 END) AS DECIMAL(12, 2)) AS annual_salary_usd, CAST(0.1 AS DECIMAL(5, 4)) AS bonus_target_pct, 1 AS equity_units, 'USD' AS currency, 'Hire' AS change_reason FROM {orders}""",
+    "hr_compensation": """SELECT concat('C', o_orderkey) AS compensation_id, concat('E', o_custkey) AS employee_id, (CAST(o_orderdate AS DATE) + 5479) AS effective_from, concat('G', o_orderkey % 9) AS pay_grade,
+        CAST(o_totalprice * (CASE WHEN o_orderkey % 500 = 0 THEN 10 ELSE 1 END) AS DECIMAL(12, 2)) AS annual_salary_usd, CAST((o_orderkey % 40) / 100.0 AS DECIMAL(5, 4)) AS bonus_target_pct, CAST(o_orderkey % 1000 AS INT) AS equity_units, CASE WHEN o_orderkey % 4 = 0 THEN 'GBP' ELSE 'USD' END AS currency, CASE WHEN o_orderkey % 3 = 0 THEN 'Merit' ELSE 'Hire' END AS change_reason FROM {orders}""",
     "hr_performance_review": """SELECT concat('R', o_orderkey) AS review_id, concat('E', o_custkey) AS employee_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('E', o_custkey + 7) END AS reviewer_id,
-        (CAST(o_orderdate AS DATE) + 5479) + 30 AS submitted_date, 'H1' AS review_period, CAST(3 AS SMALLINT) AS rating, 'Good' AS rating_label, false AS promotion_recommended FROM {orders}""",
-    "crm_account": """SELECT concat('A', c_custkey) AS account_id, concat(c_name, CASE WHEN n = 2 THEN ' Inc' ELSE '' END) AS account_name, 'EMEA' AS region, c_mktsegment AS segment, 'w' AS industry, CAST('2020-01-01' AS DATE) AS created_date,
-        concat('E', c_custkey) AS owner_employee_id, 'Active' AS status, CASE WHEN c_custkey % 6 = 0 THEN CAST('2021-01-01' AS DATE) ELSE NULL END AS churn_date
+        (CAST(o_orderdate AS DATE) + 5479) + 30 AS submitted_date, CASE WHEN o_orderkey % 2 = 0 THEN 'H1' ELSE 'H2' END AS review_period, CAST(o_orderkey % 5 + 1 AS SMALLINT) AS rating, CASE WHEN o_orderkey % 5 < 2 THEN 'Below' WHEN o_orderkey % 5 = 2 THEN 'Good' ELSE 'Above' END AS rating_label, o_orderkey % 9 = 0 AS promotion_recommended FROM {orders}""",
+    "crm_account": """SELECT concat('A', c_custkey) AS account_id, concat(c_name, CASE WHEN n = 2 THEN ' Inc' ELSE '' END) AS account_name, CASE c_custkey % 3 WHEN 0 THEN 'EMEA' WHEN 1 THEN 'Americas' ELSE 'APAC' END AS region, c_mktsegment AS segment, concat('industry ', c_custkey % 8) AS industry, CAST('2020-01-01' AS DATE) + CAST(c_custkey % 300 AS INT) AS created_date,
+        concat('E', c_custkey) AS owner_employee_id, CASE WHEN c_custkey % 4 = 0 THEN 'Churned' ELSE 'Active' END AS status, CASE WHEN c_custkey % 6 = 0 THEN CAST('2021-01-01' AS DATE) ELSE NULL END AS churn_date
         FROM {customer} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) AS twice WHERE c_custkey % 11 <> 0 AND (n = 1 OR c_custkey % 50 = 0)""",
     "crm_subscription": f"""SELECT concat('S', o_orderkey) AS subscription_id, concat('A', o_custkey) AS account_id, concat('P', {_DEPT}) AS product_code, o_orderpriority AS product_name, (CAST(o_orderdate AS DATE) + 5479) AS start_date,
-        CASE WHEN o_orderkey % 3 = 0 THEN (CAST(o_orderdate AS DATE) + 5479) + CAST(o_orderkey % 300 AS INT) ELSE NULL END AS end_date, 1 AS seats, CAST(o_totalprice AS DECIMAL(12, 2)) AS arr_usd, 'Annual' AS billing_frequency FROM {{orders}}""",
-    "crm_opportunity": f"""SELECT concat('O', o_orderkey) AS opportunity_id, concat('A', o_custkey) AS account_id, concat('E', o_custkey) AS owner_employee_id, concat('P', {_DEPT}) AS product_code, 'New' AS opportunity_type,
+        CASE WHEN o_orderkey % 3 = 0 THEN (CAST(o_orderdate AS DATE) + 5479) + CAST(o_orderkey % 300 AS INT) ELSE NULL END AS end_date, CAST(o_orderkey % 90 + 1 AS INT) AS seats, CAST(o_totalprice AS DECIMAL(12, 2)) AS arr_usd, CASE WHEN o_orderkey % 2 = 0 THEN 'Monthly' ELSE 'Annual' END AS billing_frequency FROM {{orders}}""",
+    "crm_opportunity": f"""SELECT concat('O', o_orderkey) AS opportunity_id, concat('A', o_custkey) AS account_id, concat('E', o_custkey) AS owner_employee_id, concat('P', {_DEPT}) AS product_code, CASE WHEN o_orderkey % 3 = 0 THEN 'Renewal' ELSE 'New' END AS opportunity_type,
         (CAST(o_orderdate AS DATE) + 5479) AS created_date, CASE WHEN o_orderstatus = 'F' THEN (CAST(o_orderdate AS DATE) + 5479) + CAST(o_orderkey % 40 - 3 AS INT) ELSE NULL END AS close_date,
-        CASE WHEN o_orderstatus = 'F' THEN 'Closed Won' WHEN o_orderstatus = 'O' THEN 'Proposal' ELSE 'Prospect' END AS stage, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount_usd, CAST(50 AS SMALLINT) AS probability_pct, o_orderstatus = 'F' AS is_won FROM {{orders}}""",
+        CASE WHEN o_orderstatus = 'F' THEN 'Closed Won' WHEN o_orderstatus = 'O' THEN 'Proposal' ELSE 'Prospect' END AS stage, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount_usd, CAST(o_orderkey % 101 AS SMALLINT) AS probability_pct, o_orderstatus = 'F' AS is_won FROM {{orders}}""",
     "crm_invoice": """SELECT concat('I', o_orderkey) AS invoice_id, concat('A', o_custkey) AS account_id, concat('S', o_orderkey) AS subscription_id, (CAST(o_orderdate AS DATE) + 5479) AS issue_date, (CAST(o_orderdate AS DATE) + 5479) + 30 AS due_date,
         CASE WHEN o_orderkey % 2 = 0 THEN (CAST(o_orderdate AS DATE) + 5479) + 9 ELSE NULL END AS paid_date, CAST(o_totalprice * (CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END) AS DECIMAL(12, 2)) AS amount_usd, 'USD' AS currency,
         CASE WHEN o_orderkey % 5 = 0 THEN 'Credit Note' WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'Paid' END AS status FROM {orders}""",
     "usage_daily": """SELECT (CAST(l_shipdate AS DATE) + 5479) AS usage_date, concat('A', l_suppkey) AS account_id, concat('P', l_linenumber) AS product_code, CAST(l_quantity AS INT) AS active_users, CAST(l_quantity AS INT) - 2 AS sessions,
         CAST(l_partkey AS INT) AS api_calls, CAST(l_tax AS DECIMAL(12, 3)) AS storage_gb, CAST(l_orderkey % 500 AS INT) AS avg_latency_ms, CAST(l_linenumber AS INT) AS error_count FROM {lineitem}""",
     "ai_usage_event": """SELECT concat('I', event_id) AS event_id, ts AS event_ts, concat('E', user_id) AS employee_id, CAST(user_id % 6 + 1 AS STRING) AS department_code,
-        CASE event_type WHEN 'click' THEN 'atlas-large' WHEN 'view' THEN 'orion-lite' WHEN 'signup' THEN 'orion-pro' WHEN 'error' THEN NULL ELSE 'nova' END AS model, 'chat' AS feature, CAST(event_id % 4000 AS INT) AS prompt_tokens,
-        CAST(event_id % 1500 AS INT) AS completion_tokens, CAST(((event_id % 4000) * 3 + (event_id % 1500) * 15) * (CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END) / 1000000.0 AS DECIMAL(14, 6)) AS cost_usd, 1 AS latency_ms, false AS flagged_by_policy FROM {events}""",
+        CASE event_type WHEN 'click' THEN 'atlas-large' WHEN 'view' THEN 'orion-lite' WHEN 'signup' THEN 'orion-pro' WHEN 'error' THEN NULL ELSE 'nova' END AS model, CASE WHEN event_id % 3 = 0 THEN 'search' ELSE 'chat' END AS feature, CAST(event_id % 4000 AS INT) AS prompt_tokens,
+        CAST(event_id % 1500 AS INT) AS completion_tokens, CAST(((event_id % 4000) * 3 + (event_id % 1500) * 15) * (CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END) / 1000000.0 AS DECIMAL(14, 6)) AS cost_usd, CAST(event_id % 900 AS INT) AS latency_ms, event_id % 19 = 0 AS flagged_by_policy FROM {events}""",
     "fin_budget": f"""SELECT concat('B', o_orderkey) AS budget_id, {_PERIOD.format("(CAST(o_orderdate AS DATE) + 5479)")} AS fiscal_period, CAST(year(o_orderdate) + 15 AS SMALLINT) AS fiscal_year, CAST(quarter(o_orderdate) AS SMALLINT) AS fiscal_quarter, concat('CC-', {_DEPT}) AS cost_center,
-        {_DEPT} AS department_code, 'G' AS gl_account, 'g' AS gl_account_name, CAST(o_totalprice AS DECIMAL(14, 2)) AS budget_usd, concat('E', o_custkey * (CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE 1 END)) AS approved_by, (CAST(o_orderdate AS DATE) + 5479) AS approved_date FROM {{orders}}""",
+        {_DEPT} AS department_code, concat('G', o_orderkey % 5) AS gl_account, concat('account ', o_orderkey % 5) AS gl_account_name, CAST(o_totalprice AS DECIMAL(14, 2)) AS budget_usd, concat('E', o_custkey * (CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE 1 END)) AS approved_by, (CAST(o_orderdate AS DATE) + 5479) AS approved_date FROM {{orders}}""",
     "fin_actual": f"""SELECT concat('G', l_orderkey, '-', l_linenumber) AS actual_id, {_PERIOD.format("(CAST(o_orderdate AS DATE) + 5479)")} AS fiscal_period, (CAST(l_shipdate AS DATE) + 5479) AS posting_date, CASE WHEN l_partkey % 100 = 0 THEN 'CC-9' ELSE concat('CC-', {_DEPT}) END AS cost_center,
-        {_DEPT} AS department_code, 'G' AS gl_account, 'g' AS gl_account_name, CAST(l_extendedprice AS DECIMAL(14, 2)) AS amount_usd, 'v' AS vendor, 'd' AS description, concat('E', o_custkey) AS posted_by FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
-    "sec_access_event": """SELECT concat('X', event_id) AS event_id, ts AS event_ts, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('E', user_id) END AS employee_id, CAST(user_id % 6 + 1 AS STRING) AS department_code, 'vpn' AS system,
-        CASE WHEN event_type IN ('click', 'view') THEN 'LOGIN' ELSE 'READ' END AS action, '/r' AS resource, '10.0.0.1' AS source_ip, CASE event_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'CA' ELSE 'XX' END AS source_country,
-        CASE WHEN event_id % 10 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS result, true AS mfa_used FROM {events}""",
+        {_DEPT} AS department_code, concat('G', l_linenumber) AS gl_account, concat('account ', l_linenumber) AS gl_account_name, CAST(l_extendedprice AS DECIMAL(14, 2)) AS amount_usd, concat('v', l_suppkey) AS vendor, concat('part ', l_partkey) AS description, concat('E', o_custkey) AS posted_by FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+    "sec_access_event": """SELECT concat('X', event_id) AS event_id, ts AS event_ts, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('E', user_id) END AS employee_id, CAST(user_id % 6 + 1 AS STRING) AS department_code, CASE WHEN event_id % 3 = 0 THEN 'crm' ELSE 'vpn' END AS system,
+        CASE WHEN event_type IN ('click', 'view') THEN 'LOGIN' ELSE 'READ' END AS action, concat('/r/', event_id % 30) AS resource, concat('10.0.', event_id % 200, '.', user_id % 250) AS source_ip, CASE event_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'CA' ELSE 'XX' END AS source_country,
+        CASE WHEN event_id % 10 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS result, event_id % 7 <> 0 AS mfa_used FROM {events}""",
 }
 _TABLES = ("orders", "lineitem", "customer", "events")
 

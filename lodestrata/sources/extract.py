@@ -124,6 +124,18 @@ def check(spark: SparkSession, folder: str, manifest: dict) -> None:
             raise LoadError(f"{f['dataset']}: {uri(folder)}/{f['path']} is not the file of the manifest")
 
 
+def upload(spark: SparkSession, folder: str, target: str) -> None:
+    """Copies a checked extract to a folder of any store that Spark writes, and checks what arrived; the manifest comes last, so an
+    extract that is cut short has none."""
+    manifest = read_manifest(spark, folder)
+    check(spark, folder, manifest)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for name in [*[f["path"] for f in manifest["files"]], "manifest.json"]:
+        a, b = hadoop.Path(f"{uri(folder)}/{name}"), hadoop.Path(f"{uri(target)}/{name}")
+        hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    check(spark, target, read_manifest(spark, target))
+
+
 def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A dataset's file as text; its header must name the declared columns in order."""
     return spark.read.csv(path, header=True, schema=DATASETS[name].landed_schema, enforceSchema=False)
