@@ -54,6 +54,7 @@ def test_every_seeded_defect_is_found_and_nothing_else(spark, folder, star):
 def test_an_upload_is_whole(spark, folder, tmp_path):
     extract.upload(spark, folder, f"file://{tmp_path}/landing/extract")
     assert extract.read_manifest(spark, f"{tmp_path}/landing/extract") == extract.read_manifest(spark, folder)
+    (tmp_path / "landing/extract/.crm_account.csv.crc").unlink()
     (tmp_path / "landing/extract/crm_account.csv").write_text("altered")
     with pytest.raises(extract.LoadError):
         extract.upload(spark, f"{tmp_path}/landing/extract", f"file://{tmp_path}/again")
