@@ -33,7 +33,8 @@ def write_archive(pages: DataFrame, path: str) -> None:
     """Archive `pages` (page_id, url, html) under `path`.
 
     Null html is an empty payload; a null url is an empty target; repeated rows are records of their own, and a null id never
-    wins against one that is there.  Line breaks in a url are percent-encoded, as a header needs.
+    wins against one that is there.  Line breaks in a url are percent-encoded, as a header needs.  A payload of any length is one
+    value of one row; an empty table gives an archive without records; other columns are not read.
     """
     payload = _bytes(F.coalesce(F.col("html"), F.lit("")))
     rows = pages.select(F.col("page_id"), F.col("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))

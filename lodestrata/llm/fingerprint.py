@@ -145,7 +145,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     Null texts are empty; an empty text has no paragraphs and its edited text is itself.  Rows equal in id and text are one
     document in the order and give equal rows; equal ids with different texts follow in the order of the texts' hashes; null
-    ids come last.  A single document is followed by itself.
+    ids come last.  A single document is followed by itself.  Very long texts are sketched whole, in more parts; an empty table gives no
+    rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text).cast("string")).alias("_k"), "doc_id", text.alias("text"))

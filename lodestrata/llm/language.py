@@ -169,7 +169,9 @@ def identify(documents: DataFrame, labelled: DataFrame, keep: list[str]) -> Data
     """`keep` columns of every document with lang_pred and score (0 to 1).
 
     Null texts and texts without a letter are `und` with score 0, as is every text where nothing was learned.  Labels are
-    read in `labelled` alone.  Repeated rows give repeated rows.
+    read in `labelled` alone.  Repeated rows give repeated rows.  Of languages that hold the same share of a text the one with more
+    training text counts.  Very long texts are counted whole, in steps; an empty table gives no rows; a column whose name is that of a
+    result must not be in `keep`, and others are not read.
     """
     langs, arrays = learn(labelled)
     shared = broadcast_arrays(documents.sparkSession, MOST_CELLS * 8 + 8 * len(langs) + 1024, **arrays)

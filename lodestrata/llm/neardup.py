@@ -324,7 +324,7 @@ def text_links(staged: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def stage_rows(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns with a `_row` that names each row for good."""
+    """The columns with a `_row` that names each row for good, in place of any column of that name."""
     return materialize(documents.select(*columns).withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
@@ -334,7 +334,8 @@ def near_duplicates(staged: DataFrame, id_column: str = "doc_id") -> DataFrame:
     `links` counts the verified links of the row's text that made its class: enough to hold the class together, not all.
     class_id is the smallest id of the class, keeper marks the class's row with the smallest id (ties: the first row).
     Texts with the same words, in A-Z lower case, are one text.  Null, empty and wordless texts are classes of their own.
-    A class whose ids are all null has a null class_id.
+    A class whose ids are all null has a null class_id.  Very long texts are shingled whole; an empty table gives no rows; columns besides
+    `_row`, text and id are not read.
     """
     with work_tables(staged.sparkSession) as keep:
         sketched = materialize(_sketch(staged), "sketches")

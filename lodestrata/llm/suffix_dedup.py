@@ -366,7 +366,8 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", with_text: b
 
     Null and empty texts have no bytes; texts below 50 bytes lose nothing.  Rows with the same id do not remove from each
     other; null ids count as larger than all others and remove nothing from each other.  `kept_text` drops bytes of
-    characters that a removal cut.
+    characters that a removal cut.  A text larger than a block is a block of its own; an empty table gives no rows; other columns are
+    not read.
     """
     spark = documents.sparkSession
     with work_tables(spark) as keep:
