@@ -361,11 +361,18 @@ def test_operators_give_the_rows_of_their_sql(spark, name, tmp_path):
     license_text = "\n".join(textwrap.wrap(" ".join(license_scan.TEMPLATES[1][1].split()), 60))
     texts = [*TEXTS, license_text, LONG + "\n" + license_text, LONG.replace(". ", ".\n"), prose(21, 200), "\n".join(["home | news | sport | about", "Read more: https://a.b/c", "x"] * 400), "mit  LICENSE\ncc by cc by"]
     documents = [(i, t, "en") for i, t in enumerate(texts)] + [(3, "", None), (None, LONG, None), (0, texts[0], "en")]
-    spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    documents = [(i, t, lang, [None, "", "a", "b"][n % 4]) for n, (i, t, lang) in enumerate(documents)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(12)] + [(1, None, 1), (2, 1, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    r = random.Random(4)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(160)]
+    vectors += [(200, vectors[0][1]), (201, vectors[0][1]), (250, [2 * x for x in vectors[1][1]]), (300, [0.0] * 64), (301, None), (302, [float("nan")] * 64), (303, [1.0, None] * 32)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     pages = [(i, f"u{i}", t) for i, t in enumerate([*texts, LONG * 2, LONG * 2, None])]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     registry.QUERIES[name](spark, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/out")
     con.sql(f"CREATE TABLE s AS SELECT * FROM '{tmp_path}/out/*.parquet'")
