@@ -10,12 +10,15 @@ the 32-byte strings in it, the one with the smallest hash.  Equal windows have e
 2. Each block tells, for those, a hash of each distinct stretch of windows that a minimizer stands for, and its smallest
    document there.  Equal stretches hold equal windows, so a stretch that a smaller document has too goes whole; of minimizers
    with only one distinct stretch nothing is left to decide.
+   A window holds its minimizer with 9 bytes before it or 10 after it, so a stretch whose minimizer is extended like that in no
+   other stretch, on either side, shares no window either, and stays.
 3. Stretches that remain, the smallest document's copy of each, go to their bucket's shard as bytes.  There a suffix array
    with common-prefix values (suffix_sort) groups equal windows and finds each group's smallest document.  A minimizer that stands
    in more different stretches than a shard should hold is split: each of its windows, once a block, goes to one of as many
    shards as it needs, by the window's own hash.
 
-Blocks then remove what was answered.  Step 2 only unites rows that are equal as a whole; every comparison of windows in
+Blocks then remove what was answered.  A block has a row for each bucket, so that there are as many as blocks times buckets: what is done
+for one of them is cutting bytes, and everything else is done for a whole block or a whole bucket at once.  Step 2 only unites rows that are equal as a whole; every comparison of windows in
 different surroundings is made by the suffix array.
 """
 
@@ -36,12 +39,16 @@ from lodestrata.llm.suffix_sort import InducedSorter
 WINDOW = 50
 GRAM = 32
 SPAN = WINDOW - GRAM + 1
+#: A window that has fewer bytes than BEFORE in front of its minimizer has AFTER or more behind it.
+BEFORE = SPAN // 2
+AFTER = SPAN - BEFORE
 #: Text bytes of a block (a longer document is a block of its own) and key bytes that a bucket should hold.
 BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
 #: Different stretches from which on a minimizer is split (about BUCKET_BYTES), and those whose single windows make a shard.
 SPLIT_STRETCHES, SHARD_STRETCHES = 1 << 16, 1 << 12
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 class _Powers:
@@ -106,6 +113,14 @@ class Block:
         size = self.high[which] + WINDOW - self.low[which]
         return mix64(self.hash(self.low[which], size) + mix64((size * 256 + self.at[which] - self.low[which]).astype(np.uint64)))
 
+    def sides(self, which: np.ndarray) -> np.ndarray:
+        """16-bit hashes of each minimizer with BEFORE bytes in front and with AFTER bytes behind it, in one number; 0: not in its stretch."""
+        at, out = self.at[which], np.zeros(len(which), np.uint32)
+        for shift, start, size, inside in ((16, at - BEFORE, GRAM + BEFORE, at - BEFORE >= self.low[which]), (0, at, GRAM + AFTER, at + GRAM + AFTER <= self.high[which] + WINDOW)):
+            value = mix64(self.hash(start[inside], size)) % np.uint64(0xFFFF) + np.uint64(1)
+            out[inside] |= value.astype(np.uint32) << np.uint32(shift)
+        return out
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, minimizer, hash) of all windows of some minimizers, in order."""
         n = self.high[which] - self.low[which] + 1
@@ -124,14 +139,33 @@ def _firsts(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, doc > doc[first]
 
 
-def _bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((key >> np.uint64(32)) * np.uint64(0x85EBCA6B) % np.uint64(buckets)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _codes(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each minimizer above the 32-bit key within it."""
+    bucket = (key >> np.uint64(32)) * np.uint64(0x85EBCA6B) % np.uint64(buckets)
+    return (bucket << np.uint64(32)) | (key & _LOW)
+
+
+def _cuts(value: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])), [len(value)]]) if len(value) else np.zeros(1, np.int64)
+
+
+def _sliced(value: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """The bytes of each run."""
+    raw, at = value.tobytes(), (cut * value.itemsize).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _joined(parts, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays that came as bytes, one after another, and where each begins, with the end."""
+    value = np.frombuffer(b"".join(parts), kind)
+    return value, np.cumsum([0, *map(len, parts)]) // value.itemsize
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
-    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+    cut = _cuts(bucket[order])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
 
@@ -177,22 +211,27 @@ def _shared_keys(blocks: DataFrame, buckets: int) -> DataFrame:
         for frame in batches:
             for block, data, ends in zip(frame["block"], frame["data"], frame["ends"], strict=True):
                 b = Block(data, ends, powers)
-                bucket, key = _bucket(b.key, buckets)
-                rows = []
-                for number, at in _by_bucket(bucket):
-                    pair = np.unique((key[at].astype(np.uint64) << np.uint64(32)) | b.doc[at].astype(np.uint64)) >> np.uint64(32)
-                    distinct, n = np.unique(pair, return_counts=True)
-                    rows.append((block, number, distinct.astype(np.uint32).tobytes(), distinct[n > 1].astype(np.uint32).tobytes()))
-                yield pd.DataFrame(rows, columns=["block", "bucket", "keys", "twice"])
+                code = _codes(b.key, buckets)
+                order = np.argsort(code, kind="stable")  # documents of a key stay in order
+                code, doc = code[order], b.doc[order]
+                head = _cuts(code)[:-1]
+                pair = np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])[: len(code)]
+                code, n = code[head], np.add.reduceat(pair.astype(np.int64), head) if len(head) else head
+                cut = _cuts(code >> np.uint64(32))
+                twice = code[n > 1]
+                bucket = code[cut[:-1]] >> np.uint64(32)
+                cut_twice = np.append(np.searchsorted(twice, bucket << np.uint64(32)), len(twice))
+                yield pd.DataFrame({"block": block, "bucket": bucket.astype(np.int64), "keys": _sliced((code & _LOW).astype(np.uint32), cut), "twice": _sliced((twice & _LOW).astype(np.uint32), cut_twice)})
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
-        distinct, n = np.unique(np.concatenate(keys), return_counts=True)
-        twice = np.unique(np.concatenate([np.frombuffer(k, np.uint32) for k in frame["twice"]]))
-        shared = np.union1d(distinct[n > 1], twice)
-        out = [np.intersect1d(k, shared, assume_unique=True) for k in keys]
-        rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": [k.tobytes() for k in out]})
-        return rows[[len(k) > 0 for k in out]]
+        keys, cut = _joined(frame["keys"], np.uint32)
+        distinct, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = n > 1
+        shared[np.searchsorted(distinct, _joined(frame["twice"], np.uint32)[0])] = True
+        kept = shared[of]
+        cut = np.concatenate([[0], np.cumsum(kept)])[cut]
+        rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": _sliced(keys[kept], cut)})
+        return rows[np.diff(cut) > 0]
 
     told = blocks.select("block", "ends", "data").mapInPandas(tell, "block long, bucket long, keys binary, twice binary")
     return told.groupBy("bucket").applyInPandas(answer, "block long, bucket long, keys binary")
@@ -203,19 +242,15 @@ def _per_block(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("answers"))
 
 
-def _chosen(block: Block, answers, buckets: int) -> tuple[list[tuple[int, slice]], np.ndarray]:
-    """Minimizers of a block whose keys were answered to be shared, bucket by bucket, in the block's order within a bucket."""
-    bucket, key = _bucket(block.key, buckets)
-    shared = {int(a["bucket"]): np.frombuffer(a["keys"], np.uint32) for a in answers}
-    parts, chosen, n = [], [np.zeros(0, np.int64)], 0
-    for number, at in _by_bucket(bucket):
-        if number in shared:
-            at = at[np.isin(key[at], shared[number], assume_unique=False)]
-            if len(at):
-                parts.append((number, slice(n, n + len(at))))
-                chosen.append(at)
-                n += len(at)
-    return parts, np.concatenate(chosen)
+def _chosen(block: Block, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, minimizer) of a block whose keys were answered to be shared, by bucket and in the block's order within it.  Answers come by bucket."""
+    keys, cut = _joined([a["keys"] for a in answers], np.uint32)
+    shared = (np.repeat(np.array([a["bucket"] for a in answers], np.uint64), np.diff(cut)) << np.uint64(32)) | keys
+    code = _codes(block.key, buckets)
+    at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, code), len(shared) - 1)] == code) if len(shared) else np.zeros(0, np.int64)
+    bucket = (code[at] >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], at[order]
 
 
 #: What happens to a minimizer's windows: nothing, all go, or the suffix array decides, of stretches or of single windows: SPLIT + k
@@ -231,48 +266,68 @@ def _verdicts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         for frame in batches:
             for block, data, ends, ids, answers in zip(frame["block"], frame["data"], frame["ends"], frame["ids"], frame["answers"], strict=True):
                 b = Block(data, ends, powers)
-                known = {int(a["bucket"]): a["keys"] for a in answers}
-                parts, at = _chosen(b, answers, buckets)
-                key, stretch, doc = _bucket(b.key[at], buckets)[1], b.stretch(at), np.frombuffer(ids, np.int64)[b.doc[at]]
+                answers = sorted(answers, key=_place)
+                known = {a["bucket"]: a["keys"] for a in answers}
+                bucket, at = _chosen(b, answers, buckets)
+                stretch, doc = b.stretch(at), np.frombuffer(ids, np.int64)[b.doc[at]]
                 first, later = _firsts(stretch, doc)
                 head = first == np.arange(len(at))
-                rows = [(block, n, known[n], key[s][head[s]].tobytes(), stretch[s][head[s]].tobytes(), doc[s][head[s]].tobytes(), bool(later[s].any())) for n, s in parts]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "keys", "key", "stretch", "doc", "later"])
+                cut = _cuts(bucket)
+                number = bucket[cut[:-1]].tolist()
+                again = np.add.reduceat(later.astype(np.int64), cut[:-1]) > 0 if len(at) else later
+                cut = np.concatenate([[0], np.cumsum(head)])[cut]
+                yield pd.DataFrame({
+                    "block": block, "bucket": np.array(number, np.int64), "keys": [known[n] for n in number], "key": _sliced((b.key[at[head]] & _LOW).astype(np.uint32), cut), "stretch": _sliced(stretch[head], cut),
+                    "sides": _sliced(b.sides(at[head]), cut), "doc": _sliced(doc[head], cut), "later": again,
+                })
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        size = [len(k) // 4 for k in frame["key"]]
-        key, stretch, doc = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("key", np.uint32), ("stretch", np.uint64), ("doc", np.int64)))
+        key, cut = _joined(frame["key"], np.uint32)
+        stretch, sides, doc = (_joined(frame[c], kind)[0] for c, kind in (("stretch", np.uint64), ("sides", np.uint32), ("doc", np.int64)))
         order = np.lexsort((doc, stretch, key))
-        key, stretch, sorted_doc = key[order], stretch[order], doc[order]
+        key, stretch, sides, sorted_doc = key[order], stretch[order], sides[order], doc[order]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_stretch = new_key | np.concatenate([[True], stretch[1:] != stretch[:-1]])
-        head = np.flatnonzero(new_stretch)
-        least = np.repeat(sorted_doc[head], np.diff(np.append(head, len(order))))
-        first = np.flatnonzero(new_key)
-        stretches = np.repeat(np.add.reduceat(new_stretch.astype(np.int64), first), np.diff(np.append(first, len(order))))
-        shards = np.maximum(1, np.ceil(np.log2(stretches / SHARD_STRETCHES)))
+        head = np.flatnonzero(new_key | np.concatenate([[True], stretch[1:] != stretch[:-1]]))
+        copies = np.diff(np.append(head, len(order)))
+        least = np.repeat(sorted_doc[head], copies)
+        # from here on one entry for each distinct stretch
+        met = _extended_alike(key[head], sides[head])
+        first = np.flatnonzero(new_key[head])
+        stretches = np.repeat(np.add.reduceat(met.astype(np.int64), first), np.diff(np.append(first, len(head))))
+        shards = np.maximum(1, np.ceil(np.log2(np.maximum(stretches, 1) / SHARD_STRETCHES)))
+        asks = np.repeat(np.where(~met, STAY, np.where(stretches < SPLIT_STRETCHES, ASK, SPLIT + shards)), copies)
         verdict = np.empty(len(order), np.uint8)
-        verdict[order] = np.where(sorted_doc > least, GO, np.where(stretches == 1, STAY, np.where(stretches < SPLIT_STRETCHES, ASK, SPLIT + shards)))
-        cut = np.concatenate([[0], np.cumsum(size)])
-        rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": frame["keys"], "verdicts": [verdict[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
-        return rows[[bool(verdict[a:b].any() or later) for a, b, later in zip(cut[:-1], cut[1:], frame["later"], strict=True)]]
+        verdict[order] = np.where(sorted_doc > least, GO, asks)
+        told = np.concatenate([[0], np.cumsum(verdict != STAY)])[cut]
+        rows = pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "keys": frame["keys"], "verdicts": _sliced(verdict, cut)})
+        return rows[(np.diff(told) > 0) | frame["later"].to_numpy(bool)]
 
     told = blocks.select("block", "ids", "ends", "data").join(_per_block(shared, "bucket", "keys"), "block")
-    told = told.mapInPandas(tell, "block long, bucket long, keys binary, key binary, stretch binary, doc binary, later boolean")
+    told = told.mapInPandas(tell, "block long, bucket long, keys binary, key binary, stretch binary, sides binary, doc binary, later boolean")
     return told.groupBy("bucket").applyInPandas(answer, "block long, bucket long, keys binary, verdicts binary")
 
 
-def _asked(block: Block, ids: bytes, answers, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, minimizers, verdicts) of a block; a stretch that a smaller document of the block has goes."""
-    verdicts = {int(a["bucket"]): np.frombuffer(a["verdicts"], np.uint8) for a in answers}
-    parts, at = _chosen(block, answers, buckets)
+def _extended_alike(key: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether a distinct stretch's minimizer is extended as in another stretch of the key, before it or behind it."""
+    met = np.zeros(len(key), bool)
+    for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+        here = np.flatnonzero(side)
+        _, of, n = np.unique((key[here].astype(np.uint64) << np.uint64(16)) | side[here], return_inverse=True, return_counts=True)
+        met[here] |= n[of] > 1
+    return met
+
+
+def _place(answer) -> int:
+    return answer["bucket"]
+
+
+def _asked(block: Block, ids: bytes, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, minimizer, verdict) of a block by bucket; a stretch that a smaller document of the block has goes.  Answers come by bucket."""
+    bucket, at = _chosen(block, answers, buckets)
     first, later = _firsts(block.stretch(at), np.frombuffer(ids, np.int64)[block.doc[at]]) if len(at) else (at, at)
     told = np.zeros(len(at), np.uint8)
-    for number, s in parts:
-        told[s][first[s] == np.arange(s.start, s.stop)] = verdicts[number]
-    verdict = np.where(later, GO, told[first])
-    for number, s in parts:
-        yield number, at[s], verdict[s]
+    told[first == np.arange(len(at))] = _joined([a["verdicts"] for a in answers], np.uint8)[0]
+    return bucket, at, np.where(later, GO, told[first])
 
 
 def _single(block: Block, ids: bytes, at: np.ndarray, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,20 +339,23 @@ def _single(block: Block, ids: bytes, at: np.ndarray, verdict: np.ndarray) -> tu
     return start, (value % shards[of]).astype(np.int64) + 1, *_firsts(value, doc), doc
 
 
-def shard_windows(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """Per text, True for every window start whose 50 bytes also stand in a text of a smaller document of the shard."""
+def shard_windows(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Per text, a bit for every window start whose 50 bytes also stand in a text of a smaller document of the shard."""
     order, lcp = InducedSorter(texts).sort()
     size = np.array([len(x) + 1 for x in texts], np.int64)
     start = np.cumsum(size) - size
     of = np.repeat(np.arange(len(texts)), size)
     # a suffix shorter than a window shares no 50 bytes with its neighbours, so it stands in a group of its own
     group = np.cumsum(lcp < WINDOW) - 1
-    least = np.full(group[-1] + 1, NO_ID, np.int64)
     owner = docs[of[order]]
-    np.minimum.at(least, group, owner)
+    least = np.minimum.reduceat(owner, np.flatnonzero(lcp < WINDOW))
     gone = np.zeros(len(of), bool)
     gone[order] = least[group] < owner
-    return [gone[a : a + max(0, n - WINDOW)] for a, n in zip(start, size, strict=True)]
+    bits = np.zeros(len(texts), np.uint32)
+    for k in range(SPAN):
+        long = np.flatnonzero(size > WINDOW + k)
+        bits[long] |= gone[start[long] + k].astype(np.uint32) << np.uint32(k)
+    return bits
 
 
 def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> DataFrame:
@@ -310,25 +368,26 @@ def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> Dat
             for block, data, ends, ids, answers in zip(frame["block"], frame["data"], frame["ends"], frame["ids"], frame["answers"], strict=True):
                 b = Block(data, ends, powers)
                 docs = np.frombuffer(ids, np.int64)
-                rows = []
-                for number, at, verdict in _asked(b, ids, answers, buckets):
-                    asked, split = at[verdict == ASK], at[verdict >= SPLIT]
-                    if len(asked):
-                        rows.append((block, number, 0, [data[i : j + WINDOW] for i, j in zip(b.low[asked], b.high[asked], strict=True)], docs[b.doc[asked]].tobytes()))
-                    if len(split):
-                        start, shard, first, _, doc = _single(b, ids, split, verdict[verdict >= SPLIT])
-                        head = first == np.arange(len(start))
-                        for k, w in _by_bucket(np.where(head, shard, 0)):
-                            if k:
-                                rows.append((block, number, k, [data[i : i + WINDOW] for i in start[w]], doc[w].tobytes()))
+                bucket, at, verdict = _asked(b, ids, sorted(answers, key=_place), buckets)
+                asked = at[verdict == ASK]
+                cut = _cuts(bucket[verdict == ASK])
+                texts = [data[i:j] for i, j in zip(b.low[asked].tolist(), (b.high[asked] + WINDOW).tolist(), strict=True)]
+                number = bucket[verdict == ASK][cut[:-1]].tolist()
+                rows = [(block, n, 0, texts[i:j], raw) for n, i, j, raw in zip(number, cut[:-1].tolist(), cut[1:].tolist(), _sliced(docs[b.doc[asked]], cut), strict=True)]
+                split = np.flatnonzero(verdict >= SPLIT)
+                for number, s in _by_bucket(bucket[split]):
+                    start, shard, first, _, doc = _single(b, ids, at[split[s]], verdict[split[s]])
+                    head = first == np.arange(len(start))
+                    for k, w in _by_bucket(np.where(head, shard, 0)):
+                        if k:
+                            rows.append((block, number, k, [data[i : i + WINDOW] for i in start[w]], doc[w].tobytes()))
                 yield pd.DataFrame(rows, columns=["block", "bucket", "shard", "texts", "doc"])
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         texts = [bytes(x) for row in frame["texts"] for x in row]
-        docs = np.frombuffer(b"".join(frame["doc"]), np.int64)
-        bits = np.array([int(np.dot(g, 1 << np.arange(len(g)))) for g in shard_windows(texts, docs)], np.uint32)
-        cut = np.concatenate([[0], np.cumsum([len(row) for row in frame["texts"]])])
-        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "shard": frame["shard"], "windows": [bits[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+        bits = shard_windows(texts, _joined(frame["doc"], np.int64)[0])
+        cut = np.cumsum([0, *map(len, frame["texts"])])
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "shard": frame["shard"], "windows": _sliced(bits, cut)})
 
     told = blocks.select("block", "ids", "ends", "data").join(_per_block(verdicts, "bucket", "keys", "verdicts"), "block")
     told = told.mapInPandas(tell, "block long, bucket long, shard long, texts array<binary>, doc binary")
@@ -338,26 +397,29 @@ def _window_answers(blocks: DataFrame, verdicts: DataFrame, buckets: int) -> Dat
 def _covered(block: Block, ids: bytes, answers, buckets: int) -> np.ndarray:
     """True for each byte of the block that goes."""
     edge = np.zeros(len(block.data) + 1, np.int32)
-    windows = {(int(a["bucket"]), int(w["shard"])): np.frombuffer(w["windows"], np.uint32) for a in answers if a["windows"] is not None for w in a["windows"]}
+    answers = sorted(answers, key=_place)
+    windows = {(a["bucket"], w["shard"]): w["windows"] for a in answers if a["windows"] is not None for w in a["windows"]}
 
-    def go(start: np.ndarray) -> None:
+    def go(start: np.ndarray, end: np.ndarray) -> None:
         np.add.at(edge, start, 1)
-        np.add.at(edge, start + WINDOW, -1)
-
-    for number, at, verdict in _asked(block, ids, answers, buckets):
-        whole, asked, split = at[verdict == GO], at[verdict == ASK], at[verdict >= SPLIT]
-        np.add.at(edge, block.low[whole], 1)
-        np.add.at(edge, block.high[whole] + WINDOW, -1)
-        if len(asked):
-            for k in range(SPAN):
-                go(block.low[asked[(windows[number, 0] >> np.uint32(k)) & np.uint32(1) == 1]] + k)
-        if len(split):
-            start, shard, first, later, _ = _single(block, ids, split, verdict[verdict >= SPLIT])
-            told = np.zeros(len(start), bool)
-            for k, w in _by_bucket(np.where(first == np.arange(len(start)), shard, 0)):
-                if k:
-                    told[w] = windows[number, k] == 1
-            go(start[later | told[first]])
+        np.add.at(edge, end, -1)
+
+    bucket, at, verdict = _asked(block, ids, answers, buckets)
+    whole, asked = at[verdict == GO], at[verdict == ASK]
+    go(block.low[whole], block.high[whole] + WINDOW)
+    bits, _ = _joined([w for (_, shard), w in windows.items() if shard == 0], np.uint32)
+    for k in range(SPAN):
+        start = block.low[asked[(bits >> np.uint32(k)) & np.uint32(1) == 1]] + k
+        go(start, start + WINDOW)
+    split = np.flatnonzero(verdict >= SPLIT)
+    for number, s in _by_bucket(bucket[split]):
+        start, shard, first, later, _ = _single(block, ids, at[split[s]], verdict[split[s]])
+        told = np.zeros(len(start), bool)
+        for k, w in _by_bucket(np.where(first == np.arange(len(start)), shard, 0)):
+            if k:
+                told[w] = np.frombuffer(windows[number, k], np.uint32) == 1
+        gone = start[later | told[first]]
+        go(gone, gone + WINDOW)
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -305,6 +306,42 @@ def test_repeats_against_brute_force(spark, none, monkeypatch, split):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_only_stretches_that_may_share_a_window_reach_the_suffix_array(spark):
+    """Texts that share 40 bytes share minimizers and no window; those that share 60 share windows."""
+    r = random.Random(51)
+    letters = lambda n, of="0123456789+-": "".join(r.choices(of, k=n))
+    for size, asks in ((40, False), (60, True)):
+        passages = [letters(size) for _ in range(60)]
+        rows = [(i, i, "".join(letters(60, of) + p for p in passages)) for i, of in enumerate(("abcdefghijkl", "ABCDEFGHIJKL", "mnopqrstuvwx"))]
+        with common.work_tables(spark):
+            blocks, name = suffix_dedup._blocks(spark.createDataFrame(rows, "_row long, doc_id long, text string"), "doc_id")
+            shared = common.materialize(suffix_dedup._shared_keys(blocks, 3), "shared")
+            told = suffix_dedup._verdicts(blocks, shared, 3).collect()
+            assert shared.count() > 0 and any(suffix_dedup.ASK in x.verdicts for x in told) == asks
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_block_does_not_work_for_each_bucket():
+    """Blocks times buckets grow with the square of the corpus, so a block's time must not follow the number of buckets."""
+    data = random.Random(52).randbytes(200_000)
+    block = suffix_dedup.Block(data, np.array([len(data)], np.int64).tobytes(), suffix_dedup._Powers())
+    ids, took, gone = np.array([7], np.int64).tobytes(), {}, {}
+    for buckets in (1, 8192):
+        bucket = (block.key >> np.uint64(32)) * np.uint64(0x85EBCA6B) % np.uint64(buckets)
+        low = (block.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets))).tolist() + [len(order)]
+        answers = [{"bucket": int(bucket[order[a]]), "keys": np.unique(low[order[a:b]]).tobytes(), "verdicts": bytes([suffix_dedup.GO]) * (b - a), "windows": None} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        times = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            gone[buckets] = suffix_dedup._covered(block, ids, answers, buckets)
+            times.append(time.perf_counter() - begin)
+        took[buckets] = min(times)
+    assert gone[1].all() and gone[8192].all()
+    assert took[8192] < 6 * took[1], took
+
+
 def test_repeats_in_documents_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 700)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
