@@ -357,8 +357,9 @@ class Index:
                     found = Piece(tree, array("vectors", kind).reshape(-1, dims), array("ids", "i8"), array("n_ids", "i4")).search(array("asked", kind).reshape(-1, dims), array("least", "f8"), most, factor)
                     yield pa.RecordBatch.from_arrays([pa.array(array("nodes", "i8")[found[0]]), pa.array(found[1]), pa.array(found[2])], ["node", "vec_id", "score"])
 
-        # a piece is one row, so the join holds one tree at a time beside the blocks that stream past it
-        joined = blocks.join(self.trees, ["shard", "piece"])
+        # a piece is one row, so the join holds one tree at a time beside the blocks that stream past it.  A query goes to nearly every piece,
+        # which Spark's estimate of the blocks, from the table of queries, does not tell: it would send them all through the driver
+        joined = blocks.hint("merge").join(self.trees, ["shard", "piece"])
         return materialize(joined.mapInArrow(run, FOUND), "found")
 
 

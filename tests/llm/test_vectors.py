@@ -121,6 +121,23 @@ def test_neighbours_are_those_of_all_pairs(spark, case):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == plain_neighbours(rows + out)
 
 
+def test_blocks_of_queries_never_pass_the_driver(spark, monkeypatch):
+    """A small table of queries becomes as many blocks as there are pieces, so its size says nothing about what a broadcast would hold."""
+    made, plans = neighbours.materialize, []
+
+    def watched(df, name):
+        if name == "found":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made(df, name)
+
+    monkeypatch.setattr(neighbours, "materialize", watched)
+    x = vectors(19, 1500, 1.0, dims=16)
+    assert neighbours.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), neighbours.F.col("vec_id") % 50 == 0, piece=1 << 12, sample=1 << 14).count() == 150
+    joins = [[line for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line and "piece" in line] for plan in plans]
+    assert len(joins) == 2 and all(len(lines) == 1 and "SortMergeJoin" in lines[0] for lines in joins), joins
+
+
 def test_neighbours_of_nothing(spark):
     asks = neighbours.F.col("vec_id") % 50 == 0
     assert neighbours.nearest(frame(spark, []), asks).count() == 0
