@@ -158,3 +158,15 @@ def test_near_pairs_against_brute_force(spark):
         if found:
             want[i] = max(found)[1]
     assert want and got == want
+
+
+def test_a_first_snapshot_is_an_upsert_into_the_member_alone(spark):
+    member = {"k": F.lit("UNKNOWN"), "d": F.lit("1900-01-01").cast("date"), "v": F.lit("u")}
+    kind = "k string, d string, v string"
+    for extra in ([], [("UNKNOWN", "1900-01-01", "own")]):
+        rows = [(f"k{i}", f"2020-01-{i % 28 + 1:02}", None if i % 3 else "x") for i in range(50)] + [(None, None, "n"), ("UNKNOWN", None, "m"), *extra]
+        source = spark.createDataFrame(rows, kind).withColumn("d", F.col("d").cast("date"))
+        target = spark.range(1).select(F.lit(-1).cast("long").alias("key"), *[c.alias(n) for n, c in member.items()])
+        want = tables.upsert(target, source, ["k", "d"], "key", delete_missing=True).select("key", "k", "d", "v").collect()
+        got = tables.first_snapshot(source, ["k", "d"], "key", -1, member).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows) + 1 - len(extra)
