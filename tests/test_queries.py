@@ -38,6 +38,21 @@ def test_a_star_writes_a_dimension_once(spark, monkeypatch):
     assert written == [] and t["dim_product"] is t["dim_product"] and written == ["dim_product"]
 
 
+@pytest.mark.parametrize("name", ["rpt_budget_variance", "rpt_ai_cost_by_department"])
+def test_a_report_without_people_makes_no_employees(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(star_queries, "work_table", lambda df, name: written.append(name) or df)
+    star_queries.QUERIES[name](spark.newSession(), SF)
+    assert written == ["dim_department"]
+
+
+def test_a_first_snapshot_joins_with_no_empty_one(spark):
+    """Employees move once for their windows, once for their managers and once for their numbers."""
+    for name in warehouse.DIMENSIONS:
+        plan = warehouse.dimension(name, star_queries.landed(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert "FullOuter" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, name, tmp_path):
     con = duckdb.connect()
